@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import minhash, mixing, packing, quality, sharding, substring, token_counts
+from tallyfield.llm import ann, knn, minhash, mixing, packing, quality, sharding, substring, token_counts, warc
 
 SHARDS = 8
 ACCEPT = 0.7
@@ -15,6 +15,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive_and_read(_table(spark, sf_dir, "pages"))
+    return read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "file")
+
+
+def op2_ann_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -54,10 +63,16 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
+            op1_warc,
+            op2_ann_forest,
             op3_token_counts,
             op4_mix_sources,
             op5_quality,
@@ -65,5 +80,6 @@ def queries() -> dict:
             op7_shard,
             op8_minhash_dedup,
             op9_substring_dedup,
+            op10_voronoi_topk,
         )
     }
