@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -35,3 +36,15 @@ def ship_package(spark: SparkSession) -> None:
             archive.write(file, file.relative_to(top.parent))
     context.addPyFile(str(target))
     context._tallyfield_shipped = True
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names, read again: its lineage ends there."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        top = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
+        spark.conf.set("spark.checkpoint.dir", top)
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
