@@ -6,10 +6,10 @@ that every document sees the same darts.  A document keeps those below its eleme
 rank that leaves about ``k ln k + 2k`` of them, and for each of ``k`` coordinates the earliest is its
 signature.  Two documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Documents with equal shingle sets are one node from the start.  Nodes that share a band are joined with the
-smallest and the largest node of the band only, verified on whole shingle sets and merged into components;
-a band that then still holds several components has their cross pairs verified as well, so that no
-candidate link between different texts is lost and no large group is expanded into all its pairs.
+Documents with equal shingle sets are one node from the start.  The nodes of a band are compared with one
+center only, on whole shingle sets, and merged into components.  Pairs around a center that are still in
+different components are compared as well, but only those that can be linked at all given what both share
+with the center: no link that a band can show is lost, and no group is expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import Remember, byte_texts, materialize, mix, rolling, slices, split_words, window_starts, word_hashes
@@ -129,17 +129,20 @@ def _sets(width: int):
     return packed
 
 
-def _verify(similarity: float):
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            keep = []
-            for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of shingles that both texts of a pair have."""
+    for part in batches:
+        common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "na", "nb")), pa.array(common, pa.int32())], ["a", "b", "na", "nb", "common"])
 
-    return verified
+
+def _remainder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of a that b lacks."""
+    for part in batches:
+        rest = [np.setdiff1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).view(np.int64) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
+        offsets = np.cumsum([0, *map(len, rest)]).astype(np.int32)
+        flat = np.concatenate(rest) if rest else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.ListArray.from_arrays(offsets, flat)], ["a", "b", "rest"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -187,24 +190,16 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     sketches = materialize(base.mapInArrow(_sketch(width, bands, rows), "doc_id long, d0 long, d1 long, n int, bands array<long>"), "sketches")
     used = sketches.where("n > 0 and doc_id is not null")
     nodes = materialize(used.groupBy("d0", "d1", "n").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    ends = banded.groupBy("band").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi"), F.count("*").alias("size")).where("size > 1")
-    ends = materialize(ends.select("band", "lo", "hi"), "bands")
-    members = materialize(banded.join(ends, "band").select("band", "node", "n", "lo", "hi"), "members")
-    alike = f"least(n, o.n) >= {similarity} * greatest(n, o.n)"
-    first = members.select("node", "n", F.explode(F.array("lo", "hi")).alias("o")).where(f"node <> o.node and {alike}")
-    first = materialize(first.select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct(), "pairs")
-    edges = materialize(_linked(base, first, width, similarity), "links")
+    stars = materialize(_stars(nodes), "stars")
+    sets = materialize(_shingles(base, stars, width), "shingles")
+    measured = materialize(_pairs_with_sets(stars.select(F.col("node").alias("a"), F.col("center").alias("b")), sets).mapInArrow(_compare, "a long, b long, na int, nb int, common int"), "measured")
+    alike = F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))
+    edges = materialize(measured.where(alike).select("a", "b"), "links")
     merged = materialize(components(edges), "components")
 
-    labelled = members.join(merged, "node", "left").select("band", "node", "n", F.coalesce("component", "node").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("band")
-    open_bands = materialize(labelled.join(mixed, "band", "left_semi"), "open-bands")
-    main = open_bands.groupBy("band", "label").count().groupBy("band").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    odd = open_bands.join(main, "band").where("label <> main").select("band", F.struct("node", "n", "label").alias("o"))
-    cross = open_bands.join(odd, "band").where(f"label <> o.label and {alike}").select(F.least("node", "o.node").alias("a"), F.greatest("node", "o.node").alias("b")).distinct()
-    second = materialize(cross.join(first, ["a", "b"], "left_anti"), "cross-pairs")
-    more = materialize(_linked(base, second, width, similarity), "cross-links")
+    candidates = materialize(_left_over(measured, merged, sets, similarity), "left-over")
+    more = _pairs_with_sets(candidates, sets).mapInArrow(_compare, "a long, b long, na int, nb int, common int").where(alike).select("a", "b")
+    more = materialize(more, "more-links")
     if not more.isEmpty():
         merged = materialize(components(edges.union(more)), "components")
 
@@ -215,10 +210,66 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     return out.unionByName(alone)
 
 
-def _linked(base: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs that are similar, judged on the whole texts."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialize(base.join(involved, "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles binary"), "shingles")
-    x = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    both = x.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(_verify(similarity), "a long, b long")
+def _stars(nodes: DataFrame) -> DataFrame:
+    """Distinct (node, center): the nodes of every band that several share, with the band's center.
+
+    The center is the node that shares most in all its bands, which in a group of edited copies tends to be
+    the text they were made from; of equals it is the smallest.
+    """
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    sizes = materialize(banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "bands")
+    members = materialize(banded.join(sizes, "band").select("band", "node", "size"), "members")
+    shared = materialize(members.groupBy("node").agg(F.sum("size").alias("shared")), "shared")
+    center = members.join(shared, "node").groupBy("band").agg(F.min(F.struct((-F.col("shared")).alias("s"), "node")).alias("c"))
+    center = materialize(center.select("band", F.col("c.node").alias("center")), "centers")
+    return members.join(center, "band").where("node <> center").select("node", "center").distinct()
+
+
+def _shingles(base: DataFrame, stars: DataFrame, width: int) -> DataFrame:
+    """node, shingles for all nodes of the stars, from the whole texts."""
+    involved = stars.select(F.explode(F.array("node", "center")).alias("doc_id")).distinct()
+    return base.join(involved.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles binary")
+
+
+def _pairs_with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, na, nb, x, y: pairs with both shingle sets and their sizes."""
+    one = lambda node, name: sets.select(F.col("node").alias(node), F.col("shingles").alias(name))
+    both = pairs.select("a", "b").join(one("a", "x"), "a").join(one("b", "y"), "b")
+    return both.select("a", "b", (F.octet_length("x") / 8).cast("int").alias("na"), (F.octet_length("y") / 8).cast("int").alias("nb"), "x", "y")
+
+
+def _left_over(measured: DataFrame, merged: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs around one center, of different components, that can still be linked: distinct (a, b).
+
+    Let x and y have n_x and n_y shingles and share c_x and c_y of them with their center.  A link needs
+    ``t (n_x + n_y)`` common shingles, t = s / (1 + s), of which the center has at most min(c_x, c_y).
+    Either that is enough by itself, which only few lengths n_y allow; or x and y share shingles that the
+    center lacks, at least ``s n_x - c_x`` and at least ``s n_y - c_y`` of them.  Then they agree in one
+    of the rarest ``r - needed + 1`` of the r shingles each has beside the center.
+    """
+    of = lambda t, name: t.select(F.col("node").alias(name), F.col("component").alias(f"{name}_of"))
+    rows = measured.join(of(merged, "a"), "a", "left").join(of(merged, "b"), "b", "left")
+    rows = rows.select(F.col("b").alias("center"), F.col("a").alias("node"), F.col("na").alias("n"), "common", F.coalesce("a_of", "a").alias("label"), F.coalesce("b_of", "b").alias("home"))
+    open_ = rows.groupBy("center").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("home").alias("z"), F.count("*").alias("m")).where("m > 1 and (x <> y or x <> z)").select("center")
+    rows = materialize(rows.join(open_, "center", "left_semi"), "open-stars")
+
+    needed = F.greatest(F.lit(1), F.ceil(F.lit(similarity) * F.col("n") - F.col("common") - F.lit(1e-6))).cast("int")
+    wanted = rows.withColumn("prefix", F.col("n") - F.col("common") - needed + 1).where("prefix > 0")
+    rest = _pairs_with_sets(wanted.select(F.col("node").alias("a"), F.col("center").alias("b")), sets).mapInArrow(_remainder, "a long, b long, rest array<long>")
+    own = rest.select(F.col("b").alias("center"), F.col("a").alias("node"), F.explode("rest").alias("shingle"))
+    own = materialize(own, "beside-center")
+    often = materialize(own.groupBy("center", "shingle").agg(F.count("*").alias("df")).where("df > 1"), "beside-often")
+    ranked = own.join(often, ["center", "shingle"], "left").withColumn("i", F.row_number().over(Window.partitionBy("center", "node").orderBy(F.coalesce("df", F.lit(1)), "shingle")))
+    kept = ranked.where("df is not null").join(wanted.select("center", "node", "n", "label", "prefix"), ["center", "node"]).where("i <= prefix").select("center", "shingle", "node", "n", "label")
+    kept = materialize(kept, "prefixes")
+    other = kept.select("center", "shingle", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "label")])
+    fits = f"label <> o_label and least(n, o_n) >= {similarity} * greatest(n, o_n)"
+    shared = kept.join(other, ["center", "shingle"]).where(f"node < o_node and {fits}").select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+
+    t = similarity / (1 + similarity)
+    lengths = F.sequence(F.ceil(F.lit(similarity) * F.col("n") - 1e-6).cast("int"), F.floor(F.col("common") / t - F.col("n") + 1e-6).cast("int"))
+    short = rows.where(F.ceil(F.lit(similarity) * F.col("n") - 1e-6) <= F.floor(F.col("common") / t - F.col("n") + 1e-6))
+    short = short.where(F.col("label") != F.col("home")).select("center", F.col("node").alias("o_node"), F.col("n").alias("o_n"), F.col("label").alias("o_label"), F.explode(lengths).alias("n"))
+    inside = rows.join(short, ["center", "n"]).where((F.col("node") != F.col("o_node")) & (F.col("common") + 1e-6 >= t * (F.col("n") + F.col("o_n")))).where(fits)
+    inside = inside.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
+    return shared.union(inside).distinct()
