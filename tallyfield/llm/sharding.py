@@ -53,12 +53,18 @@ def range_of(cuts: list[int]):
     return below
 
 
-def _part_of(parts: dict[int, int]) -> Column:
-    """Which part of its range a row goes to: equal widths of the hash ``tie``, in as many parts as the range needs."""
-    pieces = F.lit(1)
+def part_of(parts: dict[int, int], ranges: int):
+    """A function of range and ``tie``: which part of an overfull range a row goes to, by equal widths of the hash."""
+    table = np.ones(ranges + 1, np.int64)
     for k, n in parts.items():
-        pieces = F.when(F.col("range") == k, F.lit(n)).otherwise(pieces)
-    return F.floor((F.shiftright("tie", 20).cast("double") + float(1 << 43)) / float(1 << 44) * pieces).cast("int")
+        table[k] = n
+
+    @F.pandas_udf("int")
+    def part(range_: pd.Series, tie: pd.Series) -> pd.Series:
+        share = ((tie.to_numpy(np.int64) >> 20) + (1 << 43)).astype(np.float64) / float(1 << 44)
+        return pd.Series((share * table[range_.to_numpy()]).astype(np.int32))
+
+    return part
 
 
 def _assigned(keyed: DataFrame, shards: int, ranges_per_shard: int) -> DataFrame:
@@ -66,10 +72,11 @@ def _assigned(keyed: DataFrame, shards: int, ranges_per_shard: int) -> DataFrame
     spark = keyed.sparkSession
     keyed = materialize(keyed, "shard-keys")
     total = keyed.agg(F.sum("size")).first()[0] or 0
-    ranged = keyed.withColumn("range", range_of(splitters(keyed, total, shards * ranges_per_shard))("key"))
+    cuts = splitters(keyed, total, shards * ranges_per_shard)
+    ranged = keyed.withColumn("range", range_of(cuts)("key"))
     fair = max(total / (shards * ranges_per_shard), 1)
     full = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.ceil(F.sum("size") / fair).cast("int").alias("n")).where("n >= 3").collect()}
-    placed = ranged.withColumn("part", _part_of(full))
+    placed = ranged.withColumn("part", part_of(full, len(cuts))("range", "tie"))
     counts = sorted(tuple(r) for r in placed.groupBy("range", "part").agg(F.sum("size"), F.count("*")).collect())
     seen, rows, table = 0, [0] * shards, []
     for k, part, size, n in counts:
