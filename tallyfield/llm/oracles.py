@@ -2,6 +2,45 @@
 
 from __future__ import annotations
 
+_WORDS = r"w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents)"
+
+WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) b FROM pages),
+d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) payload_bytes, sha1(b) payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) keeper FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END record_type,
+       CASE WHEN keeper <> page_id THEN keeper END refers_to
+FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest AND d.payload_bytes >= 1000
+"""
+
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE {_WORDS},
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') x FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE c >= 0.8 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a)
+SELECT doc_id, min(reached) class_id FROM r GROUP BY doc_id
+"""
+
+SUBSTRINGS = rf"""
+WITH {_WORDS},
+x AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') k FROM w, unnest(range(1, len(ws) - 18)) t(i)),
+f AS (SELECT k, min({{'d': doc_id, 'i': i}}) first FROM x GROUP BY k),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) j FROM x JOIN f USING (k) WHERE first.d <> doc_id OR first.i <> i),
+o AS (SELECT doc_id, unnest(ws) word, generate_subscripts(ws, 1) j FROM w),
+q AS (SELECT o.doc_id, count(*) n, count(g.j) gone, coalesce(string_agg(CASE WHEN g.j IS NULL THEN word END, ' ' ORDER BY o.j), '') kept FROM o LEFT JOIN g ON o.doc_id = g.doc_id AND o.j = g.j GROUP BY o.doc_id)
+SELECT w.doc_id, coalesce(n, 0) n_words, coalesce(gone, 0) n_removed, sha256(coalesce(kept, '')) kept_sha256 FROM w LEFT JOIN q ON w.doc_id = q.doc_id
+"""
+
+TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) i FROM s)
+SELECT query_id, CAST(i AS INT) AS rank, vec_id, score FROM r WHERE i <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": WARC, "op8_minhash_dedup": NEAR_DUPLICATES, "op9_substring_dedup": SUBSTRINGS, "op10_voronoi_topk": TOP_K}
