@@ -2,13 +2,14 @@
 
 Pieces are dealt out to groups and each group is packed by best-fit decreasing.  Dual-feasible functions
 give a lower bound on the bins that a group needs.  A group that meets its bound is done.  A group with a
-gap keeps its full bins and gives the pieces of its other bins to an exchange, where the loose pieces of
-``FAN_IN`` groups meet in one and are packed and certified again, until every group is certified or one
-group is left.
+gap keeps its full bins and gives the pieces of its other bins to an exchange: the loose pieces of all
+groups are dealt out anew, packed and certified again, until no group has a gap, one group is left, or
+``ROUNDS`` rounds are over.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import REMEMBERED_WORDS, byte_texts, materialize, slices
+from tallyfield.llm.common import byte_texts, materialize, slices
 
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 25_000
-FAN_IN = 16
+ROUNDS = 4
 CHUNK_BYTES = 4 << 20
+#: Words a generation remembers; a worker holds two generations at most.
+REMEMBERED_WORDS = 750_000
 #: A bin with this share of its room or more in use stays as it is when its group goes to the exchange.
 TIGHT = 0.998
 
@@ -38,7 +41,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_PLAIN = re.compile(rb"([A-Za-z]+)([.,;:!?]*)")
+#: Letters without a canonical composition to wait for (ASCII and Latin-1), then ASCII signs.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
 
 @lru_cache(1)
@@ -52,7 +56,7 @@ class WordEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit values, by words that are encoded once.
 
     The tokenizer splits at white space, and letters from punctuation, before anything else, so the ids of
-    a text are those of its words in order.  Lower-cased runs of ASCII letters that are new are encoded
+    a text are those of its words in order.  Lower-cased runs of letters that are new are encoded
     together in one call; a token that ends a word shows where the next begins.
     """
 
@@ -61,49 +65,65 @@ class WordEncoder:
         ends = [k.endswith("</w>") for k, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
         self.ends = np.array(ends)
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.letters: dict[bytes, bytes] = {}
 
     def _one(self, word: bytes) -> bytes:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
 
     def _learn(self, new: set[bytes]) -> None:
+        """Remember ``new`` words; of those remembered before, the ones used lately outlast a change of generation."""
         if len(self.words) + len(new) > REMEMBERED_WORDS:
-            self.words.clear()
-            self.letters.clear()
+            self.older, self.words, self.letters = self.words, {}, {}
+        for w in new & self.older.keys():
+            self.words[w] = self.older[w]
         plain, other = {}, []
-        for w in new:
-            if m := _PLAIN.fullmatch(w):
-                plain[w] = (m[1].lower(), m[2])
+        for w in new - self.words.keys():
+            if w.isalpha():  # of bytes: ASCII letters alone
+                plain[w] = (w.lower(), b"")
+            elif m := _PLAIN.fullmatch(w):
+                plain[w] = (m[1].decode().lower().encode(), m[2])
             else:
                 other.append(w)
-        fresh = sorted({x for x, _ in plain.values()} - self.letters.keys())
+        fresh = list({x for x, _ in plain.values()} - self.letters.keys())
         if fresh:
-            ids = np.array(self.tokenizer.encode(b" ".join(fresh).decode(), add_special_tokens=False).ids, np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            self.letters.update(zip(fresh, (x.tobytes() for x in np.split(ids, cuts[:-1])), strict=True))
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(fresh).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            data, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            begin = 0
+            for x, end in zip(fresh, ends, strict=True):
+                self.letters[x] = data[begin:end]
+                begin = end
         for p in {p for _, p in plain.values()} - self.letters.keys():
             self.letters[p] = self._one(p) if p else b""
+        letters = self.letters
         for w, (x, p) in plain.items():
-            self.words[w] = self.letters[x] + self.letters[p]
+            self.words[w] = letters[x] + letters[p] if p else letters[x]
         for w in other:
             self.words[w] = self._one(w)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        parts = [x.split() for x in texts]
-        new = set(chain.from_iterable(parts))
-        if len(self.words) + len(new) > REMEMBERED_WORDS:
-            self._learn(new)
-        elif new := new - self.words.keys():
+        # folding ASCII case here changes no id (but for special tokens, which a text then must not spell)
+        parts = [(x if b"<|" in x else x.lower()).split() for x in texts]
+        if new := set(chain.from_iterable(parts)) - self.words.keys():
+            before = self.words
             self._learn(new)
+            if self.words is not before:  # a new generation lacks what this chunk already had
+                self._learn(set(chain.from_iterable(parts)) - self.words.keys())
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in parts]
 
 
+@lru_cache(1)
+def _encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker: the words it remembers outlast a task."""
+    return WordEncoder(path)
+
+
 def _pieces(path: str, capacity: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, uid, end = WordEncoder(path), TaskContext.get().partitionId() << 36, np.uint32(END_ID).tobytes()
+        encode, uid, end = _encoder(path), TaskContext.get().partitionId() << 36, np.uint32(END_ID).tobytes()
         for part in slices(batches, "text", CHUNK_BYTES):
             rows = []
             for i, ids in enumerate(encode(byte_texts(part))):
@@ -162,7 +182,11 @@ def bins_needed(lengths: np.ndarray, capacity: int, most: int = 64) -> int:
     counts sizes over ``capacity - a`` whole, drops those under ``a`` and leaves the rest.  A function is
     dual feasible if sizes that fit one bin keep a sum of one at most, so its total needs as many bins.
     """
-    n = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return _bound(np.bincount(lengths, minlength=capacity + 1).astype(np.int64), capacity, most)
+
+
+def _bound(n: np.ndarray, capacity: int, most: int = 64) -> int:
+    """:func:`bins_needed` from the number of pieces of each length."""
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((n * size).sum()) // capacity)
     for k in range(1, most):
@@ -176,14 +200,15 @@ def bins_needed(lengths: np.ndarray, capacity: int, most: int = 64) -> int:
     return max(best, int((large + -(-middle // capacity)).max()) if len(a) else 0)
 
 
-def _pack_group(capacity: int, last: bool):
+def _pack_group(capacity: int, ratio: float, last: bool):
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("uid", ignore_index=True)
         lengths = frame["length"].to_numpy(np.int64)
         bins = best_fit_decreasing(lengths, capacity)
         used = np.bincount(bins, lengths).astype(np.int64)
         loose = np.zeros(len(frame), bool)
-        if not last and len(used) > bins_needed(lengths, capacity):
+        fair = math.ceil(ratio * lengths.sum() / capacity - 1e-9)
+        if not last and len(used) > min(fair, bins_needed(lengths, capacity)):
             loose = (used < TIGHT * capacity)[bins]
         order = np.argsort(bins, kind="stable")
         before = np.cumsum(lengths[order]) - lengths[order]
@@ -198,22 +223,27 @@ def _pack_group(capacity: int, last: bool):
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """sequence_id and offset of every piece (uid, length): as few sequences of ``capacity`` as can be shown.
 
-    ``sequence_id`` joins level, group and bin.  Pieces that fill a sequence have one of their own.  No
-    pieces give no rows.
+    ``sequence_id`` joins round, group and bin.  Groups hold about ``group_pieces``, in every round.  A group
+    has a gap if it has more bins than its own bound, or than its share of the bound for all pieces: then
+    its pieces fit those of other groups better than one another.  No pieces give no rows.
     """
-    n = pieces.count()
-    levels = 0
-    while group_pieces * FAN_IN**levels < n:
-        levels += 1
-    groups = FAN_IN**levels
-    todo = pieces.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(groups)).alias("group"))
-    parts = []
-    for level in range(levels + 1):
-        done = todo.groupBy("group").applyInPandas(_pack_group(capacity, level == levels), "uid long, length long, group long, bin long, offset long, loose boolean")
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in pieces.groupBy("length").count().collect():  # at most ``capacity`` rows
+        counts[r["length"]] = r["count"]
+    volume = int((counts * np.arange(capacity + 1)).sum())
+    ratio = _bound(counts, capacity) * capacity / max(volume, 1)
+    n, todo, parts = int(counts.sum()), pieces.select("uid", "length"), []
+    for level in range(ROUNDS):
+        groups = max(1, -(-n // group_pieces))
+        last = groups == 1 or level == ROUNDS - 1
+        grouped = todo.withColumn("group", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)))
+        done = grouped.groupBy("group").applyInPandas(_pack_group(capacity, ratio, last), "uid long, length long, group long, bin long, offset long, loose boolean")
         done = materialize(done, f"packed{level}")
         number = (F.lit(level).cast("long") * (1 << 58)) + F.col("group") * (1 << 32) + F.col("bin")
         parts.append(done.where("not loose").select("uid", number.alias("sequence_id"), "offset"))
-        todo = done.where("loose").select("uid", "length", F.floor(F.col("group") / FAN_IN).alias("group"))
+        todo = done.where("loose").select("uid", "length")
+        if last or not (n := todo.count()):
+            break
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -9,6 +9,7 @@ from tallyfield.functions import text
 from tallyfield.operators import cups, gates
 from tallyfield.plans.binding import FIXTURES_SQL, fixtures, table
 from tallyfield.plans.registry import query
+from tallyfield.session import written
 
 PLAYED = "home_score IS NOT NULL AND away_score IS NOT NULL"
 _SEQ = """fr AS (SELECT season, grp, round, min((match_date, match_id)) first FROM fixtures GROUP BY season, grp, round),
@@ -28,7 +29,7 @@ _TIES = """tb AS (SELECT f.*, row_number() OVER (PARTITION BY season, grp ORDER
     CAST(deepest AS INT) deepest, coalesce(team = champion, FALSE) is_champion, CAST(won AS INT) won, CAST(points AS INT) points, CAST(gd AS INT) gd FROM t LEFT JOIN ch USING (season, grp)"""
 )
 def cup_ranking(spark, sf_dir):
-    return cups.cup_ranking(fixtures(spark, sf_dir))
+    return cups.cup_ranking(written(fixtures(spark, sf_dir), "fixtures"))  # ranked in three passes, joined in one
 
 
 @query(f"WITH {FIXTURES_SQL}, {_SEQ} SELECT season, grp, team, CAST(max(round_seq) AS INT) deepest FROM sides JOIN rs USING (season, grp, round) GROUP BY season, grp, team")

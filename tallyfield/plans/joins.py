@@ -83,29 +83,44 @@ def missing_badges(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(rich, "n_nationkey", "left_anti").select("n_name", "n_regionkey")
 
 
-@query(f"WITH {FIXTURES_SQL}, v AS (SELECT home, away, min(match_date) first_day FROM fixtures GROUP BY home, away) SELECT f.match_id, f.season, f.home, f.away, v.first_day FROM fixtures f LEFT JOIN v ON f.home = v.home AND f.away = v.away WHERE f.round = 1")
+@query(f"WITH {FIXTURES_SQL}, v AS (SELECT home, away, min(match_date) first_day FROM fixtures GROUP BY home, away) SELECT f.match_id, f.season, f.home, f.away, v.first_day FROM fixtures f LEFT JOIN v ON f.home = v.home AND f.away = v.away")
 def venue_enrichment(spark, sf_dir):
     rows = fixtures(spark, sf_dir)
     known = rows.groupBy("home", "away").agg(F.min("match_date").alias("first_day"))
-    return rows.where("round = 1").join(known, ["home", "away"], "left").select("match_id", "season", "home", "away", "first_day")
+    return rows.join(known, ["home", "away"], "left").select("match_id", "season", "home", "away", "first_day")
 
 
-@query("WITH i AS (SELECT DISTINCT o_custkey c, o_orderpriority || year(o_orderdate) AS k FROM orders WHERE o_custkey < 200), s AS (SELECT c, count(*) n FROM i GROUP BY c) SELECT a.c set_id, b.c other_id, count(*) shared, count(*) / least(any_value(x.n), any_value(y.n)) overlap FROM i a JOIN i b ON a.k = b.k AND a.c < b.c JOIN s x ON a.c = x.c JOIN s y ON b.c = y.c GROUP BY a.c, b.c HAVING count(*) / least(any_value(x.n), any_value(y.n)) >= 0.6")
+_SCHEDULES = """i AS (SELECT DISTINCT c_nationkey c, strftime(o_orderdate, '%Y%m%d') || o_orderpriority AS k FROM orders JOIN customer ON o_custkey = c_custkey), s AS (SELECT c, count(*) n FROM i GROUP BY c),
+    ov AS (SELECT a.c set_id, b.c other_id, count(*) shared, any_value(x.n) n, any_value(y.n) other_n, count(*) / least(any_value(x.n), any_value(y.n)) overlap FROM i a JOIN i b ON a.k = b.k AND a.c < b.c JOIN s x ON a.c = x.c JOIN s y ON b.c = y.c GROUP BY a.c, b.c)"""
+
+
+def _schedules(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return orders.select(F.col("c_nationkey").alias("set_id"), F.concat(F.date_format("o_orderdate", "yyyyMMdd"), "o_orderpriority").alias("item"))
+
+
+@query(f"WITH {_SCHEDULES} SELECT set_id, other_id, shared, overlap FROM ov WHERE overlap >= 0.03")
 def schedule_overlap(spark, sf_dir):
-    items = table(spark, sf_dir, "orders").where("o_custkey < 200").select(F.col("o_custkey").alias("set_id"), F.concat("o_orderpriority", F.year("o_orderdate").cast("string")).alias("item"))
-    return resolve.set_overlap(items, least=0.6).select("set_id", "other_id", "shared", "overlap")
+    return resolve.set_overlap(_schedules(spark, sf_dir), least=0.03).select("set_id", "other_id", "shared", "overlap")
+
+
+@query(f"WITH {_SCHEDULES} SELECT CASE WHEN n >= other_n THEN set_id ELSE other_id END AS stays, CASE WHEN n >= other_n THEN other_id ELSE set_id END AS goes, overlap FROM ov WHERE overlap >= 0.05 AND n >= 10 AND other_n >= 10")
+def duplicate_groups(spark, sf_dir):
+    items = _schedules(spark, sf_dir)
+    played = items.distinct().groupBy("set_id").agg(F.count("*").alias("played"))
+    return resolve.duplicate_groups(items, played, least=0.05)
 
 
-@query("WITH t AS (SELECT DISTINCT c_mktsegment grp, c_nationkey team FROM customer WHERE c_custkey % 3 = 0), c AS (SELECT DISTINCT c_mktsegment grp, c_nationkey team FROM customer WHERE c_acctbal < 0) SELECT grp, team, 'table' only_in FROM (SELECT * FROM t EXCEPT SELECT * FROM c) UNION ALL SELECT grp, team, 'calendar' FROM (SELECT * FROM c EXCEPT SELECT * FROM t)")
+@query("WITH t AS (SELECT DISTINCT c_mktsegment grp, c_nationkey team FROM customer WHERE c_acctbal > 9500), c AS (SELECT DISTINCT c_mktsegment grp, c_nationkey team FROM customer WHERE c_acctbal < -500) SELECT grp, team, 'table' only_in FROM (SELECT * FROM t EXCEPT SELECT * FROM c) UNION ALL SELECT grp, team, 'calendar' FROM (SELECT * FROM c EXCEPT SELECT * FROM t)")
 def table_vs_calendar(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("grp"), F.col("c_nationkey").alias("team"), "c_custkey", "c_acctbal")
-    return gates.only_in_one(rows.where("c_custkey % 3 = 0"), rows.where("c_acctbal < 0"), ("grp",))
+    return gates.only_in_one(rows.where("c_acctbal > 9500"), rows.where("c_acctbal < -500"), ("grp",))
 
 
-@query("SELECT 'customer' kind, c_nationkey n, c_name name FROM customer WHERE c_acctbal > 9900 UNION ALL SELECT 'supplier', s_nationkey, s_name FROM supplier WHERE s_acctbal > 9000")
+@query("SELECT 'customer' kind, c_nationkey n, c_name name FROM customer UNION ALL SELECT 'supplier', s_nationkey, s_name FROM supplier")
 def source_union(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.lit("customer").alias("kind"), F.col("c_nationkey").alias("n"), F.col("c_name").alias("name"))
-    b = table(spark, sf_dir, "supplier").where("s_acctbal > 9000").select(F.lit("supplier").alias("kind"), F.col("s_nationkey").alias("n"), F.col("s_name").alias("name"))
+    a = table(spark, sf_dir, "customer").select(F.lit("customer").alias("kind"), F.col("c_nationkey").alias("n"), F.col("c_name").alias("name"))
+    b = table(spark, sf_dir, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_nationkey").alias("n"), F.col("s_name").alias("name"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -120,27 +135,27 @@ def team_search(spark, sf_dir):
     return rows.groupBy("season", "grp").agg(F.countDistinct("team").alias("hits"))
 
 
-_STORED = f"""{FIXTURES_SQL}, base AS (SELECT match_id, season, grp, round, home, away, max(home_score) home_score, max(away_score) away_score FROM fixtures GROUP BY ALL HAVING count(*) = 1 AND match_id % 5 <> 0),
+_STORED = f"""{FIXTURES_SQL}, base AS (SELECT match_id, season, grp, round, home, away, max(home_score) home_score, max(away_score) away_score FROM fixtures GROUP BY ALL HAVING count(*) = 1),
     f AS (SELECT season, grp, round, home, away, max_by(match_id, match_id) match_id FROM base GROUP BY season, grp, round, home, away),
     one AS (SELECT base.* FROM base JOIN f USING (season, grp, round, home, away, match_id))"""
 
 
 def _one_per_key(spark, sf_dir):
     keys = ["season", "grp", "round", "home", "away"]
-    single = fixtures(spark, sf_dir).groupBy("match_id", *keys).agg(F.count("*").alias("n"), F.max("home_score").alias("home_score"), F.max("away_score").alias("away_score")).where("n = 1 and match_id % 5 <> 0").drop("n")
+    single = fixtures(spark, sf_dir).groupBy("match_id", *keys).agg(F.count("*").alias("n"), F.max("home_score").alias("home_score"), F.max("away_score").alias("away_score")).where("n = 1").drop("n")
     return merge.last_wins(single, keys, "match_id"), keys
 
 
 @query(
-    f"""WITH {_STORED}, stored AS (SELECT season, grp, round, home, away, CASE WHEN match_id % 3 <> 0 THEN home_score END hs, CASE WHEN match_id % 3 <> 0 THEN away_score END ays FROM one WHERE match_id % 4 <> 0),
+    f"""WITH {_STORED}, stored AS (SELECT season, grp, round, home, away, CASE WHEN round <= 6 THEN home_score END hs, CASE WHEN round <= 6 THEN away_score END ays FROM one WHERE round <= 9),
     inc AS (SELECT season, grp, round, home, away, home_score, away_score FROM one)
     SELECT season, grp, round, home, away, CASE WHEN s.season IS NULL OR (hs IS NULL AND ays IS NULL) THEN inc.home_score ELSE hs END home_score, CASE WHEN s.season IS NULL OR (hs IS NULL AND ays IS NULL) THEN inc.away_score ELSE ays END away_score
     FROM inc LEFT JOIN stored s USING (season, grp, round, home, away)"""
 )
 def upsert_fill_nulls(spark, sf_dir):
     rows, keys = _one_per_key(spark, sf_dir)
-    seen = F.col("match_id") % 3 != 0
-    stored = rows.where("match_id % 4 <> 0").withColumns({c: F.when(seen, F.col(c)) for c in ("home_score", "away_score")})
+    seen = F.col("round") <= 6  # an earlier load: fixtures up to round 9, scores up to round 6
+    stored = rows.where("round <= 9").withColumns({c: F.when(seen, F.col(c)) for c in ("home_score", "away_score")})
     return merge.fill_nulls(stored.select(*keys, "home_score", "away_score"), rows.select(*keys, "home_score", "away_score"), keys, ["home_score", "away_score"])
 
 
@@ -206,18 +221,18 @@ def entity_merge(spark, sf_dir):
     return merge.repointed(orders, aliases, ["o_custkey"], ["o_custkey", "o_orderpriority"], ["o_orderkey"]).select("o_custkey", "o_orderpriority", "o_orderkey")
 
 
-@query("WITH s AS (SELECT s_nationkey n, s_name name, s_acctbal bal FROM supplier WHERE s_suppkey % 2 = 0), st AS (SELECT n, max(name) name, min(bal) bal FROM s GROUP BY n), i AS (SELECT c_nationkey n, max(CASE WHEN c_acctbal > 9000 THEN c_name END) name, max(c_acctbal) bal FROM customer WHERE c_custkey % 7 = 0 GROUP BY c_nationkey) SELECT n, coalesce(i.name, st.name) AS name, coalesce(i.bal, st.bal) bal FROM st FULL JOIN i USING (n)")
+@query("WITH s AS (SELECT s_nationkey n, s_name name, s_acctbal bal FROM supplier), st AS (SELECT n, max(name) name, min(bal) bal FROM s GROUP BY n), i AS (SELECT c_nationkey n, max(CASE WHEN c_acctbal > 9000 THEN c_name END) name, max(c_acctbal) bal FROM customer GROUP BY c_nationkey) SELECT n, coalesce(i.name, st.name) AS name, coalesce(i.bal, st.bal) bal FROM st FULL JOIN i USING (n)")
 def upsert_dimension(spark, sf_dir):
-    stored = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").groupBy(F.col("s_nationkey").alias("n")).agg(F.max("s_name").alias("name"), F.min("s_acctbal").alias("bal"))
+    stored = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n")).agg(F.max("s_name").alias("name"), F.min("s_acctbal").alias("bal"))
     rich = F.when(F.col("c_acctbal") > 9000, F.col("c_name"))
-    incoming = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.col("c_nationkey").alias("n"), rich.alias("name"), F.col("c_acctbal").alias("bal"))
+    incoming = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), rich.alias("name"), F.col("c_acctbal").alias("bal"))
     return merge.upsert_dimension(stored, incoming, ["n"], ["name", "bal"])
 
 
-@query("SELECT c FROM (SELECT p_size c FROM part WHERE p_partkey % 40 = 0 GROUP BY p_size HAVING count(*) > 1 UNION SELECT p_size FROM part WHERE p_partkey % 40 = 0 AND p_size IN (SELECT n_nationkey FROM nation))")
+@query("SELECT c FROM (SELECT CAST(p_retailprice AS VARCHAR) c FROM part GROUP BY 1 HAVING count(*) > 1 UNION SELECT CAST(p_retailprice AS VARCHAR) FROM part WHERE p_retailprice IN (SELECT c_acctbal FROM customer))")
 def code_collisions(spark, sf_dir):
-    codes = table(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.col("p_size").alias("c"))
-    return merge.collisions(codes, "c", table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c")))
+    codes = table(spark, sf_dir, "part").select(F.col("p_retailprice").alias("c"))
+    return merge.collisions(codes, "c", table(spark, sf_dir, "customer").select(F.col("c_acctbal").alias("c"))).select(F.col("c").cast("string").alias("c"))
 
 
 @query("WITH c AS (SELECT o_custkey k, o_orderkey id, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 ELSE 3 END strategy_rank FROM orders), b AS (SELECT k, min(strategy_rank) strategy_rank FROM c GROUP BY k) SELECT DISTINCT k, strategy_rank, id FROM c JOIN b USING (k, strategy_rank)")
@@ -274,8 +289,69 @@ def published_count_gap(spark, sf_dir):
     return gates.count_gap(stored, stored.where("not (season = 1999 and position = 5)"), ("season", "grp"))
 
 
-@query(f"WITH {EVENTS_SQL}, l AS (SELECT DISTINCT match_id, player, side FROM player_events WHERE player % 3 <> 0) SELECT e.event_id, l.side known_side FROM player_events e JOIN l USING (match_id, player) WHERE e.kind = 'goal'")
+@query(f"WITH {EVENTS_SQL}, l AS (SELECT DISTINCT match_id, player, side FROM player_events WHERE kind = 'sub_in') SELECT e.event_id, l.side known_side FROM player_events e JOIN l USING (match_id, player) WHERE e.kind = 'goal'")
 def events_with_known_side(spark, sf_dir):
     rows = player_events(spark, sf_dir)
-    lineup = rows.where("player % 3 <> 0").select("match_id", "player", F.col("side").alias("known_side")).distinct()
+    lineup = rows.where("kind = 'sub_in'").select("match_id", "player", F.col("side").alias("known_side")).distinct()
     return rows.where("kind = 'goal'").join(lineup, ["match_id", "player"]).select("event_id", "known_side")
+
+
+@query(f"WITH {FIXTURES_SQL}, k AS (SELECT season, home, away, match_date, count(*) n, min(match_id) first_id FROM fixtures GROUP BY ALL) SELECT DISTINCT f.match_id, f.season, f.home, f.away FROM fixtures f JOIN k USING (season, home, away, match_date) WHERE f.match_id > first_id")
+def doomed_duplicates(spark, sf_dir):
+    """Fixtures for which an earlier row of the same teams and day exists."""
+    rows = fixtures(spark, sf_dir)
+    key = ["season", "home", "away", "match_date"]
+    first = rows.groupBy(*key).agg(F.min("match_id").alias("first_id"))
+    return rows.join(first, key).where("match_id > first_id").select("match_id", "season", "home", "away").distinct()
+
+
+@query(f"WITH {TABLE_SQL} SELECT DISTINCT f.match_id, f.season, f.home, f.away, CASE WHEN w.team IS NULL AND v.team IS NULL THEN home_score END home_score, CASE WHEN w.team IS NULL AND v.team IS NULL THEN away_score END away_score FROM fixtures f LEFT JOIN (SELECT season, grp, team FROM league WHERE position = 5) w ON f.season = w.season AND f.grp = w.grp AND f.home = w.team LEFT JOIN (SELECT season, grp, team FROM league WHERE position = 5) v ON f.season = v.season AND f.grp = v.grp AND f.away = v.team")
+def withdrawn_scores(spark, sf_dir):
+    """Teams in the schedule but not in the table (here: its first four) have withdrawn; their fixtures lose their scores."""
+    rows = fixtures(spark, sf_dir)
+    listed = league(spark, sf_dir).where("position <> 5")
+    schedule = rows.select("season", "grp", F.explode(F.array("home", "away")).alias("team"))
+    gone = resolve.withdrawn(schedule, listed, ("season", "grp"))
+    return resolve.without_withdrawn_scores(rows, gone, ("season", "grp")).select("match_id", "season", "home", "away", "home_score", "away_score").distinct()
+
+
+@query(f"WITH {TABLE_SQL}, x AS (SELECT season, grp, team, count(*) FILTER (WHERE at_home AND result IS NOT NULL) hp, count(*) FILTER (WHERE NOT at_home AND result IS NOT NULL) ap FROM results GROUP BY season, grp, team) SELECT season, grp, team, CAST(hp + ap AS INT) played FROM x")
+def split_totals(spark, sf_dir):
+    """Tables that give home and away parts, summed."""
+    rows = stats.results(fixtures(spark, sf_dir))
+    parts = {}
+    for side, at_home in (("home", True), ("away", False)):
+        own = F.col("at_home") == at_home
+        parts |= {f"{side}_played": F.count_if(own), **{f"{side}_{c}": F.count_if(own & (F.col("result") == r)) for c, r in (("won", "W"), ("drawn", "D"), ("lost", "L"))}, **{f"{side}_{c}": F.sum(F.when(own, F.col(c))) for c in ("gf", "ga")}}
+    wide = rows.groupBy("season", "grp", "team").agg(*[c.alias(n) for n, c in parts.items()])
+    return standings.split_totals(wide).select("season", "grp", "team", "played")
+
+
+@query(f"WITH {FIXTURES_SQL} SELECT season, count(DISTINCT grp) n_groups, count(DISTINCT team) n_teams, count(DISTINCT (match_id, home, away)) n_matches FROM sides GROUP BY season")
+def source_counters(spark, sf_dir):
+    rows = standings.sides(fixtures(spark, sf_dir))
+    return rows.groupBy("season").agg(F.countDistinct("grp").alias("n_groups"), F.countDistinct("team").alias("n_teams"), F.countDistinct("match_id", "home", "away").alias("n_matches"))
+
+
+@query(f"WITH {FIXTURES_SQL} SELECT DISTINCT season, grp, team FROM sides")
+def distinct_teams(spark, sf_dir):
+    return fixtures(spark, sf_dir).select("season", "grp", F.explode(F.array("home", "away")).alias("team")).distinct()
+
+
+@query(f"WITH {FIXTURES_SQL} SELECT season, grp, max(round) FILTER (WHERE home_score IS NOT NULL) last_round FROM fixtures GROUP BY season, grp")
+def last_round_with_result(spark, sf_dir):
+    rounds = stats.round_states(fixtures(spark, sf_dir))
+    return rounds.groupBy("season", "grp").agg(F.max(F.when(F.col("results") > 0, F.col("round"))).alias("last_round"))
+
+
+@query("WITH s AS (SELECT DISTINCT year(o_orderdate) season FROM orders) SELECT season, CAST(row_number() OVER (ORDER BY season DESC) AS INT) n FROM s")
+def seasons_newest_first(spark, sf_dir):
+    seasons = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("season")).distinct()
+    return seasons.withColumn("n", F.row_number().over(Window.orderBy(F.desc("season"))).cast("int"))
+
+
+@query("SELECT p_brand, CAST(row_number() OVER (ORDER BY TRY_CAST(regexp_replace(p_brand, '[^0-9]', '', 'g') AS INT) NULLS LAST, p_brand) AS INT) n FROM (SELECT DISTINCT p_brand FROM part)")
+def group_order(spark, sf_dir):
+    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
+    number = F.regexp_replace("p_brand", "[^0-9]", "").try_cast("int")
+    return brands.withColumn("n", F.row_number().over(Window.orderBy(F.asc_nulls_last(number), "p_brand")).cast("int"))

@@ -9,6 +9,7 @@ from tallyfield.functions import scores
 from tallyfield.operators import gates, standings, stats
 from tallyfield.plans.binding import FIXTURES_SQL, TABLE_SQL, fixtures, published_standings, raw_fixtures, table
 from tallyfield.plans.registry import query
+from tallyfield.session import written
 
 ORDER_SQL = "match_date, match_id, home, away, home_score, away_score"
 ORDER_DESC = "match_date DESC, match_id DESC, home DESC, away DESC, home_score DESC, away_score DESC"
@@ -20,6 +21,11 @@ def league(spark, sf_dir):
     return standings.league_table(fixtures(spark, sf_dir))
 
 
+def kept_league(spark, sf_dir):
+    """The computed tables written once: a few rows per group that several steps read, so fixtures are joined once."""
+    return written(league(spark, sf_dir), "league")
+
+
 def published(spark, sf_dir):
     return published_standings(league(spark, sf_dir))
 
@@ -38,17 +44,19 @@ def league_table_played_only(spark, sf_dir):
     return standings.league_table(fixtures(spark, sf_dir), include_unplayed=False).select("season", "grp", "position", "team", "points", "played")
 
 
-@query(f"WITH {FIXTURES_SQL} SELECT season, grp, team, CAST(sum(gf) AS INT) gf, CAST(sum(ga) AS INT) ga FROM results WHERE result IS NOT NULL AND team IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) GROUP BY season, grp, team")
+@query(f"WITH {FIXTURES_SQL} SELECT season, grp, team, CAST(sum(gf) AS INT) gf, CAST(sum(ga) AS INT) ga FROM results WHERE result IS NOT NULL AND team IN (SELECT n_name FROM nation JOIN supplier ON s_nationkey = n_nationkey WHERE s_acctbal > 5000) GROUP BY season, grp, team")
 def goals_for_against(spark, sf_dir):
-    return standings.goals_for_against(fixtures(spark, sf_dir), table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.col("n_name").alias("team")))
+    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"))
+    known = table(spark, sf_dir, "nation").join(rich, "n_nationkey", "left_semi").select(F.col("n_name").alias("team"))
+    return standings.goals_for_against(fixtures(spark, sf_dir), known)
 
 
 @query(
-    f"""WITH {TABLE_SQL}, g AS (SELECT season, grp, team, CAST(sum(gf) AS INT) gf, CAST(sum(ga) AS INT) ga FROM results WHERE result IS NOT NULL AND season % 2 = 0 GROUP BY season, grp, team)
+    f"""WITH {TABLE_SQL}, g AS (SELECT season, grp, team, CAST(sum(gf) AS INT) gf, CAST(sum(ga) AS INT) ga FROM results WHERE result IS NOT NULL AND grp <> 'ASIA' GROUP BY season, grp, team)
     SELECT p.season, p.grp, p.team, p.points, coalesce(g.gf, 0) gf, coalesce(g.ga, 0) ga, coalesce(g.gf, 0) - coalesce(g.ga, 0) gd FROM published p LEFT JOIN g USING (season, grp, team)"""
 )
 def classification_with_goals(spark, sf_dir):
-    rows = fixtures(spark, sf_dir).where("season % 2 = 0")
+    rows = fixtures(spark, sf_dir).where("grp <> 'ASIA'")
     goals = standings.goals_for_against(rows, table(spark, sf_dir, "nation").select(F.col("n_name").alias("team")))
     return standings.with_goals(published(spark, sf_dir), goals).select("season", "grp", "team", "points", "gf", "ga", "gd")
 
@@ -72,7 +80,7 @@ def repair_points(spark, sf_dir):
     {_REPAIR.format(src='src', more=', origin')} SELECT season, grp, position, team, points, played, origin FROM ranked"""
 )
 def effective_standings(spark, sf_dir):
-    computed = league(spark, sf_dir)
+    computed = kept_league(spark, sf_dir)
     cups = computed.where("grp = 'ASIA'").select("season", "grp").distinct()
     return standings.effective_standings(published_standings(computed), computed, cups).select("season", "grp", "position", "team", "points", "played", "origin")
 
@@ -82,7 +90,7 @@ def effective_standings(spark, sf_dir):
     FROM published p JOIN league l USING (season, grp, team) WHERE p.played <> l.played OR p.points <> l.points"""
 )
 def table_divergence(spark, sf_dir):
-    computed = league(spark, sf_dir)
+    computed = kept_league(spark, sf_dir)
     return standings.divergence(published_standings(computed), computed)
 
 
@@ -95,7 +103,7 @@ def table_divergence(spark, sf_dir):
     FROM (SELECT l.*, CASE WHEN played > 0 THEN round(points / played, 2) ELSE 0 END ppg FROM league l JOIN main USING (season, grp))"""
 )
 def unified_ppg(spark, sf_dir):
-    computed = league(spark, sf_dir)
+    computed = kept_league(spark, sf_dir)
     seen = F.create_map(*[F.lit(x) for p in (("AFRICA", 1), ("AMERICA", 2), ("ASIA", 3), ("EUROPE", 4)) for x in p])
     phases = computed.groupBy("season", "grp").agg(F.count("*").alias("teams")).withColumns(
         {"phase": F.when(F.col("grp").isin("ASIA", "EUROPE"), "A").otherwise("B"), "first_seen": F.coalesce(seen[F.col("grp")], F.lit(5))}
@@ -270,7 +278,7 @@ def head_to_head(spark, sf_dir):
     CASE WHEN fa = fb THEN '=' WHEN fa > fb THEN 'a' ELSE 'b' END better_gf, CASE WHEN ga = gb THEN '=' WHEN ga < gb THEN 'a' ELSE 'b' END better_ga FROM x"""
 )
 def compare_leaders(spark, sf_dir):
-    computed = league(spark, sf_dir)
+    computed = kept_league(spark, sf_dir)
     pairs = computed.groupBy("season", "grp").agg(F.max(F.when(F.col("position") == 1, F.col("team"))).alias("team_a"), F.max(F.when(F.col("position") == 2, F.col("team"))).alias("team_b"))
     return stats.compare_teams(computed, pairs)
 
@@ -280,7 +288,7 @@ def compare_leaders(spark, sf_dir):
     SELECT season, grp, focus, l.position, l.team, l.points FROM f JOIN league l USING (season, grp) WHERE l.position BETWEEN own - 3 AND own + 3 OR l.position = 1"""
 )
 def rank_window(spark, sf_dir):
-    computed = league(spark, sf_dir)
+    computed = kept_league(spark, sf_dir)
     return stats.rank_window(computed, computed.where("position = 4").select("season", "grp", "team"))
 
 

@@ -42,10 +42,10 @@ def squad_sort(spark, sf_dir):
     return players.squad_order(players.player_aggregates(appearances(spark, sf_dir)), "goals").select("team", "player", "apps", "goals", "seq")
 
 
-@query(f"WITH {_APPS} SELECT player, CAST(row_number() OVER w AS INT) n, match_id, team, goals, CAST(sum(goals) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) goals_so_far FROM apps WHERE player % 2 = 0 WINDOW w AS (PARTITION BY player ORDER BY match_id, team)")
+@query(f"WITH {_APPS} SELECT player, CAST(row_number() OVER w AS INT) n, match_id, team, goals, CAST(sum(goals) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) goals_so_far FROM apps WINDOW w AS (PARTITION BY player ORDER BY match_id, team)")
 def player_log(spark, sf_dir):
     rows = appearances(spark, sf_dir)
-    own = rows.where("player % 2 = 0").select("player", "team").distinct()
+    own = rows.select("player", "team").distinct()
     return players.player_log(rows, own)
 
 

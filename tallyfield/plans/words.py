@@ -52,43 +52,42 @@ def display_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_name", text.initials(F.col("p_name")).alias("initials"), text.html_escaped(shown).alias("escaped"))
 
 
-_TOKENS = "tk AS (SELECT p_partkey % 100 AS grp, p_partkey id, list_distinct(string_split(lower(p_name || ' ' || p_type), ' ')) t FROM part WHERE p_partkey < 1000)"
+_TOKENS = "nm AS (SELECT DISTINCT p_name || ' ' || p_type name FROM part), tk AS (SELECT name, list_distinct(string_split(lower(name), ' ')) t FROM nm)"
 
 
-@query(f"WITH {_TOKENS} SELECT a.grp, a.id, b.id other FROM tk a JOIN tk b ON a.grp = b.grp AND a.id < b.id WHERE len(list_intersect(a.t, b.t)) >= 2 AND len(list_filter(list_intersect(a.t, b.t), lambda x: length(x) >= 5)) > 0 OR (a.grp = b.grp AND a.id < b.id AND array_to_string(list_sort(a.t), ' ') = array_to_string(list_sort(b.t), ' '))")
+@query(f"WITH {_TOKENS}, m AS (SELECT a.name a, b.name b, list_intersect(a.t, b.t) x, a.t ta, b.t tb FROM tk a JOIN tk b ON a.name < b.name) SELECT a, b FROM m WHERE len(x) >= 2 AND len(list_filter(x, lambda w: length(w) >= 5)) > 0 OR lower(a) = lower(b) OR (least(length(a), length(b)) >= 5 AND (starts_with(lower(a), lower(b)) OR starts_with(lower(b), lower(a))))")
 def token_set_match(spark, sf_dir):
-    """Names of a group that share two words, one of them long (the set rules of the name matcher)."""
-    words = F.array_distinct(F.split(F.lower(F.concat("p_name", F.lit(" "), "p_type")), " "))
-    rows = table(spark, sf_dir, "part").where("p_partkey < 1000").select((F.col("p_partkey") % 100).alias("grp"), F.col("p_partkey").alias("id"), words.alias("t"))
-    other = rows.select("grp", F.col("id").alias("other"), F.col("t").alias("u"))
-    both = F.array_intersect("t", "u")
-    same = F.array_sort("t") == F.array_sort("u")
-    return rows.join(other, "grp").where("id < other").where(((F.size(both) >= 2) & F.exists(both, lambda x: F.length(x) >= 5)) | same).select("grp", "id", "other")
+    """Names that the reconciliation rules call the same, among names that share a word."""
+    rows = table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" "), "p_type").alias("name")).distinct()
+    token = lambda n: rows.select(F.col("name").alias(n), F.explode(F.array_distinct(F.split(F.lower("name"), " "))).alias("w"))
+    pairs = token("a").join(token("b"), "w").where("a < b").select("a", "b").distinct()
+    return pairs.where(resolve.names_match(F.lower("a"), F.lower("b")))
 
 
 @query()
 def roster_assignment(spark, sf_dir):
     """One-to-one names of two rosters in each group: greedy, so there is no one SQL statement for it."""
-    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("grp"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("name"), "p_partkey")
-    left, right = rows.where("p_partkey < 500").drop("p_partkey"), rows.where("p_partkey between 500 and 999").drop("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("grp"), "p_name", "p_type")
+    left = rows.select("grp", F.concat_ws(" ", "p_name", "p_type").alias("name")).distinct()
+    right = rows.select("grp", F.concat_ws(" ", "p_type", "p_name").alias("name")).distinct()
     return resolve.greedy_assignment(resolve.scored_pairs(left, right, ("grp",)), ("grp",)).select("grp", "a", "b", F.round("score", 6).alias("score"))
 
 
 @query(
-    f"""WITH {FIXTURES_SQL}, rp AS (SELECT match_id report_id, home, away, CASE WHEN match_id % 7 = 0 THEN NULL ELSE match_date + CAST(match_id % 4 AS INT) END match_date, CASE WHEN match_id % 5 = 0 THEN NULL ELSE home_score END hs, away_score ays FROM (SELECT match_id, any_value(home) home, any_value(away) away, any_value(match_date) match_date, any_value(home_score) home_score, any_value(away_score) away_score FROM fixtures WHERE season = 1997 GROUP BY match_id HAVING count(*) = 1)),
-    p AS (SELECT report_id, f.match_id, CASE WHEN rp.match_date IS NOT NULL THEN abs(datediff('day', f.match_date, rp.match_date)) <= 1 END d, CASE WHEN hs IS NOT NULL AND f.home_score IS NOT NULL THEN hs = f.home_score AND ays = f.away_score END s FROM rp JOIN fixtures f ON f.home = rp.home AND f.away = rp.away AND f.season = 1997 AND f.round <= 3),
+    f"""WITH {FIXTURES_SQL}, rp AS (SELECT match_id report_id, season || '/' || round || '/' || home AS home, away, CASE WHEN match_id % 7 = 0 THEN NULL ELSE match_date + CAST(match_id % 4 AS INT) END match_date, CASE WHEN match_id % 5 = 0 THEN NULL ELSE home_score END hs, away_score ays FROM (SELECT match_id, any_value(season) season, any_value(round) round, any_value(home) home, any_value(away) away, any_value(match_date) match_date, any_value(home_score) home_score, any_value(away_score) away_score FROM fixtures GROUP BY match_id HAVING count(*) = 1)),
+    p AS (SELECT report_id, f.match_id, CASE WHEN rp.match_date IS NOT NULL THEN abs(datediff('day', f.match_date, rp.match_date)) <= 1 END d, CASE WHEN hs IS NOT NULL AND f.home_score IS NOT NULL THEN hs = f.home_score AND ays = f.away_score END s FROM rp JOIN fixtures f ON f.season || '/' || f.round || '/' || f.home = rp.home AND f.away = rp.away),
     a AS (SELECT report_id, count(*) n, min(match_id) only_, bool_and(coalesce(d, TRUE) AND coalesce(s, TRUE)) fits, count(*) FILTER (WHERE d) nd, min(match_id) FILTER (WHERE d) bd, count(*) FILTER (WHERE d AND s) nb, min(match_id) FILTER (WHERE d AND s) bb FROM p GROUP BY report_id)
     SELECT rp.report_id, CASE WHEN n = 1 THEN CASE WHEN fits THEN only_ END WHEN nd = 1 THEN bd WHEN nb = 1 THEN bb END match_id FROM rp LEFT JOIN a USING (report_id)"""
 )
 def reconciled_reports(spark, sf_dir):
-    rows = fixtures(spark, sf_dir).where("season = 1997")
+    rows = fixtures(spark, sf_dir).withColumn("home", F.concat_ws("/", F.col("season").cast("string"), F.col("round").cast("string"), "home"))
     single = rows.groupBy("match_id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("home", "away", "match_date", "home_score", "away_score")]).where("n = 1")
     reports = single.select(
         F.col("match_id").alias("report_id"), F.col("home").alias("home_key"), F.col("away").alias("away_key"),
         F.when(F.col("match_id") % 7 != 0, F.date_add("match_date", (F.col("match_id") % 4).cast("int"))).alias("match_date"),
         F.when(F.col("match_id") % 5 != 0, F.col("home_score")).alias("home_score"), "away_score",
     )
-    known = rows.where("round <= 3").select("match_id", F.col("home").alias("home_key"), F.col("away").alias("away_key"), "match_date", "home_score", "away_score")
+    known = rows.select("match_id", F.col("home").alias("home_key"), F.col("away").alias("away_key"), "match_date", "home_score", "away_score")
     return resolve.reconcile(reports, known)
 
 
@@ -127,10 +126,10 @@ def ragged_dates(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(txt.alias("txt")).distinct().select("txt", dates.reformatted(F.col("txt"), "dd/MM").alias("short"), dates.reformatted(F.col("txt"), "iso").alias("iso"))
 
 
-@query(f"WITH {FIXTURES_SQL}, d AS (SELECT DISTINCT home, away, match_date FROM fixtures WHERE season = 1996) SELECT a.home, a.away, a.match_date, b.match_date other_date FROM d a JOIN d b ON a.home = b.home AND a.away = b.away AND a.match_date < b.match_date AND datediff('day', a.match_date, b.match_date) <= 1")
+@query(f"WITH {FIXTURES_SQL}, d AS (SELECT DISTINCT home, away, match_date FROM fixtures) SELECT a.home, a.away, a.match_date, b.match_date other_date FROM d a JOIN d b ON a.home = b.home AND a.away = b.away AND a.match_date < b.match_date AND datediff('day', a.match_date, b.match_date) <= 1")
 def date_window_match(spark, sf_dir):
     """Fixtures of the same teams a day apart: days are binned to an equi key first, so nothing is a cross product."""
-    rows = fixtures(spark, sf_dir).where("season = 1996").select("home", "away", "match_date").distinct()
+    rows = fixtures(spark, sf_dir).select("home", "away", "match_date").distinct()
     near = rows.withColumn("other_date", F.explode(F.array(F.date_add("match_date", 1))))
     return near.join(rows.withColumnRenamed("match_date", "other_date"), ["home", "away", "other_date"]).select("home", "away", "match_date", "other_date")
 
@@ -156,3 +155,33 @@ def html_rows_carry_header(spark, sf_dir):
     order = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     header = F.last(F.when(F.col("x").startswith("<h1>"), F.substring("x", 5, 1 << 30)), ignorenulls=True).over(order)
     return found.withColumn("header", header).where(F.col("x").startswith("<p>")).groupBy("page_id", "header").agg(F.count("*").alias("n_paragraphs"))
+
+
+@query(f"WITH {_NAMES} SELECT id, nullif(regexp_extract({_FOLD}, '(?: ([A-F]))+$', 1), '') filial, list_aggregate(list_sort(list_filter(list_distinct(string_split(regexp_replace(lower({_FOLD}), '( [a-f])+$', ''), ' ')), lambda w: w <> '' AND w NOT IN ('cf', 'cd', 'ud', 'fc', 'ad', 'sd', 'club', 'atletico', 'deportivo'))), 'string_agg', ' ') tokens FROM nm")
+def name_tokens(spark, sf_dir):
+    n = F.col("name")
+    return names(spark, sf_dir).select("id", text.filial(n).alias("filial"), F.concat_ws(" ", F.array_sort(text.core_tokens(n))).alias("tokens"))
+
+
+@query(f"WITH {FIXTURES_SQL} SELECT DISTINCT season, grp, round, match_date, home, away, home_score, away_score FROM fixtures")
+def html_match_rows(spark, sf_dir):
+    """Fixtures written as a page of rounds and match rows, and read back from its HTML."""
+    rows = fixtures(spark, sf_dir).select("season", "grp", "round", "match_date", "home", "away", "home_score", "away_score").distinct()
+    cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(F.col(c).cast("string"), F.lit("-")), F.lit("</td>"))
+    line = F.concat(F.lit("<tr>"), cell("match_date"), F.lit("<td>10:00</td>"), cell("home"), cell("home_score"), cell("away_score"), cell("away"), F.lit("<td>Ground</td></tr>"))
+    rounds = rows.groupBy("season", "grp", "round").agg(F.concat_ws("", F.array_sort(F.collect_list(line))).alias("body"))
+    part = F.concat(F.lit('<tr><th colspan="7">'), F.col("round").cast("string"), F.lit("</th></tr>"), F.col("body"))
+    pages = rounds.groupBy("season", "grp").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("round", part.alias("h")))), lambda x: x["h"])).alias("html"))
+    pages = pages.select(F.struct("season", "grp").alias("page_id"), F.concat(F.lit("<table>"), "html", F.lit("</table>")).alias("html"))
+    found = extract.rounds_and_matches(extract.table_rows(pages))
+    return found.select("page_id.season", "page_id.grp", F.col("round").cast("int").alias("round"), F.col("date").cast("date").alias("match_date"), "home", "away", "home_score", "away_score")
+
+
+@query("SELECT c_custkey, CASE WHEN n1 IS NOT NULL THEN n1 ELSE n2 END AS n_nationkey FROM (SELECT c_custkey, a.n_nationkey n1, b.n_nationkey n2 FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'NATION_' || c_nationkey WHEN 1 THEN 'Nation ' || c_nationkey || ' CF' ELSE 'Somewhere else' END nm FROM customer) LEFT JOIN nation a ON nm = a.n_name LEFT JOIN nation b ON nm = 'Nation ' || b.n_nationkey || ' CF')")
+def badge_lookup(spark, sf_dir):
+    """Names in three spellings looked up: as they are, by their key, or not at all."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    named = table(spark, sf_dir, "customer").select(k, F.when(k % 3 == 0, F.concat(F.lit("NATION_"), n)).when(k % 3 == 1, F.concat(F.lit("Nation "), n, F.lit(" CF"))).otherwise("Somewhere else").alias("name"))
+    entries = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("value"))
+    found = resolve.name_lookup(named.select("name").distinct(), entries, text.team_key)
+    return named.join(found, "name", "left").select("c_custkey", F.col("value").alias("n_nationkey"))
