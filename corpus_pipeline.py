@@ -6,28 +6,48 @@ stage's rows to the shared folder and reads them again for the next.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfield.llm import minhash, mixing, packing, quality, substring
 from tallyfield.llm.common import materialize
+from tallyfield.session import ship_package
 
 ACCEPT = 0.7
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(function: Stage) -> Stage:
+    """A stage that may be called by itself: its executors get the package first."""
+
+    @wraps(function)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, docs, sf_dir)
+
+    return staged
+
 
+@_stage
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labelled ones among them."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).where(F.col("score") >= ACCEPT).drop("score")
 
 
+@_stage
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate class; rows without an id stay."""
+    """The document with the smallest doc_id of each near-duplicate class; rows without an id stay, rows that repeat an id are one document."""
     classes = minhash.near_duplicates(docs)
     others = classes.where("doc_id <> class_id").select("doc_id").distinct()
     return docs.join(materialize(others, "other-copies"), "doc_id", "left_anti").select(*docs.columns)
 
 
+@_stage
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of passages that occur earlier; those with nothing left go."""
     cut = substring.remove_repeats(docs)
@@ -37,11 +57,13 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
 
 
+@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of its source takes it."""
     return mixing.mixed_documents(docs)
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequences and offsets."""
     return packing.pack_documents(docs)
