@@ -178,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id, class_size for every row of (doc_id, text): the near-duplicate class it belongs to.
+    """doc_id, class_id for every row of (doc_id, text): the near-duplicate class it belongs to.
 
     Two documents are linked if the Jaccard similarity of their sets of ``width`` consecutive words is at
     least ``similarity``; a class is a connected component and has the smallest doc_id as its id.  A text
