@@ -10,6 +10,10 @@ _MARKED = "áàäâãåéèëêíìïîóòöôõúùüûñçýÿÁÀÄÂÃÅÉ
 _PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
 # Tokens that name the kind of club and say nothing about which one it is.
 CLUB_TOKENS = ("cf", "cd", "ud", "fc", "ad", "sd", "club", "atletico", "deportivo")
+# The abbreviations and words that reconciliation and team keys leave out, in this order.
+CLUB_WORDS = (r"c\s*f", r"c\s*d", r"c\s*d\s*f", r"u\s*d", r"a\s*d", r"s\s*d", r"s\s*c", r"s\s*a\s*d", r"e\s*f", r"c\s*p", r"c\s*e", "club", "deportivo", "atletico", r"atletico\s+c\s*f", "deportiva", "sociedad", "union", r"f\s*c")
+# Quotes and punctuation that count as spaces there.
+SPACING = r"[\"'‘’“”.,;:]"
 # Words that stand for a free round instead of an opponent.
 BYE_WORDS = ("DESCANSA", "DESCANSO", "BYE", "LIBRE")
 
@@ -33,16 +37,23 @@ def badge_key(name: Column) -> Column:
     return squeezed(F.lower(_without_tokens(F.lower(bare))))
 
 
+def _plain(name: Column) -> Column:
+    return F.regexp_replace(without_marks(name), r"[^\x00-\x7F]", "")
+
+
 def reconciliation_key(name: Column) -> Column:
     """Plain lower-case letters; punctuation becomes space; club words and a last letter a-d go."""
-    return squeezed(F.regexp_replace(team_key(name), r" [abcd]$", ""))
+    spaced = F.regexp_replace(F.lower(_plain(name)), SPACING, " ")
+    return squeezed(F.regexp_replace(_without_tokens(spaced, CLUB_WORDS), r"\b[abcd]\b\s*$", ""))
 
 
 def team_key(name: Column) -> Column:
-    """As :func:`reconciliation_key`, but a last letter, which tells a club's teams apart, stays."""
-    spaced = F.regexp_replace(name, r"[\"'’`´.,;:()/_-]", " ")
-    ascii_ = F.regexp_replace(without_marks(spaced), r"[^\x00-\x7F]", "")
-    return squeezed(_without_tokens(F.lower(ascii_)))
+    """As :func:`reconciliation_key`, but a last letter, which tells a club's teams apart, stays.
+
+    Here punctuation becomes space first, so that curly quotes separate words.
+    """
+    spaced = F.regexp_replace(name, SPACING, " ")
+    return squeezed(_without_tokens(F.lower(_plain(spaced)), CLUB_WORDS))
 
 
 def folded(name: Column) -> Column:

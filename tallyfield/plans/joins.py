@@ -318,11 +318,11 @@ def withdrawn_scores(spark, sf_dir):
 @query(f"WITH {TABLE_SQL}, x AS (SELECT season, grp, team, count(*) FILTER (WHERE at_home AND result IS NOT NULL) hp, count(*) FILTER (WHERE NOT at_home AND result IS NOT NULL) ap FROM results GROUP BY season, grp, team) SELECT season, grp, team, CAST(hp + ap AS INT) played FROM x")
 def split_totals(spark, sf_dir):
     """Tables that give home and away parts, summed."""
-    rows = stats.results(fixtures(spark, sf_dir))
+    rows = standings.sides(fixtures(spark, sf_dir))  # teams without a result keep a row of zeros
     parts = {}
     for side, at_home in (("home", True), ("away", False)):
         own = F.col("at_home") == at_home
-        parts |= {f"{side}_played": F.count_if(own), **{f"{side}_{c}": F.count_if(own & (F.col("result") == r)) for c, r in (("won", "W"), ("drawn", "D"), ("lost", "L"))}, **{f"{side}_{c}": F.sum(F.when(own, F.col(c))) for c in ("gf", "ga")}}
+        parts |= {f"{side}_played": F.count_if(own & F.col("result").isNotNull()), **{f"{side}_{c}": F.count_if(own & (F.col("result") == r)) for c, r in (("won", "W"), ("drawn", "D"), ("lost", "L"))}, **{f"{side}_{c}": F.sum(F.when(own, F.col(c))) for c in ("gf", "ga")}}
     wide = rows.groupBy("season", "grp", "team").agg(*[c.alias(n) for n, c in parts.items()])
     return standings.split_totals(wide).select("season", "grp", "team", "played")
 

@@ -25,11 +25,13 @@ def names(spark, sf_dir):
 _SP = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
 _TOK = r"'\b(cf|cd|ud|fc|ad|sd|club|atletico|deportivo)\b'"
 _FOLD = _SP.format("regexp_replace(upper(strip_accents(name)), '[^A-Z0-9]+', ' ', 'g')")
-_TEAM = _SP.format(rf"regexp_replace(lower(strip_accents(regexp_replace(name, '[\"''’`´.,;:()/_-]', ' ', 'g'))), {_TOK}, ' ', 'g')")
+_WORDS = r"'\b(c\s*f|c\s*d|c\s*d\s*f|u\s*d|a\s*d|s\s*d|s\s*c|s\s*a\s*d|e\s*f|c\s*p|c\s*e|club|deportivo|atletico|atletico\s+c\s*f|deportiva|sociedad|union|f\s*c)\b'"
+_TEAM = _SP.format(rf"regexp_replace(lower(strip_accents(regexp_replace(name, '[\"''‘’“”.,;:]', ' ', 'g'))), {_WORDS}, ' ', 'g')")
+_RECONCILED = _SP.format(rf"regexp_replace({_TEAM}, '\b[abcd]\b\s*$', '')")
 _BADGE = _SP.format(rf"regexp_replace(lower(regexp_replace(strip_accents(name), '[\"''’`.,]', '', 'g')), {_TOK}, ' ', 'g')")
 
 
-@query(f"WITH {_NAMES} SELECT id, {_BADGE} badge, {_TEAM} team, {_SP.format(f'regexp_replace({_TEAM}, {chr(39)} [abcd]${chr(39)}, {chr(39)}{chr(39)})')} reconciliation, {_FOLD} folded, upper({_SP.format('strip_accents(name)')}) player FROM nm")
+@query(f"WITH {_NAMES} SELECT id, {_BADGE} badge, {_TEAM} team, {_RECONCILED} reconciliation, {_FOLD} folded, upper({_SP.format('strip_accents(name)')}) player FROM nm")
 def name_keys(spark, sf_dir):
     n = F.col("name")
     return names(spark, sf_dir).select("id", text.badge_key(n).alias("badge"), text.team_key(n).alias("team"), text.reconciliation_key(n).alias("reconciliation"), text.folded(n).alias("folded"), text.player_key(n).alias("player"))
@@ -40,7 +42,7 @@ def canonical_ids(spark, sf_dir):
     return resolve.canonical_ids(names(spark, sf_dir).select("id", text.team_key(F.col("name")).alias("key")))
 
 
-@query(f"WITH {_NAMES}, k AS (SELECT id, {_SP.format(f'regexp_replace({_TEAM}, {chr(39)} [abcd]${chr(39)}, {chr(39)}{chr(39)})')} AS key FROM nm) SELECT a.id, b.id other FROM k a JOIN k b ON a.key = b.key WHERE a.id < b.id")
+@query(f"WITH {_NAMES}, k AS (SELECT id, {_RECONCILED} AS key FROM nm) SELECT a.id, b.id other FROM k a JOIN k b ON a.key = b.key WHERE a.id < b.id")
 def name_equality_join(spark, sf_dir):
     k = names(spark, sf_dir).select("id", text.reconciliation_key(F.col("name")).alias("key"))
     return k.join(k.withColumnRenamed("id", "other"), "key").where("id < other").select("id", "other")
@@ -183,5 +185,5 @@ def badge_lookup(spark, sf_dir):
     k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
     named = table(spark, sf_dir, "customer").select(k, F.when(k % 3 == 0, F.concat(F.lit("NATION_"), n)).when(k % 3 == 1, F.concat(F.lit("Nation "), n, F.lit(" CF"))).otherwise("Somewhere else").alias("name"))
     entries = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("value"))
-    found = resolve.name_lookup(named.select("name").distinct(), entries, text.team_key)
+    found = resolve.name_lookup(named.select("name").distinct(), entries, lambda name: text.team_key(F.translate(name, "_", " ")))
     return named.join(found, "name", "left").select("c_custkey", F.col("value").alias("n_nationkey"))
