@@ -30,7 +30,7 @@ GROUP_PIECES = 25_000
 ROUNDS = 4
 CHUNK_BYTES = 4 << 20
 #: Words a generation remembers; a worker holds two generations at most.
-REMEMBERED_WORDS = 750_000
+REMEMBERED_WORDS = 150_000
 #: A bin with this share of its room or more in use stays as it is when its group goes to the exchange.
 TIGHT = 0.998
 
