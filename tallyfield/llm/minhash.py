@@ -31,6 +31,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 28, 5
 BASE = 0x2545F4914F6CDD1D
 CHUNK_BYTES = 4 << 20
+_COMPARED = "a long, b long, a_mark long, b_mark long, na int, nb int, common int"
 #: Cumulative probabilities of 0, 1, 2, ... darts in a cell of area one.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
@@ -133,7 +134,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The number of shingles that both texts of a pair have."""
     for part in batches:
         common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "na", "nb")), pa.array(common, pa.int32())], ["a", "b", "na", "nb", "common"])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "a_mark", "b_mark", "na", "nb")), pa.array(common, pa.int32())], ["a", "b", "a_mark", "b_mark", "na", "nb", "common"])
 
 
 def _remainder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +143,7 @@ def _remainder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.setdiff1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).view(np.int64) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
         offsets = np.cumsum([0, *map(len, rest)]).astype(np.int32)
         flat = np.concatenate(rest) if rest else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.ListArray.from_arrays(offsets, flat)], ["a", "b", "rest"])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "a_mark", "b_mark")), pa.ListArray.from_arrays(offsets, flat)], ["a", "b", "a_mark", "b_mark", "rest"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -192,13 +193,13 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     nodes = materialize(used.groupBy("d0", "d1", "n").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
     stars = materialize(_stars(nodes), "stars")
     sets = materialize(_shingles(base, stars, width), "shingles")
-    measured = materialize(_pairs_with_sets(stars.select(F.col("node").alias("a"), F.col("center").alias("b")), sets).mapInArrow(_compare, "a long, b long, na int, nb int, common int"), "measured")
+    measured = materialize(_pairs_with_sets(stars.select(F.col("node").alias("a"), F.col("center").alias("b")), sets).mapInArrow(_compare, _COMPARED), "measured")
     alike = F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))
     edges = materialize(measured.where(alike).select("a", "b"), "links")
     merged = materialize(components(edges), "components")
 
     candidates = materialize(_left_over(measured, merged, sets, similarity), "left-over")
-    more = _pairs_with_sets(candidates, sets).mapInArrow(_compare, "a long, b long, na int, nb int, common int").where(alike).select("a", "b")
+    more = _pairs_with_sets(candidates, sets).mapInArrow(_compare, _COMPARED).where(alike).select("a", "b")
     more = materialize(more, "more-links")
     if not more.isEmpty():
         merged = materialize(components(edges.union(more)), "components")
@@ -226,16 +227,21 @@ def _stars(nodes: DataFrame) -> DataFrame:
 
 
 def _shingles(base: DataFrame, stars: DataFrame, width: int) -> DataFrame:
-    """node, shingles for all nodes of the stars, from the whole texts."""
+    """Distinct (node, mark, shingles) for all nodes of the stars, from the whole texts.
+
+    However often a document's row repeats, its set is there once; texts of one doc_id that differ have sets
+    of their own, which ``mark`` tells apart.
+    """
     involved = stars.select(F.explode(F.array("node", "center")).alias("doc_id")).distinct()
-    return base.join(involved.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles binary")
+    sets = base.join(involved.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets(width), "node long, shingles binary")
+    return sets.where("octet_length(shingles) > 0").withColumn("mark", F.xxhash64("shingles")).dropDuplicates(["node", "mark"])
 
 
 def _pairs_with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, na, nb, x, y: pairs with both shingle sets and their sizes."""
-    one = lambda node, name: sets.select(F.col("node").alias(node), F.col("shingles").alias(name))
+    """a, b, a_mark, b_mark, na, nb, x, y: pairs with both shingle sets, their marks and sizes."""
+    one = lambda node, name: sets.select(F.col("node").alias(node), F.col("mark").alias(f"{node}_mark"), F.col("shingles").alias(name))
     both = pairs.select("a", "b").join(one("a", "x"), "a").join(one("b", "y"), "b")
-    return both.select("a", "b", (F.octet_length("x") / 8).cast("int").alias("na"), (F.octet_length("y") / 8).cast("int").alias("nb"), "x", "y")
+    return both.select("a", "b", "a_mark", "b_mark", (F.octet_length("x") / 8).cast("int").alias("na"), (F.octet_length("y") / 8).cast("int").alias("nb"), "x", "y")
 
 
 def _left_over(measured: DataFrame, merged: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -245,31 +251,32 @@ def _left_over(measured: DataFrame, merged: DataFrame, sets: DataFrame, similari
     ``t (n_x + n_y)`` common shingles, t = s / (1 + s), of which the center has at most min(c_x, c_y).
     Either that is enough by itself, which only few lengths n_y allow; or x and y share shingles that the
     center lacks, at least ``s n_x - c_x`` and at least ``s n_y - c_y`` of them.  Then they agree in one
-    of the rarest ``r - needed + 1`` of the r shingles each has beside the center.
+    of the rarest ``r - needed + 1`` of the r shingles each has beside the center.  All this is about sets:
+    a doc_id whose texts differ is as many nodes, or centers, as it has sets.
     """
     of = lambda t, name: t.select(F.col("node").alias(name), F.col("component").alias(f"{name}_of"))
     rows = measured.join(of(merged, "a"), "a", "left").join(of(merged, "b"), "b", "left")
-    rows = rows.select(F.col("b").alias("center"), F.col("a").alias("node"), F.col("na").alias("n"), "common", F.coalesce("a_of", "a").alias("label"), F.coalesce("b_of", "b").alias("home"))
+    rows = rows.select(F.col("b").alias("center"), F.col("b_mark").alias("c_mark"), F.col("a").alias("node"), F.col("a_mark").alias("mark"), F.col("na").alias("n"), "common", F.coalesce("a_of", "a").alias("label"), F.coalesce("b_of", "b").alias("home"))
     open_ = rows.groupBy("center").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("home").alias("z"), F.count("*").alias("m")).where("m > 1 and (x <> y or x <> z)").select("center")
     rows = materialize(rows.join(open_, "center", "left_semi"), "open-stars")
 
     needed = F.greatest(F.lit(1), F.ceil(F.lit(similarity) * F.col("n") - F.col("common") - F.lit(1e-6))).cast("int")
     wanted = rows.withColumn("prefix", F.col("n") - F.col("common") - needed + 1).where("prefix > 0")
-    rest = _pairs_with_sets(wanted.select(F.col("node").alias("a"), F.col("center").alias("b")), sets).mapInArrow(_remainder, "a long, b long, rest array<long>")
-    own = rest.select(F.col("b").alias("center"), F.col("a").alias("node"), F.explode("rest").alias("shingle"))
+    rest = _pairs_with_sets(wanted.select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), sets).mapInArrow(_remainder, "a long, b long, a_mark long, b_mark long, rest array<long>")
+    own = rest.select(F.col("b").alias("center"), F.col("b_mark").alias("c_mark"), F.col("a").alias("node"), F.col("a_mark").alias("mark"), F.explode("rest").alias("shingle"))
     own = materialize(own, "beside-center")
-    often = materialize(own.groupBy("center", "shingle").agg(F.count("*").alias("df")).where("df > 1"), "beside-often")
-    ranked = own.join(often, ["center", "shingle"], "left").withColumn("i", F.row_number().over(Window.partitionBy("center", "node").orderBy(F.coalesce("df", F.lit(1)), "shingle")))
-    kept = ranked.where("df is not null").join(wanted.select("center", "node", "n", "label", "prefix"), ["center", "node"]).where("i <= prefix").select("center", "shingle", "node", "n", "label")
+    often = materialize(own.groupBy("center", "c_mark", "shingle").agg(F.count("*").alias("df")).where("df > 1"), "beside-often")
+    ranked = own.join(often, ["center", "c_mark", "shingle"], "left").withColumn("i", F.row_number().over(Window.partitionBy("center", "c_mark", "node", "mark").orderBy(F.coalesce("df", F.lit(1)), "shingle")))
+    kept = ranked.where("df is not null").join(wanted.select("center", "c_mark", "node", "mark", "n", "label", "prefix"), ["center", "c_mark", "node", "mark"]).where("i <= prefix").select("center", "c_mark", "shingle", "node", "n", "label")
     kept = materialize(kept, "prefixes")
-    other = kept.select("center", "shingle", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "label")])
+    other = kept.select("center", "c_mark", "shingle", *[F.col(c).alias(f"o_{c}") for c in ("node", "n", "label")])
     fits = f"label <> o_label and least(n, o_n) >= {similarity} * greatest(n, o_n)"
-    shared = kept.join(other, ["center", "shingle"]).where(f"node < o_node and {fits}").select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+    shared = kept.join(other, ["center", "c_mark", "shingle"]).where(f"node < o_node and {fits}").select(F.col("node").alias("a"), F.col("o_node").alias("b"))
 
     t = similarity / (1 + similarity)
     lengths = F.sequence(F.ceil(F.lit(similarity) * F.col("n") - 1e-6).cast("int"), F.floor(F.col("common") / t - F.col("n") + 1e-6).cast("int"))
     short = rows.where(F.ceil(F.lit(similarity) * F.col("n") - 1e-6) <= F.floor(F.col("common") / t - F.col("n") + 1e-6))
-    short = short.where(F.col("label") != F.col("home")).select("center", F.col("node").alias("o_node"), F.col("n").alias("o_n"), F.col("label").alias("o_label"), F.explode(lengths).alias("n"))
-    inside = rows.join(short, ["center", "n"]).where((F.col("node") != F.col("o_node")) & (F.col("common") + 1e-6 >= t * (F.col("n") + F.col("o_n")))).where(fits)
+    short = short.where(F.col("label") != F.col("home")).select("center", "c_mark", F.col("node").alias("o_node"), F.col("n").alias("o_n"), F.col("label").alias("o_label"), F.explode(lengths).alias("n"))
+    inside = rows.join(short, ["center", "c_mark", "n"]).where((F.col("node") != F.col("o_node")) & (F.col("common") + 1e-6 >= t * (F.col("n") + F.col("o_n")))).where(fits)
     inside = inside.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
     return shared.union(inside).distinct()

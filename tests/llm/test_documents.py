@@ -125,6 +125,30 @@ def test_near_duplicates_of_a_group_around_the_threshold(spark):
     assert got == expected and len(set(expected.values())) > 3
 
 
+def test_near_duplicates_whose_rows_repeat(spark):
+    """Families of two, far from the one center: their link shows only beside it, however often rows repeat."""
+    base = [f"t{i}" for i in range(150)]
+    rows = [(0, " ".join(base), "s")]
+    for d in range(40):
+        for e in range(2):
+            text = list(base)
+            for at in range(10, 60, 7):
+                text[at] = f"family{d}"
+            text[100 + 4 * e] = f"own{d}-{e}"
+            rows.append((1 + 2 * d + e, " ".join(text), "s"))
+    once, twice = (dict(tuple(x) for x in minhash.near_duplicates(frame(spark, rows * n), bands=1, rows=1).collect()) for n in (1, 2))
+    assert once == twice and len(set(once.values())) < 81
+
+
+def test_one_set_for_each_text_of_a_document(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "a  b c d e f"), (1, "g h"), (2, "a b c d e f"), (2, ""), (3, "x")], "doc_id long, text string")
+    stars = spark.createDataFrame([(2, 1)], "node long, center long")
+    sets = minhash._shingles(docs, stars, 5)
+    pairs = minhash._pairs_with_sets(stars.selectExpr("node a", "center b"), sets)
+    assert sorted((r["node"], len(r["shingles"]) // 8) for r in sets.collect()) == [(1, 1), (1, 2), (2, 2)]
+    assert sorted((r["a"], r["b"], r["na"], r["nb"]) for r in pairs.collect()) == [(2, 1, 2, 1), (2, 1, 2, 2)]
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(5)
     elements = rng.integers(0, 1 << 63, 300).astype(np.uint64)
