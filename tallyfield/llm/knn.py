@@ -1,8 +1,9 @@
 """Exact top-k by inner product as a Voronoi join.
 
 Pivots from a bounded sample group queries and data.  For a group of queries with pivot p and radius u,
-any member's score with a row x lies within u |x| of p.x.  The (k+1)-th largest lower bound over all rows
-is therefore reached by every member's k-th best (its own row may be among them), and a row whose upper
+any member's score with a row x lies within u |x| of p.x.  The (k+1)-th largest lower bound over all ids
+(the best of an id's rows counts) is therefore reached by every member's k-th best (its own id may be among
+them), and a row whose upper
 bound stays below it is in no member's result.  Summaries of the data groups (count, radius, largest norm)
 rule out whole groups first; the rows that remain are copied to the query groups that may need them, in
 blocks of bounded size, and each block is solved locally in exact integers.
@@ -68,18 +69,32 @@ def _summaries(pivots: np.ndarray, every: int):
     return summed
 
 
+def _best_ids(ids: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` ids of largest ``low``, an id once."""
+    order = np.argsort(-low, kind="stable")
+    order = order[np.sort(np.unique(ids[order], return_index=True)[1])[:most]]
+    return ids[order], low[order]
+
+
 def _lower_bounds(pivots: np.ndarray, reach: np.ndarray, cells: np.ndarray, k: int):
-    """For each task and group of queries: the ``k + 1`` largest lower bounds of its rows' scores."""
+    """For each task and group of queries: the ``k + 1`` ids with the largest lower bounds of their rows' scores."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.full((len(cells), k + 1), -np.inf)
+        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in cells]
         for batch in batches:
+            if not batch.num_rows:
+                continue
             x = _as_double(batch)
             low = pivots[cells] @ x.T - reach[cells][:, None] * np.sqrt((x**2).sum(axis=1))[None, :]
-            best = -np.sort(-np.concatenate((best, low), axis=1), axis=1)[:, : k + 1]
-        flat = best.reshape(-1)
-        keep = np.isfinite(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cells, k + 1)[keep].astype(np.int32)), pa.array(flat[keep])], ["cell", "low"])
+            ids = batch.column("vec_id").to_numpy()
+            order = np.argsort(ids, kind="stable")
+            ids, begin = np.unique(ids[order], return_index=True)
+            low = np.maximum.reduceat(low[:, order], begin, axis=1)
+            top = np.argpartition(-low, k, axis=1)[:, : k + 1] if len(ids) > k + 1 else np.tile(np.arange(len(ids)), (len(cells), 1))
+            for i, (held, at) in enumerate(best):
+                best[i] = _best_ids(np.concatenate((held, ids[top[i]])), np.concatenate((at, low[i, top[i]])), k + 1)
+        for c, (held, at) in zip(cells, best, strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), c, np.int32)), pa.array(held), pa.array(at)], ["cell", "vec_id", "low"])
 
     return bounded
 
@@ -161,9 +176,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec")).where(F.col("vec_id").isNotNull() & whole(F.col("vec")))
-    rows = rows.withColumn("mark", F.xxhash64(F.col("vec").cast("array<double>"))).withColumn("vec", quantized(F.col("vec")))
+    rows = rows.withColumn("mark", F.xxhash64(F.col("vec").cast("array<double>")))
     length = common_length(rows)
-    rows = rows.where(F.size("vec") == length)
+    rows = materialize(rows.where(F.size("vec") == length).dropDuplicates(["vec_id", "mark"]), "knn-rows")
+    rows = rows.withColumn("vec", quantized(F.col("vec")))
     asked = rows.where(F.col("vec_id") % every == 0)
     total, queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     if not queries:
@@ -175,8 +191,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     by = by.groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm"), F.max("asked").alias("asked")).orderBy("cell").toPandas()
     reach, radius, norm = (by[c].to_numpy() * (1 + 1e-9) for c in ("asked", "radius", "norm"))
     cells = np.flatnonzero(reach >= 0)
-    low = rows.mapInArrow(_lower_bounds(pivots, reach, cells, k), "cell int, low double")
-    last = low.withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("low")))).where(F.col("i") == k + 1)
+    low = rows.mapInArrow(_lower_bounds(pivots, reach, cells, k), "cell int, vec_id long, low double")
+    last = low.groupBy("cell", "vec_id").agg(F.max("low").alias("low")).withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("low")))).where(F.col("i") == k + 1)
     least = np.full(len(pivots), -np.inf)
     for r in last.collect():
         least[r["cell"]] = r["low"]

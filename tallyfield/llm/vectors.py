@@ -35,12 +35,13 @@ def matrix(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
 def top_lists(queries: tuple, rows: tuple, k: int, product, exact, slack: float) -> pa.Table:
     """The ``k`` best rows of a block for each query, ties to smaller ids.
 
-    ``queries`` and ``rows`` are (ids, marks, matrix); a row with a query's id is not its candidate and
-    rows that agree in id and mark count once.  ``product`` scores all pairs fast; what comes within
+    ``queries`` and ``rows`` are (ids, marks, matrix); a row with a query's id is not its candidate, rows that
+    agree in id and mark count once, and an id with several vectors has the best of their scores.  ``product`` scores all pairs fast; what comes within
     ``slack`` of the k-th best is scored by ``exact``, so that rounding decides no tie.
     """
     _, once = np.unique(np.stack((rows[0], rows[1])), axis=1, return_index=True)
     ids, x = rows[0][once], rows[2][once]
+    begin = np.unique(ids, return_index=True)[1]
     _, asked = np.unique(np.stack((queries[0], queries[1])), axis=1, return_index=True)
     out = {c: [] for c in LISTS_ARROW.names}
     step = max(1, (1 << 22) // max(1, len(ids)))
@@ -49,15 +50,17 @@ def top_lists(queries: tuple, rows: tuple, k: int, product, exact, slack: float)
         q = queries[2][part]
         scores = product(q, x)
         scores[queries[0][part][:, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:
-            least = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+        if len(begin) > k:
+            by_id = scores if len(begin) == len(ids) else np.maximum.reduceat(scores, begin, axis=1)
+            least = np.partition(by_id, len(begin) - k, axis=1)[:, len(begin) - k]
         else:
             least = np.full(len(part), -np.inf)
         for i, row in enumerate(part):
             near = np.flatnonzero((scores[i] >= least[i] - slack) & (scores[i] > -np.inf))
             if len(near):
                 value = exact(q[i], x[near])
-                best = np.lexsort((ids[near], -value))[:k]
+                best = np.lexsort((ids[near], -value))
+                best = best[np.sort(np.unique(ids[near][best], return_index=True)[1])[:k]]
                 out["query_id"].append(int(queries[0][row]))
                 out["mark"].append(int(queries[1][row]))
                 out["ids"].append(ids[near][best].tobytes())

@@ -53,6 +53,27 @@ def test_exact_search_in_blocks(spark, monkeypatch):
     assert got == brute(data, 20, 10, lambda v: np.floor(1024 * v.astype(np.float64)), True)
 
 
+@pytest.mark.parametrize("copies", [2, 15])
+def test_exact_search_where_every_row_repeats(spark, copies):
+    data = [(i, v) for i, v in rows(300, seed=5) if i is not None and i < 300]
+    got = collected(knn.top_k(frame(spark, data * copies).repartition(3), k=10, every=1000))
+    assert got == brute(data, 1000, 10, lambda v: np.floor(1024 * v.astype(np.float64)), True)
+    assert len(got[0]) == 10
+
+
+def test_exact_search_where_an_id_has_many_vectors(spark):
+    """One id holds the 30 best vectors: it counts once, by its best, and hides nobody."""
+    data = [(i, v) for i, v in rows(300, seed=6) if i is not None and i < 300]
+    query = np.array(data[0][1])
+    data += [(999, [float(c) for c in np.float32(query * (3 + j / 10))]) for j in range(30)]
+    got = collected(knn.top_k(frame(spark, data).repartition(3), k=10, every=1000))
+    best = {}
+    for i, v in data[1:]:
+        q, x = (np.floor(1024 * np.array(w)) for w in (data[0][1], v))
+        best[i] = max(best.get(i, -np.inf), float(q @ x))
+    assert got == {0: sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10]}
+
+
 def test_clusters_are_pruned(spark):
     """Far clusters: the join stays exact when whole groups are ruled out."""
     rng = np.random.default_rng(1)
