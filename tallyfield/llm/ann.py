@@ -1,6 +1,8 @@
 """Approximate nearest neighbours: a forest of random-projection trees, then exact reranking.
 
 A bounded sample gives every tree its hyperplanes (between two drawn rows, at the median of the sample).
+A further coordinate gives all rows the largest norm, and none of it goes to the queries, which are scaled
+to that norm: the nearest rows are then those of largest inner product, whatever their own norms.
 All rows are dealt out to one leaf of each tree.  A query searches all trees through one priority queue,
 in which a branch waits by the largest margin by which the query lies on the other side of its path's
 hyperplanes, and takes leaves until they hold ``SEARCH`` times the number of rows (a row is in one leaf of each tree).  The rows of the leaves
@@ -49,6 +51,16 @@ class Tree:
         return node - self.leaves
 
 
+def lifted(x: np.ndarray, norm: float) -> np.ndarray:
+    """Rows with one more coordinate, which makes ``norm`` the norm of all of them."""
+    return np.column_stack((x, np.sqrt(np.maximum(0, norm**2 - (x**2).sum(axis=1)))))
+
+
+def aimed(x: np.ndarray, norm: float) -> np.ndarray:
+    """Queries in the space of lifted rows: of that norm, and nothing in the further coordinate."""
+    return np.column_stack((x * (norm / np.sqrt((x**2).sum(axis=1)))[:, None], np.zeros(len(x))))
+
+
 def grow(sample: np.ndarray, leaves: int, seed: int) -> Tree:
     """A tree over the rows of ``sample``, with ``leaves`` (a power of two) leaves."""
     rng = np.random.default_rng(seed)
@@ -98,12 +110,12 @@ def _spread(ids: np.ndarray) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
 
 
-def _to_leaves(trees: list[Tree], blocks: np.ndarray):
+def _to_leaves(trees: list[Tree], norm: float, blocks: np.ndarray):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
-                x = matrix(part.column("vec"), np.float64)
+                x = lifted(matrix(part.column("vec"), np.float64), norm)
                 spread = _spread(part.column("vec_id").to_numpy())
                 for t, tree in enumerate(trees):
                     leaf = tree.leaf(x)
@@ -112,11 +124,11 @@ def _to_leaves(trees: list[Tree], blocks: np.ndarray):
     return deal
 
 
-def _count_leaves(trees: list[Tree]):
+def _count_leaves(trees: list[Tree], norm: float):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((len(trees), trees[0].leaves), np.int64)
         for batch in batches:
-            x = matrix(batch.column("vec"), np.float64)
+            x = lifted(matrix(batch.column("vec"), np.float64), norm)
             for t, tree in enumerate(trees):
                 n[t] += np.bincount(tree.leaf(x), minlength=tree.leaves)
         t, leaf = np.nonzero(n)
@@ -125,12 +137,12 @@ def _count_leaves(trees: list[Tree]):
     return count
 
 
-def _to_searches(trees: list[Tree], sizes: np.ndarray, blocks: np.ndarray, wanted: float):
+def _to_searches(trees: list[Tree], norm: float, sizes: np.ndarray, blocks: np.ndarray, wanted: float):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                taken = [(i, t, leaf, b) for i, q in enumerate(matrix(part.column("vec"), np.float64)) for t, leaf in search(trees, sizes, q, wanted) for b in range(blocks[t, leaf])]
+                taken = [(i, t, leaf, b) for i, q in enumerate(aimed(matrix(part.column("vec"), np.float64), norm)) for t, leaf in search(trees, sizes, q, wanted) for b in range(blocks[t, leaf])]
                 yield _dealt(part, *(np.array(x, np.int64) for x in zip(*taken, strict=True)))
 
     return deal
@@ -164,11 +176,12 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = TREES
     rows = rows.where(F.col("vec_id").isNotNull() & whole(F.col("vec")) & F.exists("vec", lambda x: x != 0)).withColumn("mark", F.xxhash64("vec"))
     length = common_length(rows)
     rows = rows.where(F.size("vec") == length)
-    total = rows.count()
+    total, square = rows.agg(F.count("*"), F.max(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()
     drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(3)), "mark").limit(SAMPLE_ROWS).select("vec").toArrow()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = matrix(drawn.column("vec"), np.float64)
+    norm = float(np.sqrt(square))
+    sample = lifted(matrix(drawn.column("vec"), np.float64), norm)
     leaves = LEAST_LEAVES
     while leaves < MOST_LEAVES and leaves * LEAF_ROWS < total:
         leaves *= 2
@@ -176,11 +189,11 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = TREES
         leaves //= 2
     forest = [grow(sample, leaves, seed) for seed in range(trees)]
     sizes = np.zeros((trees, leaves), np.int64)
-    for r in rows.mapInArrow(_count_leaves(forest), "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
+    for r in rows.mapInArrow(_count_leaves(forest, norm), "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
         sizes[r["tree"], r["leaf"]] = r["n"]
     blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
-    data = rows.mapInArrow(_to_leaves(forest, blocks), _ROWS)
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(_to_searches(forest, sizes, blocks, max(share * total, LEAST_SEARCH)), _ROWS)
+    data = rows.mapInArrow(_to_leaves(forest, norm, blocks), _ROWS)
+    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(_to_searches(forest, norm, sizes, blocks, max(share * total, LEAST_SEARCH)), _ROWS)
     key = ("tree", "leaf", "block")
     lists = asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInArrow(_rerank(k), LISTS)
     return merged(materialize(lists, "ann-lists"), k, "double")

@@ -1,6 +1,7 @@
 """The two searches against brute force, with awkward rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyfield.llm import ann, knn
@@ -95,6 +96,24 @@ def test_forest_recall_and_scores(spark):
         assert found == sorted(found, key=lambda x: (-x[1], x[0]))
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5])
+def test_forest_recall_at_scale(spark, monkeypatch, spread):
+    """20,000 vectors without clusters, of one norm and of many, at the share of rows that large tables get."""
+    monkeypatch.setattr(ann, "LEAST_SEARCH", 0)
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(20_000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None] * rng.lognormal(0, spread, len(x))[:, None]).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    got = collected(ann.nearest(spark.createDataFrame(table), k=20, every=400))
+    hits = 0
+    for q, found in got.items():
+        scores = x.astype(np.float64) @ x[q].astype(np.float64)
+        scores[q] = -np.inf
+        hits += len({j for j, _ in found} & set(np.argsort(-scores)[:20].tolist()))
+    print(f"recall at norms exp(N(0, {spread})): {hits / (20 * len(got)):.3f}")
+    assert len(got) == 50 and hits / (20 * len(got)) >= 0.9
+
+
 def test_forest_that_searches_everything_is_exact(spark):
     data = rows(300)
     got = collected(ann.nearest(frame(spark, data), k=20, every=20, share=100.0))
