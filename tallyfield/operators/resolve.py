@@ -13,12 +13,11 @@ SAME_NAME, LONG_PREFIX, SHORT_PREFIX, LONG_TOKEN = 0.6, 6, 2, 5
 ONE_FILIAL = 0.85
 
 
-def token_score(a: Column, b: Column, filial_a: Column, filial_b: Column) -> Column:
-    """0 .. 1 for two arrays of distinct tokens and the letters after the names.
+def common_tokens(a: Column, b: Column) -> Column:
+    """How many tokens of two arrays of distinct tokens pair up.
 
-    Different letters give 0.  Tokens pair up if equal, then if one begins with the other and the shorter
-    has six letters, and, once something paired, with two letters; every token pairs once, in order.  The
-    score is common / smaller x (0.5 + 0.5 common / larger), and a little less if only one has a letter.
+    They do if equal, then if one begins with the other and the shorter has six letters, and, once something
+    paired, with two letters; every token pairs once, in order.
     """
     equal = F.array_intersect(a, b)
     rest_a, rest_b = F.array_sort(F.array_except(a, b)), F.array_sort(F.array_except(b, a))
@@ -39,7 +38,16 @@ def token_score(a: Column, b: Column, filial_a: Column, filial_b: Column) -> Col
 
     start = F.struct(F.size(equal).alias("n"), rest_a.alias("a"), rest_b.alias("b"))
     long = paired(start, LONG_PREFIX)
-    common = F.when(long["n"] > 0, paired(long, SHORT_PREFIX)["n"]).otherwise(long["n"])
+    return F.when(long["n"] > 0, paired(long, SHORT_PREFIX)["n"]).otherwise(long["n"])
+
+
+def token_score(a: Column, b: Column, filial_a: Column, filial_b: Column) -> Column:
+    """0 .. 1 for two arrays of distinct tokens and the letters after the names.
+
+    Different letters give 0.  The score is common / smaller x (0.5 + 0.5 common / larger), with the tokens
+    that pair up in common, and a little less if only one has a letter.
+    """
+    common = common_tokens(a, b)
     small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
     base = F.when(small > 0, common / small * (F.lit(0.5) + F.lit(0.5) * common / large)).otherwise(F.lit(0.0))
     alone = filial_a.isNull() != filial_b.isNull()
@@ -72,25 +80,48 @@ def candidate_pairs(left: DataFrame, right: DataFrame, group: tuple[str, ...] =
 
 def scored_pairs(left: DataFrame, right: DataFrame, group: tuple[str, ...] = (), least: float = SAME_NAME) -> DataFrame:
     pairs = candidate_pairs(left, right, group)
-    return pairs.withColumn("score", name_score(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    scored = pairs.withColumn("score", name_score(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    return scored.withColumn("common", common_tokens(core_tokens(F.col("a")), core_tokens(F.col("b"))))
 
 
 def greedy_assignment(pairs: DataFrame, group: tuple[str, ...] = (), most_rounds: int = 50) -> DataFrame:
-    """One-to-one pairs, best score first; names break ties.
+    """One-to-one pairs, best score first; more ``common`` tokens (if pairs have them), then names break ties.
 
     Pairs that are the best of both their sides belong to the greedy choice; taking them and dropping what
-    they use up, again and again, gives all of it.
+    they use up, again and again, gives all of it.  What ``most_rounds`` leave is read in that order, each
+    group by one task, which keeps only the names that are taken.
     """
-    chosen, rest = None, pairs
+    order = (F.desc("score"), *([F.desc("common")] if "common" in pairs.columns else []), F.asc("a"), F.asc("b"))
+    chosen, rest = None, written(pairs, "pairs")
     for _ in range(most_rounds):
-        order = (F.desc("score"), F.asc("a"), F.asc("b"))
         best = rest.withColumns({"x": F.row_number().over(Window.partitionBy(*group, "a").orderBy(*order)), "y": F.row_number().over(Window.partitionBy(*group, "b").orderBy(*order))})
         taken = written(best.where("x = 1 and y = 1").drop("x", "y"), "assigned")
         chosen = taken if chosen is None else chosen.unionByName(taken)
         rest = rest.join(taken.select(*group, "a"), [*group, "a"], "left_anti").join(taken.select(*group, "b"), [*group, "b"], "left_anti")
+        rest = written(rest, "pairs")
         if rest.isEmpty():
-            break
-    return chosen
+            return chosen
+    dealt = rest.repartition(*group) if group else rest.coalesce(1)
+    last = dealt.sortWithinPartitions(*group, *order).mapInPandas(_first_come(list(group)), rest.schema)
+    return last if chosen is None else chosen.unionByName(last)
+
+
+def _first_come(group: list[str]):
+    """Of pairs in order, those of which neither name was taken before in their group."""
+
+    def taken(parts):
+        used = (set(), set())
+        for part in parts:
+            keep = []
+            for *g, a, b in zip(*(part[c] for c in [*group, "a", "b"]), strict=True):
+                a, b = (*g, a), (*g, b)
+                keep.append(a not in used[0] and b not in used[1])
+                if keep[-1]:
+                    used[0].add(a)
+                    used[1].add(b)
+            yield part[keep]
+
+    return taken
 
 
 def forced_last_pair(left: DataFrame, right: DataFrame, assigned: DataFrame, group: tuple[str, ...], least: int = 3) -> DataFrame:

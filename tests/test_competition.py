@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfield.functions import dates, scores, text
-from tallyfield.operators import cups, gates, merge, standings, stats
+from tallyfield.operators import cups, gates, merge, resolve, standings, stats
 from tallyfield.schema import FIXTURE, STANDING
 
 A, B, C, D = "Alpha", "Beta", "Gamma B", "Delta"
@@ -157,6 +157,15 @@ def test_dates_of_several_formats(spark):
     assert got == [dt.date(2025, 3, 9)] * 3 + [None] * 4
 
 
+@pytest.mark.parametrize("most_rounds", [1, 50])
+def test_assignment_takes_every_pair_it_can(spark, most_rounds):
+    """Names that all tie with each other: a round finds one pair, and none may be left at its end."""
+    pairs = [(g, f"a{i}", f"b{j}", 1.0, 2) for g in ("x", "y") for i in range(4) for j in range(4)]
+    pairs += [("x", "a9", "b9", 0.7, 1), ("x", "a9", "c", 0.7, 2)]  # more common tokens come before the name
+    got = resolve.greedy_assignment(spark.createDataFrame(pairs, "grp string, a string, b string, score double, common int"), ("grp",), most_rounds)
+    assert sorted((r["grp"], r["a"], r["b"]) for r in got.collect()) == sorted([(g, f"a{i}", f"b{i}") for g in ("x", "y") for i in range(4)] + [("x", "a9", "c")])
+
+
 def test_nothing_in_nothing_out(spark):
     nothing = spark.createDataFrame([], FIXTURE)
     assert standings.league_table(nothing).count() == 0
