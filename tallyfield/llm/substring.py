@@ -8,9 +8,9 @@ words, and these are removed.
 Windows travel packed: a row holds the windows of one bucket from a few megabytes of text.  Before they
 travel, a hash that repeats within that text keeps its first window only and the others are known to be
 repeats already, so that a passage found in a third of all documents sends one window for every few
-megabytes, not one for each document.  Bucket (at least eight bits) and 64 further bits of the hash tell
-windows apart: with a bucket for about a million windows, the chance that any two different
-windows agree is about windows * 1e6 / 2**64 (one in 1e4 for 30 GB).
+megabytes, not one for each document.  The 64 bits of the hash tell windows apart; the bucket is
+taken from them and adds none.  About windows**2 / 2**65 pairs of different windows agree: 0.7 for 30 GB
+(some 5e9 windows), and their words are not compared.
 """
 
 from __future__ import annotations
