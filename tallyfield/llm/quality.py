@@ -30,18 +30,14 @@ EPOCHS = 4
 CHUNK_BYTES = 4 << 20
 #: Learning rate, its smoothing, and the two penalties of the update; values are shares scaled by SCALE.
 ALPHA, BETA, L1, L2, SCALE = 0.3, 1.0, 1e-4, 1e-3, 8.0
-_RUN = re.compile(rb"[A-Z]+|[a-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff]")
+_SIGNS = bytes(b"A"[0] if 65 <= b <= 90 else b"a"[0] if 97 <= b <= 122 or b >= 128 else b"0"[0] if 48 <= b <= 57 else b for b in range(256))
+_AGAIN = re.compile(rb"(.)\1+", re.DOTALL)
 _REPEAT, _KINDS = 0x51ED270B, 4
 
 
 def _shape(word: bytes) -> bytes:
-    """Runs of letters and digits as one sign each, other signs as they are, a repeated sign once."""
-    out = b""
-    for run in _RUN.findall(word[:64]):
-        c = run[:1]
-        sign = b"A" if c.isupper() else b"a" if c.islower() or c >= b"\x80" else b"0" if c.isdigit() else c
-        out += sign if out[-1:] != sign else b""
-    return out + (b"+" if len(word) > 24 else b"")
+    """The whole word with a sign for each letter and digit, a repeated sign once; a mark for long words."""
+    return _AGAIN.sub(rb"\1", word.translate(_SIGNS)) + (b"+" if len(word) > 24 else b"")
 
 
 def _two_hashes(word: bytes) -> int:
