@@ -1,31 +1,36 @@
 """Exact top-k by inner product as a Voronoi join.
 
-Pivots from a bounded sample group queries and data.  For a group of queries with pivot p and radius u,
-any member's score with a row x lies within u |x| of p.x.  The (k+1)-th largest lower bound over all ids
-(the best of an id's rows counts) is therefore reached by every member's k-th best (its own id may be among
-them), and a row whose upper
-bound stays below it is in no member's result.  Summaries of the data groups (count, radius, largest norm)
-rule out whole groups first; the rows that remain are copied to the query groups that may need them, in
-blocks of bounded size, and each block is solved locally in exact integers.
+Pivots from a bounded sample group queries and data into cells.  Summaries of the data cells (rows, radius
+around the pivot, least and largest norm, widest angle from the pivot) bound the score that any row of a cell
+can have with a query: q.p + |q| radius by distance, and |q| norm cos(angle to the pivot - widest angle) by
+direction.  Every query is first solved in its home, the cells whose pivots score best until they hold
+``HOME_ROWS`` rows.  Its k-th best score there is reached by every row that still matters, so it goes on only
+to the cells whose bound is not below that score, and only cells that some query needs are sent at all.  Large
+cells are split into blocks of bounded size; each block is solved locally in exact integers.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import materialize
 from tallyfield.llm.vectors import LISTS, LISTS_ARROW, common_length, matrix, merged, top_lists, whole
 
 SCALE = 1024
-QUERIES_PER_GROUP = 64
-MOST_PIVOTS = 64
-SAMPLE_ROWS = 4096
-BLOCK_ROWS = 16_384
+#: Cells: the square root of the number of rows over this, and at most; both steps of a query look at all pivots.
+CELL_SHARE, MOST_PIVOTS = 4, 1024
+SAMPLE_ROWS = 16_384
+#: Rows of the cells in which a query finds its first bound.
+HOME_ROWS = 512
+BLOCK_ROWS = 8_192
+SLICE = 2048
 _ROWS = "cell int, block int, vec_id long, mark long, vec array<long>"
 
 
@@ -50,57 +55,84 @@ def nearest_pivot(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.nda
     return group, np.sqrt(((x - pivots[group]) ** 2).sum(axis=1))
 
 
-def _summaries(pivots: np.ndarray, every: int):
-    """For each task and group: rows, radius and largest norm of its data, and radius of its queries."""
+@dataclass(frozen=True)
+class Cells:
+    """Pivots, and for each cell its rows, radius, least and largest norm, and widest angle from the pivot."""
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((len(pivots), 4))
-        n[:, 3] = -1
-        for batch in batches:
-            x = _as_double(batch)
-            group, apart = nearest_pivot(x, pivots)
-            np.add.at(n[:, 0], group, 1)
-            np.maximum.at(n[:, 1], group, apart)
-            np.maximum.at(n[:, 2], group, np.sqrt((x**2).sum(axis=1)))
-            asked = batch.column("vec_id").to_numpy() % every == 0
-            np.maximum.at(n[:, 3], group[asked], apart[asked])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots), dtype=np.int32)), *(pa.array(c) for c in n.T)], ["cell", "n", "radius", "norm", "asked"])
+    pivots: np.ndarray
+    n: np.ndarray
+    radius: np.ndarray
+    shortest: np.ndarray
+    longest: np.ndarray
+    angle: np.ndarray
 
-    return summed
+    def home(self, q: np.ndarray, rows: int) -> np.ndarray:
+        """For each query the cells it looks at first, as a (queries, cells) mask."""
+        order = np.argsort(-(q @ self.pivots.T), axis=1, kind="stable")
+        held = self.n[order]
+        first = (np.cumsum(held, axis=1) - held < rows) & (held > 0)
+        out = np.zeros(order.shape, bool)
+        np.put_along_axis(out, order, first, axis=1)
+        return out
+
+    def highest(self, q: np.ndarray) -> np.ndarray:
+        """A bound that no row of a cell exceeds, as a (queries, cells) matrix."""
+        along, norm = q @ self.pivots.T, np.sqrt((q**2).sum(axis=1))[:, None]
+        lengths = np.sqrt((self.pivots**2).sum(axis=1))[None, :]
+        near = along + norm * self.radius
+        with np.errstate(divide="ignore", invalid="ignore"):
+            away = np.arccos(np.clip(along / (norm * lengths), -1, 1))
+        cos = np.cos(np.maximum(0, np.nan_to_num(away) - self.angle))
+        ahead = norm * np.where(cos > 0, self.longest, self.shortest) * cos
+        bound = np.where((norm > 0) & (lengths > 0), np.minimum(near, ahead), near)
+        return bound + 1e-9 * (np.abs(bound) + norm * self.longest) + 1e-6
 
 
-def _best_ids(ids: np.ndarray, low: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``most`` ids of largest ``low``, an id once."""
-    order = np.argsort(-low, kind="stable")
-    order = order[np.sort(np.unique(ids[order], return_index=True)[1])[:most]]
-    return ids[order], low[order]
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Angles between rows and their pivots; pi where one has no direction."""
+    lengths = np.sqrt((x**2).sum(axis=1) * (pivots**2).sum(axis=1))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cos = (x * pivots).sum(axis=1) / lengths
+    return np.where(lengths > 0, np.arccos(np.clip(np.nan_to_num(cos), -1, 1)), np.pi)
 
 
-def _lower_bounds(pivots: np.ndarray, reach: np.ndarray, cells: np.ndarray, k: int):
-    """For each task and group of queries: the ``k + 1`` ids with the largest lower bounds of their rows' scores."""
+_SUMMARY = ("n", "radius", "shortest", "longest", "angle")
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0, np.int64), np.zeros(0)) for _ in cells]
+
+def _summaries(pivots: np.ndarray):
+    """For each task and cell what :class:`Cells` holds."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, radius, longest, angle = (np.zeros(len(pivots)) for _ in range(4))
+        shortest = np.full(len(pivots), np.inf)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _as_double(batch)
-            low = pivots[cells] @ x.T - reach[cells][:, None] * np.sqrt((x**2).sum(axis=1))[None, :]
-            ids = batch.column("vec_id").to_numpy()
-            order = np.argsort(ids, kind="stable")
-            ids, begin = np.unique(ids[order], return_index=True)
-            low = np.maximum.reduceat(low[:, order], begin, axis=1)
-            top = np.argpartition(-low, k, axis=1)[:, : k + 1] if len(ids) > k + 1 else np.tile(np.arange(len(ids)), (len(cells), 1))
-            for i, (held, at) in enumerate(best):
-                best[i] = _best_ids(np.concatenate((held, ids[top[i]])), np.concatenate((at, low[i, top[i]])), k + 1)
-        for c, (held, at) in zip(cells, best, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), c, np.int32)), pa.array(held), pa.array(at)], ["cell", "vec_id", "low"])
+            for lo in range(0, batch.num_rows, SLICE):
+                x = _as_double(batch.slice(lo, SLICE))
+                cell, apart = nearest_pivot(x, pivots)
+                norm = np.sqrt((x**2).sum(axis=1))
+                np.add.at(n, cell, 1)
+                np.maximum.at(radius, cell, apart)
+                np.minimum.at(shortest, cell, norm)
+                np.maximum.at(longest, cell, norm)
+                np.maximum.at(angle, cell, _angles(x, pivots[cell]))
+        held = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), *(pa.array(c[held]) for c in (n, radius, shortest, longest, angle))], ["cell", *_SUMMARY])
+
+    return summed
+
 
-    return bounded
+def summarized(rows: DataFrame, pivots: np.ndarray) -> Cells:
+    by = rows.mapInArrow(_summaries(pivots), "cell int, " + ", ".join(f"{c} double" for c in _SUMMARY))
+    by = by.groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.min("shortest").alias("shortest"), F.max("longest").alias("longest"), F.max("angle").alias("angle"))
+    out = np.zeros((len(_SUMMARY), len(pivots)))
+    for r in by.collect():  # a row for each pivot
+        out[:, r["cell"]] = [r[c] for c in _SUMMARY]
+    slack = 1 + 1e-9
+    return Cells(pivots, out[0], out[1] * slack, out[2] / slack, out[3] * slack, out[4] + 1e-7)
 
 
-def _spread(ids: np.ndarray, blocks: int) -> np.ndarray:
-    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)).astype(np.int32)
+def _spread(ids: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % blocks.astype(np.uint64)).astype(np.int32)
 
 
 def _copied(batch: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, block: np.ndarray) -> pa.RecordBatch:
@@ -108,34 +140,38 @@ def _copied(batch: pa.RecordBatch, row: np.ndarray, cell: np.ndarray, block: np.
     return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(block.astype(np.int32)), *taken], ["cell", "block", "vec_id", "mark", "vec"])
 
 
-def _to_groups(pivots: np.ndarray, reach: np.ndarray, cells: np.ndarray, least: np.ndarray, open_: np.ndarray, blocks: int):
-    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _to_cells(cells: Cells, blocks: np.ndarray, needed: np.ndarray):
+    """The rows of the cells that are needed, each once."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                x = _as_double(part)
-                group, _ = nearest_pivot(x, pivots)
-                block = _spread(part.column("vec_id").to_numpy(), blocks)
-                norm = np.sqrt((x**2).sum(axis=1))
-                for c in cells:
-                    high = x @ pivots[c] + reach[c] * norm
-                    row = np.flatnonzero(open_[c, group] & (high >= least[c] - 1e-9 * (np.abs(high) + abs(least[c]) + 1)))
-                    if len(row):
-                        yield _copied(part, row, np.full(len(row), c), block[row])
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                cell, _ = nearest_pivot(_as_double(part), cells.pivots)
+                row = np.flatnonzero(needed[cell])
+                yield _copied(part, row, cell[row], _spread(part.column("vec_id").to_numpy()[row], blocks[cell[row]]))
+
+    return deal
 
-    return copy
 
+def _to_blocks(cells: Cells, blocks: np.ndarray, rows: int, onward: bool):
+    """Queries to all blocks of their home cells or, ``onward``, of the other cells whose bound reaches ``least``."""
 
-def _to_blocks(pivots: np.ndarray, blocks: int):
-    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            group, _ = nearest_pivot(_as_double(batch), pivots)
-            n = len(group)
-            for lo in range(0, n, max(1, 4096 // blocks)):
-                row = np.repeat(np.arange(lo, min(n, lo + max(1, 4096 // blocks))), blocks)
-                yield _copied(batch, row, group[row], np.tile(np.arange(blocks), len(row) // blocks))
+            for lo in range(0, batch.num_rows, 16):
+                part = batch.slice(lo, 16)
+                q = _as_double(part)
+                open_ = cells.home(q, rows)
+                if onward:
+                    least = part.column("least").fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                    open_ = ~open_ & (cells.n > 0) & (cells.highest(q) >= least[:, None])
+                row, cell = np.nonzero(open_)
+                each = blocks[cell]
+                block = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                yield _copied(part, np.repeat(row, each), np.repeat(cell, each), block)
 
-    return copy
+    return deal
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -178,31 +214,25 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vec")).where(F.col("vec_id").isNotNull() & whole(F.col("vec")))
     rows = rows.withColumn("mark", F.xxhash64(F.col("vec").cast("array<double>")))
     length = common_length(rows)
-    rows = materialize(rows.where(F.size("vec") == length).dropDuplicates(["vec_id", "mark"]), "knn-rows")
-    rows = rows.withColumn("vec", quantized(F.col("vec")))
+    rows = materialize(rows.where(F.size("vec") == length).withColumn("vec", quantized(F.col("vec"))), "knn-rows")
     asked = rows.where(F.col("vec_id") % every == 0)
     total, queries = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     if not queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    sample = asked.orderBy(F.xxhash64("vec_id", F.lit(9)), "mark").limit(SAMPLE_ROWS).select("vec").toArrow()
-    pivots = choose_pivots(_as_double(sample), min(MOST_PIVOTS, -(-queries // QUERIES_PER_GROUP)))
-
-    by = rows.mapInArrow(_summaries(pivots, every), "cell int, n double, radius double, norm double, asked double")
-    by = by.groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.max("norm").alias("norm"), F.max("asked").alias("asked")).orderBy("cell").toPandas()
-    reach, radius, norm = (by[c].to_numpy() * (1 + 1e-9) for c in ("asked", "radius", "norm"))
-    cells = np.flatnonzero(reach >= 0)
-    low = rows.mapInArrow(_lower_bounds(pivots, reach, cells, k), "cell int, vec_id long, low double")
-    last = low.groupBy("cell", "vec_id").agg(F.max("low").alias("low")).withColumn("i", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("low")))).where(F.col("i") == k + 1)
-    least = np.full(len(pivots), -np.inf)
-    for r in last.collect():
-        least[r["cell"]] = r["low"]
-    lengths = np.sqrt((pivots**2).sum(axis=1))
-    highest = pivots @ pivots.T + np.outer(lengths, radius) + np.outer(np.maximum(reach, 0), norm)
-    open_ = highest * (1 + np.sign(highest) * 1e-9) + 1e-6 >= np.where(np.isfinite(least), least, -np.inf)[:, None]
-    least = np.where(np.isfinite(least), least, -1e300)
-
-    blocks = max(1, -(-total // BLOCK_ROWS))
-    data = rows.mapInArrow(_to_groups(pivots, reach, cells, least, open_, blocks), _ROWS)
-    asked = asked.mapInArrow(_to_blocks(pivots, blocks), _ROWS)
-    lists = asked.groupBy("cell", "block").cogroup(data.groupBy("cell", "block")).applyInArrow(_solve(k), LISTS)
-    return merged(materialize(lists, "knn-lists"), k, "long")
+    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(9)), "mark").limit(SAMPLE_ROWS).select("vec").toArrow()
+    pivots = choose_pivots(_as_double(sample), min(MOST_PIVOTS, math.ceil(math.sqrt(total) / CELL_SHARE)))
+    cells = summarized(rows, pivots)
+    blocks = np.maximum(1, -(-cells.n // BLOCK_ROWS)).astype(np.int64)
+
+    def solved(asked: DataFrame, onward: bool) -> DataFrame:
+        sent = materialize(asked.mapInArrow(_to_blocks(cells, blocks, HOME_ROWS, onward), _ROWS), "knn-asked")
+        needed = np.zeros(len(pivots), bool)
+        needed[[r["cell"] for r in sent.select("cell").distinct().collect()]] = True  # at most a row for each pivot
+        data = rows.mapInArrow(_to_cells(cells, blocks, needed), _ROWS)
+        lists = sent.groupBy("cell", "block").cogroup(data.groupBy("cell", "block")).applyInArrow(_solve(k), LISTS)
+        return materialize(lists, "knn-lists")
+
+    first = solved(asked, onward=False)
+    least = merged(first, k, "long", marked=True).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "mark", F.col("score").cast("double").alias("least"))
+    rest = solved(asked.dropDuplicates(["vec_id", "mark"]).join(least, ["vec_id", "mark"], "left"), onward=True)
+    return merged(first.unionByName(rest), k, "long")

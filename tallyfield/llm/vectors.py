@@ -68,18 +68,20 @@ def top_lists(queries: tuple, rows: tuple, k: int, product, exact, slack: float)
     return pa.table(out, LISTS_ARROW)
 
 
-def merged(lists: DataFrame, k: int, score_type: str) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` best of all blocks' lists; an id found twice counts once."""
+def merged(lists: DataFrame, k: int, score_type: str, marked: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score (and mark): the ``k`` best of all blocks' lists; an id found twice counts once."""
     kind, arrow = (np.int64, pa.int64()) if score_type == "long" else (np.float64, pa.float64())
 
     def merge(table: pa.Table) -> pa.Table:
-        key = table.column("query_id")[0].as_py()
         ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
         scores = np.frombuffer(b"".join(table.column("scores").to_pylist()), kind)
         order = np.lexsort((ids, -scores))
         _, first = np.unique(ids[order], return_index=True)
         best = order[np.sort(first)[:k]]
         n = len(best)
-        return pa.table({"query_id": pa.array([key] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array(ids[best]), "score": pa.array(scores[best], arrow)})
+        columns = {"query_id": pa.array([table.column("query_id")[0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array(ids[best]), "score": pa.array(scores[best], arrow)}
+        if marked:
+            columns["mark"] = pa.array([table.column("mark")[0].as_py()] * n, pa.int64())
+        return pa.table(columns)
 
-    return lists.groupBy("query_id", "mark").applyInArrow(merge, f"query_id long, rank int, vec_id long, score {score_type}")
+    return lists.groupBy("query_id", "mark").applyInArrow(merge, f"query_id long, rank int, vec_id long, score {score_type}" + ", mark long" * marked)
