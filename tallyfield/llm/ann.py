@@ -1,12 +1,16 @@
 """Approximate nearest neighbours: a forest of random-projection trees, then exact reranking.
 
-A bounded sample gives every tree its hyperplanes (between two drawn rows, at the median of the sample).
-A further coordinate gives all rows the largest norm, and none of it goes to the queries, which are scaled
-to that norm: the nearest rows are then those of largest inner product, whatever their own norms.
-All rows are dealt out to one leaf of each tree.  A query searches all trees through one priority queue,
-in which a branch waits by the largest margin by which the query lies on the other side of its path's
-hyperplanes, and takes leaves until they hold ``SEARCH`` times the number of rows (a row is in one leaf of each tree).  The rows of the leaves
-it takes are scored exactly.  Leaves are joined with their queries in blocks of bounded size.
+A bounded sample gives every tree its hyperplanes: of several directions between two drawn rows the one along
+which the rows spread most, cut at their median.  A further coordinate gives all rows the largest norm, and
+none of it goes to the queries, which are scaled to that norm: the nearest rows are then those of largest inner
+product, whatever their own norms.  All rows are dealt out to one leaf of each tree.
+
+A leaf's value for a query is the sum of the margins by which the query lies on the leaf's side of the
+hyperplanes above it (negative where it lies on the other side): it stands for the inner product with the
+leaf's rows.  A branch waits in one priority queue for all trees with the best value among its leaves, so leaves
+come out best first.  A query takes leaves until they hold ``SEARCH`` times the number of rows (a row is in
+one leaf of each tree).  The rows of the leaves it takes are scored exactly.  Leaves are joined with their
+queries in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -23,12 +27,13 @@ from pyspark.sql import functions as F
 from tallyfield.llm.common import materialize
 from tallyfield.llm.vectors import LISTS, LISTS_ARROW, common_length, matrix, merged, top_lists, whole
 
-TREES = 8
+TREES = 16
 #: Leaves of a tree: at least, rows of each beyond that, and at most; the forest's size stays bounded.
-LEAST_LEAVES, LEAF_ROWS, MOST_LEAVES = 64, 1024, 4096
-#: Leaf rows a query takes, over all trees (a row counts in each): this share of all rows, and at least so
-#: many.  Vectors without clusters need this much for a recall of 0.9 at 20 neighbours; clustered ones far less.
-SEARCH, LEAST_SEARCH = 1.0, 5_000
+LEAST_LEAVES, LEAF_ROWS, MOST_LEAVES = 256, 1024, 4096
+#: Leaf rows that a query takes over all trees, as a share of all rows (a row counts in each tree).
+SEARCH = 0.75
+#: Directions that a hyperplane is chosen from, and the rows their spread is measured on.
+DIRECTIONS, SPREAD_ROWS = 8, 256
 SAMPLE_ROWS = 20_000
 BLOCK_ROWS = 16_384
 
@@ -69,9 +74,12 @@ def grow(sample: np.ndarray, leaves: int, seed: int) -> Tree:
     for node in range(1, leaves):
         rows = inside.pop(node)
         if len(rows) > 1:
-            a, b = sample[rng.choice(rows, 2, replace=False)]
-            normal = a - b if (a != b).any() else rng.standard_normal(sample.shape[1])
-            normals[node] = normal / np.linalg.norm(normal)
+            ends = sample[rng.choice(rows, (2, DIRECTIONS))]
+            normal = ends[0] - ends[1]
+            normal[~normal.any(axis=1)] = rng.standard_normal(sample.shape[1])
+            normal /= np.linalg.norm(normal, axis=1)[:, None]
+            some = rows if len(rows) <= SPREAD_ROWS else rng.choice(rows, SPREAD_ROWS)
+            normals[node] = normal[(sample[some] @ normal.T).std(axis=0).argmax()]
             along = sample[rows] @ normals[node]
             offsets[node] = np.median(along)
             inside[2 * node], inside[2 * node + 1] = rows[along <= offsets[node]], rows[along > offsets[node]]
@@ -80,20 +88,33 @@ def grow(sample: np.ndarray, leaves: int, seed: int) -> Tree:
     return Tree(normals, offsets)
 
 
+def branch_values(tree: Tree, query: np.ndarray) -> np.ndarray:
+    """For each node in heap order the best value of a leaf below it; the last half are the leaves' own."""
+    n = tree.leaves
+    margins, values = tree.normals @ query - tree.offsets, np.zeros(2 * n)
+    for level in range(n.bit_length() - 1):
+        node = np.arange(1 << level, 2 << level)
+        values[2 * node], values[2 * node + 1] = values[node] - margins[node], values[node] + margins[node]
+    for level in range(n.bit_length() - 2, -1, -1):
+        node = np.arange(1 << level, 2 << level)
+        values[node] = np.maximum(values[2 * node], values[2 * node + 1])
+    return values
+
+
 def search(trees: list[Tree], sizes: np.ndarray, query: np.ndarray, wanted: float) -> list[tuple[int, int]]:
-    """The (tree, leaf) pairs a query takes, nearest first, until their ``sizes`` sum to ``wanted``."""
-    margins = [t.normals @ query - t.offsets for t in trees]
-    waiting, found, held = [(0.0, t, 1) for t in range(len(trees))], [], 0
+    """The (tree, leaf) pairs a query takes, best first, until their ``sizes`` sum to ``wanted``."""
+    values = [branch_values(t, query) for t in trees]
+    waiting, found, held = [(-float(v[1]), t, 1) for t, v in enumerate(values)], [], 0
+    heapq.heapify(waiting)
     while waiting and held < wanted:
-        far, t, node = heapq.heappop(waiting)
-        if node >= trees[t].leaves:
-            leaf = node - trees[t].leaves
-            found.append((t, leaf))
-            held += sizes[t, leaf]
-        else:
-            m = margins[t][node]
-            heapq.heappush(waiting, (max(far, m), t, 2 * node))
-            heapq.heappush(waiting, (max(far, -m), t, 2 * node + 1))
+        _, t, node = heapq.heappop(waiting)
+        while node < trees[t].leaves:  # the better child has the value that was popped
+            left, right = values[t][2 * node], values[t][2 * node + 1]
+            node, other, worth = (2 * node, 2 * node + 1, right) if left >= right else (2 * node + 1, 2 * node, left)
+            heapq.heappush(waiting, (-float(worth), t, other))
+        leaf = node - trees[t].leaves
+        found.append((t, leaf))
+        held += sizes[t, leaf]
     return found
 
 
@@ -185,7 +206,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = TREES
     leaves = LEAST_LEAVES
     while leaves < MOST_LEAVES and leaves * LEAF_ROWS < total:
         leaves *= 2
-    while leaves > 1 and leaves * 4 > len(sample):
+    while leaves > 1 and leaves * 2 > len(sample):
         leaves //= 2
     forest = [grow(sample, leaves, seed) for seed in range(trees)]
     sizes = np.zeros((trees, leaves), np.int64)
@@ -193,7 +214,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = TREES
         sizes[r["tree"], r["leaf"]] = r["n"]
     blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
     data = rows.mapInArrow(_to_leaves(forest, norm, blocks), _ROWS)
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(_to_searches(forest, norm, sizes, blocks, max(share * total, LEAST_SEARCH)), _ROWS)
+    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(_to_searches(forest, norm, sizes, blocks, share * total), _ROWS)
     key = ("tree", "leaf", "block")
     lists = asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInArrow(_rerank(k), LISTS)
     return merged(materialize(lists, "ann-lists"), k, "double")

@@ -48,7 +48,7 @@ def test_exact_search(spark):
 
 def test_exact_search_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(knn, "BLOCK_ROWS", 100)
-    monkeypatch.setattr(knn, "QUERIES_PER_GROUP", 5)
+    monkeypatch.setattr(knn, "HOME_ROWS", 30)
     data = rows(seed=3)
     got = collected(knn.top_k(frame(spark, data).repartition(5), k=10, every=20))
     assert got == brute(data, 20, 10, lambda v: np.floor(1024 * v.astype(np.float64)), True)
@@ -76,42 +76,89 @@ def test_exact_search_where_an_id_has_many_vectors(spark):
 
 
 def test_clusters_are_pruned(spark):
-    """Far clusters: the join stays exact when whole groups are ruled out."""
+    """Far clusters: the join stays exact, and few cells are opened beyond a query's home."""
     rng = np.random.default_rng(1)
-    centers = rng.normal(size=(6, 8)) * 20
-    data = [(i, [float(v) for v in np.float32(centers[i % 6] + rng.normal(size=8) * 0.1)]) for i in range(600)]
-    assert collected(knn.top_k(frame(spark, data), k=5, every=10)) == brute(data, 10, 5, lambda v: np.floor(1024 * v.astype(np.float64)), True)
-
-
-def test_forest_recall_and_scores(spark):
-    data = rows(1500)
-    got = collected(ann.nearest(frame(spark, data), k=20, every=20))
-    expected = brute(data, 20, 20, lambda v: v.astype(np.float32).astype(np.float64), False)
-    assert got.keys() == expected.keys()
-    hits = sum(len({j for j, _ in got[q]} & {j for j, _ in expected[q]}) for q in got)
-    assert hits / sum(map(len, expected.values())) >= 0.9
-    vectors = {i: np.float32(v).astype(np.float64) for i, v in data if i is not None and v is not None and None not in v}
-    for q, found in got.items():
-        assert all(s == float((vectors[q] * vectors[j]).sum()) for j, s in found)
-        assert found == sorted(found, key=lambda x: (-x[1], x[0]))
-
-
-@pytest.mark.parametrize("spread", [0.0, 0.5])
-def test_forest_recall_at_scale(spark, monkeypatch, spread):
-    """20,000 vectors without clusters, of one norm and of many, at the share of rows that large tables get."""
-    monkeypatch.setattr(ann, "LEAST_SEARCH", 0)
-    rng = np.random.default_rng(0)
-    x = rng.normal(size=(20_000, 64))
-    x = (x / np.linalg.norm(x, axis=1)[:, None] * rng.lognormal(0, spread, len(x))[:, None]).astype(np.float32)
+    centers = rng.normal(size=(30, 8)) * 20
+    data = [(i, [float(v) for v in np.float32(centers[i % 30] + rng.normal(size=8) * 0.1)]) for i in range(6000)]
+    assert collected(knn.top_k(frame(spark, data), k=5, every=100)) == brute(data, 100, 5, lambda v: np.floor(1024 * v.astype(np.float64)), True)
+    x = np.floor(1024 * np.array([v for _, v in data]))
+    pivots = knn.choose_pivots(x, 20)
+    table = spark.createDataFrame([(v.astype(int).tolist(),) for v in x], "vec array<long>")
+    cells = knn.summarized(table, pivots)
+    assert cells.n.sum() == 6000
+    q, scores = x[::100], x[::100] @ x.T
+    home = cells.home(q, 512)
+    own = knn.nearest_pivot(x, pivots)[0]
+    least = np.array([np.sort(s[h[own]])[-6] for s, h in zip(scores, home, strict=True)])
+    opened = ~home & (cells.highest(q) >= least[:, None])
+    assert (cells.n[None, :] * opened).sum() < 0.1 * 60 * 6000
+
+
+def test_bounds_hold():
+    """No row exceeds its cell's bound, whatever its norm and direction."""
+    rng = np.random.default_rng(2)
+    x = np.floor(rng.normal(size=(500, 5)) * rng.lognormal(5, 2, 500)[:, None])
+    x[:5] = 0
+    pivots = np.concatenate((knn.choose_pivots(x, 12), np.zeros((1, 5))))
+    own, apart = knn.nearest_pivot(x, pivots)
+    norm, angle = np.linalg.norm(x, axis=1), knn._angles(x, pivots[own])
+    each = [own == c for c in range(13)]
+    top = lambda v: np.array([v[e].max(initial=0) for e in each])
+    cells = knn.Cells(pivots, np.array([e.sum() for e in each]), top(apart), np.array([norm[e].min(initial=np.inf) for e in each]), top(norm), top(angle))
+    assert (x @ x.T <= cells.highest(x)[:, own] + 1e-6).all()
+    assert (cells.home(x, 50) @ cells.n >= 50).all()
+
+
+def recall(spark, x, every, **settings):
+    """Share of the true 20 nearest that are found."""
     table = pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
-    got = collected(ann.nearest(spark.createDataFrame(table), k=20, every=400))
-    hits = 0
+    got, hits = collected(ann.nearest(spark.createDataFrame(table), k=20, every=every, **settings)), 0
     for q, found in got.items():
         scores = x.astype(np.float64) @ x[q].astype(np.float64)
         scores[q] = -np.inf
         hits += len({j for j, _ in found} & set(np.argsort(-scores)[:20].tolist()))
-    print(f"recall at norms exp(N(0, {spread})): {hits / (20 * len(got)):.3f}")
-    assert len(got) == 50 and hits / (20 * len(got)) >= 0.9
+    assert len(got) == len(range(0, len(x), every))
+    return hits / (20 * len(got))
+
+
+def scored_share(x, queries, share):
+    """Rows in the leaves that a query takes, as a share of all rows."""
+    norm = float(np.linalg.norm(x, axis=1).max())
+    lifted = ann.lifted(x, norm)
+    forest = [ann.grow(lifted, ann.LEAST_LEAVES, s) for s in range(ann.TREES)]
+    leaf = [t.leaf(lifted) for t in forest]
+    sizes = np.stack([np.bincount(at, minlength=t.leaves) for t, at in zip(forest, leaf, strict=True)])
+    shares = []
+    for q in ann.aimed(x[queries], norm):
+        taken = np.zeros(sizes.shape, bool)
+        taken[tuple(np.array(ann.search(forest, sizes, q, share * len(x))).T)] = True
+        shares.append(np.any([taken[t][at] for t, at in enumerate(leaf)], axis=0).mean())
+    return float(np.mean(shares))
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.0])
+def test_forest_recall_without_clusters(spark, spread):
+    """20,000 vectors of one norm and of many: 0.9 is reached with under half of the rows scored."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(20_000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None] * rng.lognormal(0, spread, len(x))[:, None]).astype(np.float32)
+    assert recall(spark, x, 400) >= 0.9
+    assert scored_share(x.astype(np.float64), range(0, 20_000, 2000), ann.SEARCH) < 0.5
+
+
+def test_forest_recall_on_small_tables(spark):
+    rng = np.random.default_rng(1)
+    for n in (500, 2000):
+        x = rng.normal(size=(n, 64))
+        assert recall(spark, (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32), 20) >= 0.9
+
+
+def test_forest_recall_in_clusters(spark):
+    """Where vectors form clusters a twentieth of the search is enough."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(100, 64))[rng.integers(100, size=20_000)] + 0.3 * rng.normal(size=(20_000, 64))
+    assert recall(spark, x.astype(np.float32), 400, share=0.05) >= 0.9
+    assert scored_share(x, range(0, 20_000, 2000), 0.05) < 0.05
 
 
 def test_forest_that_searches_everything_is_exact(spark):
@@ -120,13 +167,23 @@ def test_forest_that_searches_everything_is_exact(spark):
     assert got == brute(data, 20, 20, lambda v: v.astype(np.float32).astype(np.float64), False)
 
 
-def test_leaves_are_taken_nearest_first():
+def test_leaves_are_taken_best_first():
+    """In order of the summed margins, which are worked out here path by path."""
     x = np.random.default_rng(0).normal(size=(400, 5))
     trees = [ann.grow(x, 8, s) for s in range(3)]
     sizes = np.stack([np.bincount(t.leaf(x), minlength=8) for t in trees])
+
+    def value(t, leaf):
+        node, total = leaf + 8, 0.0
+        while node > 1:
+            margin = trees[t].normals[node // 2] @ x[0] - trees[t].offsets[node // 2]
+            total, node = total + (margin if node % 2 else -margin), node // 2
+        return total
+
     found = ann.search(trees, sizes, x[0], 10**9)
     assert len(found) == len(set(found)) == 24
-    assert set(found[:3]) == {(t, int(tree.leaf(x[:1])[0])) for t, tree in enumerate(trees)}
+    assert found == sorted(found, key=lambda f: -value(*f))
+    assert ann.search(trees, sizes, x[0], 60) == found[: 1 + np.flatnonzero(np.cumsum([sizes[f] for f in found]) >= 60)[0]]
 
 
 @pytest.mark.parametrize("search", [lambda v: ann.nearest(v), lambda v: knn.top_k(v)])
