@@ -1,14 +1,17 @@
 """Sharding by sampled splitters.
 
 The key of a record is (hash of its text, hash of its id): equal texts lie side by side.  A sample in which
-a record's chance grows with its size gives quantile boundaries of the key; one exact count over the ranges
-between them then joins neighbouring ranges into shards.  A range that is still overfull (one text with very
-many copies) is subdivided by the second part of the key.  Only a row per range reaches the driver, and
-their number is a parameter.
+a record's chance grows with its size gives quantile boundaries of the key.  One exact count over the ranges
+between them finds the overfull ones; a text whose copies overfill a range gets a range of its own, which is
+subdivided by the second part of the key, so that no task orders more than a range's share.  The ranges then go
+to shards, the largest first to the emptiest shard.  The parts of one text stay in one shard unless they are
+more than a shard's share.  Only a row per range and part reaches the driver, and their number is a parameter.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +23,8 @@ from tallyfield.llm.common import materialize
 SAMPLE_KEYS = 20_000
 #: Ranges for each shard; a shard's bytes are off by about one part in this at most.
 RANGES_PER_SHARD = 256
+#: A range, or the copies of one text, of this many fair shares of a range is overfull.
+OVERFULL = 3
 
 
 def _hash(*columns: Column | str) -> Column:
@@ -42,20 +47,25 @@ def splitters(keyed: DataFrame, total: int, ranges: int, sample: int = SAMPLE_KE
     return sorted(set(cuts))
 
 
-def range_of(cuts: list[int]):
-    """A function of a key column: the number of boundaries below the key."""
-    table = np.array(cuts, np.int64)
+def range_of(cuts: list[int], own: list[int]):
+    """A function of a key column: the number of boundaries below the key; keys of ``own`` come after all ranges."""
+    table, alone = np.array(cuts, np.int64), np.array(sorted(own), np.int64)
 
     @F.pandas_udf("int")
     def below(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(table, key.to_numpy(), side="left").astype(np.int32))
+        keys = key.to_numpy()
+        found = np.searchsorted(table, keys, side="left")
+        if len(alone):
+            at = np.minimum(np.searchsorted(alone, keys), len(alone) - 1)
+            found = np.where(alone[at] == keys, len(table) + 1 + at, found)
+        return pd.Series(found.astype(np.int32))
 
     return below
 
 
 def part_of(parts: dict[int, int], ranges: int):
-    """A function of range and ``tie``: which part of an overfull range a row goes to, by equal widths of the hash."""
-    table = np.ones(ranges + 1, np.int64)
+    """A function of range and ``tie``: which part of a subdivided range a row goes to, by equal widths of the hash."""
+    table = np.ones(ranges, np.int64)
     for k, n in parts.items():
         table[k] = n
 
@@ -73,16 +83,26 @@ def _assigned(keyed: DataFrame, shards: int, ranges_per_shard: int) -> DataFrame
     keyed = materialize(keyed, "shard-keys")
     total = keyed.agg(F.sum("size")).first()[0] or 0
     cuts = splitters(keyed, total, shards * ranges_per_shard)
-    ranged = keyed.withColumn("range", range_of(cuts)("key"))
-    fair = max(total / (shards * ranges_per_shard), 1)
-    full = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.ceil(F.sum("size") / fair).cast("int").alias("n")).where("n >= 3").collect()}
-    placed = ranged.withColumn("part", part_of(full, len(cuts))("range", "tie"))
+    fair, share = max(total / (shards * ranges_per_shard), 1), max(total / shards, 1)
+    ranged = keyed.withColumn("range", range_of(cuts, [])("key"))
+    full = ranged.groupBy("range").agg(F.sum("size").alias("n")).where(F.col("n") >= OVERFULL * fair).select("range")
+    within = ranged.join(F.broadcast(full), "range", "left_semi")  # at most a row for each range
+    own = {r["key"]: r["n"] for r in within.groupBy("key").agg(F.sum("size").alias("n")).where(F.col("n") >= OVERFULL * fair).collect()}
+    first = len(cuts) + 1
+    parts = {first + i: -(-own[k] // int(fair)) for i, k in enumerate(sorted(own))}
+    placed = keyed.withColumn("range", range_of(cuts, list(own))("key")).withColumn("part", part_of(parts, first + len(own))("range", "tie"))
     counts = sorted(tuple(r) for r in placed.groupBy("range", "part").agg(F.sum("size"), F.count("*")).collect())
-    seen, rows, table = 0, [0] * shards, []
+    units: dict[tuple, list] = {}  # what stays together: a range, or a part of a text that no shard holds
     for k, part, size, n in counts:
-        shard = min(shards - 1, int((seen + size / 2) * shards / total))
-        table.append((k, part, shard, rows[shard]))
-        seen, rows[shard] = seen + size, rows[shard] + n
+        alone = k >= first and own[sorted(own)[k - first]] > share
+        units.setdefault((k, part if alone else -1), []).append((k, part, size, n))
+    emptiest, rows, table = [(0, shard) for shard in range(shards)], [0] * shards, []
+    for _, unit in sorted(units.items(), key=lambda u: (-sum(c[2] for c in u[1]), u[0])):
+        held, shard = heapq.heappop(emptiest)
+        for k, part, size, n in unit:
+            table.append((k, part, shard, rows[shard]))
+            held, rows[shard] = held + size, rows[shard] + n
+        heapq.heappush(emptiest, (held, shard))
     where = spark.createDataFrame(table, "range int, part int, shard int, before long")
     order = Window.partitionBy("range", "part").orderBy("key", "tie", "doc_id")
     return placed.withColumn("row", F.row_number().over(order)).join(F.broadcast(where), ["range", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("row") - 1).alias("slot"))
@@ -92,7 +112,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges_per_shard: int = RAN
     """doc_id, size, text_crc32, shard, slot for every row of (doc_id, text).
 
     ``size`` is the UTF-8 bytes of the text plus one (null text: one).  Shards get nearly equal bytes; equal
-    texts share a shard unless their copies are more than a range holds.  ``slot`` runs from 0 without gaps
+    texts share a shard unless their copies are more than a shard's share.  ``slot`` runs from 0 without gaps
     in each shard.  Null ids are keys like any other, repeated rows are separate records, an empty table
     gives no rows, other columns are left out.
     """
