@@ -5,7 +5,9 @@ fraction.  Pairs of documents pass each other *words* (fraction times size) unti
 number of copies; which way the mass goes is drawn so that every fraction keeps its expectation.  The words
 a source gives therefore never move, except for one last document.  Groups of documents are paired in
 parallel, each leaves at most one fractional document, and these meet in groups of ``FAN_IN``, level after
-level, until a source has one left, which is rounded by its own fraction.
+level, until a source has one left, which is rounded by its own fraction.  A long document that a group would
+leave over is settled as well, against short ones that pass on or take up its words, so that what is left over
+is short and targets are met closely.
 """
 
 from __future__ import annotations
@@ -79,13 +81,43 @@ def pivot(fraction: np.ndarray, size: np.ndarray, dice: np.ndarray) -> tuple[np.
     return np.array(out), held
 
 
+def settle(fraction: np.ndarray, size: np.ndarray, held: int, dice: np.ndarray) -> tuple[np.ndarray, int]:
+    """Round the document left over and pass the words it gains or gives to settled ones: the new one left over.
+
+    It goes up with the probability of its fraction.  Going up it takes its words from documents at one, going
+    down it gives them to documents at zero, in an order that is drawn; the shortest of those is left over.
+    """
+    out, up = fraction.copy(), dice[held] * 1e6 % 1 < fraction[held]
+    words = size[held] * (1 - out[held] if up else out[held])
+    other = np.flatnonzero((out == (1 if up else 0)) & (np.arange(len(out)) != held) & (size > 0))
+    if not len(other) or size[other].min() >= size[held]:
+        return out, held
+    flipped = []
+    for j in other[np.argsort(dice[other], kind="stable")].tolist():
+        if size[j] <= words:
+            words -= size[j]
+            flipped.append(j)
+    out[flipped] = 0 if up else 1
+    out[held] = 1 if up else 0
+    rest = np.setdiff1d(other, flipped)
+    if words <= 1e-9 * size[held]:
+        return out, -1
+    last = rest[np.argmin(size[rest])] if len(rest) else held  # all of the rest are longer than what is left
+    share = words / size[last]
+    out[last] = 1 - share if up else share
+    return out, int(last)
+
+
 def _round_groups(rows: DataFrame, level: int, last: bool) -> DataFrame:
     """Pair the documents of each (source, group); ``open`` marks what is left for the next level."""
 
     def paired(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "doc_id", "size"], kind="stable", ignore_index=True)
+        # the longest first: what is left over at the end, and misses the target by its size, is short
+        frame = frame.sort_values(["size", "key", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
         dice = _dice(frame["key"].to_numpy(), level * 2 + 1)
         fraction, held = pivot(frame["fraction"].to_numpy(np.float64), frame["size"].to_numpy(np.float64), dice)
+        if held >= 0:
+            fraction, held = settle(fraction, frame["size"].to_numpy(np.float64), held, dice)
         if held >= 0 and last:
             fraction[held] = float(_dice(frame["key"].to_numpy()[held : held + 1], 0)[0] < fraction[held])
             held = -1
