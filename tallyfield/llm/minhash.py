@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import Remember, byte_texts, materialize, mix, rolling, slices, split_words, window_starts, word_hashes
+from tallyfield.llm.common import Remember, byte_texts, materialize, mix, release, rolling, slices, split_words, window_starts, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -164,7 +164,9 @@ def components(edges: DataFrame) -> DataFrame:
             out = linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = linked.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.where("u <> m").select("u", "m"))
-        return materialize(out.distinct(), "star")
+        made = materialize(out.distinct(), "star")
+        release(least)
+        return made
 
     def digest(edges: DataFrame):
         return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -173,7 +175,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = None
     while seen != (now := digest(edges)):
         seen = now
-        edges = star(star(edges, True), False)
+        large = star(edges, True)
+        release(edges)
+        edges = star(large, False)
+        release(large)
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(edges.select("b", "b")).distinct()
 
@@ -201,6 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: float = S
     candidates = materialize(_left_over(measured, merged, sets, similarity), "left-over")
     more = _pairs_with_sets(candidates, sets).mapInArrow(_compare, _COMPARED).where(alike).select("a", "b")
     more = materialize(more, "more-links")
+    release(measured, sets, stars, candidates)
     if not more.isEmpty():
         merged = materialize(components(edges.union(more)), "components")
 

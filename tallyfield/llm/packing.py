@@ -10,11 +10,8 @@ groups are dealt out anew, packed and certified again, until no group has a gap,
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -23,14 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.llm.common import byte_texts, materialize, slices
+from tallyfield.llm.encoder import word_encoder
 
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 25_000
 ROUNDS = 4
 CHUNK_BYTES = 4 << 20
-#: Words a generation remembers; a worker holds two generations at most.
-REMEMBERED_WORDS = 150_000
 #: A bin with this share of its room or more in use stays as it is when its group goes to the exchange.
 TIGHT = 0.998
 
@@ -41,102 +37,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Letters without a canonical composition to wait for (ASCII and Latin-1), then ASCII signs.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
-
-
-@lru_cache(1)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-class WordEncoder:
-    """Token ids of texts, as little-endian unsigned 32-bit values, by words that are encoded once.
-
-    The tokenizer splits at white space, and letters from punctuation, before anything else, so the ids of
-    a text are those of its words in order.  Lower-cased runs of letters that are new are encoded
-    together in one call; a token that ends a word shows where the next begins.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        ends = [k.endswith("</w>") for k, _ in sorted(self.tokenizer.get_vocab().items(), key=lambda x: x[1])]
-        self.ends = np.array(ends)
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.letters: dict[bytes, bytes] = {}
-
-    def _one(self, word: bytes) -> bytes:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Remember ``new`` words; of those remembered before, the ones used lately outlast a change of generation."""
-        if len(self.words) + len(new) > REMEMBERED_WORDS:
-            self.older, self.words, self.letters = self.words, {}, {}
-        for w in new & self.older.keys():
-            self.words[w] = self.older[w]
-        plain, other = {}, []
-        for w in new - self.words.keys():
-            if w.isalpha():  # of bytes: ASCII letters alone
-                plain[w] = (w.lower(), b"")
-            elif m := _PLAIN.fullmatch(w):
-                plain[w] = (m[1].decode().lower().encode(), m[2])
-            else:
-                other.append(w)
-        fresh = list({x for x, _ in plain.values()} - self.letters.keys())
-        if fresh:
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(fresh).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            data, ends = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            begin = 0
-            for x, end in zip(fresh, ends, strict=True):
-                self.letters[x] = data[begin:end]
-                begin = end
-        for p in {p for _, p in plain.values()} - self.letters.keys():
-            self.letters[p] = self._one(p) if p else b""
-        letters = self.letters
-        for w, (x, p) in plain.items():
-            self.words[w] = letters[x] + letters[p] if p else letters[x]
-        for w in other:
-            self.words[w] = self._one(w)
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        # folding ASCII case here changes no id (but for special tokens, which a text then must not spell)
-        parts = [(x if b"<|" in x else x.lower()).split() for x in texts]
-        if new := set(chain.from_iterable(parts)) - self.words.keys():
-            before = self.words
-            self._learn(new)
-            if self.words is not before:  # a new generation lacks what this chunk already had
-                self._learn(set(chain.from_iterable(parts)) - self.words.keys())
-        get = self.words.__getitem__
-        return [b"".join(map(get, words)) for words in parts]
-
-
-@lru_cache(1)
-def _encoder(path: str) -> WordEncoder:
-    """The encoder of this Python worker: the words it remembers outlast a task."""
-    return WordEncoder(path)
-
-
 def _pieces(path: str, capacity: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, uid, end = _encoder(path), TaskContext.get().partitionId() << 36, np.uint32(END_ID).tobytes()
+        encoder, uid = word_encoder(path), TaskContext.get().partitionId() << 36
         for part in slices(batches, "text", CHUNK_BYTES):
-            rows = []
-            for i, ids in enumerate(encode(byte_texts(part))):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    own = ids[at : at + 4 * capacity]
-                    rows.append((i, k, at // 4, len(own) // 4, zlib.crc32(own), own))
-            of, piece, start, length, crc, own = zip(*rows, strict=True)
-            columns = {"doc_id": part.column("doc_id").take(pa.array(of)), "uid": pa.array(range(uid, uid + len(rows))), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())}
+            ids, own = encoder.ids_of(byte_texts(part))
+            ids, own = np.insert(ids, np.cumsum(own), END_ID), own + 1
+            pieces = -(-own // capacity)
+            of, n = np.repeat(np.arange(len(own)), pieces), int(pieces.sum())
+            piece = np.arange(n) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            length = np.minimum(capacity, own[of] - piece * capacity)
+            ends = np.cumsum(length)
+            view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+            columns = [part.column("doc_id").take(pa.array(of)), pa.array(np.arange(uid, uid + n)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())]
+            names = ["doc_id", "uid", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                columns["ids"] = pa.ListArray.from_arrays(np.cumsum([0, *length]).astype(np.int32), np.frombuffer(b"".join(own), np.int32))
-            uid += len(rows)
-            yield pa.RecordBatch.from_pydict(columns)
+                columns, names = [*columns, pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), ids.view(np.int32))], [*names, "ids"]
+            uid += n
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return cut
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from tallyfield.llm import minhash, mixing, packing, quality, sharding, substring, token_counts
+from tallyfield.llm.common import Remember
 from tests.llm.edge import SCHEMA, corpus, frame, words
 
 N = -(1 << 63)
@@ -68,14 +69,40 @@ def test_substring(docs, rows):
 
 
 def test_substring_in_small_chunks(docs, rows, monkeypatch):
-    """Many chunks, so that repeats are found across them."""
-    counted = substring._pack_windows(20, 7)
-    assert counted is not None
+    """Many chunks and many buckets, so that repeats are found across them."""
+    monkeypatch.setattr(substring, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 1000)
     pieces = docs.repartition(17)
+    packed = pieces.selectExpr("doc_id", "text", "xxhash64(text) text_hash").mapInArrow(substring._pack_windows(20, 50), substring._PACKED)
+    assert packed.select("chunk").distinct().count() > 20 and packed.select("bucket").distinct().count() == 50
     found = [tuple(r) for r in substring.remove_repeats(pieces).select("doc_id", "n_words", "n_removed", "kept_text").collect()]
     assert sorted(map(str, found)) == sorted(map(str, brute_substring(rows)))
 
 
+def test_windows_of_one_hash_are_told_apart():
+    """Equal 64-bit values whose further bits differ are different windows."""
+    r = np.random.default_rng(0)
+    hashes, tags = r.integers(0, 5, 400).astype(np.uint64), r.integers(0, 4, 400).astype(np.uint16)
+    ids, starts = r.integers(0, 9, 400), r.integers(0, 30, 400)
+    first = {}
+    for h, t, at in zip(hashes.tolist(), tags.tolist(), zip(ids.tolist(), starts.tolist(), strict=True), strict=True):
+        first[h, t] = min(first.get((h, t), at), at)
+    expected = [first[h, t] < at for h, t, at in zip(hashes.tolist(), tags.tolist(), zip(ids.tolist(), starts.tolist(), strict=True), strict=True)]
+    assert substring._repeats(hashes, tags, ids, starts).tolist() == expected
+
+
+def test_both_hashes_follow_the_words():
+    r = np.random.default_rng(1)
+    for width in (1, 2, 3, 20):
+        words = [b"w%d" % i for i in r.integers(0, 2, 3000)]
+        for h in substring._windows(words, width, Remember(substring._two_hashes)):
+            by = {}
+            for i, x in enumerate(h.tolist()):
+                by.setdefault(x, set()).add(tuple(words[i : i + width]))
+            assert len(h) == 3001 - width and all(len(x) == 1 for x in by.values())
+            assert len(by) == len({tuple(words[i : i + width]) for i in range(len(h))})
+
+
 def brute_classes(rows, similarity=0.8, width=5):
     sets = collections.defaultdict(set)
     for d, t, _ in rows:
@@ -214,6 +241,23 @@ def test_pivot_keeps_words_and_expectations():
     assert np.abs(runs / 3000 - fraction).max() < 0.06
 
 
+def test_what_is_left_over_is_short():
+    """Settling keeps the words of all and nearly, at equal fractions, the expectations."""
+    rng = np.random.default_rng(3)
+    size = np.append(rng.integers(5, 40, 200), [900, 700]).astype(float)
+    fraction, runs = np.full(202, 0.4), np.zeros(202)
+    for _ in range(4000):
+        dice = rng.random(202)
+        out, held = mixing.pivot(fraction, size, dice)
+        if held >= 0:
+            out, held = mixing.settle(out, size, held, dice)
+        assert abs((out * size).sum() - (fraction * size).sum()) < 1e-6
+        assert all(x in (0, 1) for i, x in enumerate(out) if i != held) and (held < 0 or 0 < out[held] < 1 and size[held] < 41)
+        runs += out
+    off = np.abs(runs / 4000 - fraction)
+    assert off.max() < 0.1 and off.mean() < 0.03  # the shortest fill what is left and keep theirs less closely
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
@@ -295,6 +339,8 @@ def test_sharding(docs, rows):
         slots[r["shard"]].append(r["slot"])
         total[r["shard"]] += r["size"]
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    longest = max(size(t) for _, t, _ in rows)
+    assert max(total.values()) - min(total[s] for s in range(4)) <= 2 * longest
 
 
 def test_sharding_keeps_equal_texts_together_and_splits_what_is_too_much(spark):
@@ -372,3 +418,32 @@ def test_quality_edges(spark, docs, rows):
         texts[r["text"]].add(r["score"])
     assert all(len(s) == 1 for s in texts.values())
     assert hashlib.sha256(model.weights.tobytes()).digest() == hashlib.sha256(quality.train(docs.repartition(5), labels).weights.tobytes()).digest()
+
+
+def test_a_text_that_a_shard_holds_stays_whole(spark):
+    """Copies of 0.9 shards' bytes share one shard; those of 1.5 shards are split; sizes stay equal."""
+    size = 30
+    text = lambda i: f"text {i} ".ljust(size - 1, "y")
+    other = [(i, text(i), "s") for i in range(5600)]
+    rows = other + [(10_000 + i, "a".ljust(size - 1, "a"), "s") for i in range(900)] + [(20_000 + i, "b".ljust(size - 1, "b"), "s") for i in range(1500)]
+    got = sharding.shard_by_bytes(frame(spark, rows).repartition(5), 8).collect()
+    total, shards, slots = collections.Counter(), collections.defaultdict(set), collections.defaultdict(list)
+    for r in got:
+        total[r["shard"]] += r["size"]
+        shards[r["doc_id"] // 10_000].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+    assert len(shards[1]) == 1 and len(shards[2]) > 1
+    assert len(total) == 8 and max(total.values()) < 1.02 * min(total.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_mixes_meet_their_targets_closely(spark, small):
+    """Even where some documents are very long."""
+    r = np.random.default_rng(0)
+    rows = [(i, " ".join(["w"] * int(n)), f"s{i % 3}") for i, n in enumerate(np.append(r.integers(20, 200, 3000), [4000, 5000, 6000] * 3))]
+    got = mixing.mix_sources(frame(spark, rows).repartition(3)).collect()
+    taken, target = collections.Counter(), {}
+    for x in got:
+        taken[x["source"]] += x["taken"]
+        target[x["source"]] = x["target"]
+    assert all(abs(taken[s] - t) < 0.005 * t for s, t in target.items())

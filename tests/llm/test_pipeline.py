@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallyfield.llm import mixing, oracles, packing, quality, queries
@@ -91,8 +92,8 @@ def test_mix_stage_repeats_rows_as_drawn(spark, docs, sf_dir):
 
 
 def test_packing_stage_loses_nothing(spark, docs, rows, sf_dir):
-    encode = packing.WordEncoder(packing.default_tokenizer())
-    ids = {(d, t): np.frombuffer(encode([(t or "").encode()])[0] + np.uint32(1).tobytes(), np.uint32) for d, t, _ in rows}
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    ids = {(d, t): np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], np.uint32) for d, t, _ in rows}
     expected = collections.Counter((d, i // 4096, zlib.crc32(ids[d, t][i : i + 4096].tobytes())) for d, t, _ in rows for i in range(0, len(ids[d, t]), 4096))
     got = STAGES["packing"](spark, docs, sf_dir).collect()
     assert collections.Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == expected
@@ -110,15 +111,3 @@ def test_run_applies_the_stages_in_turn(spark, small):
 def test_query_agrees_with_its_sql(spark, small, name):
     mine, other = compared(queries.queries()[name](spark, small), views(small), oracles.oracle_sql()[name])
     assert mine == other
-
-
-def test_words_are_encoded_as_the_tokenizer_does(spark, small):
-    """The whole texts of the documents: the fast path by words gives the tokenizer's own ids."""
-    from tokenizers import Tokenizer
-
-    tokenizer, encode = Tokenizer.from_file(packing.default_tokenizer()), packing.WordEncoder(packing.default_tokenizer())
-    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").select("text").collect() if r["text"]]
-    assert len({xxhash.xxh3_64_intdigest(t) for t in texts}) > 50
-    for t in texts:
-        assert np.frombuffer(encode([t.encode()])[0], np.uint32).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
-        assert words(t) == [w.decode() for w in t.encode().split()]
