@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 # Letters with marks and the plain letters they stand for.
 _MARKED = "áàäâãåéèëêíìïîóòöôõúùüûñçýÿÁÀÄÂÃÅÉÈËÊÍÌÏÎÓÒÖÔÕÚÙÜÛÑÇÝ"
 _PLAIN = "aaaaaaeeeeiiiiooooouuuuncyyAAAAAAEEEEIIIIOOOOOUUUUNCY"
-# Tokens that name the kind of club and say nothing about which one it is.
-CLUB_TOKENS = ("cf", "cd", "ud", "fc", "ad", "sd", "club", "atletico", "deportivo")
+# Tokens that badge keys leave out.
+BADGE_TOKENS = ("CF", "UD", "CD", "AD", "SD", "AFC", "SC", "CP", "CE", "CEF", "SSD", "ATLETICO", "ATL")
+# Words that say nothing about which team it is when names are scored.
+NOISE = (
+    "CF", "CD", "UD", "AD", "SD", "FC", "CFS", "CDF", "SAD", "CB", "EF", "EDF", "CLUB", "DEPORTIVO", "DEPORTIVA", "ATLETICO", "ATCO", "ATL", "REAL",
+    "BALOMPIE", "ESCUELA", "FUTBOL", "FUNDACION", "ASOCIACION", "SOCIEDAD", "DE", "DEL", "LA", "EL", "LOS", "LAS", "Y",
+)
+# Dotted abbreviations, which go as a whole so that their last letter is not taken for a team's.
+DOTTED = r"\b(?:[A-Za-zÁÉÍÓÚÑ]\.){2,}"
 # The abbreviations and words that reconciliation and team keys leave out, in this order.
 CLUB_WORDS = (r"c\s*f", r"c\s*d", r"c\s*d\s*f", r"u\s*d", r"a\s*d", r"s\s*d", r"s\s*c", r"s\s*a\s*d", r"e\s*f", r"c\s*p", r"c\s*e", "club", "deportivo", "atletico", r"atletico\s+c\s*f", "deportiva", "sociedad", "union", r"f\s*c")
 # Quotes and punctuation that count as spaces there.
 SPACING = r"[\"'‘’“”.,;:]"
 # Words that stand for a free round instead of an opponent.
-BYE_WORDS = ("DESCANSA", "DESCANSO", "BYE", "LIBRE")
+BYE_WORDS = ("DESCANSA", "DESCANSO", "DESCANSAN")
 
 
 def without_marks(text: Column) -> Column:
@@ -27,14 +34,14 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def _without_tokens(text: Column, tokens=CLUB_TOKENS) -> Column:
+def _without_tokens(text: Column, tokens=CLUB_WORDS) -> Column:
     return F.regexp_replace(text, r"\b(" + "|".join(tokens) + r")\b", " ")
 
 
 def badge_key(name: Column) -> Column:
-    """Marks and quotes, dots and commas go, club words go, lower case, single spaces."""
-    bare = F.regexp_replace(without_marks(name), r"[\"'’`.,]", "")
-    return squeezed(F.lower(_without_tokens(F.lower(bare))))
+    """Marks and quotes, dots and commas go, club tokens go, lower case, single spaces."""
+    bare = F.regexp_replace(without_marks(name), r"[\"',.‘’“”]", "")
+    return squeezed(F.lower(F.regexp_replace(bare, r"(?i)\b(" + "|".join(BADGE_TOKENS) + r")\b", "")))
 
 
 def _plain(name: Column) -> Column:
@@ -70,16 +77,24 @@ def is_bye(name: Column) -> Column:
     return folded(name).isin(*BYE_WORDS)
 
 
+def _undotted(name: Column) -> Column:
+    return folded(F.regexp_replace(name, DOTTED, " "))
+
+
 def filial(name: Column) -> Column:
-    """The letter A-F after a team's name, or null; of several the last counts."""
-    found = F.regexp_extract(folded(name), r"(?: ([A-F]))+$", 1)
+    """The letter A-F at the end of a team's name of more words, or null; of several the last counts."""
+    found = F.regexp_extract(_undotted(name), r" ([A-F])$", 1)
     return F.when(found != "", found)
 
 
-def core_tokens(name: Column, noise=CLUB_TOKENS) -> Column:
-    """The distinct words of a name without club words and trailing letters."""
-    words = F.split(F.regexp_replace(F.lower(folded(name)), r"( [a-f])+$", ""), " ")
-    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*noise)))
+def core_tokens(name: Column, noise=NOISE) -> Column:
+    """The distinct words that tell a team from others: no letters at the end, no single letters, no noise.
+
+    A name of nothing else keeps all its words.
+    """
+    words = F.array_distinct(F.filter(F.split(F.regexp_replace(_undotted(name), r"( [A-F])+$", ""), " "), lambda w: w != ""))
+    core = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*noise))
+    return F.when(F.size(core) > 0, core).otherwise(words)
 
 
 def without_cup_marks(name: Column) -> Column:
@@ -92,9 +107,11 @@ def single_quoted_letter(name: Column) -> Column:
     return F.regexp_replace(name, r"\b([A-Z])\s+\"\1\"", '"$1"')
 
 
-def initials(name: Column, most: int = 2) -> Column:
-    words = F.slice(F.filter(F.split(name, " "), lambda w: w != ""), 1, most)
-    return F.upper(F.concat_ws("", F.transform(words, lambda w: F.substring(w, 1, 1))))
+def initials(name: Column) -> Column:
+    """Two letters of a name of one word, else the first letters of the first three; only letters and spaces count."""
+    words = F.split(F.trim(F.regexp_replace(name, r"[^a-zA-ZáéíóúñÁÉÍÓÚÑüÜ\s]", "")), r"\s+")
+    first = F.concat_ws("", F.transform(F.slice(words, 1, 3), lambda w: F.substring(w, 1, 1)))
+    return F.upper(F.when(F.size(words) == 1, F.substring(words[0], 1, 2)).otherwise(first))
 
 
 def name_hue(name: Column) -> Column:
@@ -112,8 +129,9 @@ def html_escaped(text: Column) -> Column:
 
 
 def short_venue(venue: Column) -> Column:
-    """A venue up to its first comma or dash, without the word for a ground."""
-    return squeezed(F.regexp_replace(F.get(F.split(venue, r"\s*[,–-]\s*"), F.lit(0)), r"(?i)^(campo municipal|campo|estadio)( de)? ", ""))
+    """A venue up to its first spaced dash, without a leading word for a ground; null is empty."""
+    head = F.substring_index(F.coalesce(venue, F.lit("")), " - ", 1)
+    return F.when(head.startswith("Campo "), F.substring(head, 7, 1 << 30)).otherwise(head)
 
 
 def round_number(label: Column) -> Column:
@@ -121,9 +139,69 @@ def round_number(label: Column) -> Column:
     return F.regexp_extract(label, r"(\d+)", 1).try_cast("int")
 
 
-def round_name(to_final: Column) -> Column:
-    """A knock-out round's name by its distance from the final."""
-    return F.when(to_final == 0, "final").when(to_final == 1, "semi-final").when(to_final == 2, "quarter-final").when(to_final > 2, F.concat(F.lit("round of "), F.pow(F.lit(2), to_final + 1).cast("int").cast("string"))).otherwise("preliminary")
+# What a round's label says, in the order it is looked for, and the rounds before the final.
+ROUND_WORDS = (("previa", "Previa"), ("dieciseis", "Dieciseisavos"), ("octavos", "Octavos"), ("cuartos", "Cuartos"), ("semifinal", "Semifinales"), (r"\bfinal\b", "Final"))
+FROM_END = ("Final", "Semifinales", "Cuartos", "Octavos")
+
+
+def round_name(label: Column, to_final: Column) -> Column:
+    """A knock-out round's name: the one in its label, else by its distance from the final, else the label's number."""
+    named = F.coalesce(*[F.when(F.lower(label).rlike(k), v) for k, v in ROUND_WORDS])
+    counted = F.coalesce(*[F.when(to_final == i, name) for i, name in enumerate(FROM_END)])
+    number = F.regexp_extract(label, r"(?i)Ronda\s+(\d+)", 1)
+    bare = F.trim(F.regexp_replace(label, r"\d{2}-\d{2}-\d{4}\s*", ""))
+    return F.coalesce(named, counted, F.when(number != "", F.concat(F.lit("Ronda "), number)), bare)
+
+
+# Signs for phases, by words that their names hold.
+PHASE_SIGNS = (("copa", "🏆"), ("campeon", "🏆"), ("campeón", "🏆"), ("lanzarote", "🌋"), ("fuerteventura", "🏝️"), ("gran canaria", "🏔️"), (" gc", "🏔️"))
+OTHER_SIGN = "⚽"
+
+
+def phase_sign(phase: Column) -> Column:
+    """The sign of the first word that a phase's name holds."""
+    lower = F.lower(F.coalesce(phase, F.lit("")))
+    return F.coalesce(*[F.when(lower.contains(k), v) for k, v in PHASE_SIGNS], F.lit(OTHER_SIGN))
+
+
+def shown_group(name: Column, category: Column) -> Column:
+    """A group's name as scorer lists show it, from its full name and its category."""
+    upper = F.upper(name)
+    bare = F.concat(F.lit("BENJAMIN "), F.trim(F.regexp_replace(upper, r"\bBENJAMIN\b\s*", "")))
+    younger, island = F.regexp_extract(upper, r"G-?(\d+)", 1), F.regexp_extract(upper, r"GRUPO\s*(\d+)", 1)
+    small = F.when(younger != "", F.concat(F.lit("PREBENJAMIN GC GRUPO "), younger)).otherwise(upper)
+    lanzarote = ~upper.contains("FUERTEVENTURA") & upper.contains("LANZAROTE") & (island != "")
+    return F.when(category == "PREBENJAMIN", small).when(lanzarote, F.concat(F.lit("BENJAMIN PRIMERA LANZAROTE G"), island)).otherwise(bare)
+
+
+# Slugs of first phases and the codes that their numbers follow.
+SLUG_CODES = ((r"^1benjamin(\d+)$", "P"), (r"^1prebenjamin(\d+)$", "PGC"))
+
+
+def slug_code(slug: Column) -> Column:
+    """A group's code from its page's slug: by the table of first phases, else the slug in capitals."""
+    numbers = [(F.regexp_extract(slug, pattern, 1), code) for pattern, code in SLUG_CODES]
+    return F.coalesce(*[F.when(n != "", F.concat(F.lit(code), n)) for n, code in numbers], F.upper(slug))
+
+
+def _is_fuerteventura(slug: Column) -> Column:
+    return F.lower(slug).contains("fuerteventura") | F.lower(slug).contains("fv")
+
+
+def slug_phase(slug: Column) -> Column:
+    s = F.lower(slug)
+    second = s.startswith("2") | s.contains("segunda")
+    return F.when(s.contains("lanzarote"), "Lanzarote").when(_is_fuerteventura(slug), "Fuerteventura").when(second, "Segunda Fase GC").otherwise("Primera Fase GC")
+
+
+def slug_island(slug: Column) -> Column:
+    return F.when(F.lower(slug).contains("lanzarote"), "lanzarote").when(_is_fuerteventura(slug), "fuerteventura").otherwise("grancanaria")
+
+
+def slug_label(slug: Column) -> Column:
+    """``Grupo N`` from the number that ends a slug."""
+    n = F.regexp_extract(slug, r"(\d+)$", 1)
+    return F.concat(F.lit("Grupo "), F.when(n != "", n).otherwise("?"))
 
 
 def slug_part(slug: Column, position: int) -> Column:

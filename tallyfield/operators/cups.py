@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,16 +94,33 @@ def rotation_letter(number, base: int, letters: int):
     return F.chr(F.lit(65) + F.pmod(number - base, F.lit(letters)))
 
 
-def is_cup_prefix(code):
-    """A cup by its code: it starts with the cup mark."""
-    return F.upper(code).startswith("C")
+# Code prefixes and phase words of knock-out competitions; three places ask for different ones.
+LEAGUE_CUP_CODES, GROUP_CUP_CODES, BRACKET_CODES = ("PCC", "BC"), ("PCC", "BC", "MCP", "MCB"), ("PCC", "BC", "MCPK", "MCBK")
+GROUP_CUP_WORDS, BRACKET_WORDS = ("copa", "campeon", "maspalomas"), ("copa", "campeon")
+BRACKET_ENDING, BRACKET_ROUND = "KO", "ronda"
+
+
+def _begins(code, prefixes):
+    upper = F.upper(F.coalesce(code, F.lit("")))
+    return reduce(lambda x, y: x | y, [upper.startswith(p) for p in prefixes])
+
+
+def _holds(phase, words):
+    lower = F.lower(F.coalesce(phase, F.lit("")))
+    return reduce(lambda x, y: x | y, [lower.contains(w) for w in words])
+
+
+def is_league_group(code, phase):
+    """Whether tables may be recomputed: no cup by the word in its phase or by its code."""
+    return ~(_holds(phase, ("copa",)) | _begins(code, LEAGUE_CUP_CODES))
 
 
-def is_cup_contains(name):
-    """A cup by its name: it holds the word."""
-    return F.lower(name).contains("copa") | F.lower(name).contains("cup")
+def is_cup_group(code, phase):
+    """Whether a group stays out of league views: by its code or a word in its phase."""
+    return _begins(code, GROUP_CUP_CODES) | _holds(phase, GROUP_CUP_WORDS)
 
 
-def is_cup_pattern(name):
-    """A cup by a pattern over code and name: cup words, champions, finals."""
-    return F.lower(name).rlike(r"\b(copa|cup|champions|final)\b")
+def is_bracket_group(code, phase, rounds):
+    """Whether a group is shown as a bracket: by code, its ending, phase, or if all its rounds are named so."""
+    named = (F.size(rounds) > 0) & F.forall(rounds, lambda r: F.lower(r).contains(BRACKET_ROUND))
+    return _begins(code, BRACKET_CODES) | F.upper(F.coalesce(code, F.lit(""))).endswith(BRACKET_ENDING) | _holds(phase, BRACKET_WORDS) | F.coalesce(named, F.lit(False))

@@ -62,9 +62,10 @@ def names_match(a: Column, b: Column) -> Column:
     """Whether two reconciliation keys name the same team.
 
     Equal; or one begins with the other and the shorter has five letters; or all words of one are in the
-    other, at least two and one of five letters; or two words are shared and one has five letters.
+    other, at least two and one of five letters; or two words are shared and one has five letters.  Words of
+    one letter do not count.
     """
-    x, y = F.array_distinct(F.split(a, " ")), F.array_distinct(F.split(b, " "))
+    x, y = (F.array_distinct(F.filter(F.split(n, " "), lambda w: F.length(w) >= 2)) for n in (a, b))
     both = F.array_intersect(x, y)
     prefix = (a.startswith(b) | b.startswith(a)) & (F.least(F.length(a), F.length(b)) >= LONG_TOKEN)
     long = F.exists(both, lambda t: F.length(t) >= LONG_TOKEN)

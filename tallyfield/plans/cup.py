@@ -95,13 +95,28 @@ def round_robin_letter(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", cups.rotation_letter(F.col("s_suppkey"), 1, 4).alias("letter"))
 
 
-@query("SELECT n_name, upper(n_name) LIKE 'C%' by_prefix, lower(n_name) LIKE '%copa%' OR lower(n_name) LIKE '%cup%' by_word, regexp_matches(lower(n_name), '\\b(copa|cup|champions|final)\\b') by_pattern FROM (SELECT CASE n_nationkey % 5 WHEN 0 THEN 'Copa ' || n_name WHEN 1 THEN 'C' || n_name WHEN 2 THEN 'The ' || n_name || ' final' WHEN 3 THEN 'Cupola ' || n_name ELSE n_name END n_name FROM nation)")
+_GROUPS = """g AS (SELECT c_custkey id, CASE c_custkey % 9 WHEN 0 THEN 'PCC' WHEN 1 THEN 'bca' WHEN 2 THEN 'MCP' WHEN 3 THEN 'MCBK' WHEN 4 THEN 'Xko' WHEN 5 THEN NULL ELSE 'PG' END || CASE WHEN c_custkey % 9 = 4 THEN '' ELSE c_custkey::VARCHAR END code,
+    CASE c_custkey % 7 WHEN 0 THEN 'Copa de verano' WHEN 1 THEN 'Liga de Campeones' WHEN 2 THEN 'Maspalomas' WHEN 3 THEN NULL ELSE 'Primera Fase' END phase,
+    CASE c_custkey % 5 WHEN 0 THEN ['( Ronda 1 )', 'ronda 2'] WHEN 1 THEN ['Ronda 1', '7'] WHEN 2 THEN []::VARCHAR[] ELSE ['1', '2'] END rounds FROM customer)"""
+
+
+@query(
+    f"""WITH {_GROUPS} SELECT id, NOT (coalesce(lower(phase), '') LIKE '%copa%' OR regexp_matches(coalesce(upper(code), ''), '^(PCC|BC)')) league,
+    regexp_matches(coalesce(upper(code), ''), '^(PCC|BC|MCP|MCB)') OR regexp_matches(coalesce(lower(phase), ''), 'copa|campeon|maspalomas') cup,
+    regexp_matches(coalesce(upper(code), ''), '^(PCC|BC|MCPK|MCBK)|KO$') OR regexp_matches(coalesce(lower(phase), ''), 'copa|campeon') OR (len(rounds) > 0 AND len(list_filter(rounds, lambda r: NOT lower(r) LIKE '%ronda%')) = 0) bracket FROM g"""
+)
 def cup_predicates(spark, sf_dir):
-    n = F.col("n_name")
-    named = table(spark, sf_dir, "nation").select(
-        F.when(F.col("n_nationkey") % 5 == 0, F.concat(F.lit("Copa "), n)).when(F.col("n_nationkey") % 5 == 1, F.concat(F.lit("C"), n)).when(F.col("n_nationkey") % 5 == 2, F.concat(F.lit("The "), n, F.lit(" final"))).when(F.col("n_nationkey") % 5 == 3, F.concat(F.lit("Cupola "), n)).otherwise(n).alias("n_name")
+    """The three predicates over groups whose code, phase and rounds say different things."""
+    k = F.col("c_custkey")
+    prefix = F.when(k % 9 == 0, "PCC").when(k % 9 == 1, "bca").when(k % 9 == 2, "MCP").when(k % 9 == 3, "MCBK").when(k % 9 == 4, "Xko").when(k % 9 != 5, "PG")
+    groups = table(spark, sf_dir, "customer").select(
+        k.alias("id"),
+        F.concat(prefix, F.when(k % 9 == 4, "").otherwise(k.cast("string"))).alias("code"),
+        F.when(k % 7 == 0, "Copa de verano").when(k % 7 == 1, "Liga de Campeones").when(k % 7 == 2, "Maspalomas").when(k % 7 != 3, "Primera Fase").alias("phase"),
+        F.when(k % 5 == 0, F.array(F.lit("( Ronda 1 )"), F.lit("ronda 2"))).when(k % 5 == 1, F.array(F.lit("Ronda 1"), F.lit("7"))).when(k % 5 == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("1"), F.lit("2"))).alias("rounds"),
     )
-    return named.select("n_name", cups.is_cup_prefix(n).alias("by_prefix"), cups.is_cup_contains(n).alias("by_word"), cups.is_cup_pattern(n).alias("by_pattern"))
+    code, phase = F.col("code"), F.col("phase")
+    return groups.select("id", cups.is_league_group(code, phase).alias("league"), cups.is_cup_group(code, phase).alias("cup"), cups.is_bracket_group(code, phase, F.col("rounds")).alias("bracket"))
 
 
 _LABELS = "lb AS (SELECT DISTINCT o_custkey % 10 AS cup, CASE WHEN o_orderkey % 4 = 0 THEN 'final' WHEN o_orderkey % 4 = 1 THEN 'previa' ELSE 'Jornada ' || (o_orderkey % 40) END label, min(o_orderkey) OVER (PARTITION BY o_custkey % 10, CASE WHEN o_orderkey % 4 = 0 THEN 'final' WHEN o_orderkey % 4 = 1 THEN 'previa' ELSE 'Jornada ' || (o_orderkey % 40) END) seq FROM orders)"

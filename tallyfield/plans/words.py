@@ -11,27 +11,31 @@ from tallyfield.plans.binding import FIXTURES_SQL, fixtures, table
 from tallyfield.plans.registry import query
 
 TODAY = "1998-03-10"
-_NAMES = "nm AS (SELECT c_custkey id, CASE c_custkey % 6 WHEN 0 THEN 'C.D. ' ELSE '' END || 'Customer' || CASE c_custkey % 4 WHEN 0 THEN ' F.C. ' WHEN 1 THEN '-' WHEN 2 THEN ' Ñú ' ELSE '  ' END || (c_custkey // 6) || CASE c_custkey % 5 WHEN 0 THEN ' A' WHEN 1 THEN ' B' WHEN 2 THEN ' \"F\"' ELSE '' END AS name FROM customer)"
+_NAMES = """nm AS (SELECT c_custkey id, CASE WHEN c_custkey % 97 = 0 THEN 'C.D.' WHEN c_custkey % 89 = 0 THEN 'Real Club' WHEN c_custkey % 83 = 0 THEN ' Descansan ' ELSE
+    CASE c_custkey % 6 WHEN 0 THEN 'C.D. ' WHEN 1 THEN 'AFC ' ELSE '' END || 'Customer' || CASE c_custkey % 4 WHEN 0 THEN ' F.C. ' WHEN 1 THEN '-' WHEN 2 THEN ' Ñú de ' ELSE '  ' END || (c_custkey // 6)
+    || CASE c_custkey % 5 WHEN 0 THEN ' A' WHEN 1 THEN ' B' WHEN 2 THEN ' "F"' ELSE '' END || CASE c_custkey % 7 WHEN 0 THEN ', U.D.' WHEN 1 THEN ' "B"' ELSE '' END END AS name FROM customer)"""
 
 
 def names(spark, sf_dir):
-    """Team-like names in the spellings that normalisers must bring together."""
+    """Team-like names in the spellings that normalisers must bring together, or keep apart."""
     k = F.col("c_custkey")
-    middle = F.when(k % 4 == 0, " F.C. ").when(k % 4 == 1, "-").when(k % 4 == 2, " Ñú ").otherwise("  ")
-    end = F.when(k % 5 == 0, " A").when(k % 5 == 1, " B").when(k % 5 == 2, ' "F"').otherwise("")
-    return table(spark, sf_dir, "customer").select(k.alias("id"), F.concat(F.when(k % 6 == 0, "C.D. ").otherwise(""), F.lit("Customer"), middle, F.floor(k / 6).cast("string"), end).alias("name"))
+    start = F.when(k % 6 == 0, "C.D. ").when(k % 6 == 1, "AFC ").otherwise("")
+    middle = F.when(k % 4 == 0, " F.C. ").when(k % 4 == 1, "-").when(k % 4 == 2, " Ñú de ").otherwise("  ")
+    end = F.concat(F.when(k % 5 == 0, " A").when(k % 5 == 1, " B").when(k % 5 == 2, ' "F"').otherwise(""), F.when(k % 7 == 0, ", U.D.").when(k % 7 == 1, ' "B"').otherwise(""))
+    name = F.concat(start, F.lit("Customer"), middle, F.floor(k / 6).cast("string"), end)
+    return table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 97 == 0, "C.D.").when(k % 89 == 0, "Real Club").when(k % 83 == 0, " Descansan ").otherwise(name).alias("name"))
 
 
 _SP = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
-_TOK = r"'\b(cf|cd|ud|fc|ad|sd|club|atletico|deportivo)\b'"
-_FOLD = _SP.format("regexp_replace(upper(strip_accents(name)), '[^A-Z0-9]+', ' ', 'g')")
-_WORDS = r"'\b(c\s*f|c\s*d|c\s*d\s*f|u\s*d|a\s*d|s\s*d|s\s*c|s\s*a\s*d|e\s*f|c\s*p|c\s*e|club|deportivo|atletico|atletico\s+c\s*f|deportiva|sociedad|union|f\s*c)\b'"
+_FOLD = _SP.format("regexp_replace(upper(strip_accents({})), '[^A-Z0-9]+', ' ', 'g')")
+_WORDS = r"'\b(" + "|".join(text.CLUB_WORDS) + r")\b'"
 _TEAM = _SP.format(rf"regexp_replace(lower(strip_accents(regexp_replace(name, '[\"''‘’“”.,;:]', ' ', 'g'))), {_WORDS}, ' ', 'g')")
 _RECONCILED = _SP.format(rf"regexp_replace({_TEAM}, '\b[abcd]\b\s*$', '')")
-_BADGE = _SP.format(rf"regexp_replace(lower(regexp_replace(strip_accents(name), '[\"''’`.,]', '', 'g')), {_TOK}, ' ', 'g')")
+_BADGE = _SP.format(r"lower(regexp_replace(regexp_replace(strip_accents(name), '[\"'',.‘’“”]', '', 'g'), '(?i)\b(" + "|".join(text.BADGE_TOKENS) + r")\b', '', 'g'))")
+_UNDOTTED = _FOLD.format(r"regexp_replace(name, '\b(?:[A-Za-z]\.){2,}', ' ', 'g')")
 
 
-@query(f"WITH {_NAMES} SELECT id, {_BADGE} badge, {_TEAM} team, {_RECONCILED} reconciliation, {_FOLD} folded, upper({_SP.format('strip_accents(name)')}) player FROM nm")
+@query(f"WITH {_NAMES} SELECT id, {_BADGE} badge, {_TEAM} team, {_RECONCILED} reconciliation, {_FOLD.format('name')} folded, upper({_SP.format('strip_accents(name)')}) player FROM nm")
 def name_keys(spark, sf_dir):
     n = F.col("name")
     return names(spark, sf_dir).select("id", text.badge_key(n).alias("badge"), text.team_key(n).alias("team"), text.reconciliation_key(n).alias("reconciliation"), text.folded(n).alias("folded"), text.player_key(n).alias("player"))
@@ -48,10 +52,18 @@ def name_equality_join(spark, sf_dir):
     return k.join(k.withColumnRenamed("id", "other"), "key").where("id < other").select("id", "other")
 
 
-@query("SELECT p_partkey, p_name, upper(left(split_part(p_name, ' ', 1), 1) || left(split_part(p_name, ' ', 2), 1)) initials, replace(replace(replace(replace(replace(p_name || ' & <' || p_brand || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') escaped FROM part")
+@query(
+    r"""WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name || ' ' || p_partkey || ' "' || p_type || '"' END AS name, p_brand FROM part),
+    w AS (SELECT *, string_split_regex(trim(regexp_replace(name, '[^a-zA-ZáéíóúñÁÉÍÓÚÑüÜ\s]', '', 'g')), '\s+') ws FROM n)
+    SELECT p_partkey, name, upper(CASE WHEN len(ws) = 1 THEN left(ws[1], 2) ELSE left(ws[1], 1) || left(ws[2], 1) || coalesce(left(ws[3], 1), '') END) initials,
+    replace(replace(replace(replace(replace(name || ' & <' || p_brand || '>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') escaped FROM w"""
+)
 def display_names(spark, sf_dir):
-    shown = F.concat("p_name", F.lit(" & <"), "p_brand", F.lit(">"))
-    return table(spark, sf_dir, "part").select("p_partkey", "p_name", text.initials(F.col("p_name")).alias("initials"), text.html_escaped(shown).alias("escaped"))
+    k = F.col("p_partkey")
+    name = F.when(k % 3 == 0, F.substring_index("p_name", " ", 1)).otherwise(F.concat(F.col("p_name"), F.lit(" "), k.cast("string"), F.lit(' "'), F.col("p_type"), F.lit('"')))
+    rows = table(spark, sf_dir, "part").select(k, name.alias("name"), "p_brand")
+    shown = F.concat("name", F.lit(" & <"), "p_brand", F.lit(">"))
+    return rows.select("p_partkey", "name", text.initials(F.col("name")).alias("initials"), text.html_escaped(shown).alias("escaped"))
 
 
 _TOKENS = "nm AS (SELECT DISTINCT p_name || ' ' || p_type name FROM part), tk AS (SELECT name, list_distinct(string_split(lower(name), ' ')) t FROM nm)"
@@ -108,11 +120,11 @@ def date_parse(spark, sf_dir):
 
 
 @query(
-    f"""WITH t AS (SELECT DISTINCT strftime(l_shipdate, '%d/%m') txt FROM lineitem WHERE strftime(l_shipdate, '%d/%m') <> '29/02'), p AS (SELECT txt, CAST(strptime(txt || '/1998', '%d/%m/%Y') AS DATE) y0, CAST(strptime(txt || '/1999', '%d/%m/%Y') AS DATE) y1, CAST(strptime(txt || '/1997', '%d/%m/%Y') AS DATE) ym FROM t)
+    f"""WITH t AS (SELECT DISTINCT strftime(l_shipdate, '%d/%m') txt FROM lineitem), p AS (SELECT txt, CAST(try_strptime(txt || '/1998', '%d/%m/%Y') AS DATE) y0, CAST(try_strptime(txt || '/1999', '%d/%m/%Y') AS DATE) y1, CAST(try_strptime(txt || '/1997', '%d/%m/%Y') AS DATE) ym FROM t)
     SELECT txt, CASE WHEN datediff('day', DATE '{TODAY}', y0) < -180 THEN y1 WHEN datediff('day', DATE '{TODAY}', y0) > 180 THEN ym ELSE y0 END AS resolved FROM p"""
 )
 def dmy_year_resolution(spark, sf_dir):
-    texts = table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "dd/MM").alias("txt")).where("txt <> '29/02'").distinct()
+    texts = table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "dd/MM").alias("txt")).distinct()
     return texts.select("txt", dates.resolved_day_month(F.col("txt"), F.lit(TODAY).cast("date")).alias("resolved"))
 
 
@@ -159,10 +171,67 @@ def html_rows_carry_header(spark, sf_dir):
     return found.withColumn("header", header).where(F.col("x").startswith("<p>")).groupBy("page_id", "header").agg(F.count("*").alias("n_paragraphs"))
 
 
-@query(f"WITH {_NAMES} SELECT id, nullif(regexp_extract({_FOLD}, '(?: ([A-F]))+$', 1), '') filial, list_aggregate(list_sort(list_filter(list_distinct(string_split(regexp_replace(lower({_FOLD}), '( [a-f])+$', ''), ' ')), lambda w: w <> '' AND w NOT IN ('cf', 'cd', 'ud', 'fc', 'ad', 'sd', 'club', 'atletico', 'deportivo'))), 'string_agg', ' ') tokens FROM nm")
+@query(
+    f"""WITH {_NAMES}, f AS (SELECT id, name, {_UNDOTTED} u, {_FOLD.format("name")} whole FROM nm), t AS (SELECT *, list_distinct(list_filter(string_split(regexp_replace(u, '( [A-F])+$', ''), ' '), lambda w: w <> '')) ws FROM f),
+    c AS (SELECT *, list_filter(ws, lambda w: length(w) > 1 AND w NOT IN {text.NOISE}) core FROM t)
+    SELECT id, nullif(regexp_extract(u, ' ([A-F])$', 1), '') filial, coalesce(list_aggregate(list_sort(CASE WHEN len(core) > 0 THEN core ELSE ws END), 'string_agg', ' '), '') tokens, whole IN {text.BYE_WORDS} bye FROM c"""
+)
 def name_tokens(spark, sf_dir):
     n = F.col("name")
-    return names(spark, sf_dir).select("id", text.filial(n).alias("filial"), F.concat_ws(" ", F.array_sort(text.core_tokens(n))).alias("tokens"))
+    return names(spark, sf_dir).select("id", text.filial(n).alias("filial"), F.concat_ws(" ", F.array_sort(text.core_tokens(n))).alias("tokens"), text.is_bye(n).alias("bye"))
+
+
+_SLUGS = "sl AS (SELECT c_custkey id, (c_custkey % 3) || CASE c_custkey % 6 WHEN 0 THEN 'benjamin' WHEN 1 THEN 'prebenjamin' WHEN 2 THEN 'lanzarote' WHEN 3 THEN 'benjaminfv' WHEN 4 THEN 'benjamin' ELSE 'segunda' END || CASE WHEN c_custkey % 4 = 0 THEN '' ELSE (c_custkey % 20)::VARCHAR END slug FROM customer)"
+
+
+@query(
+    rf"""WITH {_SLUGS} SELECT id, slug, coalesce('P' || nullif(regexp_extract(slug, '^1benjamin(\d+)$', 1), ''), 'PGC' || nullif(regexp_extract(slug, '^1prebenjamin(\d+)$', 1), ''), upper(slug)) code,
+    CASE WHEN slug LIKE '%lanzarote%' THEN 'Lanzarote' WHEN slug LIKE '%fv%' THEN 'Fuerteventura' WHEN slug LIKE '2%' OR slug LIKE '%segunda%' THEN 'Segunda Fase GC' ELSE 'Primera Fase GC' END phase,
+    CASE WHEN slug LIKE '%lanzarote%' THEN 'lanzarote' WHEN slug LIKE '%fv%' THEN 'fuerteventura' ELSE 'grancanaria' END island, 'Grupo ' || coalesce(nullif(regexp_extract(slug, '(\d+)$', 1), ''), '?') AS label FROM sl"""
+)
+def slug_meanings(spark, sf_dir):
+    """What page slugs say: code, phase, island and label."""
+    k = F.col("c_custkey")
+    kind = F.when(k % 6 == 1, "prebenjamin").when(k % 6 == 2, "lanzarote").when(k % 6 == 3, "benjaminfv").when(k % 6 == 5, "segunda").otherwise("benjamin")
+    slugs = table(spark, sf_dir, "customer").select(k.alias("id"), F.concat((k % 3).cast("string"), kind, F.when(k % 4 == 0, "").otherwise((k % 20).cast("string"))).alias("slug"))
+    s = F.col("slug")
+    return slugs.select("id", "slug", text.slug_code(s).alias("code"), text.slug_phase(s).alias("phase"), text.slug_island(s).alias("island"), text.slug_label(s).alias("label"))
+
+
+@query(
+    r"""WITH g AS (SELECT c_custkey id, CASE c_custkey % 5 WHEN 0 THEN 'PREBENJAMIN' ELSE 'BENJAMIN' END category, CASE c_custkey % 5 WHEN 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'Prebenjamin Primera G-' || (c_custkey % 9) ELSE 'Prebenjamin Liga' END
+      WHEN 1 THEN 'Benjamin Fuerteventura Liga Oro' WHEN 2 THEN 'Benjamin Lanzarote Grupo ' || (c_custkey % 9) WHEN 3 THEN 'Benjamin Lanzarote Final' ELSE 'Segunda Fase Benjamin A-G' || (c_custkey % 9) END AS name FROM customer),
+    u AS (SELECT *, upper(name) u, 'BENJAMIN ' || trim(regexp_replace(upper(name), '\bBENJAMIN\b\s*', '', 'g')) bare FROM g)
+    SELECT id, name, CASE WHEN category = 'PREBENJAMIN' THEN CASE WHEN regexp_matches(u, 'G-?\d') THEN 'PREBENJAMIN GC GRUPO ' || regexp_extract(u, 'G-?(\d+)', 1) ELSE u END
+      WHEN u LIKE '%FUERTEVENTURA%' THEN bare WHEN u LIKE '%LANZAROTE%' AND regexp_matches(u, 'GRUPO\s*\d') THEN 'BENJAMIN PRIMERA LANZAROTE G' || regexp_extract(u, 'GRUPO\s*(\d+)', 1) ELSE bare END shown,
+      CASE WHEN u LIKE '%LANZAROTE%' THEN '🌋' WHEN u LIKE '%FUERTEVENTURA%' THEN '🏝️' ELSE '⚽' END sign FROM u"""
+)
+def shown_groups(spark, sf_dir):
+    """Group names as scorer lists show them, and the sign of their phase."""
+    k, n = F.col("c_custkey"), (F.col("c_custkey") % 9).cast("string")
+    small = F.when(k % 2 == 0, F.concat(F.lit("Prebenjamin Primera G-"), n)).otherwise("Prebenjamin Liga")
+    name = F.when(k % 5 == 0, small).when(k % 5 == 1, "Benjamin Fuerteventura Liga Oro").when(k % 5 == 2, F.concat(F.lit("Benjamin Lanzarote Grupo "), n)).when(k % 5 == 3, "Benjamin Lanzarote Final").otherwise(F.concat(F.lit("Segunda Fase Benjamin A-G"), n))
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), name.alias("name"), F.when(k % 5 == 0, "PREBENJAMIN").otherwise("BENJAMIN").alias("category"))
+    return rows.select("id", "name", text.shown_group(F.col("name"), F.col("category")).alias("shown"), text.phase_sign(F.col("name")).alias("sign"))
+
+
+@query(
+    r"""WITH r AS (SELECT c_custkey id, CASE c_custkey % 7 WHEN 0 THEN '( Semifinales )' WHEN 1 THEN 'Ronda ' || (c_custkey % 12) WHEN 2 THEN '01-02-2024 Gran Final' WHEN 3 THEN 'Previa' WHEN 4 THEN '01-02-2024 Partidos' WHEN 5 THEN 'Cuartos de final' ELSE 'Dieciseisavos' END AS label, CAST(c_custkey % 6 AS INT) d FROM customer)
+    SELECT id, label, d to_final, CASE WHEN regexp_matches(label, '(?i)previa') THEN 'Previa' WHEN regexp_matches(label, '(?i)dieciseis') THEN 'Dieciseisavos' WHEN regexp_matches(label, '(?i)octavos') THEN 'Octavos' WHEN regexp_matches(label, '(?i)cuartos') THEN 'Cuartos' WHEN regexp_matches(label, '(?i)semifinal') THEN 'Semifinales' WHEN regexp_matches(label, '(?i)\bfinal\b') THEN 'Final'
+      WHEN d = 0 THEN 'Final' WHEN d = 1 THEN 'Semifinales' WHEN d = 2 THEN 'Cuartos' WHEN d = 3 THEN 'Octavos' WHEN regexp_matches(label, '(?i)ronda\s+\d') THEN 'Ronda ' || regexp_extract(label, '(?i)ronda\s+(\d+)', 1) ELSE trim(regexp_replace(label, '\d{2}-\d{2}-\d{4}\s*', '')) END AS name FROM r"""
+)
+def round_names(spark, sf_dir):
+    k = F.col("c_custkey")
+    label = F.when(k % 7 == 0, "( Semifinales )").when(k % 7 == 1, F.concat(F.lit("Ronda "), (k % 12).cast("string"))).when(k % 7 == 2, "01-02-2024 Gran Final").when(k % 7 == 3, "Previa").when(k % 7 == 4, "01-02-2024 Partidos").when(k % 7 == 5, "Cuartos de final").otherwise("Dieciseisavos")
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), label.alias("label"), (k % 6).cast("int").alias("to_final"))
+    return rows.select("id", "label", "to_final", text.round_name(F.col("label"), F.col("to_final")).alias("name"))
+
+
+@query("SELECT c_custkey id, CASE c_custkey % 4 WHEN 0 THEN 'CD ' || c_nationkey WHEN 1 THEN 'Norte, ' || c_nationkey WHEN 2 THEN '' ELSE 'El Campo - B' END venue FROM (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 4 <> 3) UNION ALL SELECT c_custkey, 'El Campo' FROM customer WHERE c_custkey % 4 = 3")
+def short_venues(spark, sf_dir):
+    k, n = F.col("c_custkey"), F.col("c_nationkey").cast("string")
+    venue = F.when(k % 4 == 0, F.concat(F.lit("Campo CD "), n, F.lit(" - Campo Uno"))).when(k % 4 == 1, F.concat(F.lit("Norte, "), n)).when(k % 4 == 3, "El Campo - B")
+    return table(spark, sf_dir, "customer").select(k.alias("id"), text.short_venue(venue).alias("venue"))
 
 
 @query(f"WITH {FIXTURES_SQL} SELECT DISTINCT season, grp, round, match_date, home, away, home_score, away_score FROM fixtures")
