@@ -105,11 +105,13 @@ def digest(rows: DataFrame, columns: list[str]) -> Column | DataFrame:
 def next_version(before: DataFrame, after: DataFrame, version: str, columns: list[str]) -> DataFrame:
     """The version a publication gets: the old one unless the table's digest changed.
 
-    Versions are a day with an optional letter; a second change on one day counts b, c, ...
+    Versions are a day with optional letters; a second change on one day counts b, c, ... z, zb, zc, ...
     """
-    day, letter = F.regexp_extract(F.lit(version), r"^(\d{8})([b-z]?)$", 1), F.regexp_extract(F.lit(version), r"^(\d{8})([b-z]?)$", 2)
+    day, letters = (F.regexp_extract(F.lit(version), r"^(\d{8})([b-z]*)$", i) for i in (1, 2))
     today = F.date_format(F.current_date(), "yyyyMMdd")
-    again = F.concat(today, F.when(letter == "", "b").otherwise(F.chr(F.ascii(letter) + 1)))
+    last = F.right(letters, F.lit(1))
+    following = F.when((letters == "") | (last == "z"), F.concat(letters, F.lit("b"))).otherwise(F.concat(F.substring(letters, F.lit(1), F.length(letters) - 1), F.chr(F.ascii(last) + 1)))
+    again = F.concat(today, following)
     both = digest(before, columns).crossJoin(digest(after, columns).toDF("m_rows", "other"))  # two single rows
     same = (F.col("n_rows") == F.col("m_rows")) & F.col("digest").eqNullSafe(F.col("other"))
     return both.select(F.when(same, F.lit(version)).when(day == today, again).otherwise(today).alias("version"))

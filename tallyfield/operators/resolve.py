@@ -11,6 +11,8 @@ from tallyfield.session import written
 # The scores and lengths from which names count as the same.
 SAME_NAME, LONG_PREFIX, SHORT_PREFIX, LONG_TOKEN = 0.6, 6, 2, 5
 ONE_FILIAL = 0.85
+#: Pairs that may be left to one task for each group.
+FEW_PAIRS = 20_000
 
 
 def common_tokens(a: Column, b: Column) -> Column:
@@ -85,23 +87,24 @@ def scored_pairs(left: DataFrame, right: DataFrame, group: tuple[str, ...] = (),
     return scored.withColumn("common", common_tokens(core_tokens(F.col("a")), core_tokens(F.col("b"))))
 
 
-def greedy_assignment(pairs: DataFrame, group: tuple[str, ...] = (), most_rounds: int = 50) -> DataFrame:
+def greedy_assignment(pairs: DataFrame, group: tuple[str, ...] = (), finish: int = FEW_PAIRS) -> DataFrame:
     """One-to-one pairs, best score first; more ``common`` tokens (if pairs have them), then names break ties.
 
     Pairs that are the best of both their sides belong to the greedy choice; taking them and dropping what
-    they use up, again and again, gives all of it.  What ``most_rounds`` leave is read in that order, each
-    group by one task, which keeps only the names that are taken.
+    they use up, again and again, gives all of it.  Every round takes at least one pair of each group that
+    has any.  Once no more than ``finish`` pairs are left they are read in that order, each group by one task,
+    which gives the same pairs in fewer jobs.
     """
     order = (F.desc("score"), *([F.desc("common")] if "common" in pairs.columns else []), F.asc("a"), F.asc("b"))
     chosen, rest = None, written(pairs, "pairs")
-    for _ in range(most_rounds):
+    while (left := rest.count()) > finish:
         best = rest.withColumns({"x": F.row_number().over(Window.partitionBy(*group, "a").orderBy(*order)), "y": F.row_number().over(Window.partitionBy(*group, "b").orderBy(*order))})
         taken = written(best.where("x = 1 and y = 1").drop("x", "y"), "assigned")
         chosen = taken if chosen is None else chosen.unionByName(taken)
         rest = rest.join(taken.select(*group, "a"), [*group, "a"], "left_anti").join(taken.select(*group, "b"), [*group, "b"], "left_anti")
         rest = written(rest, "pairs")
-        if rest.isEmpty():
-            return chosen
+    if chosen is not None and not left:
+        return chosen
     dealt = rest.repartition(*group) if group else rest.coalesce(1)
     last = dealt.sortWithinPartitions(*group, *order).mapInPandas(_first_come(list(group)), rest.schema)
     return last if chosen is None else chosen.unionByName(last)
@@ -133,32 +136,93 @@ def forced_last_pair(left: DataFrame, right: DataFrame, assigned: DataFrame, gro
     return assigned.unionByName(last.withColumn("score", F.lit(0.0)), allowMissingColumns=True)
 
 
-def reconcile(reports: DataFrame, fixtures: DataFrame, days: int = 1) -> DataFrame:
+def _name_blocks(name: Column) -> Column:
+    """Keys of which two names that :func:`names_match` brings together share at least one.
+
+    Names that match are equal, or begin with the same five letters, or share two words of which one is long.
+    """
+    words = F.array_sort(F.array_distinct(F.filter(F.split(name, " "), lambda w: F.length(w) >= 2)))
+    long = lambda w: F.length(w) >= LONG_TOKEN
+    pairs = F.flatten(F.transform(words, lambda x: F.transform(F.filter(words, lambda y: (y > x) & (long(x) | long(y))), lambda y: F.concat(x, F.lit(" "), y))))
+    start = F.when(F.length(name) >= LONG_TOKEN, F.substring(name, 1, LONG_TOKEN)).otherwise(name)
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("^"), start)), pairs))
+
+
+def matching_names(left: DataFrame, right: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (a, b) reconciliation keys of one group that name the same team; (name) in, blocked, never a cross join."""
+    key = lambda t, n: t.select(*group, F.col("name").alias(n)).where(F.length(n) > 0).distinct().withColumn("k", F.explode(_name_blocks(F.col(n))))
+    pairs = key(left, "a").join(key(right, "b"), [*group, "k"]).select(*group, "a", "b").distinct()
+    return pairs.where(names_match(F.col("a"), F.col("b")))
+
+
+def reconcile(reports: DataFrame, fixtures: DataFrame, group: tuple[str, ...] = (), days: int = 1) -> DataFrame:
     """The one fixture each report is about, or null.
 
-    Both have home_key, away_key, match_date, home_score, away_score; reports have report_id, fixtures
-    match_id.  A single candidate by name stands unless its day (by more than ``days``) or its score says
-    otherwise; several are narrowed by day, then by score; what is not unique then is nobody.
+    Both have home_key, away_key (reconciliation keys), match_date, home_score, away_score and ``group``;
+    reports have report_id, fixtures match_id.  Candidates are fixtures of the group whose names match by
+    :func:`names_match`.  A single candidate stands unless its day (by more than ``days``) or its score says
+    otherwise; several are narrowed by day if any fits, then by score; what is not unique then is nobody.
     """
-    f = fixtures.select("match_id", *[F.col(c).alias(f"f_{c}") for c in ("home_key", "away_key", "match_date", "home_score", "away_score")])
-    pairs = reports.join(f, (F.col("home_key") == F.col("f_home_key")) & (F.col("away_key") == F.col("f_away_key")))
-    day = F.when(F.col("match_date").isNotNull() & F.col("f_match_date").isNotNull(), F.abs(F.date_diff("match_date", "f_match_date")) <= days)
-    score = F.when(F.col("home_score").isNotNull() & F.col("f_home_score").isNotNull(), (F.col("home_score") == F.col("f_home_score")) & (F.col("away_score") == F.col("f_away_score")))
+    named = lambda t, c: t.select(*group, F.col(c).alias("name"))
+    names = lambda side: matching_names(named(reports, side), named(fixtures, side), group).select(*group, F.col("a").alias(side), F.col("b").alias(f"f_{side}"))
+    f = fixtures.select(*group, "match_id", *[F.col(c).alias(f"f_{c}") for c in ("home_key", "away_key", "match_date", "home_score", "away_score")])
+    pairs = reports.join(names("home_key"), [*group, "home_key"]).join(names("away_key"), [*group, "away_key"]).join(f, [*group, "f_home_key", "f_away_key"])
+    dated = F.col("match_date").isNotNull() & F.col("f_match_date").isNotNull()
+    scored = F.col("home_score").isNotNull() & F.col("away_score").isNotNull() & F.col("f_home_score").isNotNull() & F.col("f_away_score").isNotNull()
+    day = F.when(dated, F.abs(F.date_diff("match_date", "f_match_date")) <= days)
+    score = F.when(scored, (F.col("home_score") == F.col("f_home_score")) & (F.col("away_score") == F.col("f_away_score")))
     pairs = pairs.select("report_id", "match_id", day.alias("day"), score.alias("score"))
     true = lambda c: F.coalesce(F.col(c), F.lit(False))
+    only = lambda cond: (F.count_if(cond), F.min(F.when(cond, F.col("match_id"))))
+    by_day, by_score, by_both = only(true("day")), only(true("score")), only(true("day") & true("score"))
     agg = pairs.groupBy("report_id").agg(
         F.count("*").alias("n"),
         F.first("match_id").alias("only"),
         F.first(F.coalesce(F.col("day"), F.lit(True)) & F.coalesce(F.col("score"), F.lit(True))).alias("fits"),
-        F.count_if(true("day")).alias("n_day"),
-        F.min(F.when(true("day"), F.col("match_id"))).alias("by_day"),
-        F.count_if(true("day") & true("score")).alias("n_both"),
-        F.min(F.when(true("day") & true("score"), F.col("match_id"))).alias("by_both"),
+        *[x.alias(name) for pair, names_ in ((by_day, ("n_day", "by_day")), (by_score, ("n_score", "by_score")), (by_both, ("n_both", "by_both"))) for x, name in zip(pair, names_, strict=True)],
     )
-    found = F.when(F.col("n") == 1, F.when(F.col("fits"), F.col("only"))).when(F.col("n_day") == 1, F.col("by_day")).when(F.col("n_both") == 1, F.col("by_both"))
+    found = F.when(F.col("n") == 1, F.when(F.col("fits"), F.col("only"))).when(F.col("n_day") == 1, F.col("by_day"))
+    found = found.when((F.col("n_day") == 0) & (F.col("n_score") == 1), F.col("by_score")).when((F.col("n_day") > 1) & (F.col("n_both") == 1), F.col("by_both"))
     return reports.select("report_id").join(agg.select("report_id", found.alias("match_id")), "report_id", "left")
 
 
+def colliding(teams: DataFrame, listed: DataFrame) -> DataFrame:
+    """Teams of (key, id, name, last_season, played) that are one club under several names: (stays, goes) pairs.
+
+    Of equal keys the team of the newest season stays, then the one with most matches, then by name.  Keys
+    with two teams that are listed in one group (listed: (grp, id)) are different clubs and left alone.
+    """
+    keyed = listed.select("grp", "id").distinct().join(teams.select("id", "key"), "id")
+    together = keyed.groupBy("key", "grp").agg(F.count("*").alias("n")).where("n > 1").select("key").distinct()
+    order = Window.partitionBy("key").orderBy(F.desc_nulls_last("last_season"), F.desc_nulls_last("played"), "name", "id")
+    rows = teams.join(together, "key", "left_anti").withColumns({"n": F.row_number().over(order), "stays": F.first("id").over(order)})
+    return rows.where("n > 1").select("key", "stays", F.col("id").alias("goes"))
+
+
+def quarantined(reports: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Reports (report_id, home_key, away_key) that no fixture took, with the reason; ``assigned``: (report_id, match_id).
+
+    A report without a team's name, one without a match, and one that came to a match after another report
+    (by report_id) are told apart.
+    """
+    turn = F.row_number().over(Window.partitionBy("match_id").orderBy("report_id"))
+    claims = assigned.where("match_id is not null").withColumn("turn", turn).select("report_id", "turn")
+    nameless = (F.length(F.coalesce("home_key", F.lit(""))) == 0) | (F.length(F.coalesce("away_key", F.lit(""))) == 0)
+    reason = F.when(nameless, "no names").when(F.col("turn").isNull(), "no match").when(F.col("turn") > 1, "match taken")
+    return reports.join(claims, "report_id", "left").withColumn("reason", reason).where("reason is not null").select("report_id", "reason")
+
+
+def reassigned(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Matches (match_id, report_id) whose report belongs elsewhere now, and what they hold instead: ``after`` wins.
+
+    A match keeps its report unless ``after`` gives that report to another match; then it is cleared.
+    """
+    new = after.select("report_id", F.col("match_id").alias("now"))
+    moved = before.join(new, "report_id").where("match_id <> now").select("match_id", F.col("report_id").alias("cleared"))
+    taken = after.select("match_id", F.col("report_id").alias("given"))
+    return moved.join(taken, "match_id", "left").select("match_id", "cleared", "given")
+
+
 def canonical_ids(names: DataFrame) -> DataFrame:
     """(id, key) to the smallest id of each key: the row an entity is known by."""
     return names.groupBy("key").agg(F.min("id").alias("canonical_id"), F.count("*").alias("spellings"))
@@ -209,14 +273,18 @@ def without_withdrawn_scores(fixtures: DataFrame, gone: DataFrame, group: tuple[
 def name_lookup(names: DataFrame, entries: DataFrame, key, least: int = 4) -> DataFrame:
     """An entry's value for each name: by equal name, by equal key, else the first whose key holds or is held.
 
-    ``entries`` (name, value) is a reference table whose size the caller vouches for; it is broadcast only
-    for the last step, over names the first two left open.
+    ``entries`` is (name, value).  Of two keys the one that is held, of at least ``least`` letters, begins with
+    ``least`` letters that occur in the other: the last step joins on those.
     """
     e = entries.withColumn("key", key(F.col("name")))
     exact = e.groupBy("name").agg(F.min("value").alias("exact"))
     by_key = e.groupBy("key").agg(F.min_by("value", "name").alias("by_key"))
     rows = names.withColumn("key", key(F.col("name"))).join(exact, "name", "left").join(by_key, "key", "left")
-    open_ = rows.where("exact is null and by_key is null").select("name", "key").distinct()
-    holds = (F.length(F.col("key")) >= least) & (F.length("e_key") >= least) & (F.col("key").contains(F.col("e_key")) | F.col("e_key").contains(F.col("key")))
-    part = open_.join(F.broadcast(e.select(F.col("key").alias("e_key"), "value")), holds).groupBy("name").agg(F.min_by("value", "e_key").alias("part"))
+    open_ = rows.where("exact is null and by_key is null").select("name", "key").distinct().where(F.length("key") >= least)
+    other = e.select(F.col("key").alias("e_key"), "value").where(F.length("e_key") >= least)
+    begin = lambda t, c: t.withColumn("k", F.substring(c, 1, least))
+    within = lambda t, c: t.withColumn("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.substring(F.col(c), i, F.lit(least))))))
+    held = begin(open_, "key").join(within(other, "e_key"), "k").where(F.col("e_key").contains(F.col("key")))
+    holds = within(open_, "key").join(begin(other, "e_key"), "k").where(F.col("key").contains(F.col("e_key")))
+    part = held.unionByName(holds).groupBy("name").agg(F.min_by("value", "e_key").alias("part"))
     return rows.join(part, "name", "left").select("name", F.coalesce("exact", "by_key", "part").alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyfield.operators import gates, merge, publish, resolve, standings, stats
+from tallyfield.operators import extract, gates, merge, publish, resolve, standings, stats
 from tallyfield.plans.binding import EVENTS_SQL, FIXTURES_SQL, TABLE_SQL, fixtures, player_events, published_standings, table
 from tallyfield.plans.league import league
 from tallyfield.plans.registry import query
@@ -135,14 +135,15 @@ def team_search(spark, sf_dir):
     return rows.groupBy("season", "grp").agg(F.countDistinct("team").alias("hits"))
 
 
-_STORED = f"""{FIXTURES_SQL}, base AS (SELECT match_id, season, grp, round, home, away, max(home_score) home_score, max(away_score) away_score FROM fixtures GROUP BY ALL HAVING count(*) = 1),
+_STORED = f"""{FIXTURES_SQL}, base AS (SELECT match_id, season, grp, round, home, away, max(home_score) home_score, max(away_score) away_score FROM fixtures GROUP BY match_id, season, grp, round, home, away),
     f AS (SELECT season, grp, round, home, away, max_by(match_id, match_id) match_id FROM base GROUP BY season, grp, round, home, away),
     one AS (SELECT base.* FROM base JOIN f USING (season, grp, round, home, away, match_id))"""
 
 
 def _one_per_key(spark, sf_dir):
+    """The largest scores of each match, and of each key the match with the largest id."""
     keys = ["season", "grp", "round", "home", "away"]
-    single = fixtures(spark, sf_dir).groupBy("match_id", *keys).agg(F.count("*").alias("n"), F.max("home_score").alias("home_score"), F.max("away_score").alias("away_score")).where("n = 1").drop("n")
+    single = fixtures(spark, sf_dir).groupBy("match_id", *keys).agg(F.max("home_score").alias("home_score"), F.max("away_score").alias("away_score"))
     return merge.last_wins(single, keys, "match_id"), keys
 
 
@@ -289,11 +290,11 @@ def published_count_gap(spark, sf_dir):
     return gates.count_gap(stored, stored.where("not (season = 1999 and position = 5)"), ("season", "grp"))
 
 
-@query(f"WITH {EVENTS_SQL}, l AS (SELECT DISTINCT match_id, player, side FROM player_events WHERE kind = 'sub_in') SELECT e.event_id, l.side known_side FROM player_events e JOIN l USING (match_id, player) WHERE e.kind = 'goal'")
+@query(f"WITH {EVENTS_SQL}, l AS (SELECT match_id, player, min(side) side FROM player_events WHERE kind = 'sub_in' GROUP BY match_id, player) SELECT e.event_id, l.side known_side FROM player_events e JOIN l USING (match_id, player) WHERE e.kind = 'goal'")
 def events_with_known_side(spark, sf_dir):
     rows = player_events(spark, sf_dir)
-    lineup = rows.where("kind = 'sub_in'").select("match_id", "player", F.col("side").alias("known_side")).distinct()
-    return rows.where("kind = 'goal'").join(lineup, ["match_id", "player"]).select("event_id", "known_side")
+    lineup = rows.where("kind = 'sub_in'").select("match_id", F.col("player").alias("name"), "side")
+    return extract.sided_events(rows.where("kind = 'goal'").select("event_id", "match_id", "player"), lineup).select("event_id", F.col("side").alias("known_side"))
 
 
 @query(f"WITH {FIXTURES_SQL}, k AS (SELECT season, home, away, match_date, count(*) n, min(match_id) first_id FROM fixtures GROUP BY ALL) SELECT DISTINCT f.match_id, f.season, f.home, f.away FROM fixtures f JOIN k USING (season, home, away, match_date) WHERE f.match_id > first_id")

@@ -87,22 +87,68 @@ def roster_assignment(spark, sf_dir):
     return resolve.greedy_assignment(resolve.scored_pairs(left, right, ("grp",)), ("grp",)).select("grp", "a", "b", F.round("score", 6).alias("score"))
 
 
-@query(
-    f"""WITH {FIXTURES_SQL}, rp AS (SELECT match_id report_id, season || '/' || round || '/' || home AS home, away, CASE WHEN match_id % 7 = 0 THEN NULL ELSE match_date + CAST(match_id % 4 AS INT) END match_date, CASE WHEN match_id % 5 = 0 THEN NULL ELSE home_score END hs, away_score ays FROM (SELECT match_id, any_value(season) season, any_value(round) round, any_value(home) home, any_value(away) away, any_value(match_date) match_date, any_value(home_score) home_score, any_value(away_score) away_score FROM fixtures GROUP BY match_id HAVING count(*) = 1)),
-    p AS (SELECT report_id, f.match_id, CASE WHEN rp.match_date IS NOT NULL THEN abs(datediff('day', f.match_date, rp.match_date)) <= 1 END d, CASE WHEN hs IS NOT NULL AND f.home_score IS NOT NULL THEN hs = f.home_score AND ays = f.away_score END s FROM rp JOIN fixtures f ON f.season || '/' || f.round || '/' || f.home = rp.home AND f.away = rp.away),
-    a AS (SELECT report_id, count(*) n, min(match_id) only_, bool_and(coalesce(d, TRUE) AND coalesce(s, TRUE)) fits, count(*) FILTER (WHERE d) nd, min(match_id) FILTER (WHERE d) bd, count(*) FILTER (WHERE d AND s) nb, min(match_id) FILTER (WHERE d AND s) bb FROM p GROUP BY report_id)
-    SELECT rp.report_id, CASE WHEN n = 1 THEN CASE WHEN fits THEN only_ END WHEN nd = 1 THEN bd WHEN nb = 1 THEN bb END match_id FROM rp LEFT JOIN a USING (report_id)"""
-)
-def reconciled_reports(spark, sf_dir):
-    rows = fixtures(spark, sf_dir).withColumn("home", F.concat_ws("/", F.col("season").cast("string"), F.col("round").cast("string"), "home"))
-    single = rows.groupBy("match_id").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("home", "away", "match_date", "home_score", "away_score")]).where("n = 1")
-    reports = single.select(
-        F.col("match_id").alias("report_id"), F.col("home").alias("home_key"), F.col("away").alias("away_key"),
+_REPORTS = f"""{FIXTURES_SQL}, x AS (SELECT *, substr(md5(home), 1, 7) || ' norte ' || substr(md5(home), 8, 4) hk, substr(md5(away), 1, 7) || ' norte ' || substr(md5(away), 8, 4) ak, match_id * 100 + row_number() OVER (PARTITION BY match_id ORDER BY season, round, home, away, match_date, home_score, away_score) report_id FROM fixtures),
+    rp AS (SELECT report_id, match_id true_id, season, round, CASE report_id % 4 WHEN 1 THEN left(hk, 11) WHEN 2 THEN substr(hk, 15) || ' norte ' || left(hk, 7) WHEN 3 THEN CASE WHEN report_id % 8 = 3 THEN left(hk, 7) || ' otro' ELSE '' END ELSE hk END hk, ak,
+      CASE WHEN match_id % 7 = 0 THEN NULL ELSE match_date + CAST(match_id % 4 AS INT) END match_date, CASE WHEN match_id % 5 = 0 THEN NULL ELSE home_score END hs, away_score ays FROM x)"""
+_MATCHING = """(a = b OR (length(b) >= 5 AND starts_with(a, b)) OR (length(a) >= 5 AND starts_with(b, a)) OR (len(list_intersect(list_filter(string_split(a, ' '), lambda w: length(w) > 1), list_filter(string_split(b, ' '), lambda w: length(w) > 1))) >= 2
+      AND len(list_filter(list_intersect(string_split(a, ' '), string_split(b, ' ')), lambda w: length(w) >= 5)) > 0))"""
+_RECONCILED_SQL = f"""{_REPORTS}, hm AS (SELECT a, b FROM (SELECT DISTINCT hk a FROM rp WHERE hk <> '') CROSS JOIN (SELECT DISTINCT hk b FROM x) WHERE {_MATCHING}), am AS (SELECT a, b FROM (SELECT DISTINCT ak a FROM rp) CROSS JOIN (SELECT DISTINCT ak b FROM x) WHERE {_MATCHING}),
+    p AS (SELECT rp.report_id, x.match_id, CASE WHEN rp.match_date IS NOT NULL THEN abs(datediff('day', x.match_date, rp.match_date)) <= 1 END d, CASE WHEN hs IS NOT NULL AND ays IS NOT NULL AND x.home_score IS NOT NULL AND x.away_score IS NOT NULL THEN hs = x.home_score AND ays = x.away_score END s
+      FROM rp JOIN hm ON rp.hk = hm.a JOIN am ON rp.ak = am.a JOIN x ON x.season = rp.season AND x.round = rp.round AND x.hk = hm.b AND x.ak = am.b),
+    ag AS (SELECT report_id, count(*) n, min(match_id) only_, bool_and(coalesce(d, TRUE) AND coalesce(s, TRUE)) fits, count(*) FILTER (WHERE d) nd, min(match_id) FILTER (WHERE d) bd, count(*) FILTER (WHERE s) ns, min(match_id) FILTER (WHERE s) bs, count(*) FILTER (WHERE d AND s) nb, min(match_id) FILTER (WHERE d AND s) bb FROM p GROUP BY report_id),
+    rec AS (SELECT rp.report_id, CASE WHEN n = 1 THEN CASE WHEN fits THEN only_ END WHEN nd = 1 THEN bd WHEN nd = 0 AND ns = 1 THEN bs WHEN nd > 1 AND nb = 1 THEN bb END match_id FROM rp LEFT JOIN ag USING (report_id))"""
+
+
+def _reports(spark, sf_dir):
+    """Reports of all fixtures, their home names cut, turned round, half another's or missing; and the fixtures."""
+    key = lambda c: F.concat(F.substring(F.md5(F.col(c).cast("binary")), 1, 7), F.lit(" norte "), F.substring(F.md5(F.col(c).cast("binary")), 8, 4))
+    turn = F.row_number().over(Window.partitionBy("match_id").orderBy("season", "round", "home", "away", "match_date", F.asc_nulls_last("home_score"), F.asc_nulls_last("away_score")))
+    rows = fixtures(spark, sf_dir).withColumns({"report_id": F.col("match_id") * 100 + turn, "home_key": key("home"), "away_key": key("away")})
+    k, h = F.col("report_id"), F.col("home_key")
+    other = F.when(k % 8 == 3, F.concat(F.substring(h, 1, 7), F.lit(" otro"))).otherwise("")
+    reports = rows.select(
+        "report_id", "season", "round", "away_key",
+        F.when(k % 4 == 1, F.substring(h, 1, 11)).when(k % 4 == 2, F.concat(F.substring(h, 15, 99), F.lit(" norte "), F.substring(h, 1, 7))).when(k % 4 == 3, other).otherwise(h).alias("home_key"),
         F.when(F.col("match_id") % 7 != 0, F.date_add("match_date", (F.col("match_id") % 4).cast("int"))).alias("match_date"),
         F.when(F.col("match_id") % 5 != 0, F.col("home_score")).alias("home_score"), "away_score",
     )
-    known = rows.select("match_id", F.col("home").alias("home_key"), F.col("away").alias("away_key"), "match_date", "home_score", "away_score")
-    return resolve.reconcile(reports, known)
+    return reports, rows.select("match_id", "season", "round", "home_key", "away_key", "match_date", "home_score", "away_score")
+
+
+@query(f"WITH {_RECONCILED_SQL} SELECT report_id, match_id FROM rec")
+def reconciled_reports(spark, sf_dir):
+    """Reports to fixtures: by equal names, by a cut name, by words in another order; ambiguous ones by day and score."""
+    return resolve.reconcile(*_reports(spark, sf_dir), ("season", "round"))
+
+
+@query(f"WITH {_RECONCILED_SQL}, c AS (SELECT report_id, row_number() OVER (PARTITION BY match_id ORDER BY report_id) turn FROM rec WHERE match_id IS NOT NULL), q AS (SELECT rp.report_id, CASE WHEN hk = '' OR ak = '' THEN 'no names' WHEN turn IS NULL THEN 'no match' WHEN turn > 1 THEN 'match taken' END reason FROM rp LEFT JOIN c USING (report_id)) SELECT report_id, reason FROM q WHERE reason IS NOT NULL")
+def quarantined_reports(spark, sf_dir):
+    """Reports that no fixture took, with the reason."""
+    reports, known = _reports(spark, sf_dir)
+    return resolve.quarantined(reports, resolve.reconcile(reports, known, ("season", "round")))
+
+
+@query("WITH o AS (SELECT o_orderkey m, o_orderkey r FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey m, o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END r FROM orders WHERE o_orderkey % 10 <> 6) SELECT o.m match_id, o.r cleared, t.r given FROM o JOIN n ON o.r = n.r LEFT JOIN n t ON o.m = t.m WHERE o.m <> n.m")
+def stale_assignments(spark, sf_dir):
+    """Reports that moved to another match: the old match is cleared and may hold another one."""
+    k = F.col("o_orderkey")
+    keys = table(spark, sf_dir, "orders").select(k)
+    before = keys.where(k % 3 != 0).select(k.alias("match_id"), k.alias("report_id"))
+    after = keys.where(k % 10 != 6).select(k.alias("match_id"), (k + F.when(k % 5 == 0, 1).otherwise(0)).alias("report_id"))
+    return resolve.reassigned(before, after)
+
+
+@query(
+    f"""WITH {_NAMES}, t AS (SELECT id, name, {_BADGE} AS key, id % 7 + 2018 last_season, id % 11 played FROM nm), l AS (SELECT DISTINCT id % 40 grp, id, key FROM t),
+    bad AS (SELECT DISTINCT key FROM (SELECT key, grp FROM l GROUP BY key, grp HAVING count(*) > 1)),
+    r AS (SELECT *, row_number() OVER w n, first_value(id) OVER w stays FROM t WHERE key NOT IN (SELECT key FROM bad) WINDOW w AS (PARTITION BY key ORDER BY last_season DESC, played DESC, encode(name), id))
+    SELECT key, stays, id goes FROM r WHERE n > 1"""
+)
+def colliding_teams(spark, sf_dir):
+    """Teams whose badge keys agree: the one of the newest season stays, unless two are listed together."""
+    k = F.col("id")
+    teams = names(spark, sf_dir).select(text.badge_key(F.col("name")).alias("key"), "id", "name", (k % 7 + 2018).alias("last_season"), (k % 11).alias("played"))
+    return resolve.colliding(teams, teams.select((k % 40).alias("grp"), "id"))
 
 
 _DATE_TEXT = "CASE l_orderkey % 4 WHEN 0 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 1 THEN strftime(l_shipdate, '%d-%m-%Y') WHEN 2 THEN strftime(l_shipdate, '%d/%m') ELSE '' END"

@@ -34,9 +34,15 @@ def scraped_matches(groups: DataFrame) -> DataFrame:
 
 
 def script_value(text: Column, name: str, schema: str) -> Column:
-    """The JSON value that a script gives a constant: ``const NAME = …;`` up to a closing bracket and semicolon."""
-    raw = F.regexp_extract(text, rf"(?s)(?:const|let|var)\s+{name}\s*=\s*([\[{{].*?[\]}}])\s*;", 1)
-    return F.from_json(raw, schema)
+    """The JSON value that a script gives a constant: ``const NAME = …;`` up to the first semicolon outside a string.
+
+    Signs after a backslash do not end a string; without a semicolon the value runs to the end.
+    """
+    body = F.regexp_extract(text, rf"(?s)\b(?:const|let|var)\s+{name}\s*=\s*(.*)", 1)
+    parts = F.split(F.regexp_replace(body, r"(?s)\\.", "xx"), '"')
+    shown = F.concat_ws('"', F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.repeat(F.lit("x"), F.length(p))).otherwise(p)))
+    end = F.instr(shown, ";")
+    return F.from_json(F.when(end > 0, F.substring(body, F.lit(1), end - 1)).otherwise(body), schema)
 
 
 def script_files(spark: SparkSession, path: str) -> DataFrame:

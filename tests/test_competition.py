@@ -157,13 +157,55 @@ def test_dates_of_several_formats(spark):
     assert got == [dt.date(2025, 3, 9)] * 3 + [None] * 4
 
 
-@pytest.mark.parametrize("most_rounds", [1, 50])
-def test_assignment_takes_every_pair_it_can(spark, most_rounds):
+def greedy(pairs):
+    """Pairs one by one in order, each if both its names are free."""
+    used, out = set(), []
+    for g, a, b, score, common in sorted(pairs, key=lambda p: (p[0], -p[3], -p[4], p[1], p[2])):
+        if (g, "a", a) not in used and (g, "b", b) not in used:
+            used |= {(g, "a", a), (g, "b", b)}
+            out.append((g, a, b))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("finish", [0, 9, 20_000])
+def test_assignment_takes_every_pair_it_can(spark, finish):
     """Names that all tie with each other: a round finds one pair, and none may be left at its end."""
     pairs = [(g, f"a{i}", f"b{j}", 1.0, 2) for g in ("x", "y") for i in range(4) for j in range(4)]
     pairs += [("x", "a9", "b9", 0.7, 1), ("x", "a9", "c", 0.7, 2)]  # more common tokens come before the name
-    got = resolve.greedy_assignment(spark.createDataFrame(pairs, "grp string, a string, b string, score double, common int"), ("grp",), most_rounds)
-    assert sorted((r["grp"], r["a"], r["b"]) for r in got.collect()) == sorted([(g, f"a{i}", f"b{i}") for g in ("x", "y") for i in range(4)] + [("x", "a9", "c")])
+    got = resolve.greedy_assignment(spark.createDataFrame(pairs, "grp string, a string, b string, score double, common int"), ("grp",), finish)
+    assert sorted((r["grp"], r["a"], r["b"]) for r in got.collect()) == greedy(pairs)
+
+
+@pytest.mark.parametrize("finish", [110, 20_000])
+def test_assignment_follows_a_chain_of_preferences(spark, finish):
+    """Each pair is free only after the one before it is taken: 60 pairs need 60 rounds."""
+    pairs = [("x", f"a{i}", f"b{i}", 1 - 0.001 * (2 * i), 1) for i in range(60)] + [("x", f"a{i + 1}", f"b{i}", 1 - 0.001 * (2 * i + 1), 1) for i in range(60)]
+    got = resolve.greedy_assignment(spark.createDataFrame(pairs, "grp string, a string, b string, score double, common int"), ("grp",), finish)
+    assert sorted((r["grp"], r["a"], r["b"]) for r in got.collect()) == greedy(pairs)
+
+
+def test_script_values_end_outside_strings(spark):
+    """Brackets, semicolons and quotes inside strings do not end a value."""
+    from tallyfield.sources.landed import script_value
+
+    scripts = ['let OTHER = 1; const ROWS = [{"n": "a];b"}, {"n": "say \\"};\\" \\\\"}]; const X = [];', "const ROWS=[]", "var ROWS = [ {\"n\": null} ] ;\n"]
+    got = spark.createDataFrame([(x,) for x in scripts], "t string").select(script_value(F.col("t"), "ROWS", "array<struct<n:string>>").alias("v")).collect()
+    assert [[x["n"] for x in r["v"]] for r in got] == [["a];b", 'say "};" \\'], [], [None]]
+
+
+def test_versions_count_on_beyond_z(spark):
+    rows, other = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2,)], "x int")
+    today = spark.sql("select date_format(current_date(), 'yyyyMMdd') d").first()["d"]
+    after = lambda v, df=other: merge.next_version(rows, df, v, ["x"]).first()["version"]
+    assert [after(today + v) for v in ("", "b", "y", "z", "zb")] == [today + v for v in ("b", "c", "z", "zb", "zc")]
+    assert after("20200101c") == today and after("20200101c", rows) == "20200101c"
+
+
+def test_lookup_by_a_key_that_holds_another(spark):
+    names = spark.createDataFrame([("Norte Mar",), ("Sur",), ("Gran Puerto Viejo",), ("abc",)], "name string")
+    entries = spark.createDataFrame([("norte mar azul", 1), ("puerto", 2), ("sur", 3), ("xabcx", 4)], "name string, value int")
+    got = dict(tuple(r) for r in resolve.name_lookup(names, entries, F.lower).collect())
+    assert got == {"Norte Mar": 1, "Sur": 3, "Gran Puerto Viejo": 2, "abc": None}
 
 
 def test_nothing_in_nothing_out(spark):
