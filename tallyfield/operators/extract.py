@@ -131,3 +131,98 @@ def is_empty_report(header: str = "header", home: str = "lineups.home", away: st
     """A report whose header fields are all null and that has no line-ups."""
     none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
     return F.coalesce(F.to_json(header), F.lit("{}")).eqNullSafe("{}") & none(home) & none(away)
+
+
+# The digits that calls ntype("id", n, i, "class") stand for, by row i and place n.
+CALLED_DIGITS = (
+    (2, 5, 9, 4, 1, 0, 8, 6, 3, 7),
+    (1, 3, 5, 7, 9, 0, 2, 4, 6, 8),
+    (0, 2, 4, 6, 8, 1, 3, 5, 7, 9),
+    (7, 5, 2, 0, 9, 6, 3, 8, 4, 1),
+)
+# Where report pages hold their parts.
+CALL = r'ntype\("[^"]+",\s*(\d+),\s*(\d+),\s*"[^"]+"\)'
+SCORE_BLOCK, SCORE_DASH = r'(?is)<h2\s+class="ntype">(.*?)</h2>', " - "
+FICHA = r'(?is)class="font-grey-cascade">Temporada\s+(\d{4}-\d{4})[^<]*Jornada\s+(\d+).*?(\d{2}-\d{2}-\d{4})'
+TROPHY, TEAM_BOX = r"(?i)fa-trophy[^>]*></i>\s*([^<]+)", r'class="font_widget{}">([^<]+)</div>'
+REFEREE = r"(?i)<strong>[AÁ]rbitro/a\s+Principal</strong>(?:&nbsp;|\s)+([^<]+)"
+COACH, ABSENT = r"(?i)<strong>Entrenador:\s*</strong>\s*([^<\n\r]+)", r"(?i)no\s+presenta"
+SCORER = r"(?s)data-bs-title=[\"']<div [^>]*>([^<]+)<br>.*?data-bs-content=[\"']<b>\s*([^<]+?)\s*</b>.*?</button>\s*</div>\s*<div [^>]*btn btn-outline-primary[^>]*>\s*(\d+).*?<div class=\"btn active btn-primary[^>]*>(\d+)"
+BADGE = r'(?i)<img\s+src="[^"]*escudos/([^"]+\.(?:png|jpg|gif|svg))"[^>]*title="\s*Calendario\s+([^"]*)"'
+TEAM_CODE = r"(?i)<td[^>]*fw-bold[^>]*>\s*([A-Za-zà-ÿ '.,]+?)\s*<a\s+href=\"[^\"]*?-([A-Z0-9]+)\.html\""
+
+
+def _found(html: Column, pattern: str, group: int = 1) -> Column:
+    """A group of the first match, or null."""
+    text = F.regexp_extract(html, pattern, group)
+    return F.when(text != "", text)
+
+
+def called_digits(html: Column) -> Column:
+    """The digits of all calls in order, as text; a place beyond the table is 0."""
+    table = F.array(*[F.lit(str(d)) for row in CALLED_DIGITS for d in row])
+    place = lambda c: (F.regexp_extract(c, CALL, 2).cast("int") * 10 + F.regexp_extract(c, CALL, 1).cast("int"))
+    return F.concat_ws("", F.transform(F.regexp_extract_all(html, F.lit(CALL), F.lit(0)), lambda c: F.coalesce(F.get(table, place(c)), F.lit("0"))))
+
+
+def visible_digits(html: Column) -> Column:
+    """The digits that a reader sees: none of hidden spans, of styles or of tags."""
+    shown = html
+    for pattern in (r"(?is)<span[^>]*display\s*:\s*none[^>]*>.*?</span>", r"(?is)<style[^>]*>.*?</style>", r"<[^>]+>"):
+        shown = F.regexp_replace(shown, pattern, " ")
+    return F.regexp_replace(shown, r"[^0-9]", "")
+
+
+def report_score(html: Column) -> Column:
+    """struct<home, away> of a report's score: digits of calls, else visible ones; null where there are none."""
+    block = F.regexp_extract(html, SCORE_BLOCK, 1)
+    sides = F.when(F.instr(block, SCORE_DASH) > 0, F.split(block, SCORE_DASH, 2))
+    digits = lambda part: F.coalesce(*[F.when(d != "", d) for d in (called_digits(part), visible_digits(part))]).try_cast("int")
+    return F.struct(digits(F.get(sides, F.lit(0))).alias("home"), digits(F.get(sides, F.lit(1))).alias("away"))
+
+
+def report_header(html: Column) -> Column:
+    """struct of season, round, date, teams, scores and competition of a report's page; what is missing is null."""
+    clean = lambda c: F.when(c.isNotNull(), stripped(c))
+    score = report_score(html)
+    return F.struct(
+        F.replace(_found(html, FICHA, 1), F.lit("-"), F.lit("/")).alias("season"),
+        _found(html, FICHA, 2).alias("round"),
+        _found(html, FICHA, 3).alias("date"),
+        clean(_found(html, TEAM_BOX.format("L"))).alias("home_team"),
+        clean(_found(html, TEAM_BOX.format("V"))).alias("away_team"),
+        score["home"].alias("home_score"),
+        score["away"].alias("away_score"),
+        clean(_found(html, TROPHY)).alias("competition"),
+    )
+
+
+def report_staff(html: Column) -> Column:
+    """struct<referee, coach_home, coach_away>; a coach who is named as absent is null."""
+    coaches = F.transform(F.regexp_extract_all(html, F.lit(COACH), F.lit(1)), lambda c: F.when(~stripped(c).rlike(ABSENT), stripped(c)))
+    referee = _found(html, REFEREE)
+    return F.struct(F.when(referee.isNotNull(), stripped(referee)).alias("referee"), F.get(coaches, F.lit(0)).alias("coach_home"), F.get(coaches, F.lit(1)).alias("coach_away"))
+
+
+def _matches(pages: DataFrame, pattern: str, names: tuple[str, ...], key: str) -> DataFrame:
+    """The groups of every match of a pattern, in order."""
+    found = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("pos", "m"))
+    return found.select(key, "pos", *[squeezed(F.regexp_extract("m", pattern, i)).alias(n) for i, n in enumerate(names, 1)])
+
+
+def scorer_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """player, team, played and goals of a page's scorers."""
+    rows = _matches(pages, SCORER, ("team", "player", "played", "goals"), key)
+    return rows.withColumns({c: F.col(c).try_cast("int") for c in ("played", "goals")}).where("player <> '' and team <> '' and goals >= 0")
+
+
+def badges(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """team and badge file of a page's calendar images, sizes before the name dropped; of several the last."""
+    rows = _matches(pages, BADGE, ("file", "team"), key).where("team <> ''").withColumn("file", F.regexp_replace("file", r"^\d+x\d+", ""))
+    return rows.groupBy(key, "team").agg(F.max_by("file", "pos").alias("file"))
+
+
+def team_codes(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """team and code of a page's links; a code belongs to the first team that has it."""
+    rows = _matches(pages, TEAM_CODE, ("team", "code"), key).where("team <> ''")
+    return rows.groupBy(key, "code").agg(F.min_by("team", "pos").alias("team")).select(key, "team", "code")

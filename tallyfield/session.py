@@ -38,13 +38,23 @@ def ship_package(spark: SparkSession) -> None:
     context._tallyfield_shipped = True
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the folder that ``spark.checkpoint.dir`` names, read again: its lineage ends there."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path that no other run uses in the folder that ``spark.checkpoint.dir`` names.
+
+    Where that is unset a temporary folder takes its place, but only on a local master: executors of a cluster
+    do not see the driver's folders.
+    """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, read again: its lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

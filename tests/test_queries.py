@@ -2,7 +2,7 @@
 
 import pytest
 
-from tallyfield.plans import cup, joins, league, people, words  # noqa: F401  (each registers its queries)
+from tallyfield.plans import cup, joins, league, pages, people, words  # noqa: F401  (each registers its queries)
 from tallyfield.plans.registry import ORACLES, QUERIES
 from tests.duck import compared, views
 
