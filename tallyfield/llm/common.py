@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Words a Python worker remembers before it forgets them all; bounds a worker's memory, not the result.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 100_000
 
 _MASK = (1 << 64) - 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -85,6 +86,27 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterat
             start = stop
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], column: str, limit: int, work) -> Iterator[pa.RecordBatch]:
+    """What ``work`` yields for each slice; a slice's arrays are gone before the next is worked on.
+
+    Workers outlive their tasks, so what a task has freed is given back to the system at its end.
+    """
+    try:
+        for part in slices(batches, column, limit):
+            yield from work(part)
+            del part
+    finally:
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts of a batch in UTF-8, null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Parts a worker remembers between blocks; bounds memory, not the result.
-REMEMBERED_PARTS = 300_000
+REMEMBERED_PARTS = 100_000
 #: Bytes of text that are cut into parts at once; a longer text is cut at white space.
 BLOCK_BYTES = 4 << 20
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import Remember, byte_texts, materialize, mix, release, rolling, slices, split_words, window_starts, word_hashes
+from tallyfield.llm.common import Remember, byte_texts, in_parts, materialize, mix, release, rolling, split_words, window_starts, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -100,7 +100,8 @@ def shingle_sets(texts: list[bytes], remember: Remember, width: int = SHINGLE) -
 def _sketch(width: int, bands: int, rows: int):
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remember = Remember(xxhash.xxh3_64_intdigest)
-        for part in slices(batches, "text", CHUNK_BYTES):
+
+        def sketches(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             n = part.num_rows
             found, of = shingle_sets(byte_texts(part), remember, width)
             signature = dart_signatures(found, np.ones(len(found)), of, n, bands * rows)
@@ -115,18 +116,23 @@ def _sketch(width: int, bands: int, rows: int):
             columns = [part.column("doc_id"), *(pa.array(s.view(np.int64)) for s in sums), pa.array(counts), pa.ListArray.from_arrays(offsets, keys.reshape(-1).view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, schema=_SKETCH)
 
+        yield from in_parts(batches, "text", CHUNK_BYTES, sketches)
+
     return sketched
 
 
 def _sets(width: int):
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remember = Remember(xxhash.xxh3_64_intdigest)
-        for part in slices(batches, "text", CHUNK_BYTES):
+
+        def sets(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             found, of = shingle_sets(byte_texts(part), remember, width)
             ends = np.cumsum(np.bincount(of, minlength=part.num_rows))
             data = [found[a:b].tobytes() for a, b in zip(ends - np.diff(ends, prepend=0), ends, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(data, pa.binary())], ["node", "shingles"])
 
+        yield from in_parts(batches, "text", CHUNK_BYTES, sets)
+
     return packed
 
 

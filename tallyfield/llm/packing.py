@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import byte_texts, materialize, slices
+from tallyfield.llm.common import byte_texts, in_parts, materialize
 from tallyfield.llm.encoder import word_encoder
 
 CAPACITY = 4096
@@ -41,8 +42,9 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, uid = word_encoder(path), TaskContext.get().partitionId() << 36
-        for part in slices(batches, "text", CHUNK_BYTES):
+        encoder, uids = word_encoder(path), count(TaskContext.get().partitionId() << 36)
+
+        def pieces_of(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             ids, own = encoder.ids_of(byte_texts(part))
             ids, own = np.insert(ids, np.cumsum(own), END_ID), own + 1
             pieces = -(-own // capacity)
@@ -52,13 +54,14 @@ def _pieces(path: str, capacity: int, with_ids: bool):
             ends = np.cumsum(length)
             view = memoryview(ids.astype("<u4", copy=False)).cast("B")
             crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
-            columns = [part.column("doc_id").take(pa.array(of)), pa.array(np.arange(uid, uid + n)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())]
+            columns = [part.column("doc_id").take(pa.array(of)), pa.array(list(islice(uids, n)), pa.int64()), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())]
             names = ["doc_id", "uid", "piece", "start", "length", "ids_crc32"]
             if with_ids:
                 columns, names = [*columns, pa.ListArray.from_arrays(np.append(0, ends).astype(np.int32), ids.view(np.int32))], [*names, "ids"]
-            uid += n
             yield pa.RecordBatch.from_arrays(columns, names)
 
+        yield from in_parts(batches, "text", CHUNK_BYTES, pieces_of)
+
     return cut
 
 
@@ -77,7 +80,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """The bin of each length, longest first into the fullest bin it fits (ties: in order)."""
     bins = np.zeros(len(lengths), np.int64)
     open_bins: list[list[int]] = [[] for _ in range(capacity + 1)]
-    mask, count = 0, 0  # bit r: some bin has room r
+    mask, used = 0, 0  # bit r: some bin has room r
     for i in np.argsort(-lengths, kind="stable").tolist():
         n = int(lengths[i])
         fits = mask >> n
@@ -87,7 +90,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
             if not open_bins[room]:
                 mask &= ~(1 << room)
         else:
-            room, b, count = capacity, count, count + 1
+            room, b, used = capacity, used, used + 1
         bins[i] = b
         room -= n
         if room:

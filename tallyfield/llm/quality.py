@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyfield.llm.common import Remember, byte_texts, mix, slices, split_words
+from tallyfield.llm.common import Remember, byte_texts, in_parts, mix, split_words
 
 BUCKETS = 1 << 18
 TRAIN_ROWS = 8_192
@@ -89,7 +89,8 @@ class QualityModel:
 def _hashed(buckets: int):
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remember = Remember(_two_hashes)
-        for part in slices(batches, "text", CHUNK_BYTES):
+
+        def vectors(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             grams, counts = ngram_buckets(byte_texts(part), remember, buckets)
             ends, ids, values = np.cumsum(counts), [], []
             for a, b in zip(ends - counts, ends, strict=True):
@@ -98,6 +99,8 @@ def _hashed(buckets: int):
                 values.append(np.append(SCALE * n / max(1, _KINDS * (b - a)), 1.0).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([part.column("turn"), part.column("label"), pa.array(ids, pa.binary()), pa.array(values, pa.binary())], ["turn", "label", "ids", "vals"])
 
+        yield from in_parts(batches, "text", CHUNK_BYTES, vectors)
+
     return hashed
 
 
@@ -126,7 +129,8 @@ def _scored(weights: np.ndarray):
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remember = Remember(_two_hashes)
-        for part in slices(batches, "text", CHUNK_BYTES):
+
+        def scores(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             grams, counts = ngram_buckets(byte_texts(part), remember, buckets)
             per_word = weights[grams].sum(axis=1)
             ends = np.concatenate(([0.0], np.cumsum(per_word)))[np.concatenate(([0], np.cumsum(counts)))]
@@ -134,6 +138,8 @@ def _scored(weights: np.ndarray):
             score = 1 / (1 + np.exp(-np.clip(dots, -35, 35)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], [*part.schema.names, "score"])
 
+        yield from in_parts(batches, "text", CHUNK_BYTES, scores)
+
     return scored
 
 

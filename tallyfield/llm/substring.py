@@ -19,6 +19,7 @@ megabytes, not one for each document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallyfield.llm.common import Remember, byte_texts, materialize, mix, rolling, slices, split_words, window_starts
+from tallyfield.llm.common import Remember, byte_texts, in_parts, materialize, mix, rolling, split_words, window_starts
 
 WIDTH = 20
 BASE, SECOND_BASE = 0x5851F42D4C957F2D, 0x2127599BF4325C37
 #: Bytes of text whose windows are packed together.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+#: Bytes of text whose words are split at once.
+HASHED_BYTES = 1 << 20
 #: Bytes of text for each bucket (its windows are counted in one task's memory), and buckets for each task.
-BUCKET_BYTES, TASK_BUCKETS = 8 << 20, 2
+BUCKET_BYTES, TASK_BUCKETS = 4 << 20, 4
 _NULL_ID = -(1 << 63)
 
 _PACKED = "bucket int, chunk long, first_id long, docs int, idx binary, ids binary, counts binary, starts binary, hashes binary, tags binary, marks binary"
@@ -74,9 +77,24 @@ def _two_hashes(word: bytes) -> bytes:
     return xxhash.xxh3_128_digest(word)
 
 
-def _windows(words: list[bytes], width: int, remember: Remember) -> tuple[np.ndarray, np.ndarray]:
+def _word_hashes(texts: list[bytes], remember: Remember) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of all words of all texts as a (words, 2) array, and the words of each text.
+
+    Words are let go every ``HASHED_BYTES`` of text, so that those of a chunk are never all there at once.
+    """
+    parts, counts, start, size = [], [np.zeros(0, np.int64)], 0, 0
+    for stop, text in enumerate(texts, 1):
+        size += len(text)
+        if size >= HASHED_BYTES or stop == len(texts):
+            words, own = split_words(texts[start:stop])
+            parts.append(b"".join(map(remember.__getitem__, words)))
+            counts.append(own)
+            start, size = stop, 0
+    return np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2), np.concatenate(counts)
+
+
+def _windows(both: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Both hashes of every window, in the order of their first words, over all words laid end to end."""
-    both = np.frombuffer(b"".join(map(remember.__getitem__, words)), "<u8").reshape(-1, 2)
     return mix(rolling(both[:, 0], width, BASE)), mix(rolling(both[:, 1], width, SECOND_BASE), 1)
 
 
@@ -85,18 +103,20 @@ def _pack_windows(width: int, buckets: int):
         from pyspark import TaskContext
 
         remember = Remember(_two_hashes)
-        chunk = TaskContext.get().partitionId() << 32
-        for part in slices(batches, "text", CHUNK_BYTES):
-            ids = part.column("doc_id").fill_null(_NULL_ID).to_numpy()
+        chunks = count(TaskContext.get().partitionId() << 32)
+
+        def windows(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ids, chunk = part.column("doc_id").fill_null(_NULL_ID).to_numpy(), next(chunks)
             order = np.argsort(ids, kind="stable")
             texts = byte_texts(part)
-            words, counts = split_words([texts[i] for i in order])
+            both, counts = _word_hashes([texts[i] for i in order], remember)
+            del texts
             ids, marks = ids[order], part.column("text_hash").to_numpy()[order]
             of, at, starts = window_starts(counts, width)
             if not len(of):
-                continue
-            hashes, second = (h[at] for h in _windows(words, width, remember))
-            del words, at
+                return
+            hashes, second = (h[at] for h in _windows(both, width))
+            del both, at
             tags = (second & np.uint64(0xFFFF)).astype(np.uint16)
             again = _repeats(hashes, tags, ids[of], starts)
             gone, kept = np.flatnonzero(again), np.flatnonzero(~again)
@@ -120,7 +140,8 @@ def _pack_windows(width: int, buckets: int):
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _PACKED_ARROW)
-            chunk += 1
+
+        yield from in_parts(batches, "text", CHUNK_BYTES, windows)
 
     return packed
 
@@ -191,7 +212,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", CHUNK_BYTES):
+    def without(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         total, gone, kept = [], [], []
         spans = zip(byte_texts(batch), batch.column("begins").to_pylist(), batch.column("ends").to_pylist(), strict=True)
         for text, begins, ends in spans:
@@ -209,6 +230,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
         yield pa.RecordBatch.from_arrays([*(c for _, c in own), *made], [*(n for n, _ in own), "n_words", "n_removed", "kept_text"])
 
+    yield from in_parts(batches, "text", CHUNK_BYTES, without)
+
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """All columns of ``docs`` with n_words, n_removed and kept_text (the kept words joined by one space).

@@ -95,7 +95,9 @@ def test_both_hashes_follow_the_words():
     r = np.random.default_rng(1)
     for width in (1, 2, 3, 20):
         words = [b"w%d" % i for i in r.integers(0, 2, 3000)]
-        for h in substring._windows(words, width, Remember(substring._two_hashes)):
+        both, counts = substring._word_hashes([b" ".join(words), b""], Remember(substring._two_hashes))
+        assert counts.tolist() == [3000, 0]
+        for h in substring._windows(both, width):
             by = {}
             for i, x in enumerate(h.tolist()):
                 by.setdefault(x, set()).add(tuple(words[i : i + width]))
