@@ -8,7 +8,7 @@ intervals of words, and these are removed.
 The first hash travels whole, 64 bits.  The second picks the bucket and sends 16 further bits along, so that
 windows are told apart by 80 bits and those of the bucket, whose number grows with the input.  Of w windows in b
 buckets about w**2 / (2**81 b) pairs that differ are expected to agree in all of them: 2e-9 for 30 GB of Parquet
-(8e9 windows, 6,000 buckets), some 1e-5 for 100 TB.
+(8e9 windows, 12,000 buckets), some 1e-5 for 100 TB.
 
 Windows travel packed: a row holds the windows of one bucket from a few megabytes of text.  Before they
 travel, a window that repeats within that text stays at its first place only and the others are known to be
