@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import Remember, byte_texts, slices, split_words
+from tallyfield.llm.common import Remember, byte_texts, in_parts, split_words
 
 WORD_MARK = "▁"
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Nodes a task's trie may hold before it starts again; bounds memory, not the result.
 TRIE_NODES = 500_000
+_NO_TAIL = object()
 
 
 @dataclass(frozen=True)
@@ -32,9 +33,10 @@ class Vocabulary:
     scores: dict[str, float]
     unknown: float
 
-    @property
-    def longest(self) -> int:
-        return max(map(len, self.scores), default=1)
+    def tails(self) -> dict[str, float | None]:
+        """Every ending of every piece of two characters or more, with its score if it is a piece itself."""
+        endings = {piece[i:] for piece in self.scores for i in range(len(piece) - 1)}
+        return {x: self.scores.get(x) for x in endings}
 
 
 def default_model() -> str:
@@ -58,7 +60,7 @@ class PretokenTrie:
     """Forward scores and token counts of all prefixes of the pre-tokens seen, each worked out once."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.scores, self.unknown, self.longest = vocabulary.scores, vocabulary.unknown, vocabulary.longest
+        self.scores, self.unknown, self.tails = vocabulary.scores, vocabulary.unknown, vocabulary.tails()
         self.reset()
 
     def reset(self) -> None:
@@ -76,8 +78,10 @@ class PretokenTrie:
                 known = self.scores.get(c)
                 best = self.best[node] + (self.unknown if known is None else known)
                 count = self.count[node] + (len(c.encode()) if known is None else 1)
-                for begin in range(max(0, end - self.longest), end - 1):
-                    piece = self.scores.get(pretoken[begin:end])
+                for begin in range(end - 2, -1, -1):
+                    piece = self.tails.get(pretoken[begin:end], _NO_TAIL)
+                    if piece is _NO_TAIL:  # then nothing that begins before it ends a piece either
+                        break
                     if piece is not None:
                         from_ = path[begin]
                         value = self.best[from_] + piece
@@ -95,12 +99,15 @@ def _counted(vocabulary: Vocabulary):
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = PretokenTrie(vocabulary)
         terminal = Remember(lambda word: trie.tokens(WORD_MARK + word.decode()))
-        for part in slices(batches, "text", CHUNK_BYTES):
+
+        def sums(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             words, counts = split_words(byte_texts(part))
             tokens = np.fromiter(map(terminal.__getitem__, words), np.int64, len(words))
             ends = np.concatenate(([0], np.cumsum(tokens)))[np.concatenate(([0], np.cumsum(counts)))]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts), pa.array(np.diff(ends))], ["doc_id", "n_words", "n_tokens"])
 
+        yield from in_parts(batches, "text", CHUNK_BYTES, sums)
+
     return counted
 
 
