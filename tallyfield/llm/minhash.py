@@ -30,7 +30,8 @@ SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8**5)**28 < 2e-5.
 BANDS, ROWS = 28, 5
 BASE = 0x2545F4914F6CDD1D
-CHUNK_BYTES = 4 << 20
+#: Bytes of text worked on at once: a text of n words throws some 1,000 darts whatever n is.
+CHUNK_BYTES = 1 << 20
 _COMPARED = "a long, b long, a_mark long, b_mark long, na int, nb int, common int"
 #: Cumulative probabilities of 0, 1, 2, ... darts in a cell of area one.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
@@ -138,19 +139,25 @@ def _sets(width: int):
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The number of shingles that both texts of a pair have."""
-    for part in batches:
+
+    def compared(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         common = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "a_mark", "b_mark", "na", "nb")), pa.array(common, pa.int32())], ["a", "b", "a_mark", "b_mark", "na", "nb", "common"])
 
+    yield from in_parts(batches, "x", CHUNK_BYTES, compared)
+
 
 def _remainder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingles of a that b lacks."""
-    for part in batches:
+
+    def remaining(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rest = [np.setdiff1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).view(np.int64) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
         offsets = np.cumsum([0, *map(len, rest)]).astype(np.int32)
         flat = np.concatenate(rest) if rest else np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "a_mark", "b_mark")), pa.ListArray.from_arrays(offsets, flat)], ["a", "b", "a_mark", "b_mark", "rest"])
 
+    yield from in_parts(batches, "x", CHUNK_BYTES, remaining)
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) for the nodes of (a, b), by alternating large and small stars.
