@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import wraps
 from itertools import chain
 
 import numpy as np
@@ -107,6 +108,18 @@ def trim() -> None:
         give_back(0)
 
 
+def trimmed(function):
+    """``function`` of a group, which gives back what the group took before the next one comes."""
+
+    @wraps(function)
+    def work(group):
+        out = function(group)
+        trim()
+        return out
+
+    return work
+
+
 def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The texts of a batch in UTF-8, null as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]

@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import byte_texts, in_parts, materialize
+from tallyfield.llm.common import byte_texts, in_parts, materialize, trimmed
 from tallyfield.llm.encoder import word_encoder
 
 CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 25_000
 ROUNDS = 4
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: A bin with this share of its room or more in use stays as it is when its group goes to the exchange.
 TIGHT = 0.998
 
@@ -161,7 +161,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         groups = max(1, -(-n // group_pieces))
         last = groups == 1 or level == ROUNDS - 1
         grouped = todo.withColumn("group", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups)))
-        done = grouped.groupBy("group").applyInPandas(_pack_group(capacity, ratio, last), "uid long, length long, group long, bin long, offset long, loose boolean")
+        done = grouped.groupBy("group").applyInPandas(trimmed(_pack_group(capacity, ratio, last)), "uid long, length long, group long, bin long, offset long, loose boolean")
         done = materialize(done, f"packed{level}")
         number = (F.lit(level).cast("long") * (1 << 58)) + F.col("group") * (1 << 32) + F.col("bin")
         parts.append(done.where("not loose").select("uid", number.alias("sequence_id"), "offset"))

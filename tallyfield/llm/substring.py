@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tallyfield.llm.common import Remember, byte_texts, in_parts, materialize, mix, rolling, split_words, window_starts
+from tallyfield.llm.common import Remember, byte_texts, in_parts, materialize, mix, rolling, split_words, trimmed, window_starts
 
 WIDTH = 20
 BASE, SECOND_BASE = 0x5851F42D4C957F2D, 0x2127599BF4325C37
 #: Bytes of text whose windows are packed together.
 CHUNK_BYTES = 4 << 20
-#: Bytes of text whose words are split at once.
+#: Bytes of text whose words are split, or cut, at once.
 HASHED_BYTES = 1 << 20
 #: Bytes of text for each bucket (its windows are counted in one task's memory), and buckets for each task.
 BUCKET_BYTES, TASK_BUCKETS = 4 << 20, 4
@@ -206,8 +206,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     tasks = -(-buckets // TASK_BUCKETS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     packed = rows.mapInArrow(_pack_windows(width, buckets), _PACKED)
-    found = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_count_bucket, "chunk long, ids binary, marks binary, idx binary, starts binary")
-    spans = found.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(_merge_chunk(width), "doc_id long, text_hash long, begins array<int>, ends array<int>")
+    found = packed.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(trimmed(_count_bucket), "chunk long, ids binary, marks binary, idx binary, starts binary")
+    spans = found.repartition(tasks, "chunk").groupBy("chunk").applyInArrow(trimmed(_merge_chunk(width)), "doc_id long, text_hash long, begins array<int>, ends array<int>")
     return materialize(spans, "repeated-spans")
 
 
@@ -230,7 +230,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
         yield pa.RecordBatch.from_arrays([*(c for _, c in own), *made], [*(n for n, _ in own), "n_words", "n_removed", "kept_text"])
 
-    yield from in_parts(batches, "text", CHUNK_BYTES, without)
+    yield from in_parts(batches, "text", HASHED_BYTES, without)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
