@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm import ann, knn, minhash, mixing, packing, quality, sharding, substring, token_counts, warc
+from tallyfield.llm import ann, codebooks, divergence, knn, minhash, mixing, negatives, packing, quality, sharding, substring, token_counts, warc
 
 SHARDS = 8
 ACCEPT = 0.7
@@ -67,6 +67,21 @@ def op10_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(_table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op11_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ruled = divergence.quality_rules(_table(spark, sf_dir, "documents"))
+    return ruled.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = codebooks.compress(_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
@@ -81,5 +96,8 @@ def queries() -> dict:
             op8_minhash_dedup,
             op9_substring_dedup,
             op10_voronoi_topk,
+            op11_divergence_rules,
+            op12_vector_codes,
+            op13_hard_negatives,
         )
     }
