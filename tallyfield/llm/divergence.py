@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm.common import WORD, materialize
 
-SYMBOLS = "#*$%&|<>"
 #: Base rules: fewest words, and the largest share (per cent) of words in repeated three-word windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) of a document from its language.
@@ -43,9 +42,9 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def without(text: Column, pattern: str) -> Column:
-    """Code points that are left of a text once all matches are taken out."""
-    return F.char_length(F.regexp_replace(text, F.lit(pattern), F.lit(""))).cast("long")
+def left_over(text: Column, pattern: str) -> Column:
+    """``text`` without what matches."""
+    return F.regexp_replace(text, F.lit(pattern), F.lit(""))
 
 
 def repeated_lines(text: Column) -> Column:
@@ -54,69 +53,79 @@ def repeated_lines(text: Column) -> Column:
     return let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
-def repeated_words(words: Column) -> Column:
+def repeated_words(ws: Column) -> Column:
     """Words in three-word windows that stand at two places or more of the text.
 
     Windows are sorted with their places, so equal ones are neighbours; the words at the places found count once.
+    The sort compares 64-bit hashes first and the windows themselves after that.
     """
-
-    def covered(ws: Column) -> Column:
-        window = lambda i: F.struct(F.concat_ws(" ", F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)).alias("window"), i.alias("at"))
-        windows = F.when(F.size(ws) > 2, F.transform(F.sequence(F.lit(0), F.size(ws) - 3), window))
-        return let(F.sort_array(windows), repeats)
+    words = lambda i: [F.get(ws, i), F.get(ws, i + 1), F.get(ws, i + 2)]
+    window = lambda i: F.struct(F.xxhash64(*words(i)).alias("hash"), F.concat_ws(" ", *words(i)).alias("window"), i.alias("at"))
+    windows = F.when(F.size(ws) > 2, F.transform(F.sequence(F.lit(0), F.size(ws) - 3), window))
 
     def repeats(s: Column) -> Column:
         same = lambda x, i: (F.get(s, i - 1)["window"] == x["window"]) | (F.get(s, i + 1)["window"] == x["window"])
-        at = F.filter(F.transform(s, lambda x, i: F.when(same(x, i), x["at"])), lambda p: p.isNotNull())
+        at = F.transform(F.filter(s, same), lambda x: x["at"])
         return F.size(F.array_distinct(F.flatten(F.transform(at, lambda p: F.array(p, p + 1, p + 2)))))
 
-    return F.coalesce(let(words, covered), F.lit(0)).cast("long")
+    return F.coalesce(let(F.sort_array(windows), repeats), F.lit(0)).cast("long")
 
 
 def class_counts(text: Column) -> Column:
-    """Code points of each character class, in the order of ``CLASSES``, and the rest; a number counts as one, however long."""
-    length = F.char_length(text).cast("long")
-    lower, upper, letters, digits, space, symbols = (length - without(text, f"[{c}]+") for c in CLASSES)
-    numbers = F.regexp_count(text, F.lit(r"\p{N}+")).cast("long")
-    return F.array(lower, upper, letters - lower - upper, numbers, space, symbols, length - letters - digits - space - symbols)
+    """Code points of each character class, in the order of ``CLASSES``, and the rest; a number counts as one, however long.
+
+    Each class is taken out of what the classes before it left, so that only the first pass reads the whole text.
+    """
+
+    def taken(rest: Column, classes: list[str], counts: list[Column]) -> Column:
+        size = F.char_length(rest).cast("long")
+        if not classes:
+            lower, upper, letters, _, space, symbols = counts
+            return F.array(lower, upper, letters, F.regexp_count(text, F.lit(r"\p{N}+")).cast("long"), space, symbols, size)
+        return let(left_over(rest, f"[{classes[0]}]+"), lambda x: taken(x, classes[1:], [*counts, size - F.char_length(x)]))
+
+    return taken(text, CLASSES, [])
 
 
 def word_counts(text: Column, lang: Column) -> Column:
     """Letter runs that are each of the language's common words, and the rest; null for a language without a list."""
     known = F.create_map(*[x for k, ws in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, ws)))])
+    common = F.try_element_at(known, lang)
+    any_common = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 
-    def counted(both: Column) -> Column:
-        found = lambda m: F.transform(both["common"], lambda c: F.size(F.filter(m, lambda w: w == c)).cast("long"))
-        common = F.filter(both["runs"], lambda w: F.array_contains(both["common"], w))
-        return let(common, lambda m: F.concat(found(m), F.array((F.size(both["runs"]) - F.size(m)).cast("long"))))
+    def counted(runs: Column) -> Column:
+        found = lambda m: F.transform(common, lambda c: F.size(F.filter(m, lambda w: w == c)).cast("long"))
+        with_rest = lambda n: F.concat(n, F.array(F.size(runs).cast("long") - total(n)))
+        return let(let(F.filter(runs, lambda w: w.isin(any_common)), found), with_rest)
 
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    return F.when(F.coalesce(F.array_contains(F.map_keys(known), lang), F.lit(False)), let(F.struct(runs.alias("runs"), F.try_element_at(known, lang).alias("common")), counted))
+    return F.when(common.isNotNull(), let(runs, counted))
+
+
+def total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, classes, common: one row a document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    base = let(words, lambda ws: F.struct(F.size(ws).cast("long").alias("n_words"), repeated_words(ws).alias("n_repeat_words")))
     counted = docs.select(
         "doc_id",
         "lang",
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-        without(text, r"[\x20\x09-\x0D]+").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        base.alias("base"),
+        F.char_length(text).cast("long").alias("length"),
         repeated_lines(text).alias("n_dup_lines"),
-        repeated_words(words).alias("n_repeat_words"),
         class_counts(text).alias("classes"),
         word_counts(text, F.col("lang")).alias("common"),
     )
+    space, symbols = F.col("classes")[4], F.col("classes")[5]
+    counted = counted.select("doc_id", "lang", "base.*", (F.col("length") - space).alias("word_chars"), symbols.alias("n_symbols"), "n_dup_lines", "classes", "common")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     return counted.withColumn("base_failed", failed)
 
 
-def total(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
-
-
 def _medians(counts: str, size: int, usable: Column) -> Column:
     """Median share, in thousandths, of each class over the documents that are ``usable``."""
     share = lambda i: F.when(usable, F.floor(1000 * F.col(counts)[i] / total(F.col(counts))))
