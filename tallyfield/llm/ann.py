@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tallyfield.llm.common import materialize
 from tallyfield.llm.vectors import LISTS, LISTS_ARROW, common_length, matrix, merged, top_lists, whole
@@ -118,7 +119,7 @@ def search(trees: list[Tree], sizes: np.ndarray, query: np.ndarray, wanted: floa
     return found
 
 
-_ROWS = "tree int, leaf int, block int, vec_id long, mark long, vec array<float>"
+_ROWS = "tree int, leaf int, block int, vec_id long, mark long, vec "
 _ROWS_ARROW = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("block", pa.int32()), ("vec_id", pa.int64()), ("mark", pa.int64()), ("vec", pa.list_(pa.float32()))])
 
 
@@ -193,7 +194,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = TREES
     vector count once.  Fewer than ``k`` candidates give fewer rows; an empty table gives none.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
+    kind = "array<float>" if vectors.schema["embedding"].dataType == ArrayType(FloatType()) else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
     rows = rows.where(F.col("vec_id").isNotNull() & whole(F.col("vec")) & F.exists("vec", lambda x: x != 0)).withColumn("mark", F.xxhash64("vec"))
     length = common_length(rows)
     rows = rows.where(F.size("vec") == length)
@@ -213,8 +215,8 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = TREES
     for r in rows.mapInArrow(_count_leaves(forest, norm), "tree int, leaf int, n long").groupBy("tree", "leaf").agg(F.sum("n").alias("n")).collect():
         sizes[r["tree"], r["leaf"]] = r["n"]
     blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
-    data = rows.mapInArrow(_to_leaves(forest, norm, blocks), _ROWS)
-    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(_to_searches(forest, norm, sizes, blocks, share * total), _ROWS)
+    data = rows.mapInArrow(_to_leaves(forest, norm, blocks), _ROWS + kind)
+    asked = rows.where(F.col("vec_id") % every == 0).mapInArrow(_to_searches(forest, norm, sizes, blocks, share * total), _ROWS + kind)
     key = ("tree", "leaf", "block")
     lists = asked.groupBy(*key).cogroup(data.groupBy(*key)).applyInArrow(_rerank(k), LISTS)
     return merged(materialize(lists, "ann-lists"), k, "double")

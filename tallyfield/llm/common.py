@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import wraps
 from itertools import chain
@@ -12,39 +10,22 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.session import release, scratch_dir, scratch_path  # noqa: F401  (operators take them from here)
+
 #: A word: a run of anything but ASCII white space.  ``bytes.split()`` cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Words a Python worker remembers before it forgets them all; bounds a worker's memory, not the result.
-REMEMBERED_WORDS = 100_000
+#: Bytes of words a Python worker remembers, with what an entry takes beside its word, before it forgets them all; a
+#: word longer than a share of that is not remembered.  Bounds a worker's memory, not the result.
+REMEMBERED_BYTES, ENTRY_BYTES, LONGEST_SHARE = 16 << 20, 160, 64
 
 _MASK = (1 << 64) - 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Where that is unset a temporary folder takes its place, but only on a local master: executors of a cluster
-    do not see the driver's folders.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage ends there and lost executors cost nothing.
 
@@ -62,14 +43,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(*steps: DataFrame) -> None:
-    """Remove the files of steps that :func:`materialize` wrote and that nothing to come reads."""
-    for step in steps:
-        spark = step.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(step._written_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def word_count(text: Column) -> Column:
     """Words in a text; null and empty texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -126,16 +99,20 @@ def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 class Remember(dict):
-    """``remember[word]`` computes a value once per distinct word, within a bound on the words kept."""
+    """``remember[word]`` computes a value once per distinct word, within a bound on the bytes kept."""
 
     def __init__(self, compute):
         super().__init__()
-        self.compute = compute
+        self.compute, self.held = compute, 0
 
     def __missing__(self, word):
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
-        value = self[word] = self.compute(word)
+        value = self.compute(word)
+        if len(word) <= REMEMBERED_BYTES // LONGEST_SHARE:
+            self.held += len(word) + ENTRY_BYTES
+            if self.held > REMEMBERED_BYTES:
+                self.clear()
+                self.held = len(word) + ENTRY_BYTES
+            self[word] = value
         return value
 
 

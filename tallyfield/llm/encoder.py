@@ -17,8 +17,8 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Parts a worker remembers between blocks; bounds memory, not the result.
-REMEMBERED_PARTS = 100_000
+#: Bytes a worker remembers between blocks, with what an entry takes beside its part and ids; bounds memory, not the result.
+REMEMBERED_BYTES, ENTRY_BYTES = 32 << 20, 200
 #: Bytes of text that are cut into parts at once; a longer text is cut at white space.
 BLOCK_BYTES = 4 << 20
 
@@ -78,6 +78,10 @@ def _blocks(text: bytes, limit: int) -> Iterator[bytes]:
     yield text[at:]
 
 
+def _cost(parts: dict[bytes, bytes]) -> int:
+    return sum(len(p) + len(i) + ENTRY_BYTES for p, i in parts.items())
+
+
 class WordEncoder:
     """``ids_of(texts)`` gives the token ids of all texts in one array, and how many each text has."""
 
@@ -94,6 +98,7 @@ class WordEncoder:
         self.whole = Tokenizer(self.tokenizer.model)  # for parts that need no preparing
         self.whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.remembered: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _plain(self, texts: list[bytes]) -> list[bytes]:
         return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)]
@@ -115,9 +120,13 @@ class WordEncoder:
         coded = parts.dictionary_encode()
         own, known = coded.dictionary.to_pylist(), self.remembered
         new = [p for p in own if p not in known]
-        if len(known) + len(new) > REMEMBERED_PARTS:  # the parts of this block outlast the rest
+        encoded = dict(self._encoded(new))
+        added = _cost(encoded)
+        if self.held + added > REMEMBERED_BYTES:  # the parts of this block outlast the rest
             known = self.remembered = {p: known[p] for p in own if p in known}
-        known.update(self._encoded(new))
+            self.held = _cost(known)
+        known.update(encoded)
+        self.held += added
         ids = [known[p] for p in own]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         pool, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes

@@ -32,6 +32,8 @@ BANDS, ROWS = 28, 5
 BASE = 0x2545F4914F6CDD1D
 #: Bytes of text worked on at once: a text of n words throws some 1,000 darts whatever n is.
 CHUNK_BYTES = 1 << 20
+#: Cells in which darts are thrown at once, about 100 bytes each; a longer text's elements are taken in turn.
+DART_CELLS = 1 << 18
 _COMPARED = "a long, b long, a_mark long, b_mark long, na int, nb int, common int"
 #: Cumulative probabilities of 0, 1, 2, ... darts in a cell of area one.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
@@ -56,31 +58,42 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, of: np.ndarray, s
         limit = np.zeros(sets)
         limit[pending] = wanted / total[pending]
         mine = np.flatnonzero(limit[of] > 0)
-        el, top, high, own = elements[mine], limit[of[mine]], weights[mine], of[mine]
-        ranks, heights = np.ceil(top).astype(np.int64), np.ceil(high).astype(np.int64)
-        cells = ranks * heights
-        at = np.repeat(np.arange(len(el)), cells)
-        cell = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
-        rank, height = cell // heights[at], cell % heights[at]
-        seed = mix(el[at] ^ mix(rank.astype(np.uint64) << np.uint64(32) | height.astype(np.uint64), 1))
-        darts = np.searchsorted(_POISSON, _unit(seed), side="right")
-        at, rank, height, seed = (np.repeat(x, darts) for x in (at, rank, height, seed))
-        number = np.arange(len(at)) - np.repeat(np.cumsum(darts) - darts, darts)
-        seed = mix(seed + number.astype(np.uint64), 2)
-        r = rank + _unit(seed)
-        keep = r < top[at]
-        if high.max(initial=0) != 1 or high.min(initial=1) != 1:
-            keep &= height + _unit(mix(seed, 3)) < high[at]
-        at, seed, r = at[keep], seed[keep], r[keep]
-        place = own[at] * k + (mix(seed, 4) % np.uint64(k)).astype(np.int64)
-        # earliest rank first: 44 bits of rank, 20 of the dart's own hash
-        value = (r * (1 << 30)).astype(np.uint64) << np.uint64(20) | seed >> np.uint64(44)
-        np.minimum.at(out.reshape(-1), place, value)
+        ends = np.cumsum(np.ceil(limit[of[mine]]).astype(np.int64) * np.ceil(weights[mine]).astype(np.int64))
+        start = 0
+        while start < len(mine):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + DART_CELLS, side="right")))
+            some = mine[start:stop]
+            _throw(elements[some], limit[of[some]], weights[some], of[some], k, out)
+            start = stop
         pending = pending[(out[pending] == never).any(axis=1)]
         wanted *= 2
     return out
 
 
+def _throw(el: np.ndarray, top: np.ndarray, high: np.ndarray, own: np.ndarray, k: int, out: np.ndarray) -> None:
+    """Throw the darts of some elements, below rank ``top`` and height ``high``, and keep the earliest in ``out``."""
+    ranks, heights = np.ceil(top).astype(np.int64), np.ceil(high).astype(np.int64)
+    cells = ranks * heights
+    at = np.repeat(np.arange(len(el)), cells)
+    cell = np.arange(len(at)) - np.repeat(np.cumsum(cells) - cells, cells)
+    rank, height = cell // heights[at], cell % heights[at]
+    seed = mix(el[at] ^ mix(rank.astype(np.uint64) << np.uint64(32) | height.astype(np.uint64), 1))
+    darts = np.searchsorted(_POISSON, _unit(seed), side="right")
+    at, rank, height, seed = (np.repeat(x, darts) for x in (at, rank, height, seed))
+    number = np.arange(len(at)) - np.repeat(np.cumsum(darts) - darts, darts)
+    seed = mix(seed + number.astype(np.uint64), 2)
+    r = rank + _unit(seed)
+    keep = r < top[at]
+    if high.max(initial=0) != 1 or high.min(initial=1) != 1:
+        keep &= height + _unit(mix(seed, 3)) < high[at]
+    at, seed, r = at[keep], seed[keep], r[keep]
+    place = own[at] * k + (mix(seed, 4) % np.uint64(k)).astype(np.int64)
+    # earliest rank first: 44 bits of rank, 20 of the dart's own hash
+    value = (r * (1 << 30)).astype(np.uint64) << np.uint64(20) | seed >> np.uint64(44)
+    np.minimum.at(out.reshape(-1), place, value)
+
+
 def shingle_sets(texts: list[bytes], remember: Remember, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes and the text each belongs to, ordered by both; a shorter text is one shingle."""
     words, counts = split_words(texts)

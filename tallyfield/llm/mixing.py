@@ -24,9 +24,12 @@ from tallyfield.llm.common import materialize, word_count
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_COPIES = 2
-#: Documents paired by one task's group, about, and groups that meet at each level of the tree.
+#: Documents paired by one task's group, about, and groups that meet at each level of the tree; a source with fewer
+#: documents is one group, in which all of them can settle what is left over.
 GROUP_ROWS = 20_000
 FAN_IN = 32
+#: A group draws its left-over document again until it has at most this share of the words taken, so many times at most.
+CLOSE, SETTLE_STEPS = 0.003, 400
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
@@ -108,6 +111,19 @@ def settle(fraction: np.ndarray, size: np.ndarray, held: int, dice: np.ndarray)
     return out, int(last)
 
 
+def settled(fraction: np.ndarray, size: np.ndarray, held: int, keys: np.ndarray, level: int) -> tuple[np.ndarray, int]:
+    """Settle until the document left over is short beside the words taken, or has been drawn often enough.
+
+    Every step keeps expectations, so stopping by what is left over keeps them as well.
+    """
+    close = CLOSE * float((fraction * size).sum())
+    for step in range(SETTLE_STEPS):
+        if held < 0 or size[held] <= close and step:
+            break
+        fraction, held = settle(fraction, size, held, _dice(keys, level * 2 + 1 + step * 1009))
+    return fraction, held
+
+
 def _round_groups(rows: DataFrame, level: int, last: bool) -> DataFrame:
     """Pair the documents of each (source, group); ``open`` marks what is left for the next level."""
 
@@ -116,8 +132,7 @@ def _round_groups(rows: DataFrame, level: int, last: bool) -> DataFrame:
         frame = frame.sort_values(["size", "key", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
         dice = _dice(frame["key"].to_numpy(), level * 2 + 1)
         fraction, held = pivot(frame["fraction"].to_numpy(np.float64), frame["size"].to_numpy(np.float64), dice)
-        if held >= 0:
-            fraction, held = settle(fraction, frame["size"].to_numpy(np.float64), held, dice)
+        fraction, held = settled(fraction, frame["size"].to_numpy(np.float64), held, frame["key"].to_numpy(), level)
         if held >= 0 and last:
             fraction[held] = float(_dice(frame["key"].to_numpy()[held : held + 1], 0)[0] < fraction[held])
             held = -1
@@ -142,13 +157,13 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     n = sizes.groupBy("source").count().agg(F.max("count")).first()[0] or 0
     levels = max(0, math.ceil(math.log(max(n / GROUP_ROWS, 1), FAN_IN)))
     key = F.xxhash64("doc_id", "size")
-    rows = rows.withColumns({"wanted": wanted, "key": key, "group": F.pmod(key, F.lit(FAN_IN ** (levels + 1))), "open": F.lit(True)})
+    rows = rows.withColumns({"wanted": wanted, "key": key, "group": F.pmod(key, F.lit(FAN_IN**levels)), "open": F.lit(True)})
     rows = rows.withColumns({"whole": F.floor("wanted"), "fraction": F.col("wanted") - F.floor("wanted")}).drop("wanted")
     settled = rows.where("fraction = 0 or fraction >= 1").withColumn("open", F.lit(False))
     left = rows.where("fraction > 0 and fraction < 1")
     parts = [settled]
-    for level in range(levels + 2):
-        done = materialize(_round_groups(left, level, last=level == levels + 1), f"mix-level{level}")
+    for level in range(levels + 1):
+        done = materialize(_round_groups(left, level, last=level == levels), f"mix-level{level}")
         parts.append(done.where("not open"))
         left = done.where("open").withColumn("group", F.floor(F.col("group") / FAN_IN))
     everything = parts[0]

@@ -3,7 +3,9 @@
 Distinct pre-tokens (a word with a leading word mark) go into a trie.  A node stands for a prefix and holds
 the forward score of its best segmentation and the tokens in it; both follow from the node's ancestors, so
 a prefix that many words share is worked out once.  A document's count is the sum of its words' terminal
-counts.  Rows stay where they are: every task keeps a trie of bounded size and nothing is shuffled.
+counts.  Beyond ``TRIE_DEPTH`` characters a word goes on without nodes: a step needs only the scores of as many
+positions as the longest piece has characters.  Rows stay where they are: every task keeps a trie of bounded
+size and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ WORD_MARK = "▁"
 CHUNK_BYTES = 1 << 20
 #: Nodes a task's trie may hold before it starts again; bounds memory, not the result.
 TRIE_NODES = 500_000
+#: Characters of a word that get nodes.
+TRIE_DEPTH = 256
 _NO_TAIL = object()
 
 
@@ -61,6 +65,7 @@ class PretokenTrie:
 
     def __init__(self, vocabulary: Vocabulary):
         self.scores, self.unknown, self.tails = vocabulary.scores, vocabulary.unknown, vocabulary.tails()
+        self.longest = max(map(len, self.scores), default=1)
         self.reset()
 
     def reset(self) -> None:
@@ -71,28 +76,42 @@ class PretokenTrie:
         """Tokens in the best segmentation: largest score, then fewest tokens."""
         if len(self.best) > TRIE_NODES:
             self.reset()
-        node, path = 0, [0]
-        for end, c in enumerate(pretoken, 1):
+        node, best, count = 0, [0.0], [0]
+        for end, c in enumerate(pretoken[:TRIE_DEPTH], 1):
             after = self.child.get((node, c))
             if after is None:
-                known = self.scores.get(c)
-                best = self.best[node] + (self.unknown if known is None else known)
-                count = self.count[node] + (len(c.encode()) if known is None else 1)
-                for begin in range(end - 2, -1, -1):
-                    piece = self.tails.get(pretoken[begin:end], _NO_TAIL)
-                    if piece is _NO_TAIL:  # then nothing that begins before it ends a piece either
-                        break
-                    if piece is not None:
-                        from_ = path[begin]
-                        value = self.best[from_] + piece
-                        if value > best or value == best and self.count[from_] + 1 < count:
-                            best, count = value, self.count[from_] + 1
+                score, n = self._step(pretoken, end, best, count, 0)
                 after = self.child[node, c] = len(self.best)
-                self.best.append(best)
-                self.count.append(count)
+                self.best.append(score)
+                self.count.append(n)
             node = after
-            path.append(node)
-        return self.count[node]
+            best.append(self.best[node])
+            count.append(self.count[node])
+        first = 0  # the position that best[0] and count[0] are about
+        for end in range(TRIE_DEPTH + 1, len(pretoken) + 1):
+            score, n = self._step(pretoken, end, best, count, first)
+            best.append(score)
+            count.append(n)
+            if len(best) > 2 * self.longest + 2:
+                first += len(best) - self.longest - 1
+                best, count = best[-self.longest - 1 :], count[-self.longest - 1 :]
+        return count[-1]
+
+    def _step(self, pretoken: str, end: int, best: list[float], count: list[int], first: int) -> tuple[float, int]:
+        """Score and tokens of the first ``end`` characters, from those of the positions before."""
+        c = pretoken[end - 1]
+        known = self.scores.get(c)
+        score = best[end - 1 - first] + (self.unknown if known is None else known)
+        n = count[end - 1 - first] + (len(c.encode()) if known is None else 1)
+        for begin in range(end - 2, max(first, end - self.longest) - 1, -1):
+            piece = self.tails.get(pretoken[begin:end], _NO_TAIL)
+            if piece is _NO_TAIL:  # then nothing that begins before it ends a piece either
+                break
+            if piece is not None:
+                value = best[begin - first] + piece
+                if value > score or value == score and count[begin - first] + 1 < n:
+                    score, n = value, count[begin - first] + 1
+        return score, n
 
 
 def _counted(vocabulary: Vocabulary):

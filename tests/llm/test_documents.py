@@ -3,12 +3,14 @@
 import collections
 import hashlib
 import math
+import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 
-from tallyfield.llm import minhash, mixing, packing, quality, sharding, substring, token_counts
+from tallyfield.llm import common, minhash, mixing, packing, quality, sharding, substring, token_counts
 from tallyfield.llm.common import Remember
 from tests.llm.edge import SCHEMA, corpus, frame, words
 
@@ -204,20 +206,32 @@ def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
             left -= target[k]
 
 
+def close_to(taken, target, sizes):
+    """Within 1 % of the target where the documents allow a tenth of that; else within the longest document."""
+    whole, longest = int(target // max(1, sum(sizes))), max(sizes)
+    sums = 1
+    for n in sizes:
+        sums |= sums << n
+    rest = round(target - whole * sum(sizes))
+    slack = int(0.001 * target) + 1
+    allowed = sums >> max(0, rest - slack) & ((1 << (2 * slack + 1)) - 1)
+    return abs(taken - target) <= (max(0.01 * target, 1) if allowed else longest + 1)
+
+
 def test_mixing(docs, rows):
     got = [r.asDict() for r in mixing.mix_sources(docs).collect()]
     sizes = collections.Counter()
     for _, t, s in rows:
         sizes[s] += len(words(t))
-    expected, taken, largest = brute_targets(sizes), collections.Counter(), collections.Counter()
+    expected, taken, per_source = brute_targets(sizes), collections.Counter(), collections.defaultdict(list)
     assert len(got) == len(rows)
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], expected[r["source"]], rel_tol=1e-9)
         assert 0 <= r["taken"] <= 2 * r["size"] and r["taken"] == r["size"] * r["copies"]
         taken[r["source"]] += r["taken"]
-        largest[r["source"]] = max(largest[r["source"]], r["size"])
+        per_source[r["source"]].append(r["size"])
     for s in sizes:
-        assert abs(taken[s] - expected[s]) <= largest[s] + 1
+        assert close_to(taken[s], expected[s], per_source[s])
     again = [tuple(r) for r in mixing.mix_sources(docs.repartition(7)).collect()]
     assert sorted(map(str, again)) == sorted(str(tuple(r.values())) for r in got)
 
@@ -449,3 +463,70 @@ def test_mixes_meet_their_targets_closely(spark, small):
         taken[x["source"]] += x["taken"]
         target[x["source"]] = x["target"]
     assert all(abs(taken[s] - t) < 0.005 * t for s, t in target.items())
+
+
+@pytest.mark.parametrize("n", [12, 50, 400])
+def test_small_sources_meet_their_targets(spark, n):
+    """Sources of few documents with very unequal lengths, some of one document only."""
+    r = np.random.default_rng(n)
+    rows = [(1000 * s + i, " ".join(["w"] * int(k)), f"s{s}") for s in range(6) for i, k in enumerate(np.append(r.integers(3, 60, n - 2), [1400, 900]))]
+    taken, target, sizes = collections.Counter(), {}, collections.defaultdict(list)
+    for x in mixing.mix_sources(frame(spark, rows)).collect():
+        taken[x["source"]] += x["taken"]
+        target[x["source"]] = x["target"]
+        sizes[x["source"]].append(x["size"])
+    assert all(close_to(taken[s], t, sizes[s]) for s, t in target.items())
+
+
+def test_levels_of_groups_meet_the_targets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 20)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
+    r = np.random.default_rng(1)
+    rows = [(i, " ".join(["w"] * int(k)), f"s{i % 2}") for i, k in enumerate(r.integers(1, 90, 1500))]
+    taken, target = collections.Counter(), {}
+    for x in mixing.mix_sources(frame(spark, rows)).collect():
+        taken[x["source"]] += x["taken"]
+        target[x["source"]] = x["target"]
+    assert all(abs(taken[s] - t) < 0.01 * t for s, t in target.items())
+
+
+def _peak(work) -> float:
+    """MB of arrays and objects that ``work`` holds at most, beyond what was there."""
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_many_short_texts_throw_their_darts_in_turn(monkeypatch):
+    r = np.random.default_rng(0)
+    elements, of = r.integers(0, 1 << 63, 30_000).astype(np.uint64), np.sort(r.integers(0, 10_000, 30_000))
+    got = []
+    assert _peak(lambda: got.append(minhash.dart_signatures(elements, np.ones(30_000), of, 10_000, 140))) < 120
+    monkeypatch.setattr(minhash, "DART_CELLS", 1 << 30)
+    some = of < 200
+    assert (got[0][:200] == minhash.dart_signatures(elements[some], np.ones(some.sum()), of[some], 200, 140)).all()
+
+
+def test_one_very_long_word_needs_no_nodes():
+    vocabulary = token_counts.Vocabulary({c: -3.0 for c in "abc▁"} | {"ab": -4.0, "abc": -4.5, "ca": -5.0, "cabca": -7.0}, -20.0)
+    trie, r = token_counts.PretokenTrie(vocabulary), random.Random(2)
+    word = "".join(r.choices("abcé", k=2000))
+    plain = token_counts.PretokenTrie(vocabulary)
+    for depth, n in ((5, 900), (256, 2000), (3, 40)):
+        token_counts_depth, token_counts.TRIE_DEPTH = token_counts.TRIE_DEPTH, depth
+        try:
+            got = token_counts.PretokenTrie(vocabulary).tokens(word[:n])
+            token_counts.TRIE_DEPTH = 10**9
+            assert got == plain.tokens(word[:n])
+        finally:
+            token_counts.TRIE_DEPTH = token_counts_depth
+    assert _peak(lambda: trie.tokens(word * 500)) < 20 and len(trie.best) <= token_counts.TRIE_DEPTH + 1
+
+
+def test_long_words_are_not_all_remembered():
+    remember = common.Remember(len)
+    assert _peak(lambda: [remember[bytes(10_000) + i.to_bytes(4, "big")] for i in range(20_000)]) < 2 * common.REMEMBERED_BYTES / 1e6
+    assert remember.held <= common.REMEMBERED_BYTES
+    assert remember[b"x" * common.REMEMBERED_BYTES] == common.REMEMBERED_BYTES and b"x" * common.REMEMBERED_BYTES not in remember

@@ -36,13 +36,13 @@ def test_whole_documents(spark, small, tokenizer):
 
 
 def test_a_memory_that_forgets_changes_nothing(tokenizer, monkeypatch):
-    monkeypatch.setattr(encoder, "REMEMBERED_PARTS", 10)
+    monkeypatch.setattr(encoder, "REMEMBERED_BYTES", 10 * encoder.ENTRY_BYTES)
     r = random.Random(3)
     texts = [" ".join(r.choice("abcdefgh") * r.randint(1, 9) + r.choice(["", ",", "7", "'s"]) for _ in range(50)) for _ in range(40)]
     one, ids = encoder.WordEncoder(PATH), []
     for t in texts:
         ids.append(one.ids_of([t.encode()])[0].tolist())
-        assert len(one.remembered) <= 10 + 4 * 50
+        assert len(one.remembered) <= 10 + 4 * 50 and one.held == encoder._cost(one.remembered)
     assert ids == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
