@@ -38,23 +38,43 @@ def ship_package(spark: SparkSession) -> None:
     context._tallyfield_shipped = True
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path that no other run uses in the folder that ``spark.checkpoint.dir`` names.
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Where that is unset a temporary folder takes its place, but only on a local master: executors of a cluster
     do not see the driver's folders.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        top = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        found = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other run uses."""
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: its lineage ends there."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*steps: DataFrame) -> None:
+    """Remove the files of steps that were written and that nothing to come reads."""
+    for step in steps:
+        folder, files = hadoop_path(step.sparkSession, step._written_at)
+        files.delete(folder, True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path and the file system it lies in, as Spark's own readers see them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
