@@ -115,10 +115,10 @@ def initials(name: Column) -> Column:
 
 
 def name_hue(name: Column) -> Column:
-    """A hue 0..359 from the classic times-31 hash in 32-bit arithmetic."""
-    codes = F.transform(F.split(name, ""), lambda c: F.ascii(c).cast("long"))
+    """A hue 0..359 from the times-31 hash; only its shift by five bits is cut to 32 bits, the sum is not."""
+    codes = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
     wrapped = lambda v: F.pmod(v + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
-    return F.pmod(F.abs(F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: wrapped(h * 31 + c))), F.lit(360)).cast("int")
+    return F.pmod(F.abs(F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: wrapped(h * 32) - h + c)), F.lit(360)).cast("int")
 
 
 def html_escaped(text: Column) -> Column:
@@ -144,6 +144,18 @@ ROUND_WORDS = (("previa", "Previa"), ("dieciseis", "Dieciseisavos"), ("octavos",
 FROM_END = ("Final", "Semifinales", "Cuartos", "Octavos")
 
 
+# How far a knock-out round is, by the first of these words in its label.
+ROUND_RANKS = (("dieciseisavos", 1), ("octavos", 2), ("cuartos", 3), ("semifinal", 4), ("final", 5))
+
+
+def round_sort_key(label: Column) -> Column:
+    """struct<year, month, day, rank> that orders rounds: by the date in their label, then how far they are or their number."""
+    lower, day = F.lower(label), r"(\d{2})-(\d{2})-(\d{4})"
+    part = lambda i: F.coalesce(F.regexp_extract(label, day, i).try_cast("int"), F.lit(0))
+    rank = F.coalesce(*[F.when(lower.contains(word), n) for word, n in ROUND_RANKS], round_number(F.regexp_replace(label, day, "")), F.lit(0))
+    return F.struct(part(3).alias("year"), part(2).alias("month"), part(1).alias("day"), rank.alias("rank"))
+
+
 def round_name(label: Column, to_final: Column) -> Column:
     """A knock-out round's name: the one in its label, else by its distance from the final, else the label's number."""
     named = F.coalesce(*[F.when(F.lower(label).rlike(k), v) for k, v in ROUND_WORDS])
@@ -153,15 +165,17 @@ def round_name(label: Column, to_final: Column) -> Column:
     return F.coalesce(named, counted, F.when(number != "", F.concat(F.lit("Ronda "), number)), bare)
 
 
-# Signs for phases, by words that their names hold.
+# Signs for phases by their exact names, which come first, and by words that their names hold.
+NAMED_PHASES = {"Segunda Fase A": "🏆", "Segunda Fase B": "🥈", "Segunda Fase C": "🥉", "Lanzarote": "🌋", "Fuerteventura": "🏝️", "Gran Canaria": "🏔️", "Primera Fase GC": "🏟️", "Primera Fase": "🏟️"}
 PHASE_SIGNS = (("copa", "🏆"), ("campeon", "🏆"), ("campeón", "🏆"), ("lanzarote", "🌋"), ("fuerteventura", "🏝️"), ("gran canaria", "🏔️"), (" gc", "🏔️"))
 OTHER_SIGN = "⚽"
 
 
 def phase_sign(phase: Column) -> Column:
-    """The sign of the first word that a phase's name holds."""
+    """The sign of a phase of exactly this name, else of the first word that it holds."""
+    named = [F.when(phase == k, v) for k, v in NAMED_PHASES.items()]
     lower = F.lower(F.coalesce(phase, F.lit("")))
-    return F.coalesce(*[F.when(lower.contains(k), v) for k, v in PHASE_SIGNS], F.lit(OTHER_SIGN))
+    return F.coalesce(*named, *[F.when(lower.contains(k), v) for k, v in PHASE_SIGNS], F.lit(OTHER_SIGN))
 
 
 def shown_group(name: Column, category: Column) -> Column:

@@ -5,17 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.functions.arrays import let
+from tallyfield.functions.html import stripped
 from tallyfield.functions.text import squeezed
 
 
-def stripped(html: Column) -> Column:
-    """Text without tags, with the commonest entities as signs."""
-    text = F.regexp_replace(html, r"<[^>]*>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
-    return squeezed(text)
-
-
 def title(html: Column) -> Column:
     found = F.regexp_extract(html, r"<title>([^<]*)</title>", 1)
     return F.when(found != "", found)
@@ -85,40 +79,23 @@ def first_matches(matches: DataFrame, key: str = "page_id") -> DataFrame:
     return matches.withColumn("n", F.row_number().over(Window.partitionBy(key, "home", "away").orderBy("pos"))).where("n = 1").drop("n")
 
 
-def goal_lines(lines: DataFrame, key: str = "match_id") -> DataFrame:
-    """(minute, player) from lines such as ``23' Name``; a line without a minute is left out."""
-    pattern = r"^\s*(\d{1,3})\s*['’]\s*(.+?)\s*$"
-    found = lines.withColumns({"minute": F.regexp_extract("line", pattern, 1).try_cast("int"), "player": F.regexp_extract("line", pattern, 2)})
-    return found.where("minute is not null").select(key, "pos", "minute", "player")
-
-
-def revealed_digits(html: Column, codes: DataFrame | dict[str, str], call: str = "n") -> Column:
-    """Digits that a page shows through calls such as ``n('x7')``, by a lookup table; null if a code is unknown."""
-    table = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])
-    digits = F.transform(F.regexp_extract_all(html, F.lit(rf"{call}\('([^']*)'\)"), F.lit(1)), lambda c: table[c])
-    whole = F.when(F.size(digits) > 0, F.when(~F.exists(digits, lambda d: d.isNull()), F.concat_ws("", digits)))
-    return whole.try_cast("int")
-
-
-def score_by_strategies(*strategies: Column) -> Column:
-    """The first strategy that gives a score."""
-    return F.coalesce(*strategies)
+# The blocks of a page's goals, home before away, and a goal in them.
+GOAL_BLOCK = r"(?is)<div[^>]+grupo-negro12[^>]*>(.*?)</div>"
+GOAL_LINE = r"(\d+)[´'`]\s*-\s*([^\n<\r]+)"
 
 
-def css_minutes(html: Column) -> Column:
-    """Class to minute, from style rules such as ``.m7:before{content:"23"}``."""
-    rules = F.regexp_extract_all(html, F.lit(r"\.(\w+):before\{content:\"(\d+)\"\}"), F.lit(0))
-    pair = lambda r: F.struct(F.regexp_extract(r, r"\.(\w+):", 1), F.regexp_extract(r, r"\"(\d+)\"", 1).try_cast("int"))
-    return F.map_from_entries(F.array_distinct(F.transform(rules, pair)))
+def goal_lines(pages: DataFrame, key: str = "match_id") -> DataFrame:
+    """key, n, minute, player, side of the goals on pages of (key, html), in order of minutes.
 
-
-def lineup_panels(html: Column) -> Column:
-    """array<struct<dorsal, name, role>> from panels of rows ``<li class="role" data-n="7">Name</li>``."""
-    rows = F.regexp_extract_all(html, F.lit(r'<li class="(?:starter|sub)" data-n="\d*">[^<]*</li>'), F.lit(0))
-    row = lambda r: F.struct(
-        F.regexp_extract(r, r'data-n="(\d*)"', 1).try_cast("int").alias("dorsal"), squeezed(F.regexp_extract(r, r">([^<]*)<", 1)).alias("name"), F.regexp_extract(r, r'class="(\w+)"', 1).alias("role")
-    )
-    return F.transform(rows, row)
+    The first block holds the home side's goals, the second the away side's; goals of one minute keep the order of
+    the page, home before away.  Lines without a minute or a name are none.
+    """
+    found = F.regexp_extract_all("html", F.lit(GOAL_BLOCK), F.lit(1))
+    goal = lambda m, side: F.struct(F.regexp_extract(m, GOAL_LINE, 1).try_cast("int").alias("minute"), F.lit(side).alias("side"), F.trim(F.regexp_extract(m, GOAL_LINE, 2), F.lit(" \t")).alias("player"))
+    of = lambda i, side: F.transform(F.regexp_extract_all(F.coalesce(F.get(found, F.lit(i)), F.lit("")), F.lit(GOAL_LINE), F.lit(0)), lambda m: goal(m, side))
+    named = F.filter(F.concat(of(0, "h"), of(1, "a")), lambda g: (g["player"] != "") & g["minute"].isNotNull())
+    keyed = F.sort_array(F.transform(named, lambda g, i: F.struct(g["minute"].alias("minute"), i.alias("i"), g["player"].alias("player"), g["side"].alias("side"))))
+    return pages.select(key, F.posexplode(keyed).alias("n", "g")).select(key, (F.col("n") + 1).alias("n"), "g.minute", "g.player", "g.side")
 
 
 def sided_events(events: DataFrame, lineups: DataFrame) -> DataFrame:
@@ -127,12 +104,6 @@ def sided_events(events: DataFrame, lineups: DataFrame) -> DataFrame:
     return events.withColumn("k", F.upper(squeezed(F.col("player")))).join(who, ["match_id", "k"]).drop("k")
 
 
-def is_empty_report(header: str = "header", home: str = "lineups.home", away: str = "lineups.away") -> Column:
-    """A report whose header fields are all null and that has no line-ups."""
-    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
-    return F.coalesce(F.to_json(header), F.lit("{}")).eqNullSafe("{}") & none(home) & none(away)
-
-
 # The digits that calls ntype("id", n, i, "class") stand for, by row i and place n.
 CALLED_DIGITS = (
     (2, 5, 9, 4, 1, 0, 8, 6, 3, 7),
@@ -140,6 +111,86 @@ CALLED_DIGITS = (
     (0, 2, 4, 6, 8, 1, 3, 5, 7, 9),
     (7, 5, 2, 0, 9, 6, 3, 8, 4, 1),
 )
+# Score cells, and the ways in which one shows its number.
+SCORE_CELL = r'(?s)<span\s+class="wid2_resultado_cerrada[^"]*"[^>]*>(.*?)</span>\s*(?=<span\s+class="wid2_resultado_cerrada|</strong>)'
+CELL_CALL = r'ntype\("[^"]*",\s*(\d+),\s*(\d+)\s*,'
+HIDDEN_DIGITS, PLAIN_DIGITS, STYLE_DIGITS = r'<span\s+style="display:\s*none;?"\s*>(\d+)</span>', r'<i class="fa-solid">\s*(\d+)\s*</i>', r':before\s*\{[^}]*content:\s*"(\d+)"'
+NOT_DIGITS, LONE_DIGIT = r'(?:ntype\([^)]*\))|(?:fa-\d)|(?:idh\d+)|(?:id="[^"]*")', r"(?<![\w-])(\d)(?![\w-])"
+
+
+def cell_score(html: Column) -> Column:
+    """struct<home, away> of a score's cells, each read by the first way that applies to it.
+
+    Calls come first and decide alone: their digits joined, those beyond the table left out.  Then a hidden number,
+    a plain one, one in a style rule, and last the first digit that stands alone.
+    """
+    table = F.array(*[F.lit(str(d)) for row in CALLED_DIGITS for d in row])
+
+    def called(cell: Column) -> Column:
+        place = lambda c: F.regexp_extract(c, CELL_CALL, 2).cast("int") * 10 + F.regexp_extract(c, CELL_CALL, 1).cast("int")
+        return F.transform(F.regexp_extract_all(cell, F.lit(CELL_CALL), F.lit(0)), lambda c: F.get(table, place(c)))
+
+    def number(cell: Column) -> Column:
+        ways = [F.regexp_extract(cell, p, 1).try_cast("int") for p in (HIDDEN_DIGITS, PLAIN_DIGITS, STYLE_DIGITS)]
+        last = F.regexp_extract(F.regexp_replace(cell, NOT_DIGITS, ""), LONE_DIGIT, 1).try_cast("int")
+        return let(called(cell), lambda c: F.when(F.size(c) > 0, F.array_join(c, "").try_cast("int")).otherwise(F.coalesce(*ways, last)))
+
+    cells = F.transform(F.regexp_extract_all(html, F.lit(SCORE_CELL), F.lit(1)), number)
+    return let(cells, lambda n: F.struct(F.get(n, F.lit(0)).alias("home"), F.get(n, F.lit(1)).alias("away")))
+
+
+# Names, points and figures of a table in its newer and its older layout.
+NEW_NAME, NEW_POINTS, NEW_ROW, NEW_FIGURE = r"fw-bolderr[^>]*>\s*([^<]+?)\s*<", r"text-warning-emphasis[^>]*>\s*(\d+)", "contenedor__item", r"borderr-start[^>]*>\s*(-?\d+)\s*<"
+OLD_NAME, OLD_POINTS, OLD_FIGURE = r"fw-bolder[^>]*>([^<]+)", r'fw-bold[^"]*bg-[^"]*"[^>]*>\s*(\d+)\s*<', r'border-start[^"]*"[^>]*>\s*(-?\d+)\s*<'
+FIGURES = ("played", "won", "drawn", "lost", "gf", "ga", "gd")
+
+
+def _table_row(i: Column, names: Column, points: Column, figures) -> Column:
+    return F.struct((i + 1).cast("int").alias("pos"), F.get(names, i).alias("team"), F.get(points, i).try_cast("int").alias("points"), *[F.get(figures(i), F.lit(k)).try_cast("int").alias(c) for k, c in enumerate(FIGURES)])
+
+
+def new_layout(html: Column) -> Column:
+    """Rows of the newer layout: figures stand in boxes of their own.  Null unless there are points for all names and
+    four of five rows add up: played = won + drawn + lost."""
+    every = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    boxes = F.transform(F.slice(F.split(html, NEW_ROW), F.lit(2), F.size(F.split(html, NEW_ROW))), lambda b: F.slice(every(b, NEW_FIGURE), 1, 7))
+    parts = F.struct(every(html, NEW_NAME).alias("names"), every(html, NEW_POINTS).alias("points"), F.filter(boxes, lambda b: F.size(b) == 7).alias("boxes"))
+
+    def rows(p: Column) -> Column:
+        n = F.least(F.size(p["names"]), F.size(p["boxes"]))
+        built = F.when((n > 0) & (F.size(p["points"]) >= n), F.transform(F.sequence(F.lit(0), n - 1), lambda i: _table_row(i, p["names"], p["points"], lambda j: F.get(p["boxes"], j))))
+        right = lambda b: F.size(F.filter(b, lambda r: r["played"] == r["won"] + r["drawn"] + r["lost"]))
+        return let(built, lambda b: F.when(right(b) >= 0.8 * F.size(b), b))
+
+    return let(parts, rows)
+
+
+def old_layout(html: Column) -> Column:
+    """Rows of the older layout: seven figures a team, one after another.  Null if there are fewer."""
+    every = lambda pattern: F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
+    names = F.filter(F.transform(every(OLD_NAME), lambda n: F.trim(n)), lambda n: n != "")
+    parts = F.struct(names.alias("names"), every(OLD_POINTS).alias("points"), every(OLD_FIGURE).alias("figures"))
+
+    def rows(p: Column) -> Column:
+        teams = F.size(p["points"])
+        n = F.least(teams, F.size(p["names"]))
+        return F.when((n > 0) & (F.size(p["figures"]) >= 7 * teams), F.transform(F.sequence(F.lit(0), n - 1), lambda i: _table_row(i, p["names"], p["points"], lambda j: F.slice(p["figures"], j * 7 + 1, F.lit(7)))))
+
+    return let(parts, rows)
+
+
+def standings_by_layout(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, layout and rows of the tables on pages of (key, html): the newer layout where it holds, else the older one."""
+    both = let(F.struct(new_layout(F.col("html")).alias("new"), old_layout(F.col("html")).alias("old")), lambda t: F.struct(F.when(t["new"].isNotNull(), "new").when(t["old"].isNotNull(), "old").alias("layout"), F.coalesce(t["new"], t["old"]).alias("rows")))
+    return pages.select(key, both.alias("t")).select(key, "t.layout", F.explode("t.rows").alias("r")).select(key, "layout", "r.*")
+
+
+def is_empty_report(header: str = "header", home: str = "lineups.home", away: str = "lineups.away") -> Column:
+    """A report whose header fields are all null and that has no line-ups."""
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
+    return F.coalesce(F.to_json(header), F.lit("{}")).eqNullSafe("{}") & none(home) & none(away)
+
+
 # Where report pages hold their parts.
 CALL = r'ntype\("[^"]+",\s*(\d+),\s*(\d+),\s*"[^"]+"\)'
 SCORE_BLOCK, SCORE_DASH = r'(?is)<h2\s+class="ntype">(.*?)</h2>', " - "

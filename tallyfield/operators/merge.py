@@ -13,10 +13,16 @@ def upsert_dimension(stored: DataFrame, incoming: DataFrame, key: list[str], att
     return both.select(*key, *[F.coalesce(f"new_{c}", c).alias(c) for c in attributes])
 
 
+def one_of_each(rows: DataFrame, key: list[str], filled: list[str]) -> DataFrame:
+    """One row of each key: one with all of ``filled`` if there is any, then the smallest values, nulls last."""
+    missing = F.array_size(F.filter(F.array(*[F.col(c).isNull() for c in filled]), lambda x: x))
+    order = Window.partitionBy(*key).orderBy(missing, *[F.asc_nulls_last(c) for c in rows.columns if c not in key])
+    return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+
+
 def fill_nulls(stored: DataFrame, incoming: DataFrame, key: list[str], filled: list[str]) -> DataFrame:
     """First row of a key wins; columns ``filled`` are taken from a later row only where they are all null."""
-    order = Window.partitionBy(*key).orderBy(*[F.asc_nulls_last(c) for c in incoming.columns if c not in key])
-    once = incoming.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+    once = one_of_each(incoming, key, filled)
     rest = [c for c in stored.columns if c not in key]
     old, new = stored.select(*key, F.struct(*rest).alias("old")), once.select(*key, F.struct(*rest).alias("new"))
     both = old.join(new, key, "full")
@@ -115,8 +121,3 @@ def next_version(before: DataFrame, after: DataFrame, version: str, columns: lis
     both = digest(before, columns).crossJoin(digest(after, columns).toDF("m_rows", "other"))  # two single rows
     same = (F.col("n_rows") == F.col("m_rows")) & F.col("digest").eqNullSafe(F.col("other"))
     return both.select(F.when(same, F.lit(version)).when(day == today, again).otherwise(today).alias("version"))
-
-
-def write_groups(rows: DataFrame, path: str, group: list[str]) -> None:
-    """Replace only the groups present in ``rows`` under ``path`` (dynamic partition overwrite)."""
-    rows.repartition(*group).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*group).parquet(path)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.functions.arrays import let
 from tallyfield.functions.text import core_tokens, filial
 from tallyfield.session import written
 
@@ -21,43 +22,46 @@ def common_tokens(a: Column, b: Column) -> Column:
     They do if equal, then if one begins with the other and the shorter has six letters, and, once something
     paired, with two letters; every token pairs once, in order.
     """
-    equal = F.array_intersect(a, b)
-    rest_a, rest_b = F.array_sort(F.array_except(a, b)), F.array_sort(F.array_except(b, a))
+    start = F.struct(F.size(F.array_intersect(a, b)).alias("n"), F.array_sort(F.array_except(a, b)).alias("a"), F.array_sort(F.array_except(b, a)).alias("b"))
 
     def paired(state: Column, least: int) -> Column:
         """Pair tokens of state.a, in order, with the first token of state.b they share a beginning with."""
 
         def step(s: Column, token: Column) -> Column:
             fit = F.filter(s["b"], lambda t: (t.startswith(token) | token.startswith(t)) & (F.least(F.length(t), F.length(token)) >= least))
-            found = F.size(fit) > 0
+            return let(F.get(fit, F.lit(0)), lambda t: taken(s, token, t))
+
+        def taken(s: Column, token: Column, t: Column) -> Column:
             return F.struct(
-                (s["n"] + found.cast("int")).alias("n"),
-                F.when(found, s["a"]).otherwise(F.concat(s["a"], F.array(token))).alias("a"),
-                F.when(found, F.array_except(s["b"], F.slice(fit, 1, 1))).otherwise(s["b"]).alias("b"),
+                (s["n"] + t.isNotNull().cast("int")).alias("n"),
+                F.when(t.isNotNull(), s["a"]).otherwise(F.concat(s["a"], F.array(token))).alias("a"),
+                F.when(t.isNotNull(), F.filter(s["b"], lambda x: x != t)).otherwise(s["b"]).alias("b"),
             )
 
         return F.aggregate(state["a"], F.struct(state["n"].alias("n"), F.array().cast("array<string>").alias("a"), state["b"].alias("b")), step)
 
-    start = F.struct(F.size(equal).alias("n"), rest_a.alias("a"), rest_b.alias("b"))
-    long = paired(start, LONG_PREFIX)
-    return F.when(long["n"] > 0, paired(long, SHORT_PREFIX)["n"]).otherwise(long["n"])
-
+    then = lambda long: F.when((long["n"] > 0) & (F.size(long["a"]) > 0) & (F.size(long["b"]) > 0), paired(long, SHORT_PREFIX)["n"]).otherwise(long["n"])
+    return let(start, lambda s: F.when((F.size(s["a"]) > 0) & (F.size(s["b"]) > 0), let(paired(s, LONG_PREFIX), then)).otherwise(s["n"]))
 
-def token_score(a: Column, b: Column, filial_a: Column, filial_b: Column) -> Column:
-    """0 .. 1 for two arrays of distinct tokens and the letters after the names.
 
-    Different letters give 0.  The score is common / smaller x (0.5 + 0.5 common / larger), with the tokens
-    that pair up in common, and a little less if only one has a letter.
-    """
-    common = common_tokens(a, b)
-    small, large = F.least(F.size(a), F.size(b)), F.greatest(F.size(a), F.size(b))
+def _score(common: Column, size_a: Column, size_b: Column, filial_a: Column, filial_b: Column) -> Column:
+    small, large = F.least(size_a, size_b), F.greatest(size_a, size_b)
     base = F.when(small > 0, common / small * (F.lit(0.5) + F.lit(0.5) * common / large)).otherwise(F.lit(0.0))
     alone = filial_a.isNull() != filial_b.isNull()
     return F.when(filial_a != filial_b, F.lit(0.0)).when(alone, base * ONE_FILIAL).otherwise(base)
 
 
+def token_match(a: Column, b: Column, filial_a: Column, filial_b: Column) -> Column:
+    """struct<score, common> for two arrays of distinct tokens and the letters after the names.
+
+    Different letters give 0.  The score, 0 .. 1, is common / smaller x (0.5 + 0.5 common / larger), with the tokens
+    that pair up in common, and a little less if only one has a letter.
+    """
+    return let(common_tokens(a, b), lambda c: F.struct(_score(c, F.size(a), F.size(b), filial_a, filial_b).alias("score"), c.alias("common")))
+
+
 def name_score(a: Column, b: Column) -> Column:
-    return token_score(core_tokens(a), core_tokens(b), filial(a), filial(b))
+    return token_match(core_tokens(a), core_tokens(b), filial(a), filial(b))["score"]
 
 
 def names_match(a: Column, b: Column) -> Column:
@@ -75,16 +79,30 @@ def names_match(a: Column, b: Column) -> Column:
     return (a == b) | prefix | ((subset | (F.size(both) >= 2)) & long)
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct (a, b) names that share the beginning of a token, for scoring; (name) in, never a cross join."""
-    key = lambda t, n: t.select(*group, F.col("name").alias(n), F.explode(F.transform(core_tokens(F.col("name")), lambda w: F.substring(w, 1, SHORT_PREFIX))).alias("k"))
-    return key(left, "a").join(key(right, "b"), [*group, "k"]).select(*group, "a", "b").distinct()
+def _tokens(names: DataFrame, group: tuple[str, ...], c: str) -> DataFrame:
+    """Distinct names with their tokens, the beginnings of those, and their letter, each worked out once."""
+    name = F.col("name")
+    once = names.select(*group, "name").where(name.isNotNull()).distinct()
+    once = once.select(*group, name.alias(c), core_tokens(name).alias(f"{c}_tokens"), filial(name).alias(f"{c}_filial"))
+    return once.withColumn(f"{c}_starts", F.transform(f"{c}_tokens", lambda w: F.substring(w, 1, SHORT_PREFIX)))
+
 
+def scored_pairs(left: DataFrame, right: DataFrame, group: tuple[str, ...] = (), least: float = SAME_NAME, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, score, common) of the names of (group, name) in two tables that score at least ``least``; never a cross join.
 
-def scored_pairs(left: DataFrame, right: DataFrame, group: tuple[str, ...] = (), least: float = SAME_NAME) -> DataFrame:
-    pairs = candidate_pairs(left, right, group)
-    scored = pairs.withColumn("score", name_score(F.col("a"), F.col("b"))).where(F.col("score") >= least)
-    return scored.withColumn("common", common_tokens(core_tokens(F.col("a")), core_tokens(F.col("b"))))
+    Only names that share the beginning of a token meet, each pair at the first beginning that both have.  How many
+    tokens share their beginnings bounds the score, so most pairs are dropped before it is worked out.  ``beside``
+    are further columns of the left side, a part of what tells its names apart.
+    """
+    a, b = written(_tokens(left, (*group, *beside), "a"), "tokens"), written(_tokens(right, group, "b"), "tokens")
+    met = a.withColumn("k", F.explode(F.array_distinct("a_starts"))).join(b.withColumn("k", F.explode(F.array_distinct("b_starts"))), [*group, "k"])
+    met = met.where(F.col("k") == F.array_min(F.array_intersect("a_starts", "b_starts")))
+    at_most = lambda x, y: F.size(F.filter(x, lambda p: F.array_contains(y, p)))
+    bound = F.least(at_most(F.col("a_starts"), F.col("b_starts")), at_most(F.col("b_starts"), F.col("a_starts")))
+    letters = F.col("a_filial").isNull() | F.col("b_filial").isNull() | (F.col("a_filial") == F.col("b_filial"))
+    likely = met.where(letters & (_score(bound, F.size("a_tokens"), F.size("b_tokens"), F.lit(None), F.lit(None)) >= least))
+    scored = likely.withColumn("m", token_match(F.col("a_tokens"), F.col("b_tokens"), F.col("a_filial"), F.col("b_filial")))
+    return scored.where(F.col("m.score") >= least).select(*group, *beside, "a", "b", "m.score", "m.common")
 
 
 def greedy_assignment(pairs: DataFrame, group: tuple[str, ...] = (), finish: int = FEW_PAIRS) -> DataFrame:
@@ -136,6 +154,33 @@ def forced_last_pair(left: DataFrame, right: DataFrame, assigned: DataFrame, gro
     return assigned.unionByName(last.withColumn("score", F.lit(0.0)), allowMissingColumns=True)
 
 
+def canonical_names(scraped: DataFrame, group_teams: DataFrame, season_teams: DataFrame) -> DataFrame:
+    """season, grp, name, canonical, stage: the stored name that each scraped name of (season, grp, name) is to have.
+
+    Names of one group with the same tokens and letter are variants; their smallest stands for them.  First they are
+    assigned to the group's roster (``group_teams``: season, grp, name); where three or more matched and one is left on
+    either side, those two belong together.  What is loose then is assigned to the season's teams (``season_teams``:
+    season, name) without those that the group has used and without names that were scraped as they are in the group.
+    Who finds no one keeps the name that stands for its variants.  Null names are left out.
+    """
+    by = ("season", "grp")
+    name = F.col("name")
+    key = F.struct(F.array_sort(core_tokens(name)).alias("tokens"), filial(name).alias("filial"))
+    own = scraped.where(name.isNotNull()).select(*by, "name").distinct().withColumn("key", key)
+    own = written(own.withColumn("stands", F.min("name").over(Window.partitionBy(*by, "key"))), "variants")
+    standing = own.select(*by, F.col("stands").alias("name")).distinct()
+    roster = group_teams.where(name.isNotNull()).select(*by, "name").distinct()
+    assigned = written(greedy_assignment(scored_pairs(standing, roster, by), by).select(*by, "a", "b").withColumn("stage", F.lit("roster")), "assigned")
+    assigned = written(forced_last_pair(standing, roster, assigned.withColumn("score", F.lit(1.0)), by).select(*by, "a", "b", F.coalesce("stage", F.lit("last pair")).alias("stage")), "assigned")
+    loose = standing.join(assigned.select(*by, F.col("a").alias("name")), [*by, "name"], "left_anti")
+    pairs = scored_pairs(loose, season_teams, ("season",), beside=("grp",))
+    pairs = pairs.join(assigned.select(*by, "b"), [*by, "b"], "left_anti").join(own.select(*by, F.col("name").alias("b")), [*by, "b"], "left_anti")
+    later = greedy_assignment(pairs.select(*by, "a", "b", "score", "common"), by).select(*by, "a", "b", F.lit("season").alias("stage"))
+    found = assigned.unionByName(later).withColumnRenamed("a", "stands")
+    named = own.join(found, [*by, "stands"], "left")
+    return named.select(*by, "name", F.coalesce("b", "stands").alias("canonical"), F.coalesce("stage", F.lit("own")).alias("stage"))
+
+
 def _name_blocks(name: Column) -> Column:
     """Keys of which two names that :func:`names_match` brings together share at least one.
 

@@ -19,7 +19,7 @@ _CHAMPIONS = f"""lp AS (SELECT f.*, round_seq, max(round_seq) OVER (PARTITION BY
     HAVING count(*) = 1 AND any_value(CASE WHEN home_score > away_score THEN home WHEN home_score < away_score THEN away END) IS NOT NULL)"""
 #: A bracket in each season and region: the n-th last fixture of a region's season is tie n; ties 1, 2-3, 4-7, ... are rounds.
 _TIES = """tb AS (SELECT f.*, row_number() OVER (PARTITION BY season, grp ORDER BY match_date DESC, match_id DESC, home, away, home_score, away_score) back, count(*) OVER (PARTITION BY season, grp) ties FROM fixtures f),
-    bracket AS (SELECT *, CASE WHEN back <= 31 THEN CAST(floor(log2(back)) AS INT) ELSE -1 END to_final FROM tb)"""
+    bracket AS (SELECT *, CAST(floor(log2(back)) AS INT) to_final, CAST(floor(log2(ties)) - floor(log2(back)) + 1 AS INT) round_seq FROM tb)"""
 
 
 @query(
@@ -39,28 +39,29 @@ def deepest_round(spark, sf_dir):
 
 
 def bracket(spark, sf_dir):
-    """A region's season as a bracket: its last 31 fixtures are rounds of 16, 8, 4, 2 and 1 ties."""
-    back = Window.partitionBy("season", "grp").orderBy(F.desc("match_date"), F.desc("match_id"), "home", "away", "home_score", "away_score")
-    rows = fixtures(spark, sf_dir).withColumn("back", F.row_number().over(back))
-    rows = rows.withColumn("to_final", F.when(F.col("back") <= 31, F.floor(F.log2(F.col("back").cast("double"))).cast("int")).otherwise(-1))
-    return rows.withColumns({"round_seq": 5 - F.col("to_final"), "penalty_winner": F.when(F.col("match_id") % 3 == 0, F.col("away"))})
+    """A region's season as a bracket: the last fixture is the final, the two before it are the round before, and so on back to the first."""
+    group = Window.partitionBy("season", "grp")
+    back = group.orderBy(F.desc("match_date"), F.desc("match_id"), "home", "away", "home_score", "away_score")
+    depth = lambda n: F.floor(F.log2(n.cast("double"))).cast("int")
+    rows = fixtures(spark, sf_dir).withColumns({"to_final": depth(F.row_number().over(back)), "first": depth(F.count("*").over(group))})
+    return rows.withColumns({"round_seq": F.col("first") - F.col("to_final") + 1, "penalty_winner": F.when(F.col("match_id") % 3 == 0, F.col("away"))}).drop("first")
 
 
 @query(
-    f"""WITH {FIXTURES_SQL}, {_TIES}, b AS (SELECT *, 5 - to_final round_seq, CASE WHEN match_id % 3 = 0 THEN away END pw FROM bracket WHERE to_final >= 0),
+    f"""WITH {FIXTURES_SQL}, {_TIES}, b AS (SELECT *, CASE WHEN match_id % 3 = 0 THEN away END pw FROM bracket),
     seen AS (SELECT season, grp, team, max(round_seq) deepest FROM (SELECT season, grp, home team, round_seq FROM b UNION ALL SELECT season, grp, away, round_seq FROM b) GROUP BY season, grp, team)
     SELECT b.season, b.grp, b.round_seq, b.match_id, b.home, b.away, CASE WHEN home_score > away_score THEN b.home WHEN home_score < away_score THEN b.away
       WHEN home_score = away_score THEN coalesce(pw, CASE WHEN h.deepest > round_seq AND NOT a.deepest > round_seq THEN b.home WHEN a.deepest > round_seq AND NOT h.deepest > round_seq THEN b.away END) END advancer
     FROM b JOIN seen h ON b.season = h.season AND b.grp = h.grp AND b.home = h.team JOIN seen a ON b.season = a.season AND b.grp = a.grp AND b.away = a.team"""
 )
 def shootout_advancer(spark, sf_dir):
-    return cups.advancers(bracket(spark, sf_dir).where("to_final >= 0")).select("season", "grp", "round_seq", "match_id", "home", "away", "advancer")
+    return cups.advancers(bracket(spark, sf_dir)).select("season", "grp", "round_seq", "match_id", "home", "away", "advancer")
 
 
 @query(f"""WITH {FIXTURES_SQL}, {_TIES} SELECT season, grp, CASE WHEN home_score > away_score THEN home WHEN home_score < away_score THEN away WHEN match_id % 3 = 0 THEN away END champion FROM bracket WHERE to_final = 0
     AND home_score IS NOT NULL AND (home_score <> away_score OR match_id % 3 = 0)""")
 def bracket_champion(spark, sf_dir):
-    return cups.bracket_champions(cups.advancers(bracket(spark, sf_dir).where("to_final >= 0")))
+    return cups.bracket_champions(cups.advancers(bracket(spark, sf_dir)))
 
 
 @query(f"WITH {FIXTURES_SQL}, {_SEQ}, n AS (SELECT season, grp, round_seq, count(*) c FROM fixtures JOIN rs USING (season, grp, round) GROUP BY ALL) SELECT season, grp, CASE WHEN count(*) = 1 THEN max_by(c, round_seq) > 2 ELSE max_by(c, round_seq) >= min_by(c, round_seq) END round_robin FROM n GROUP BY season, grp")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfield.functions import dates, scores, text
-from tallyfield.operators import extract, merge, publish, resolve, standings
-from tallyfield.plans.binding import EVENTS_SQL, FIXTURES_SQL, TABLE_SQL, fixtures, player_events, table
+from tallyfield.operators import extract, publish, resolve, standings, versions
+from tallyfield.plans.binding import FIXTURES_SQL, TABLE_SQL, fixtures, table
 from tallyfield.plans.league import league
 from tallyfield.plans.registry import query
-from tallyfield.session import scratch_path
+from tallyfield.session import scratch_path, written
 from tallyfield.sources import landed
 
 _S = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
@@ -87,37 +87,6 @@ def standings_pages(spark, sf_dir):
     return found.select("page_id.season", "page_id.grp", "team", "points", "played", "won", "drawn", "lost", "gf", "ga")
 
 
-@query(f"WITH {EVENTS_SQL} SELECT event_id, match_id, minute, 'P ' || player player FROM player_events WHERE kind = 'goal' AND minute IS NOT NULL")
-def goal_lines(spark, sf_dir):
-    """Goals from lines of a minute and a name; lines without a minute go."""
-    rows = player_events(spark, sf_dir).where("kind = 'goal'")
-    line = F.concat(F.coalesce(F.concat(F.lit(" "), _S("minute"), F.lit("' ")), F.lit("")), F.lit("P "), _S("player"), F.lit(" "))
-    return extract.goal_lines(rows.select(F.struct("event_id", "match_id").alias("match_id"), F.lit(0).alias("pos"), line.alias("line"))).select("match_id.event_id", "match_id.match_id", "minute", "player")
-
-
-@query(f"WITH {EVENTS_SQL} SELECT event_id, minute FROM player_events WHERE minute IS NOT NULL")
-def style_minutes(spark, sf_dir):
-    """Minutes that a page's style rules show."""
-    rows = player_events(spark, sf_dir).where("minute is not null")
-    rule = F.concat(F.lit(".m"), _S("event_id"), F.lit(':before{content:"'), _S("minute"), F.lit('"} '))
-    pages = rows.groupBy("match_id", "team").agg(F.concat_ws("", F.collect_list(rule)).alias("html"))
-    return pages.select(F.explode(extract.css_minutes(F.col("html"))).alias("cls", "minute")).select(F.substring("cls", 2, 99).cast("long").alias("event_id"), "minute")
-
-
-@query(
-    """SELECT o_orderkey report_id, CAST(l_linenumber AS INT) dorsal, 'Player ' || l_partkey AS name, CASE WHEN l_quantity > 20 THEN 'starter' ELSE 'sub' END role FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    UNION ALL SELECT o_orderkey, NULL, NULL, NULL FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"""
-)
-def lineup_pages(spark, sf_dir):
-    """Line-ups from a report's panels; reports without header and line-ups are purged, but those of known matches stay."""
-    lines = table(spark, sf_dir, "lineitem")
-    row = F.concat(F.lit('<li class="'), F.when(F.col("l_quantity") > 20, "starter").otherwise("sub"), F.lit('" data-n="'), _S("l_linenumber"), F.lit('">Player  '), _S("l_partkey"), F.lit("</li>"))
-    pages = lines.groupBy(F.col("l_orderkey").alias("report_id")).agg(F.concat_ws("", F.collect_list(row)).alias("html"))
-    all_pages = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id")).join(pages, "report_id", "left")
-    reports = all_pages.select("report_id", extract.lineup_panels(F.coalesce("html", F.lit(""))).alias("panel"))
-    return reports.select("report_id", F.explode_outer("panel").alias("p")).select("report_id", "p.*")
-
-
 @query("SELECT o_orderkey report_id FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 4 < 2)")
 def reports_with_content(spark, sf_dir):
     """Reports of which something is known; those with an empty header and no line-ups are purged."""
@@ -147,9 +116,22 @@ def season_files(spark, sf_dir):
 def rewritten_groups(spark, sf_dir):
     """A second write replaces the groups it has and leaves the rest."""
     path, rows = scratch_path(spark, "groups"), league(spark, sf_dir).select("season", "grp", "team", "position", "points")
-    merge.write_groups(rows, path, ["season"])
-    merge.write_groups(rows.where("season = 1995 and position < 4").withColumn("points", F.col("points") + 1), path, ["season"])
-    return spark.read.parquet(path).select("season", "grp", "team", "points")
+    versions.replace_groups(rows, path, ["season"])
+    versions.replace_groups(rows.where("season = 1995 and position < 4").withColumn("points", F.col("points") + 1), path, ["season"])
+    return versions.read(spark, path).select("season", "grp", "team", "points")
+
+
+@query(f"WITH {TABLE_SQL} SELECT season, grp, count(*) teams, CASE WHEN season = 1995 THEN 2 ELSE 1 END AS version FROM league WHERE season <> 1993 GROUP BY season, grp")
+def republished_parts(spark, sf_dir):
+    """Published parts with the version that wrote them: an unchanged part stays, a changed one is written again, one that is gone goes."""
+    path = scratch_path(spark, "parts")
+    one = lambda rows: rows.groupBy("season", "grp").agg(F.to_json(F.sort_array(F.collect_list(F.struct("team", "points")))).alias("document"))
+    rows = written(league(spark, sf_dir).select("season", "grp", "team", "points"), "part-rows")
+    later = rows.where("season <> 1993").withColumn("points", F.when(F.col("season") == 1995, F.col("points") + 1).otherwise(F.col("points")))
+    first, _ = versions.republish(one(rows), path, ["season", "grp"])
+    versions.republish(one(later), path, ["season", "grp"])
+    held = versions.groups_of(spark, path).select("season", "grp", F.when(F.col("load") == first.list_id, 1).otherwise(2).alias("version"))
+    return versions.read(spark, path).select("season", "grp", F.json_array_length("document").cast("long").alias("teams")).join(held, ["season", "grp"])
 
 
 @query("SELECT n_nationkey, n_name, CAST(r_regionkey AS INT) region FROM nation JOIN region ON n_regionkey = r_regionkey")

@@ -87,6 +87,25 @@ def roster_assignment(spark, sf_dir):
     return resolve.greedy_assignment(resolve.scored_pairs(left, right, ("grp",)), ("grp",)).select("grp", "a", "b", F.round("score", 6).alias("score"))
 
 
+@query(
+    r"""WITH s AS (SELECT s_suppkey k, s_nationkey g, s_nationkey % 5 season, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) i, translate(md5(CAST(s_suppkey AS VARCHAR)), '0123456789', 'ghijklmnop') w FROM supplier),
+    t AS (SELECT *, upper(substr(w, 1, 7)) a, upper(substr(w, 8, 6)) b FROM s),
+    n AS (SELECT season, g, k, i, a || ' ' || b || ' "B"' AS name, CASE WHEN i % 4 = 3 THEN 'season' ELSE 'roster' END stage, a || ' ' || b || ' B' canonical FROM t
+      UNION ALL SELECT season, g, k, i, a || ' ' || b || ', C.D. "B"', CASE WHEN i % 4 = 3 THEN 'season' ELSE 'roster' END, a || ' ' || b || ' B' FROM t WHERE i % 2 = 0)
+    SELECT season, g grp, name, canonical, stage FROM n"""
+)
+def canonical_team_names(spark, sf_dir):
+    """Stored names for scraped ones: a group's roster for most, variants as one, the season's other teams for the rest."""
+    k = F.col("s_suppkey")
+    i = F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    w = F.translate(F.md5(k.cast("string").cast("binary")), "0123456789", "ghijklmnop")
+    rows = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 5).alias("season"), F.col("s_nationkey").alias("grp"), F.upper(F.substring(w, 1, 7)).alias("a"), F.upper(F.substring(w, 8, 6)).alias("b"), i.alias("i"))
+    named = lambda *parts: F.concat("a", F.lit(" "), "b", *[F.lit(p) for p in parts])
+    scraped = rows.select("season", "grp", named(' "B"').alias("name")).unionByName(rows.where("i % 2 = 0").select("season", "grp", named(', C.D. "B"').alias("name")))
+    stored = rows.withColumn("name", named(" B"))
+    return resolve.canonical_names(scraped, stored.where("i % 4 <> 3").select("season", "grp", "name"), stored.select("season", "name"))
+
+
 _REPORTS = f"""{FIXTURES_SQL}, x AS (SELECT *, substr(md5(home), 1, 7) || ' norte ' || substr(md5(home), 8, 4) hk, substr(md5(away), 1, 7) || ' norte ' || substr(md5(away), 8, 4) ak, match_id * 100 + row_number() OVER (PARTITION BY match_id ORDER BY season, round, home, away, match_date, home_score, away_score) report_id FROM fixtures),
     rp AS (SELECT report_id, match_id true_id, season, round, CASE report_id % 4 WHEN 1 THEN left(hk, 11) WHEN 2 THEN substr(hk, 15) || ' norte ' || left(hk, 7) WHEN 3 THEN CASE WHEN report_id % 8 = 3 THEN left(hk, 7) || ' otro' ELSE '' END ELSE hk END hk, ak,
       CASE WHEN match_id % 7 = 0 THEN NULL ELSE match_date + CAST(match_id % 4 AS INT) END match_date, CASE WHEN match_id % 5 = 0 THEN NULL ELSE home_score END hs, away_score ays FROM x)"""

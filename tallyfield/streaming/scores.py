@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyfield.operators.merge import fill_nulls, replace_groups
-from tallyfield.session import written
+from tallyfield.operators.merge import fill_nulls, one_of_each, replace_groups
+from tallyfield.session import release, written
 
-KEY = ["season", "grp", "round", "home", "away"]
+KEY, SCORES = ["season", "grp", "round", "home", "away"], ["home_score", "away_score"]
 
 
 def score_stream(spark: SparkSession, path: str, schema: str, max_files: int = 100) -> DataFrame:
@@ -28,30 +28,29 @@ def goals_by_window(events: DataFrame, time: str, width: str = "1 hour", delay:
     return timed.groupBy("grp", F.window(time, width).alias("w")).agg(F.sum(F.col("home_score") + F.col("away_score")).alias("goals"), F.count("*").alias("results"))
 
 
-def _store(rows: DataFrame, path: str) -> None:
-    """Write beside, then over: a table is never read and overwritten in one job."""
-    written(rows, "merged").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season", "grp").parquet(path)
-
-
 def merge_scores(stream: DataFrame, path: str, checkpoint: str, replace: bool = False) -> StreamingQuery:
     """Merge each micro-batch into the table at ``path``: fill missing scores, or replace groups that grew.
 
-    Only the groups a batch touches are read and written again.  Merging the same batch twice changes
-    nothing, so a restarted query is safe.
+    Of several rows of a key in one batch one with a score counts, whatever their order.  Only the groups a batch
+    touches are read and written again: written beside first, then over, as a table is never read and overwritten in
+    one job.  Merging the same batch twice changes nothing, so a restarted query is safe.  What a batch writes
+    beside the table is removed with it.
     """
 
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        rows = written(batch.dropDuplicates(KEY), "batch")
-        groups = rows.select("season", "grp").distinct()
+        rows = written(one_of_each(batch, KEY, SCORES), "batch")
+        steps, groups = [rows], rows.select("season", "grp").distinct()
         try:
             stored = spark.read.schema(rows.schema).parquet(path).join(groups, ["season", "grp"], "left_semi").select(*rows.columns)
             stored = written(stored, "stored")
+            steps.append(stored)
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             stored = rows.limit(0)
-        merged = replace_groups(stored, rows, ["season", "grp"]) if replace else fill_nulls(stored, rows, KEY, ["home_score", "away_score"])
-        _store(merged, path)
+        merged = written(replace_groups(stored, rows, ["season", "grp"]) if replace else fill_nulls(stored, rows, KEY, SCORES), "merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season", "grp").parquet(path)
+        release(*steps, merged)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
