@@ -205,8 +205,7 @@ TEAM_CODE = r"(?i)<td[^>]*fw-bold[^>]*>\s*([A-Za-zà-ÿ '.,]+?)\s*<a\s+href=\"[^
 
 def _found(html: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, or null."""
-    text = F.regexp_extract(html, pattern, group)
-    return F.when(text != "", text)
+    return F.nullif(F.regexp_extract(html, pattern, group), F.lit(""))
 
 
 def called_digits(html: Column) -> Column:
@@ -225,34 +224,45 @@ def visible_digits(html: Column) -> Column:
 
 
 def report_score(html: Column) -> Column:
-    """struct<home, away> of a report's score: digits of calls, else visible ones; null where there are none."""
-    block = F.regexp_extract(html, SCORE_BLOCK, 1)
-    sides = F.when(F.instr(block, SCORE_DASH) > 0, F.split(block, SCORE_DASH, 2))
-    digits = lambda part: F.coalesce(*[F.when(d != "", d) for d in (called_digits(part), visible_digits(part))]).try_cast("int")
-    return F.struct(digits(F.get(sides, F.lit(0))).alias("home"), digits(F.get(sides, F.lit(1))).alias("away"))
+    """struct<home, away> of a report's score: digits of calls, else visible ones; null where there are none.
+
+    The block is cut out once, and what is visible is looked for only where there are no calls.
+    """
+    digits = lambda part: let(called_digits(part), lambda d: F.when(d != "", d).otherwise(F.nullif(visible_digits(part), F.lit(""))).try_cast("int"))
+    sides = lambda block: F.when(F.instr(block, SCORE_DASH) > 0, F.transform(F.split(block, SCORE_DASH, 2), digits))
+    both = lambda n: F.struct(F.get(n, F.lit(0)).alias("home"), F.get(n, F.lit(1)).alias("away"))
+    return let(F.regexp_extract(html, SCORE_BLOCK, 1), lambda block: let(sides(block), both))
+
+
+def _text(found: Column) -> Column:
+    """Text without tags of what was found, worked out once; null for null."""
+    return let(found, stripped)
 
 
 def report_header(html: Column) -> Column:
     """struct of season, round, date, teams, scores and competition of a report's page; what is missing is null."""
-    clean = lambda c: F.when(c.isNotNull(), stripped(c))
-    score = report_score(html)
-    return F.struct(
-        F.replace(_found(html, FICHA, 1), F.lit("-"), F.lit("/")).alias("season"),
-        _found(html, FICHA, 2).alias("round"),
-        _found(html, FICHA, 3).alias("date"),
-        clean(_found(html, TEAM_BOX.format("L"))).alias("home_team"),
-        clean(_found(html, TEAM_BOX.format("V"))).alias("away_team"),
-        score["home"].alias("home_score"),
-        score["away"].alias("away_score"),
-        clean(_found(html, TROPHY)).alias("competition"),
-    )
+
+    def fields(ficha: Column, score: Column) -> Column:
+        return F.struct(
+            F.replace(_found(ficha, FICHA, 1), F.lit("-"), F.lit("/")).alias("season"),
+            _found(ficha, FICHA, 2).alias("round"),
+            _found(ficha, FICHA, 3).alias("date"),
+            _text(_found(html, TEAM_BOX.format("L"))).alias("home_team"),
+            _text(_found(html, TEAM_BOX.format("V"))).alias("away_team"),
+            score["home"].alias("home_score"),
+            score["away"].alias("away_score"),
+            _text(_found(html, TROPHY)).alias("competition"),
+        )
+
+    return let(F.regexp_extract(html, FICHA, 0), lambda ficha: let(report_score(html), lambda score: fields(ficha, score)))
 
 
 def report_staff(html: Column) -> Column:
     """struct<referee, coach_home, coach_away>; a coach who is named as absent is null."""
-    coaches = F.transform(F.regexp_extract_all(html, F.lit(COACH), F.lit(1)), lambda c: F.when(~stripped(c).rlike(ABSENT), stripped(c)))
-    referee = _found(html, REFEREE)
-    return F.struct(F.when(referee.isNotNull(), stripped(referee)).alias("referee"), F.get(coaches, F.lit(0)).alias("coach_home"), F.get(coaches, F.lit(1)).alias("coach_away"))
+    named = lambda c: let(stripped(c), lambda name: F.when(~name.rlike(ABSENT), name))
+    coaches = F.transform(F.regexp_extract_all(html, F.lit(COACH), F.lit(1)), named)
+    both = lambda c: F.struct(_text(_found(html, REFEREE)).alias("referee"), F.get(c, F.lit(0)).alias("coach_home"), F.get(c, F.lit(1)).alias("coach_away"))
+    return let(coaches, both)
 
 
 def _matches(pages: DataFrame, pattern: str, names: tuple[str, ...], key: str) -> DataFrame:

@@ -42,7 +42,7 @@ def report_pages(spark, sf_dir):
         F.lit('<h2 class="ntype">'), side(k % 12), F.lit(" - "), side(k % 21), F.lit("</h2><h5><strong>Árbitro/a Principal</strong>&nbsp; REF "), c,
         F.lit("</h5><p><strong>Entrenador: </strong> "), absent(4, "COACH "), F.lit("</p><p><strong>Entrenador:</strong> "), absent(5, "OTHER "), F.lit("</p>"),
     )
-    pages = table(spark, sf_dir, "orders").select(k.alias("report_id"), html.alias("html"))
+    pages = written(table(spark, sf_dir, "orders").select(k.alias("report_id"), html.alias("html")), "report-pages")
     return pages.select("report_id", extract.report_header(F.col("html")).alias("h"), extract.report_staff(F.col("html")).alias("s")).select("report_id", "h.*", "s.*")
 
 
