@@ -188,6 +188,53 @@ def shown_group(name: Column, category: Column) -> Column:
     return F.when(category == "PREBENJAMIN", small).when(lanzarote, F.concat(F.lit("BENJAMIN PRIMERA LANZAROTE G"), island)).otherwise(bare)
 
 
+# Signs in a scorer list's group name and the codes they give, in the order they are looked for.
+LEAGUE_CODES = (("ORO", "FO"), ("PLATA", "FP"), ("BRONCE", "FB"))
+NUMBERED_GROUPS = ((r"LANZAROTE\s+G(\d+)", "LZ"), (r"FASE\s+([A-C]-G\d+)", ""), (r"PREBENJAMIN\s+GC\s+GRUPO\s+(\d+)", "PG"))
+
+
+def scorer_group_code(name: Column) -> Column:
+    """The code of a group from its name in scorer lists (see :func:`shown_group`), or null."""
+    upper = F.upper(name)
+    leagues = [F.when(upper.contains("FUERTEVENTURA") & upper.contains(word), code) for word, code in LEAGUE_CODES]
+    numbered = lambda pattern, code: F.concat(F.lit(code), F.replace(F.nullif(F.regexp_extract(upper, pattern, 1), F.lit("")), F.lit("-G"), F.lit("")))
+    return F.coalesce(*leagues, *[numbered(pattern, code) for pattern, code in NUMBERED_GROUPS])
+
+
+# The codes that slugs of first phases stood for, with the seasons (by their first year) that used them.
+SEASON_SLUGS = (
+    (r"^1benjamin-prefe(\d+)$", "BPGC", (2021, 2022)),
+    (r"^1benjamin(\d+)$", "GC", (2021, 2022, 2023)),
+    (r"^1benjamin(\d+)$", "P", (2024,)),
+    (r"^1prebenjamin(\d+)$", "PGC", (2021, 2022, 2023, 2024)),
+)
+
+
+def season_slug_code(slug: Column, season: Column) -> Column:
+    """A group's code from its page's slug by the rules of its season (a first year), else the slug in capitals."""
+    coded = [F.concat(F.lit(code), F.when(season.isin(*years), F.nullif(F.regexp_extract(slug, pattern, 1), F.lit("")))) for pattern, code, years in SEASON_SLUGS]
+    return F.coalesce(*coded, F.upper(slug))
+
+
+def season_phase(slug: Column, category: Column, season: Column) -> Column:
+    """A group's phase: by category in the first two seasons and in the last, by its slug in the one between."""
+    first = F.when(category == "benjamin_prefe", "Preferente GC").otherwise("Primera Fase GC")
+    last = F.when(category == "prebenjamin", "Gran Canaria").otherwise("Primera Fase GC")
+    return F.when(season <= 2022, first).when(season == 2023, slug_phase(slug)).otherwise(last)
+
+
+def competition_code(prefix: Column, group_name: Column, unnumbered: str = "1") -> Column:
+    """A competition's prefix (X if it has none) and the first number of a group's name."""
+    number = F.nullif(F.regexp_extract(group_name, r"(\d+)", 1), F.lit(""))
+    return F.concat(F.coalesce(prefix, F.lit("X")), F.coalesce(number, F.lit(unnumbered)))
+
+
+def cup_code(category: Column, group_name: Column) -> Column:
+    """The code of a knock-out: one for each phase A-E of the older category, one for the younger one."""
+    phase = F.regexp_extract(F.upper(F.coalesce(group_name, F.lit(""))), r"FASE\s+([A-E])", 1)
+    return F.when(category == "benjamin", F.concat(F.lit("BC"), phase, F.lit("1"))).otherwise("PCC1")
+
+
 # Slugs of first phases and the codes that their numbers follow.
 SLUG_CODES = ((r"^1benjamin(\d+)$", "P"), (r"^1prebenjamin(\d+)$", "PGC"))
 

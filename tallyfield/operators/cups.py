@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyfield.operators import standings
 from tallyfield.operators.standings import sides
 
 GROUP = ("season", "grp")
@@ -76,6 +77,45 @@ def consecutive_blocks(rows: DataFrame, number: str, group: tuple[str, ...]) ->
     return islands.groupBy(*group, "island").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("size")).drop("island")
 
 
+def tournament_faults(matches: DataFrame, letters: int, teams: int, cups: int, group: tuple[str, ...], seeds: int = 2) -> DataFrame:
+    """Rules of a tournament's shape that its matches break: group, fault, place, found, expected.
+
+    ``matches`` has number (one for each match of a tournament), home, away, home_score, away_score.  The first run of
+    consecutive numbers is the group stage, its matches belong to ``letters`` groups in turn; every further run is a
+    knock-out.  Broken is
+
+    * ``stage``: the stage has not as many matches as ``letters`` round robins of ``teams``;
+    * ``matches``, ``teams``, ``pairs``: the group ``place`` has not the matches, the teams, or the different pairs of
+      teams of one round robin;
+    * ``cups``: there are knock-outs, but not ``cups`` of them;
+    * ``seeding``: the knock-out with the largest share of teams that came among the first ``seeds`` of their groups
+      (of equal ones the first) is not the last one; found and expected are their places.
+
+    A tournament without a knock-out breaks neither of the last two.  Tables are those of :mod:`standings`.
+    """
+    keys, every = list(group), Window.partitionBy(*group)
+    robin = teams * (teams - 1) // 2
+    runs = matches.withColumn("run", F.col("number") - F.dense_rank().over(every.orderBy("number")))
+    runs = runs.withColumns({"block": F.dense_rank().over(every.orderBy("run")), "base": F.min("number").over(every)}).withColumn("letter", rotation_letter(F.col("number"), F.col("base"), letters))
+    stage = runs.where("block = 1")
+    fault = lambda name, place, found, expected: F.struct(F.lit(name).alias("fault"), place.cast("string").alias("place"), found.cast("int").alias("found"), F.lit(expected).cast("int").alias("expected"))
+    nowhere = F.lit(None)
+    sizes = runs.groupBy(*keys).agg(F.count_if(F.col("block") == 1).alias("stage"), (F.max("block") - 1).alias("cups"))
+    whole = F.array(F.when(F.col("stage") != letters * robin, fault("stage", nowhere, F.col("stage"), letters * robin)), F.when(~F.col("cups").isin(0, cups), fault("cups", nowhere, F.col("cups"), cups)))
+    names = F.flatten(F.collect_set(F.array("home", "away")))
+    robins = stage.groupBy(*keys, "letter").agg(F.count("*").alias("n"), F.size(F.array_distinct(names)).alias("teams"), F.size(F.collect_set(F.array(F.least("home", "away"), F.greatest("home", "away")))).alias("pairs"))
+    parts = F.array(*[F.when(F.col(c) != n, fault(name, F.col("letter"), F.col(c), n)) for name, c, n in (("matches", "n", robin), ("teams", "teams", teams), ("pairs", "pairs", robin))])
+
+    first = standings.league_table(stage, include_unplayed=False, group=(*keys, "letter")).where(F.col("position") <= seeds).select(*keys, "team").distinct()
+    playing = runs.where("block > 1").select(*keys, "block", F.explode(F.array("home", "away")).alias("team")).distinct()
+    share = playing.join(first.withColumn("seed", F.lit(1)), [*keys, "team"], "left").groupBy(*keys, "block").agg((F.count("seed") / F.count("*")).alias("share"))
+    best = share.groupBy(*keys).agg(F.max_by("block", F.struct("share", (-F.col("block")).alias("b"))).alias("best"), F.max("block").alias("last"))
+    gold = best.where("best <> last").select(*keys, F.lit("seeding").alias("fault"), F.lit(None).cast("string").alias("place"), (F.col("best") - 1).cast("int").alias("found"), (F.col("last") - 1).cast("int").alias("expected"))
+
+    broken = lambda rows, faults: rows.select(*keys, F.explode(F.filter(faults, lambda f: f.isNotNull())).alias("f")).select(*keys, "f.*")
+    return broken(sizes, whole).unionByName(broken(robins, parts)).unionByName(gold)
+
+
 def split_rounds(rows: DataFrame, order: str, group: tuple[str, ...], most: int = 5) -> DataFrame:
     """Rounds of a bracket listed in order: from the end 1, 2, 4, .. ties; what is left over is preliminary.
 

@@ -315,21 +315,22 @@ def without_withdrawn_scores(fixtures: DataFrame, gone: DataFrame, group: tuple[
     return both.withColumns({c: F.when(~gone_, F.col(c)) for c in ("home_score", "away_score")}).drop("home_gone", "away_gone")
 
 
-def name_lookup(names: DataFrame, entries: DataFrame, key, least: int = 4) -> DataFrame:
+def name_lookup(names: DataFrame, entries: DataFrame, key, least: int = 4, order: str = "name") -> DataFrame:
     """An entry's value for each name: by equal name, by equal key, else the first whose key holds or is held.
 
-    ``entries`` is (name, value).  Of two keys the one that is held, of at least ``least`` letters, begins with
+    ``entries`` is (name, value) and has ``order``, the column by which one entry comes before another; an empty key
+    equals none.  Of two keys the one that is held, of at least ``least`` letters, begins with
     ``least`` letters that occur in the other: the last step joins on those.
     """
-    e = entries.withColumn("key", key(F.col("name")))
-    exact = e.groupBy("name").agg(F.min("value").alias("exact"))
-    by_key = e.groupBy("key").agg(F.min_by("value", "name").alias("by_key"))
+    e = entries.withColumn("key", key(F.col("name"))).withColumn("turn", F.struct(order, "name"))
+    exact = e.groupBy("name").agg(F.min_by("value", "turn").alias("exact"))
+    by_key = e.where("key <> ''").groupBy("key").agg(F.min_by("value", "turn").alias("by_key"))
     rows = names.withColumn("key", key(F.col("name"))).join(exact, "name", "left").join(by_key, "key", "left")
     open_ = rows.where("exact is null and by_key is null").select("name", "key").distinct().where(F.length("key") >= least)
-    other = e.select(F.col("key").alias("e_key"), "value").where(F.length("e_key") >= least)
+    other = e.select(F.col("key").alias("e_key"), "value", "turn").where(F.length("e_key") >= least)
     begin = lambda t, c: t.withColumn("k", F.substring(c, 1, least))
     within = lambda t, c: t.withColumn("k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.substring(F.col(c), i, F.lit(least))))))
     held = begin(open_, "key").join(within(other, "e_key"), "k").where(F.col("e_key").contains(F.col("key")))
     holds = within(open_, "key").join(begin(other, "e_key"), "k").where(F.col("key").contains(F.col("e_key")))
-    part = held.unionByName(holds).groupBy("name").agg(F.min_by("value", "e_key").alias("part"))
+    part = held.unionByName(holds).groupBy("name").agg(F.min_by("value", "turn").alias("part"))
     return rows.join(part, "name", "left").select("name", F.coalesce("exact", "by_key", "part").alias("value"))

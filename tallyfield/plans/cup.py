@@ -131,3 +131,60 @@ def round_order(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("cup"), label.alias("label"), key).groupBy("cup", "label").agg(F.min("o_orderkey").alias("seq"))
     order = Window.partitionBy("cup").orderBy(F.asc_nulls_last(text.round_number(F.col("label"))), "seq")
     return rows.select("cup", "label", F.row_number().over(order).cast("int").alias("n"))
+
+
+# The legs of a round robin of four and the ties of a bracket of eight, as places of teams.
+_LEGS = ((0, 1), (2, 3), (0, 2), (1, 3), (0, 3), (1, 2))
+_BRACKET = ((0, 7), (1, 6), (2, 5), (3, 4), (0, 3), (1, 2), (0, 1))
+_PAIRS = lambda pairs: "[" + ", ".join(f"[{a}, {b}]" for a, b in pairs) + "]"
+_TOURNAMENT_SQL = f"""st AS (SELECT c_custkey t, c_custkey % 10 + n number, chr(CAST(65 + n % 4 AS INT)) l,
+      CASE WHEN c_custkey % 9 = 2 AND n = 5 THEN 'X' ELSE chr(CAST(65 + n % 4 AS INT)) || CASE WHEN c_custkey % 9 = 3 AND n = 6 THEN 0 ELSE ({_PAIRS(_LEGS)})[n // 4 + 1][1] END END home,
+      chr(CAST(65 + n % 4 AS INT)) || CASE WHEN c_custkey % 9 = 3 AND n = 6 THEN 1 ELSE ({_PAIRS(_LEGS)})[n // 4 + 1][2] END away,
+      CASE WHEN (c_custkey + n) % 13 > 0 THEN (c_custkey * (n + 3) + n * n) % 5 + CASE WHEN n // 4 IN (0, 2, 3, 4) THEN 1 ELSE 0 END END hs, (c_custkey // 3 + n * 7) % 4 aws
+    FROM customer, range(24) r(n) WHERE NOT (c_custkey % 9 = 1 AND n = 23)),
+  ko AS (SELECT c_custkey t, b, c_custkey % 10 + 30 + 10 * b + n number, ({_PAIRS(_BRACKET)})[n + 1][1] h, ({_PAIRS(_BRACKET)})[n + 1][2] a, CASE WHEN c_custkey % 9 = 6 THEN 1 - b ELSE b END AS gold
+    FROM customer, range(7) r(n), range(3) q(b) WHERE NOT (n > 0 AND b = 2) AND NOT (c_custkey % 9 = 4 AND b > 0) AND (b < 2 OR c_custkey % 9 = 5) AND c_custkey % 9 <> 7),
+  kt AS (SELECT DISTINCT t, b, chr(CAST(65 + p % 4 AS INT)) || (p // 4 + CASE WHEN gold = 1 THEN 0 ELSE 2 END) team FROM (SELECT t, b, gold, unnest([h, a]) p FROM ko)),
+  sd AS (SELECT t, l, home team, hs gf, aws ga FROM st WHERE hs IS NOT NULL UNION ALL SELECT t, l, away, aws, hs FROM st WHERE hs IS NOT NULL),
+  tb AS (SELECT t, l, team, row_number() OVER (PARTITION BY t, l ORDER BY sum(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END) DESC, sum(gf - ga) DESC, sum(gf) DESC, team) pos FROM sd GROUP BY t, l, team),
+  sh AS (SELECT kt.t, kt.b, CAST(count(top.team) AS DOUBLE) / count(*) share FROM kt LEFT JOIN (SELECT DISTINCT t, team FROM tb WHERE pos <= 2) top ON kt.t = top.t AND kt.team = top.team GROUP BY kt.t, kt.b),
+  ss AS (SELECT t, arg_max(b, share * 10 - b * 0.001) best, max(b) last, count(*) n FROM sh GROUP BY t),
+  gr AS (SELECT t, l, count(*) n, count(DISTINCT least(home, away) || greatest(home, away)) pairs FROM st GROUP BY t, l),
+  gt AS (SELECT t, l, count(DISTINCT team) teams FROM (SELECT t, l, home team FROM st UNION ALL SELECT t, l, away FROM st) GROUP BY t, l)"""
+
+
+def tournaments(spark, sf_dir):
+    """A tournament for each customer: four round robins of four, a lesser and a greater knock-out of eight; faults by rule."""
+    k, n, fault = F.col("t"), F.col("n"), F.col("t") % 9
+    at = lambda pairs, i, side: F.get(F.array(*[F.lit(p[side]) for p in pairs]), i.cast("int"))
+    named = lambda letter, place: F.concat(F.chr(F.lit(65) + letter), place.cast("string"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("t"))
+    stage = rows.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(23)))).where(~((fault == 1) & (n == 23)))
+    twice = (fault == 3) & (n == 6)
+    leg = F.floor(n / 4)
+    place = lambda side: F.when(twice, side).otherwise(at(_LEGS, leg, side))
+    stage = stage.select(
+        "t", (k % 10 + n).alias("number"), F.when((fault == 2) & (n == 5), "X").otherwise(named(n % 4, place(0))).alias("home"), named(n % 4, place(1)).alias("away"),
+        F.when((k + n) % 13 > 0, (k * (n + 3) + n * n) % 5 + F.when(leg.isin(0, 2, 3, 4), 1).otherwise(0)).cast("int").alias("home_score"), ((F.floor(k / 3) + n * 7) % 4).cast("int").alias("away_score"),
+    )
+    b = F.col("b")
+    ties = rows.withColumn("b", F.explode(F.when(fault == 7, F.array().cast("array<int>")).when(fault == 4, F.array(F.lit(0))).when(fault == 5, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    ties = ties.withColumn("n", F.explode(F.sequence(F.lit(0), F.when(b == 2, 0).otherwise(6))))
+    lower = F.when(F.when(fault == 6, 1 - b).otherwise(b) == 1, 0).otherwise(2)
+    team = lambda side: named(at(_BRACKET, n, side) % 4, F.floor(at(_BRACKET, n, side) / 4) + lower)
+    none = F.lit(None).cast("int")
+    ties = ties.select("t", (k % 10 + 30 + 10 * b + n).alias("number"), team(0).alias("home"), team(1).alias("away"), none.alias("home_score"), none.alias("away_score"))
+    return stage.unionByName(ties)
+
+
+@query(
+    f"""WITH {_TOURNAMENT_SQL}
+    SELECT t, 'stage' fault, NULL::VARCHAR place, CAST(count(*) AS INT) AS found, 24 AS expected FROM st GROUP BY t HAVING count(*) <> 24
+    UNION ALL SELECT t, 'matches', l, CAST(n AS INT), 6 FROM gr WHERE n <> 6 UNION ALL SELECT t, 'pairs', l, CAST(pairs AS INT), 6 FROM gr WHERE pairs <> 6
+    UNION ALL SELECT t, 'teams', l, CAST(teams AS INT), 4 FROM gt WHERE teams <> 4
+    UNION ALL SELECT t, 'cups', NULL, CAST(n AS INT), 2 FROM ss WHERE n <> 2
+    UNION ALL SELECT t, 'seeding', NULL, CAST(best + 1 AS INT), CAST(last + 1 AS INT) FROM ss WHERE best <> last"""
+)
+def tournament_faults(spark, sf_dir):
+    """Which rules of its shape each tournament breaks: sizes, round robins, number of knock-outs, seeding."""
+    return cups.tournament_faults(tournaments(spark, sf_dir), 4, 4, 2, ("t",))

@@ -256,6 +256,16 @@ def top_home_records(spark, sf_dir):
     return stats.top_by(records, 5, F.desc("home_pct"), F.asc("team"), F.asc("grp")).select("season", "grp", "team", "home_pct", "rank")
 
 
+@query(
+    f"""WITH {FIXTURES_SQL}, r AS (SELECT season, grp, team, count(*) n, count(*) FILTER (WHERE result = 'W') w FROM results WHERE result IS NOT NULL AND NOT at_home GROUP BY season, grp, team HAVING count(*) >= 3),
+    p AS (SELECT season, grp, team, CAST(floor(CAST(w * 200 + n AS DOUBLE) / (n * 2)) AS INT) away_pct FROM r)
+    SELECT season, grp, team, away_pct, CAST(i AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY away_pct DESC, team, grp) i FROM p) WHERE i <= 5"""
+)
+def top_away_records(spark, sf_dir):
+    records = stats.home_away_record(fixtures(spark, sf_dir)).where("away_won + away_drawn + away_lost >= 3")
+    return stats.top_by(records, 5, F.desc("away_pct"), F.asc("team"), F.asc("grp")).select("season", "grp", "team", "away_pct", "rank")
+
+
 @query(
     f"""WITH {FIXTURES_SQL}, a AS (SELECT season, grp, team, floor(CAST(sum(gf) * 20 + count(*) AS DOUBLE) / (count(*) * 2)) / 10 avg_gf FROM results WHERE result IS NOT NULL GROUP BY season, grp, team)
     SELECT season, grp, team, avg_gf, CAST(i AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY avg_gf DESC, team, grp) i FROM a) WHERE i <= 5"""

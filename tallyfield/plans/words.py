@@ -106,21 +106,24 @@ def canonical_team_names(spark, sf_dir):
     return resolve.canonical_names(scraped, stored.where("i % 4 <> 3").select("season", "grp", "name"), stored.select("season", "name"))
 
 
-_REPORTS = f"""{FIXTURES_SQL}, x AS (SELECT *, substr(md5(home), 1, 7) || ' norte ' || substr(md5(home), 8, 4) hk, substr(md5(away), 1, 7) || ' norte ' || substr(md5(away), 8, 4) ak, match_id * 100 + row_number() OVER (PARTITION BY match_id ORDER BY season, round, home, away, match_date, home_score, away_score) report_id FROM fixtures),
+#: Match ids that a nation's club plays in: the clubs of a season grow with the data, the meetings of two clubs do not.
+_CLUB = 20_000
+_REPORTS = f"""{FIXTURES_SQL}, x AS (SELECT *, substr(md5(home || '/' || match_id // {_CLUB}), 1, 7) || ' norte ' || substr(md5(home || '/' || match_id // {_CLUB}), 8, 4) hk, substr(md5(away || '/' || match_id // {_CLUB}), 1, 7) || ' norte ' || substr(md5(away || '/' || match_id // {_CLUB}), 8, 4) ak, match_id * 100 + row_number() OVER (PARTITION BY match_id ORDER BY season, round, home, away, match_date, home_score, away_score) report_id FROM fixtures),
     rp AS (SELECT report_id, match_id true_id, season, round, CASE report_id % 4 WHEN 1 THEN left(hk, 11) WHEN 2 THEN substr(hk, 15) || ' norte ' || left(hk, 7) WHEN 3 THEN CASE WHEN report_id % 8 = 3 THEN left(hk, 7) || ' otro' ELSE '' END ELSE hk END hk, ak,
       CASE WHEN match_id % 7 = 0 THEN NULL ELSE match_date + CAST(match_id % 4 AS INT) END match_date, CASE WHEN match_id % 5 = 0 THEN NULL ELSE home_score END hs, away_score ays FROM x)"""
 _MATCHING = """(a = b OR (length(b) >= 5 AND starts_with(a, b)) OR (length(a) >= 5 AND starts_with(b, a)) OR (len(list_intersect(list_filter(string_split(a, ' '), lambda w: length(w) > 1), list_filter(string_split(b, ' '), lambda w: length(w) > 1))) >= 2
       AND len(list_filter(list_intersect(string_split(a, ' '), string_split(b, ' ')), lambda w: length(w) >= 5)) > 0))"""
 _RECONCILED_SQL = f"""{_REPORTS}, hm AS (SELECT a, b FROM (SELECT DISTINCT hk a FROM rp WHERE hk <> '') CROSS JOIN (SELECT DISTINCT hk b FROM x) WHERE {_MATCHING}), am AS (SELECT a, b FROM (SELECT DISTINCT ak a FROM rp) CROSS JOIN (SELECT DISTINCT ak b FROM x) WHERE {_MATCHING}),
     p AS (SELECT rp.report_id, x.match_id, CASE WHEN rp.match_date IS NOT NULL THEN abs(datediff('day', x.match_date, rp.match_date)) <= 1 END d, CASE WHEN hs IS NOT NULL AND ays IS NOT NULL AND x.home_score IS NOT NULL AND x.away_score IS NOT NULL THEN hs = x.home_score AND ays = x.away_score END s
-      FROM rp JOIN hm ON rp.hk = hm.a JOIN am ON rp.ak = am.a JOIN x ON x.season = rp.season AND x.round = rp.round AND x.hk = hm.b AND x.ak = am.b),
+      FROM rp JOIN hm ON rp.hk = hm.a JOIN am ON rp.ak = am.a JOIN x ON x.season = rp.season AND x.hk = hm.b AND x.ak = am.b),
     ag AS (SELECT report_id, count(*) n, min(match_id) only_, bool_and(coalesce(d, TRUE) AND coalesce(s, TRUE)) fits, count(*) FILTER (WHERE d) nd, min(match_id) FILTER (WHERE d) bd, count(*) FILTER (WHERE s) ns, min(match_id) FILTER (WHERE s) bs, count(*) FILTER (WHERE d AND s) nb, min(match_id) FILTER (WHERE d AND s) bb FROM p GROUP BY report_id),
     rec AS (SELECT rp.report_id, CASE WHEN n = 1 THEN CASE WHEN fits THEN only_ END WHEN nd = 1 THEN bd WHEN nd = 0 AND ns = 1 THEN bs WHEN nd > 1 AND nb = 1 THEN bb END match_id FROM rp LEFT JOIN ag USING (report_id))"""
 
 
 def _reports(spark, sf_dir):
     """Reports of all fixtures, their home names cut, turned round, half another's or missing; and the fixtures."""
-    key = lambda c: F.concat(F.substring(F.md5(F.col(c).cast("binary")), 1, 7), F.lit(" norte "), F.substring(F.md5(F.col(c).cast("binary")), 8, 4))
+    club = lambda c: F.md5(F.concat(F.col(c), F.lit("/"), F.floor(F.col("match_id") / _CLUB).cast("string")).cast("binary"))
+    key = lambda c: F.concat(F.substring(club(c), 1, 7), F.lit(" norte "), F.substring(club(c), 8, 4))
     turn = F.row_number().over(Window.partitionBy("match_id").orderBy("season", "round", "home", "away", "match_date", F.asc_nulls_last("home_score"), F.asc_nulls_last("away_score")))
     rows = fixtures(spark, sf_dir).withColumns({"report_id": F.col("match_id") * 100 + turn, "home_key": key("home"), "away_key": key("away")})
     k, h = F.col("report_id"), F.col("home_key")
@@ -137,14 +140,14 @@ def _reports(spark, sf_dir):
 @query(f"WITH {_RECONCILED_SQL} SELECT report_id, match_id FROM rec")
 def reconciled_reports(spark, sf_dir):
     """Reports to fixtures: by equal names, by a cut name, by words in another order; ambiguous ones by day and score."""
-    return resolve.reconcile(*_reports(spark, sf_dir), ("season", "round"))
+    return resolve.reconcile(*_reports(spark, sf_dir), ("season",))
 
 
 @query(f"WITH {_RECONCILED_SQL}, c AS (SELECT report_id, row_number() OVER (PARTITION BY match_id ORDER BY report_id) turn FROM rec WHERE match_id IS NOT NULL), q AS (SELECT rp.report_id, CASE WHEN hk = '' OR ak = '' THEN 'no names' WHEN turn IS NULL THEN 'no match' WHEN turn > 1 THEN 'match taken' END reason FROM rp LEFT JOIN c USING (report_id)) SELECT report_id, reason FROM q WHERE reason IS NOT NULL")
 def quarantined_reports(spark, sf_dir):
     """Reports that no fixture took, with the reason."""
     reports, known = _reports(spark, sf_dir)
-    return resolve.quarantined(reports, resolve.reconcile(reports, known, ("season", "round")))
+    return resolve.quarantined(reports, resolve.reconcile(reports, known, ("season",)))
 
 
 @query("WITH o AS (SELECT o_orderkey m, o_orderkey r FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey m, o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END r FROM orders WHERE o_orderkey % 10 <> 6) SELECT o.m match_id, o.r cleared, t.r given FROM o JOIN n ON o.r = n.r LEFT JOIN n t ON o.m = t.m WHERE o.m <> n.m")
@@ -321,3 +324,66 @@ def badge_lookup(spark, sf_dir):
     entries = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("value"))
     found = resolve.name_lookup(named.select("name").distinct(), entries, lambda name: text.team_key(F.translate(name, "_", " ")))
     return named.join(found, "name", "left").select("c_custkey", F.col("value").alias("n_nationkey"))
+
+
+_LISTED = f"""w AS (SELECT s_suppkey k, translate(md5(CAST(s_suppkey % 40 AS VARCHAR)), '0123456789', 'ghijklmnop') a, translate(md5(CAST(s_suppkey AS VARCHAR)), '0123456789', 'ghijklmnop') b FROM supplier),
+    en AS (SELECT k, (k * 7919) % 1009 pos, name, {_TEAM} AS key FROM (SELECT k, 'U.D. ' || left(a, 6) || ' ' || left(b, 8) AS name FROM w)),
+    cu AS (SELECT c_custkey, translate(md5(CAST(c_custkey % 60 AS VARCHAR)), '0123456789', 'ghijklmnop') a, translate(md5(CAST(c_custkey % 300 AS VARCHAR)), '0123456789', 'ghijklmnop') b FROM customer),
+    nc AS (SELECT c_custkey, name, {_TEAM} AS key FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN left(a, 6) WHEN 1 THEN 'Sur ' || left(a, 6) || ' ' || left(b, 8) || ' "B"' WHEN 2 THEN 'U.D. ' || left(a, 6) || ' ' || left(b, 8) WHEN 3 THEN left(a, 3) ELSE substr(a, 2, 5) END AS name FROM cu))"""
+
+
+@query(
+    f"""WITH {_LISTED}, h AS (SELECT nc.c_custkey, en.k, row_number() OVER (PARTITION BY nc.c_custkey ORDER BY CASE WHEN nc.name = en.name THEN 0 WHEN nc.key = en.key THEN 1 ELSE 2 END, en.pos, en.name) i
+      FROM nc JOIN en ON nc.name = en.name OR (nc.key = en.key AND nc.key <> '') OR (length(nc.key) >= 4 AND length(en.key) >= 4 AND (contains(nc.key, en.key) OR contains(en.key, nc.key))))
+    SELECT nc.c_custkey, h.k badge FROM nc LEFT JOIN h ON nc.c_custkey = h.c_custkey AND h.i = 1"""
+)
+def badge_substrings(spark, sf_dir):
+    """Names looked up in a list: as they are, by key, else by the first entry of the list whose key holds theirs or is held."""
+    letters = lambda c: F.translate(F.md5(c.cast("string").cast("binary")), "0123456789", "ghijklmnop")
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    full = lambda a, b: F.concat(F.substring(a, 1, 6), F.lit(" "), F.substring(b, 1, 8))
+    entries = table(spark, sf_dir, "supplier").select(F.concat(F.lit("U.D. "), full(letters(s % 40), letters(s))).alias("name"), s.alias("value"), ((s * 7919) % 1009).alias("pos"))
+    a, b = letters(k % 60), letters(k % 300)
+    name = F.when(k % 5 == 0, F.substring(a, 1, 6)).when(k % 5 == 1, F.concat(F.lit("Sur "), full(a, b), F.lit(' "B"'))).when(k % 5 == 2, F.concat(F.lit("U.D. "), full(a, b))).when(k % 5 == 3, F.substring(a, 1, 3)).otherwise(F.substring(a, 2, 5))
+    named = table(spark, sf_dir, "customer").select(k, name.alias("name"))
+    found = resolve.name_lookup(named.select("name").distinct(), entries, text.team_key, order="pos")
+    return named.join(found, "name", "left").select("c_custkey", F.col("value").alias("badge"))
+
+
+@query(
+    """WITH g AS (SELECT c_custkey id, c_custkey % 9 k, c_custkey % 7 n FROM customer)
+    SELECT id, CASE k WHEN 0 THEN 'Benjamin Segunda Fase ' || chr(CAST(65 + n AS INT)) || '-G' || n WHEN 1 THEN 'BENJAMIN PRIMERA LANZAROTE G' || n WHEN 2 THEN 'BENJAMIN FUERTEVENTURA LIGA ORO' WHEN 3 THEN 'Benjamin Fuerteventura Liga Plata'
+      WHEN 4 THEN 'BENJAMIN FUERTEVENTURA LIGA BRONCE' WHEN 5 THEN 'PREBENJAMIN GC GRUPO ' || n WHEN 6 THEN 'BENJAMIN FUERTEVENTURA' WHEN 7 THEN 'BENJAMIN LANZAROTE ORO' END AS name,
+    CASE k WHEN 0 THEN CASE WHEN n < 3 THEN chr(CAST(65 + n AS INT)) || n END WHEN 1 THEN 'LZ' || n WHEN 2 THEN 'FO' WHEN 3 THEN 'FP' WHEN 4 THEN 'FB' WHEN 5 THEN 'PG' || n END code FROM g"""
+)
+def group_codes(spark, sf_dir):
+    """Codes of groups from their names in scorer lists."""
+    k, n = F.col("c_custkey") % 9, F.col("c_custkey") % 7
+    numbered = lambda start: F.concat(F.lit(start), n.cast("string"))
+    name = F.when(k == 0, F.concat(F.lit("Benjamin Segunda Fase "), F.chr(65 + n), numbered("-G"))).when(k == 1, numbered("BENJAMIN PRIMERA LANZAROTE G")).when(k == 2, "BENJAMIN FUERTEVENTURA LIGA ORO").when(k == 3, "Benjamin Fuerteventura Liga Plata")
+    name = name.when(k == 4, "BENJAMIN FUERTEVENTURA LIGA BRONCE").when(k == 5, numbered("PREBENJAMIN GC GRUPO ")).when(k == 6, "BENJAMIN FUERTEVENTURA").when(k == 7, "BENJAMIN LANZAROTE ORO")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), name.alias("name"))
+    return rows.select("id", "name", text.scorer_group_code(F.col("name")).alias("code"))
+
+
+@query(
+    r"""WITH s AS (SELECT c_custkey id, 2021 + c_custkey % 4 season, CASE c_custkey % 3 WHEN 0 THEN 'benjamin' WHEN 1 THEN 'benjamin_prefe' ELSE 'prebenjamin' END category, c_custkey % 20 n, CASE WHEN c_custkey % 11 = 0 THEN '2segunda' WHEN c_custkey % 13 = 0 THEN '1lanzarote' ELSE
+      CASE c_custkey % 3 WHEN 0 THEN '1benjamin' WHEN 1 THEN '1benjamin-prefe' ELSE '1prebenjamin' END END || (c_custkey % 20) slug, CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Grupo' ELSE 'Grupo ' || (c_custkey % 20) || ' Fase ' || chr(CAST(65 + c_custkey % 7 AS INT)) END group_name, CASE WHEN c_custkey % 5 > 0 THEN 'Q' END prefix FROM customer)
+    SELECT id, season, slug, CASE WHEN slug LIKE '1benjamin-prefe%' AND season < 2023 THEN 'BPGC' || n WHEN slug LIKE '1benjamin%' AND slug NOT LIKE '%-%' THEN CASE WHEN season < 2024 THEN 'GC' ELSE 'P' END || n WHEN slug LIKE '1prebenjamin%' THEN 'PGC' || n ELSE upper(slug) END code,
+    CASE WHEN season < 2023 THEN CASE WHEN category = 'benjamin_prefe' THEN 'Preferente GC' ELSE 'Primera Fase GC' END WHEN season = 2023 THEN CASE WHEN slug LIKE '%lanzarote%' THEN 'Lanzarote' WHEN slug LIKE '2%' THEN 'Segunda Fase GC' ELSE 'Primera Fase GC' END
+      WHEN category = 'prebenjamin' THEN 'Gran Canaria' ELSE 'Primera Fase GC' END phase,
+    coalesce(prefix, 'X') || CASE WHEN group_name LIKE '% %' THEN n::VARCHAR ELSE '1' END competition,
+    CASE WHEN category = 'benjamin' THEN 'BC' || CASE WHEN id % 7 IN (2, 3, 4) THEN chr(CAST(65 + id % 7 AS INT)) ELSE '' END || '1' ELSE 'PCC1' END cup FROM s"""
+)
+def season_slugs(spark, sf_dir):
+    """Codes and phases by the rules of each season, codes of competitions and of knock-outs."""
+    k, n = F.col("c_custkey"), (F.col("c_custkey") % 20).cast("string")
+    by = lambda a, b, c: F.when(k % 3 == 0, a).when(k % 3 == 1, b).otherwise(c)
+    slug = F.concat(F.when(k % 11 == 0, "2segunda").when(k % 13 == 0, "1lanzarote").otherwise(by("1benjamin", "1benjamin-prefe", "1prebenjamin")), n)
+    group = F.when(k % 7 == 1, "Grupo").when(k % 7 > 1, F.concat(F.lit("Grupo "), n, F.lit(" Fase "), F.chr(65 + k % 7)))
+    rows = table(spark, sf_dir, "customer").select(k.alias("id"), (k % 4 + 2021).alias("season"), by("benjamin", "benjamin_prefe", "prebenjamin").alias("category"), slug.alias("slug"), group.alias("group_name"), F.when(k % 5 > 0, "Q").alias("prefix"))
+    c = F.col
+    return rows.select(
+        "id", "season", "slug", text.season_slug_code(c("slug"), c("season")).alias("code"), text.season_phase(c("slug"), c("category"), c("season")).alias("phase"), text.competition_code(c("prefix"), c("group_name")).alias("competition"),
+        text.cup_code(c("category"), c("group_name")).alias("cup"),
+    )
