@@ -12,7 +12,7 @@ import corpus_pipeline
 from tallyfield.llm import mixing, oracles, packing, quality, queries
 from tallyfield.llm.common import Remember
 from tests.duck import compared, views
-from tests.llm.edge import corpus, words
+from tests.llm.edge import corpus, frame, words
 from tests.llm.test_documents import brute_classes, brute_substring
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -99,6 +99,25 @@ def test_packing_stage_loses_nothing(spark, docs, rows, sf_dir):
     assert collections.Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in got) == expected
 
 
+@pytest.mark.parametrize("name", STAGES)
+def test_a_stage_on_an_empty_table(spark, docs, sf_dir, name):
+    got = STAGES[name](spark, docs.where("false"), sf_dir)
+    assert got.count() == 0 and (name == "packing" or got.columns == docs.columns)
+
+
+@pytest.mark.parametrize("name", STAGES)
+def test_a_stage_with_columns_of_clashing_names(spark, docs, rows, sf_dir, name):
+    """The rows are those of the table without the extra columns."""
+    clashing = frame(spark, rows).selectExpr("*", *[f"'x' as {c}" for c in ("__id", "__hash", "__copies", "__copy", "ends", "n_removed", "class_id")])
+    got = STAGES[name](spark, clashing, sf_dir)
+    plain = STAGES[name](spark, docs, sf_dir)
+    if name == "packing":
+        piece = lambda df: sorted(str((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])) for r in df.collect())
+        assert piece(got) == piece(plain)
+    else:
+        assert set(docs.columns) <= set(got.columns) and kept(got) == kept(plain)
+
+
 def test_run_applies_the_stages_in_turn(spark, small):
     step = spark.read.parquet(f"{small}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
