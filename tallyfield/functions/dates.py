@@ -26,6 +26,16 @@ def any_date(text: Column, today: Column) -> Column:
     return F.coalesce(parsed_date(text), resolved_day_month(text, today))
 
 
+def mixed_sort_key(text: Column) -> Column:
+    """Text by which dates of several formats sort: ``dd/MM`` and ``dd/MM/yy(yy)`` begin with their year, if any.
+
+    ISO dates and whatever else there is stay; null is empty.
+    """
+    slashed = r"^(\d{2})/(\d{2})(?:/(\d{2,4}))?$"
+    turned = F.concat_ws("-", *[F.regexp_extract(text, slashed, i) for i in (3, 2, 1)])
+    return F.when(text.rlike(slashed), turned).otherwise(F.coalesce(text, F.lit("")))
+
+
 def reformatted(text: Column, style: str) -> Column:
     """``dd/MM``, ``dd-MM-yyyy`` or ``iso`` from ragged text: its first two short numbers and a year 2020..2030."""
     numbers = F.regexp_extract_all(text, F.lit(r"\b(\d{1,2})\b"), F.lit(1))

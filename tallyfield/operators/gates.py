@@ -57,6 +57,27 @@ def rollover_abort(guarded: DataFrame, least: int = 3, share: float = 0.25) -> D
     return agg.withColumn("abort", stop)
 
 
+def finished_fixtures(fixtures: DataFrame) -> DataFrame:
+    """Fixtures of a season that is over: both teams named and different, both scores known.
+
+    What has no score then is no fixture to come but a row that strayed in from elsewhere.
+    """
+    return fixtures.where("home <> '' and away <> '' and home <> away and home_score is not null and away_score is not null")
+
+
+def match_counts(groups: DataFrame, history: DataFrame, listed: DataFrame, rounds: DataFrame, key: str = "grp") -> DataFrame:
+    """The matches of each group by the first source that has any row of it: its history, its own list, its rounds.
+
+    Each source has one row for a match; a group that no source knows has 0.
+    """
+    n = lambda t, c: t.groupBy(key).agg(F.count("*").alias(c))
+    out = groups.select(key).distinct()
+    for t, c in ((history, "in_history"), (listed, "in_list"), (rounds, "in_rounds")):
+        out = out.join(n(t, c), key, "left")
+    source = F.when(F.col("in_history").isNotNull(), "history").when(F.col("in_list").isNotNull(), "list").when(F.col("in_rounds").isNotNull(), "rounds")
+    return out.select(key, source.alias("source"), F.coalesce("in_history", "in_list", "in_rounds", F.lit(0)).alias("matches"))
+
+
 def fill_report(fixtures: DataFrame, group=("season",)) -> DataFrame:
     """Per group: fixtures, played, half and absurd scores, from raw_home and raw_away."""
     h, a = F.col("raw_home"), F.col("raw_away")

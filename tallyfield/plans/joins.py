@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tallyfield.functions import dates, text
 from tallyfield.operators import extract, gates, merge, publish, resolve, standings, stats
 from tallyfield.plans.binding import EVENTS_SQL, FIXTURES_SQL, TABLE_SQL, fixtures, player_events, published_standings, table
 from tallyfield.plans.league import league
@@ -356,3 +357,51 @@ def group_order(spark, sf_dir):
     brands = table(spark, sf_dir, "part").select("p_brand").distinct()
     number = F.regexp_replace("p_brand", "[^0-9]", "").try_cast("int")
     return brands.withColumn("n", F.row_number().over(Window.orderBy(F.asc_nulls_last(number), "p_brand")).cast("int"))
+
+
+@query(
+    f"""WITH {FIXTURES_SQL}, f AS (SELECT season, grp, match_id, CASE WHEN match_id % 13 = 0 THEN '' WHEN match_id % 17 = 0 THEN away WHEN match_id % 19 = 0 THEN NULL ELSE home END home, away, home_score, away_score FROM fixtures)
+    SELECT season, grp, count(*) n, sum(home_score) goals FROM f WHERE home IS NOT NULL AND home NOT IN ('', away) AND home_score + away_score >= 0 GROUP BY season, grp"""
+)
+def finished_fixtures(spark, sf_dir):
+    """Fixtures of finished seasons, without those that have no score, no team or one team twice."""
+    k = F.col("match_id")
+    rows = fixtures(spark, sf_dir).withColumn("home", F.when(k % 13 == 0, "").when(k % 17 == 0, F.col("away")).when(k % 19 != 0, F.col("home")))
+    return gates.finished_fixtures(rows).groupBy("season", "grp").agg(F.count("*").alias("n"), F.sum("home_score").alias("goals"))
+
+
+@query(
+    """WITH g AS (SELECT c_custkey grp FROM customer), h AS (SELECT o_custkey grp, count(*) n FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey), l AS (SELECT o_custkey grp, count(*) n FROM orders WHERE o_custkey % 2 = 0 AND o_orderkey % 2 = 0 GROUP BY o_custkey),
+    r AS (SELECT o_custkey grp, count(*) n FROM orders WHERE o_orderkey % 5 < 2 GROUP BY o_custkey)
+    SELECT g.grp, CASE WHEN h.n > 0 THEN 'history' WHEN l.n > 0 THEN 'list' WHEN r.n > 0 THEN 'rounds' END source, coalesce(h.n, l.n, r.n, 0) matches FROM g LEFT JOIN h ON g.grp = h.grp LEFT JOIN l ON g.grp = l.grp LEFT JOIN r ON g.grp = r.grp"""
+)
+def match_counts(spark, sf_dir):
+    """Matches of groups by their history, else by their list, else by their rounds."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), "o_orderkey")
+    groups = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("grp"))
+    return gates.match_counts(groups, orders.where("grp % 3 = 0"), orders.where("grp % 2 = 0 and o_orderkey % 2 = 0"), orders.where("o_orderkey % 5 < 2"))
+
+
+@query(
+    """WITH n AS (SELECT c_nationkey grp, CASE c_custkey % 4 WHEN 0 THEN 'Descansa' ELSE 'Team ' || (c_custkey % 50) END AS name FROM customer UNION SELECT s_nationkey, CASE WHEN s_suppkey % 5 > 0 THEN 'Team ' || (s_suppkey % 50) END FROM supplier)
+    SELECT grp, name FROM n WHERE name <> 'Descansa'"""
+)
+def source_names(spark, sf_dir):
+    """The teams of a group in its table or its calendar, cleaned: once each, no free rounds."""
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    listed = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.when(k % 4 == 0, "Descansa").when(k % 4 == 1, F.concat(F.lit("Team  "), (k % 50).cast("string"), F.lit(" (P)"))).otherwise(F.concat(F.lit("Team "), (k % 50).cast("string"))).alias("name"))
+    played = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp"), F.when(s % 5 > 0, F.concat(F.lit(" Team "), (s % 50).cast("string"), F.lit(" (Clasificado)"))).alias("name"))
+    names = listed.unionByName(played).select("grp", text.without_cup_marks(F.col("name")).alias("name")).distinct()
+    return names.where(F.col("name").isNotNull() & ~text.is_bye(F.col("name")))
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey k, CAST(o_orderdate AS DATE) d FROM orders)
+    SELECT k, CASE k % 7 WHEN 0 THEN strftime(d, '%Y-%m-%d') WHEN 1 THEN '-' || strftime(d, '%m-%d') WHEN 2 THEN strftime(d, '%Y-%m-%d') WHEN 3 THEN strftime(d, '%y-%m-%d') WHEN 4 THEN '' WHEN 5 THEN 'por fijar' ELSE '' END AS sort_key FROM o"""
+)
+def mixed_dates(spark, sf_dir):
+    """Keys by which dates in several formats sort."""
+    k = F.col("o_orderkey")
+    day = lambda f: F.date_format("o_orderdate", f)
+    written_as = F.when(k % 7 == 0, day("yyyy-MM-dd")).when(k % 7 == 1, day("dd/MM")).when(k % 7 == 2, day("dd/MM/yyyy")).when(k % 7 == 3, day("dd/MM/yy")).when(k % 7 == 4, "").when(k % 7 == 5, "por fijar")
+    return table(spark, sf_dir, "orders").select(k.alias("k"), dates.mixed_sort_key(written_as).alias("sort_key"))
