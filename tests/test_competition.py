@@ -214,3 +214,22 @@ def test_nothing_in_nothing_out(spark):
     assert cups.cup_ranking(nothing).count() == 0
     assert stats.current_streak(nothing).count() == 0
     assert merge.fill_nulls(nothing, nothing, KEY, ["home_score", "away_score"]).count() == 0
+
+
+def test_rules_of_a_tournament(spark):
+    """A sound tournament breaks none; a lost match, a repeated pair and a lesser knock-out with the best teams do."""
+    from tallyfield.operators import cups
+
+    legs = [(0, 1), (2, 3), (0, 2), (1, 3), (0, 3), (1, 2)]
+    stage = lambda t: [(t, 2 * i + g, f"{'AB'[g]}{x}", f"{'AB'[g]}{y}", 2, 1) for i, (x, y) in enumerate(legs) for g in (0, 1)]
+    low, high = ("A2", "B3", "A3", "B2"), ("A0", "B1", "A1", "B0")
+    cup = lambda t, n, who: [(t, n, who[0], who[1], None, None), (t, n + 1, who[2], who[3], None, None), (t, n + 2, who[0], who[2], None, None)]
+    lost = [m for m in stage("lost") if m[1] != 11]
+    twice = [m if m[1] != 4 else ("twice", 4, "A1", "A0", 1, 1) for m in stage("twice")]
+    rows = stage("sound") + cup("sound", 20, low) + cup("sound", 30, high) + lost + twice + cup("twice", 20, low) + stage("turned") + cup("turned", 20, high) + cup("turned", 30, low)
+    schema = "t string, number int, home string, away string, home_score int, away_score int"
+    found = cups.tournament_faults(spark.createDataFrame(rows, schema), 2, 4, 2, ("t",)).collect()
+    assert sorted((r["t"], r["fault"], r["place"], r["found"], r["expected"]) for r in found) == [
+        ("lost", "matches", "B", 5, 6), ("lost", "pairs", "B", 5, 6), ("lost", "stage", None, 11, 12), ("turned", "seeding", None, 1, 2), ("twice", "cups", None, 1, 2), ("twice", "pairs", "A", 5, 6),
+    ]
+    assert cups.tournament_faults(spark.createDataFrame([], schema), 2, 4, 2, ("t",)).count() == 0
