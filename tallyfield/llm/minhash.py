@@ -34,6 +34,8 @@ BASE = 0x2545F4914F6CDD1D
 CHUNK_BYTES = 1 << 20
 #: Cells in which darts are thrown at once, about 100 bytes each; a longer text's elements are taken in turn.
 DART_CELLS = 1 << 18
+#: Pairs that a node's shingle set meets in one part; it is sent once for each part.
+PART_PAIRS = 128
 _COMPARED = "a long, b long, a_mark long, b_mark long, na int, nb int, common int"
 #: Cumulative probabilities of 0, 1, 2, ... darts in a cell of area one.
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(16)])
@@ -270,12 +272,26 @@ def _shingles(base: DataFrame, stars: DataFrame, width: int) -> DataFrame:
 
 
 def _pairs_with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, a_mark, b_mark, na, nb, x, y: pairs with both shingle sets, their marks and sizes."""
-    one = lambda node, name: sets.select(F.col("node").alias(node), F.col("mark").alias(f"{node}_mark"), F.col("shingles").alias(name))
-    both = pairs.select("a", "b").join(one("a", "x"), "a").join(one("b", "y"), "b")
+    """a, b, a_mark, b_mark, na, nb, x, y: pairs of (a, b) with both shingle sets, their marks and sizes."""
+    both = _with_sets(_with_sets(pairs.select("a", "b"), pairs, sets, "a", "b", "x"), pairs, sets, "b", "a", "y")
     return both.select("a", "b", "a_mark", "b_mark", (F.octet_length("x") / 8).cast("int").alias("na"), (F.octet_length("y") / 8).cast("int").alias("nb"), "x", "y")
 
 
+def _with_sets(rows: DataFrame, pairs: DataFrame, sets: DataFrame, node: str, other: str, name: str, keep_part: bool = False) -> DataFrame:
+    """``rows`` with ``name``, the shingle set of ``node``, and its mark.
+
+    A node of many pairs meets them in as many parts as keep about ``PART_PAIRS`` in each, dealt by the other node: its
+    set is sent to every part.  Most nodes have one part.
+    """
+    parts = pairs.groupBy(node).agg(F.ceil(F.count("*") / PART_PAIRS).cast("int").alias("parts")).where("parts > 1")
+    of = lambda t: t.join(parts, node, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = of(rows).withColumn("part", F.pmod(F.xxhash64(other), "parts").cast("int")).drop("parts")
+    own = of(sets.select(F.col("node").alias(node), F.col("mark").alias(f"{node}_mark"), F.col("shingles").alias(name)))
+    sent = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = dealt.join(sent, [node, "part"])
+    return both if keep_part else both.drop("part")
+
+
 def _left_over(measured: DataFrame, merged: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs around one center, of different components, that can still be linked: distinct (a, b).
 
@@ -294,7 +310,8 @@ def _left_over(measured: DataFrame, merged: DataFrame, sets: DataFrame, similari
 
     needed = F.greatest(F.lit(1), F.ceil(F.lit(similarity) * F.col("n") - F.col("common") - F.lit(1e-6))).cast("int")
     wanted = rows.withColumn("prefix", F.col("n") - F.col("common") - needed + 1).where("prefix > 0")
-    rest = _pairs_with_sets(wanted.select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), sets).mapInArrow(_remainder, "a long, b long, a_mark long, b_mark long, rest array<long>")
+    beside = materialize(wanted.select(F.col("node").alias("a"), F.col("center").alias("b")).distinct(), "beside-pairs")
+    rest = _pairs_with_sets(beside, sets).mapInArrow(_remainder, "a long, b long, a_mark long, b_mark long, rest array<long>")
     own = rest.select(F.col("b").alias("center"), F.col("b_mark").alias("c_mark"), F.col("a").alias("node"), F.col("a_mark").alias("mark"), F.explode("rest").alias("shingle"))
     own = materialize(own, "beside-center")
     often = materialize(own.groupBy("center", "c_mark", "shingle").agg(F.count("*").alias("df")).where("df > 1"), "beside-often")

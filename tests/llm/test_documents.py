@@ -139,10 +139,12 @@ def test_near_duplicates(docs, rows):
     assert collections.Counter(expected.values()).most_common(1)[0][1] >= 11
 
 
-def test_near_duplicates_of_a_group_around_the_threshold(spark):
-    """Edited copies whose pairs lie on both sides of 0.8: links that no center shows must be found too."""
+@pytest.mark.parametrize("part", [minhash.PART_PAIRS, 5])
+def test_near_duplicates_of_a_group_around_the_threshold(spark, monkeypatch, part):
+    """Edited copies whose pairs lie on both sides of 0.8: links that no center shows must be found too, in one part or many."""
     import random
 
+    monkeypatch.setattr(minhash, "PART_PAIRS", part)
     r = random.Random(3)
     base = [f"t{i}" for i in range(150)]
     rows = []
@@ -171,6 +173,21 @@ def test_near_duplicates_whose_rows_repeat(spark):
     assert once == twice and len(set(once.values())) < 81
 
 
+def test_pairs_of_a_hot_center_are_dealt_over_parts(spark, monkeypatch):
+    """A center of many pairs, and a node of many: every pair comes once, with both sets, and no part has many."""
+    monkeypatch.setattr(minhash, "PART_PAIRS", 8)
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 9))) for i in range(100)], "doc_id long, text string")
+    stars = spark.createDataFrame([(i, 0) for i in range(1, 100)] + [(99, i) for i in range(1, 60)], "node long, center long")
+    pairs = stars.selectExpr("node a", "center b")
+    sets = minhash._shingles(docs, stars, 5)
+    got = minhash._pairs_with_sets(pairs, sets).collect()
+    held = {r["node"]: bytes(r["shingles"]) for r in sets.collect()}
+    assert sorted((r["a"], r["b"]) for r in got) == sorted((r["a"], r["b"]) for r in pairs.collect())
+    assert all((bytes(r["x"]), bytes(r["y"]), r["na"], r["nb"]) == (held[r["a"]], held[r["b"]], 5, 5) for r in got)
+    dealt = minhash._with_sets(pairs, pairs, sets, "b", "a", "y", keep_part=True).groupBy("b", "part").count()
+    assert dealt.agg({"count": "max"}).first()[0] <= 20 and dealt.where("b = 0").count() == 13
+
+
 def test_one_set_for_each_text_of_a_document(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "a  b c d e f"), (1, "g h"), (2, "a b c d e f"), (2, ""), (3, "x")], "doc_id long, text string")
     stars = spark.createDataFrame([(2, 1)], "node long, center long")
