@@ -199,6 +199,7 @@ TROPHY, TEAM_BOX = r"(?i)fa-trophy[^>]*></i>\s*([^<]+)", r'class="font_widget{}"
 REFEREE = r"(?i)<strong>[AÁ]rbitro/a\s+Principal</strong>(?:&nbsp;|\s)+([^<]+)"
 COACH, ABSENT = r"(?i)<strong>Entrenador:\s*</strong>\s*([^<\n\r]+)", r"(?i)no\s+presenta"
 SCORER = r"(?s)data-bs-title=[\"']<div [^>]*>([^<]+)<br>.*?data-bs-content=[\"']<b>\s*([^<]+?)\s*</b>.*?</button>\s*</div>\s*<div [^>]*btn btn-outline-primary[^>]*>\s*(\d+).*?<div class=\"btn active btn-primary[^>]*>(\d+)"
+CALENDAR = r"calendarioClasificacion\('([^']+)'"
 BADGE = r'(?i)<img\s+src="[^"]*escudos/([^"]+\.(?:png|jpg|gif|svg))"[^>]*title="\s*Calendario\s+([^"]*)"'
 TEAM_CODE = r"(?i)<td[^>]*fw-bold[^>]*>\s*([A-Za-zà-ÿ '.,]+?)\s*<a\s+href=\"[^\"]*?-([A-Z0-9]+)\.html\""
 
@@ -265,6 +266,11 @@ def report_staff(html: Column) -> Column:
     return let(coaches, both)
 
 
+def form_keys(html: Column) -> Column:
+    """struct<calendar, table>: what the forms behind a table page ask for; null where the page names no calendar."""
+    return let(_found(html, CALENDAR), lambda c: F.when(c.isNotNull(), F.struct(c.alias("calendar"), F.replace(c, F.lit("calendario_"), F.lit("clasi_")).alias("table"))))
+
+
 def _matches(pages: DataFrame, pattern: str, names: tuple[str, ...], key: str) -> DataFrame:
     """The groups of every match of a pattern, in order."""
     found = pages.select(key, F.posexplode(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias("pos", "m"))

@@ -66,6 +66,12 @@ def replace_groups(stored: DataFrame, incoming: DataFrame, group: list[str]) ->
     return stored.join(swap, group, "left_anti").unionByName(incoming.join(swap, group, "left_semi"))
 
 
+def refreshed(stored: DataFrame, parsed: DataFrame, group: list[str]) -> DataFrame:
+    """Stored rows with every group of which the parse gave any row replaced by the parsed rows; the others stay."""
+    got = parsed.select(*group).distinct()
+    return stored.join(got, group, "left_anti").unionByName(parsed.select(*stored.columns))
+
+
 def pending(ids: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Ids that have no result yet."""
     return ids.join(done.select(key), key, "left_anti")

@@ -12,6 +12,7 @@ from tallyfield.session import written
 # The scores and lengths from which names count as the same.
 SAME_NAME, LONG_PREFIX, SHORT_PREFIX, LONG_TOKEN = 0.6, 6, 2, 5
 ONE_FILIAL = 0.85
+SAME_LEAGUE = 0.5
 #: Pairs that may be left to one task for each group.
 FEW_PAIRS = 20_000
 
@@ -181,6 +182,24 @@ def canonical_names(scraped: DataFrame, group_teams: DataFrame, season_teams: Da
     return named.select(*by, "name", F.coalesce("b", "stands").alias("canonical"), F.coalesce("stage", F.lit("own")).alias("stage"))
 
 
+def same_league(pages: DataFrame, stored: DataFrame, group: tuple[str, ...], least: float = SAME_LEAGUE) -> DataFrame:
+    """Whether the page of each group still shows the league that is stored: n_page, n_stored, overlap and state.
+
+    Both inputs hold ``group`` and ``name``.  The overlap is the number of names that can be assigned one to one, over the
+    smaller number of names; from ``least`` on the state is ``same``, below it ``other``.  A group without names on its
+    page is ``no table`` and has no overlap; one without stored names overlaps by 0.  Null and repeated names do not count.
+    """
+    named = lambda t: t.where(F.col("name").isNotNull()).select(*group, "name").distinct()
+    number = lambda t, c: t.groupBy(*group).agg(F.count("*").alias(c))
+    page, own, by = named(pages), named(stored), list(group)
+    matched = number(greedy_assignment(scored_pairs(page, own, group), group), "matched")
+    rows = number(own, "n_stored").join(number(page, "n_page"), by, "full").join(matched, by, "left")
+    rows = rows.withColumn("overlap", F.when(F.col("n_page").isNotNull(), F.coalesce("matched", F.lit(0)) / F.least("n_page", "n_stored")))
+    state = F.when(F.col("n_page").isNull(), "no table").when(F.col("overlap") >= least, "same").otherwise("other")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.select(*group, count("n_page"), count("n_stored"), "overlap", state.alias("state"))
+
+
 def _name_blocks(name: Column) -> Column:
     """Keys of which two names that :func:`names_match` brings together share at least one.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfield.functions import dates, scores, text
-from tallyfield.operators import extract, publish, resolve, standings, versions
+from tallyfield.operators import extract, merge, publish, resolve, standings, versions
 from tallyfield.plans.binding import FIXTURES_SQL, TABLE_SQL, fixtures, table
 from tallyfield.plans.league import league
 from tallyfield.plans.registry import query
@@ -57,6 +57,29 @@ def scorer_pages(spark, sf_dir):
     return extract.scorer_rows(pages).select("team", "player", "played", "goals")
 
 
+@query(
+    """WITH p AS (SELECT p_brand grp, p_name || ' ' || p_partkey player, p_partkey k, CAST(p_size AS INT) size, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INT) % 5 b FROM part),
+    new AS (SELECT grp, player, CAST(k % 40 AS INT) goals, size played FROM p WHERE k % 2 = 0 AND b > 1)
+    SELECT * FROM new UNION ALL SELECT grp, player, size, 1 FROM p WHERE k % 3 = 0 AND grp NOT IN (SELECT grp FROM new)"""
+)
+def refreshed_scorers(spark, sf_dir):
+    """Scorers of a group from the reply to its page's form; groups whose page has no form or whose reply is empty keep what is stored."""
+    k, b = F.col("p_partkey"), F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int") % 5
+    rows, player = table(spark, sf_dir, "part"), F.concat("p_name", F.lit(" "), _S("p_partkey"))
+    stored = rows.where(k % 3 == 0).select(F.col("p_brand").alias("grp"), player.alias("player"), F.col("p_size").cast("int").alias("goals"), F.lit(1).alias("played"))
+    form = F.when(b > 0, F.concat(F.lit("<a onclick=\"calendarioClasificacion('calendario_"), F.col("p_brand"), F.lit("', 3)\">")))
+    tables = rows.select(F.col("p_brand").alias("grp"), F.concat(F.lit("<table></table>"), F.coalesce(form, F.lit(""))).alias("html")).distinct()
+    one = F.concat(
+        F.lit('<div><button data-bs-title="<div class=x>'), F.col("p_brand"), F.lit('<br></div>" data-bs-content="<b>'), player, F.lit('</b>">i</button></div><div class="btn btn-outline-primary"> '), _S("p_size"),
+        F.lit('</div><div class="btn active btn-primary">'), _S(k % 40), F.lit("</div>"),
+    )
+    asked = F.struct(F.concat(F.lit("calendario_"), F.col("p_brand")).alias("calendar"), F.concat(F.lit("clasi_"), F.col("p_brand")).alias("table"))
+    replies = rows.where(k % 2 == 0).groupBy(asked.alias("asked"), F.floor(k / 1000).alias("page")).agg(F.concat_ws("", F.collect_list(F.when(b > 1, one))).alias("html"))
+    keys = tables.select("grp", extract.form_keys(F.col("html")).alias("asked")).where("asked is not null")
+    pages = keys.join(replies, "asked").select(F.struct("grp", "page").alias("page_id"), "html")
+    return merge.refreshed(stored, extract.scorer_rows(pages).select("page_id.grp", "player", "goals", "played"), ["grp"])
+
+
 _WORD_KEY = "translate(CAST(s_suppkey AS VARCHAR), '0123456789', 'abcdefghij')"
 
 

@@ -387,3 +387,19 @@ def season_slugs(spark, sf_dir):
         "id", "season", "slug", text.season_slug_code(c("slug"), c("season")).alias("code"), text.season_phase(c("slug"), c("category"), c("season")).alias("phase"), text.competition_code(c("prefix"), c("group_name")).alias("competition"),
         text.cup_code(c("category"), c("group_name")).alias("cup"),
     )
+
+
+@query(
+    """WITH c AS (SELECT c_nationkey + 25 * (c_custkey // 1000) grp, c_custkey k, c_nationkey % 5 n FROM customer),
+    x AS (SELECT grp, min(n) n, count(*) n_stored, count(*) FILTER (WHERE n = 4 OR n = 2 AND k % 3 = 0 OR n = 3 AND k % 3 <> 0) matched FROM c GROUP BY grp)
+    SELECT grp, CASE WHEN n > 0 THEN n_stored ELSE 0 END n_page, n_stored, CASE WHEN n > 0 THEN matched / n_stored END overlap, CASE WHEN n = 0 THEN 'no table' WHEN 2 * matched >= n_stored THEN 'same' ELSE 'other' END state FROM x"""
+)
+def same_leagues(spark, sf_dir):
+    """Groups whose page shows the stored league under other spellings, half of it, another one or nothing."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey") % 5
+    word = lambda x: F.translate(F.reverse(F.lpad(x.cast("string"), 8, "0")), "0123456789", "ghijklmnop")
+    rows = table(spark, sf_dir, "customer").withColumn("grp", (F.col("c_nationkey") + 25 * F.floor(k / 1000)).cast("long"))
+    moved = (n == 1) | ((n == 2) & (k % 3 != 0)) | ((n == 3) & (k % 3 == 0))
+    page = rows.where(n > 0).select("grp", F.concat(F.lit("C.D. "), word(F.when(moved, k + 5_000_000).otherwise(k))).alias("name"))
+    stored = rows.select("grp", F.concat(F.initcap(word(k)), F.lit(", C.F.")).alias("name"))
+    return resolve.same_league(page, stored, ("grp",))

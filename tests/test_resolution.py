@@ -127,3 +127,17 @@ def test_canonical_names_of_many_groups(spark, seed):
     rows = lambda d: spark.createDataFrame([(9, g, n) for g, v in d.items() for n in v], "season int, grp int, name string")
     got = resolve.canonical_names(rows(scraped), rows(roster), spark.createDataFrame([(9, n) for n in season], "season int, name string")).collect()
     assert {(x["grp"], x["name"]): (x["canonical"], x["stage"]) for x in got} == {(g, n): v for g in scraped for n, v in canonical(scraped[g], roster[g], season).items()}
+
+
+def test_same_league(spark):
+    """Half of the smaller side is enough; names in other spellings count, nulls and repeats do not."""
+    page = {1: ["Arucas CF", "Telde", "Ingenio B"], 2: ["Arucas", "Telde", "Nadie"], 3: [], 4: ["Telde"], 5: ["Uno Dos", "Tres"], 6: [None]}
+    stored = {1: ["ARUCAS", "C.D. Telde", "Otro", "Mas"], 2: ["Arucas", "Luz", "Isleta"], 3: ["Telde"], 4: [], 5: ["Tres", "Cuatro", None, "Tres"], 6: ["Telde"]}
+    rows = lambda d: spark.createDataFrame([(g, n) for g, v in d.items() for n in v], "grp int, name string")
+    got = {r["grp"]: (r["n_page"], r["n_stored"], r["overlap"], r["state"]) for r in resolve.same_league(rows(page), rows(stored), ("grp",)).collect()}
+    clean = lambda d, g: sorted({n for n in d[g] if n})
+    for g in page:
+        a, b = clean(page, g), clean(stored, g)
+        overlap = len(assigned(a, b)) / min(len(a), len(b)) if a and b else 0.0 if a else None
+        assert got[g] == (len(a), len(b), overlap, "no table" if not a else "same" if overlap >= 0.5 else "other")
+    assert {g: v[3] for g, v in got.items()} == {1: "same", 2: "other", 3: "no table", 4: "other", 5: "same", 6: "no table"}
