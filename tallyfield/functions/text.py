@@ -263,10 +263,3 @@ def slug_label(slug: Column) -> Column:
     """``Grupo N`` from the number that ends a slug."""
     n = F.regexp_extract(slug, r"(\d+)$", 1)
     return F.concat(F.lit("Grupo "), F.when(n != "", n).otherwise("?"))
-
-
-def slug_part(slug: Column, position: int) -> Column:
-    """The n-th part of a page's slug, dashes between parts; negative positions count from the end."""
-    parts = F.split(slug, "-")
-    at = F.lit(position) if position >= 0 else F.size(parts) + position
-    return F.get(parts, at)

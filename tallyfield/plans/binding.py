@@ -48,12 +48,12 @@ def fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def player_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, match_id (the day), team, player, kind, minute, side from the event log."""
+    """event_id, match_id (a day and a thousand of the users, so that a match stays small), team, player, kind, minute, side from the event log."""
     kinds = F.create_map(*[F.lit(x) for pair in (("purchase", "goal"), ("error", "red"), ("signup", "yellow"), ("view", "sub_out"), ("click", "sub_in")) for x in pair])
     ts = F.col("ts")
     return table(spark, sf_dir, "events").select(
         "event_id",
-        F.dayofyear(ts).cast("int").alias("match_id"),
+        ((F.year(ts) * 1000 + F.dayofyear(ts)).cast("long") * 1_000_000 + F.floor(F.col("user_id") / 1000)).alias("match_id"),
         (F.col("user_id") % 20).cast("int").alias("team"),
         F.col("user_id").alias("player"),
         kinds[F.col("event_type")].alias("kind"),
@@ -119,7 +119,7 @@ published AS (
 
 EVENTS_SQL = """
 player_events AS (
-  SELECT event_id, CAST(dayofyear(ts) AS INT) AS match_id, CAST(user_id % 20 AS INT) AS team, user_id AS player,
+  SELECT event_id, CAST((year(ts) * 1000 + dayofyear(ts)) * 1000000::BIGINT + user_id // 1000 AS BIGINT) AS match_id, CAST(user_id % 20 AS INT) AS team, user_id AS player,
          CASE event_type WHEN 'purchase' THEN 'goal' WHEN 'error' THEN 'red' WHEN 'signup' THEN 'yellow' WHEN 'view' THEN 'sub_out' WHEN 'click' THEN 'sub_in' END AS kind,
          CAST(CASE WHEN event_id % 11 <> 0 THEN (hour(ts) * 60 + minute(ts)) % 90 END AS INT) AS minute, CASE WHEN user_id % 2 = 0 THEN 'h' ELSE 'a' END AS side
   FROM events)

@@ -10,6 +10,7 @@ from tallyfield.operators import extract, gates, merge, publish, resolve, standi
 from tallyfield.plans.binding import EVENTS_SQL, FIXTURES_SQL, TABLE_SQL, fixtures, player_events, published_standings, table
 from tallyfield.plans.league import league
 from tallyfield.plans.registry import query
+from tallyfield.session import scratch_path
 from tallyfield.sources import landed
 
 PLAYED = "home_score IS NOT NULL AND away_score IS NOT NULL"
@@ -282,6 +283,20 @@ def season_statistics(spark, sf_dir):
     return publish.season_statistics(stats.current_streak(rows), stats.home_away_record(rows), stats.average_goals(rows), stats.points_curve(rows))
 
 
+@query(
+    f"""WITH {FIXTURES_SQL} SELECT season, grp, team, count(*) FILTER (WHERE at_home AND result = 'W') home_won, count(*) FILTER (WHERE NOT at_home AND result = 'L') away_lost, (20 * sum(gf) FILTER (WHERE result IS NOT NULL) + count(result)) // (2 * count(result)) / 10 avg_gf
+    FROM results WHERE season = 1996 GROUP BY season, grp, team"""
+)
+def published_season(spark, sf_dir):
+    """Statistics of the teams of one season, from the files that all seasons are published in."""
+    path = scratch_path(spark, "seasons")
+    publish.write_seasons(season_statistics(spark, sf_dir), path)
+    schema = "array<struct<grp:string,team:string,home:struct<home_won:long>,away:struct<away_lost:long>,avg_gf:double>>"
+    held = spark.read.schema("document string, season int").json(path).where("season = 1996")
+    teams = held.select("season", F.explode(F.from_json("document", schema)).alias("t"))
+    return teams.select("season", "t.grp", "t.team", "t.home.home_won", "t.away.away_lost", "t.avg_gf")
+
+
 @query(
     f"""WITH {TABLE_SQL}, p AS (SELECT season, grp, count(*) n FROM league WHERE NOT (season = 1999 AND position = 5) GROUP BY season, grp), s AS (SELECT season, grp, count(*) n FROM league GROUP BY season, grp)
     SELECT season, grp, s.n n_stored, p.n n_published FROM s FULL JOIN p USING (season, grp) WHERE s.n IS DISTINCT FROM p.n"""

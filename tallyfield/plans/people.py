@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tallyfield.operators import players
+from tallyfield.operators import players, publish
 from tallyfield.plans.binding import EVENTS_SQL, player_events, table
 from tallyfield.plans.registry import query
 
@@ -62,6 +62,18 @@ def running_score(spark, sf_dir):
     return players.running_score(player_events(spark, sf_dir))
 
 
+@query(
+    f"""WITH {EVENTS_SQL} SELECT match_id, CAST(row_number() OVER (PARTITION BY match_id ORDER BY minute NULLS LAST, event_id) AS INT) n, event_id, player, side, count(*) FILTER (WHERE side = 'h') OVER ({_RUN}) || '-' || count(*) FILTER (WHERE side = 'a') OVER ({_RUN}) AS score
+    FROM player_events WHERE kind = 'goal'"""
+)
+def published_timelines(spark, sf_dir):
+    """The goals of each match in the order in which they are published, with the score after each."""
+    events = player_events(spark, sf_dir)
+    goals = players.running_score(events).join(events.select("event_id", "player"), "event_id")
+    lists = publish.timelines(events.select("match_id").distinct(), goals)
+    return lists.select("match_id", F.posexplode("g").alias("i", "g")).select("match_id", (F.col("i") + 1).alias("n"), "g.event_id", "g.player", "g.side", "g.score")
+
+
 @query(f"WITH {EVENTS_SQL} SELECT match_id, event_id, kind, minute, CAST(row_number() OVER (PARTITION BY match_id ORDER BY minute NULLS LAST, event_id) AS INT) seq FROM player_events")
 def timeline_order(spark, sf_dir):
     return players.timeline(player_events(spark, sf_dir)).select("match_id", "event_id", "kind", "minute", "seq")
