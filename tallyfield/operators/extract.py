@@ -46,18 +46,42 @@ def table_rows(pages: DataFrame, key: str = "page_id") -> DataFrame:
 def rounds_and_matches(rows: DataFrame, key: str = "page_id") -> DataFrame:
     """Match rows with the round that the last one-cell row before them named.
 
-    Seven cells: date, time, home, home score, away score, away, venue.  Nine: the same with a shield
-    before home and after away.  Other rows are left out.
+    Seven cells: date, time, home, home score, away score, away, venue.  Other rows are left out.
     """
     order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.size("cells")
-    rows = rows.withColumn("round", F.last(F.when(n == 1, F.col("cells")[0]), ignorenulls=True).over(order))
-    at = lambda seven, nine: F.when(n == 7, F.get("cells", F.lit(seven))).otherwise(F.get("cells", F.lit(nine)))
-    return rows.where(n.isin(7, 9)).select(
-        key, "pos", "round", at(0, 0).alias("date"), at(1, 1).alias("time"), at(2, 3).alias("home"), at(3, 4).try_cast("int").alias("home_score"), at(4, 5).try_cast("int").alias("away_score"), at(5, 6).alias("away"), at(6, 8).alias("venue")
+    n, cell = F.size("cells"), lambda i: F.get("cells", F.lit(i))
+    rows = rows.withColumn("round", F.last(F.when(n == 1, cell(0)), ignorenulls=True).over(order))
+    return rows.where(n == 7).select(
+        key, "pos", "round", cell(0).alias("date"), cell(1).alias("time"), cell(2).alias("home"), cell(3).try_cast("int").alias("home_score"), cell(4).try_cast("int").alias("away_score"), cell(5).alias("away"), cell(6).alias("venue")
     )
 
 
+def calendar_rows(rows: DataFrame, key: str = "page_id") -> DataFrame:
+    """round, date, home, away and scores from the match rows of archived calendars in two layouts.
+
+    Seven cells: date, time, home, home score, away score, away, venue, in the round of the last one-cell row ``JORNADA n``.
+    Nine cells: round, check mark, date, time, venue, home, home score, away score, away.  A date is the year and the first
+    two short numbers, day and month, of its cell.  Rows without a round, a date or a team are left out; a score counts
+    only if both are numbers.
+    """
+    order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    n, cell = F.size("cells"), lambda i: F.trim(F.get("cells", F.lit(i)))
+    at = lambda seven, nine: F.when(n == 7, cell(seven)).otherwise(cell(nine))
+    number = lambda c: F.when(c.rlike(r"^[0-9]+$"), c.try_cast("int"))
+    named = F.nullif(F.regexp_extract(F.when(n == 1, cell(0)), r"(?i)^JORNADA\s+(\d+)", 1), F.lit(""))
+    rows = rows.withColumn("named", F.last(named, ignorenulls=True).over(order)).where(n.isin(7, 9))
+    rows = rows.select(
+        key, "pos", F.when(n == 7, F.col("named")).otherwise(F.nullif(F.regexp_extract(cell(0), r"^\d+", 0), F.lit(""))).alias("round"), F.regexp_extract_all(at(0, 2), F.lit(r"\d+"), F.lit(0)).alias("numbers"),
+        at(2, 5).alias("home"), number(at(3, 6)).alias("h"), number(at(4, 7)).alias("a"), at(5, 8).alias("away"),
+    )
+    year = F.get(F.filter("numbers", lambda x: (F.length(x) == 4) & x.between("2020", "2030")), F.lit(0))
+    short = F.transform(F.filter("numbers", lambda x: F.length(x) <= 2), lambda x: F.lpad(x, 2, "0"))
+    both = F.col("h").isNotNull() & F.col("a").isNotNull()
+    found = rows.withColumns({"year": year, "short": short}).where("round is not null and year is not null and size(short) > 1 and home <> '' and away <> ''")
+    day = F.concat_ws("-", "year", F.get("short", F.lit(1)), F.get("short", F.lit(0)))
+    return found.select(key, "pos", "round", day.alias("date"), "home", F.when(both, F.col("h")).alias("home_score"), F.when(both, F.col("a")).alias("away_score"), "away")
+
+
 def standings_rows(rows: DataFrame, key: str = "page_id") -> DataFrame:
     """Table rows of four layouts by the number of cells: 17 and 16 with home and away parts, 11 and 10 with totals."""
     n = F.size("cells")

@@ -110,6 +110,24 @@ def standings_pages(spark, sf_dir):
     return found.select("page_id.season", "page_id.grp", "team", "points", "played", "won", "drawn", "lost", "gf", "ga")
 
 
+@query(
+    f"""WITH {FIXTURES_SQL} SELECT season, grp, CAST(round AS VARCHAR) round, (season + 28) || strftime(match_date, '-%m-%d') date, home, away, CASE WHEN away_score IS NOT NULL THEN home_score END home_score, CASE WHEN home_score IS NOT NULL THEN away_score END away_score
+    FROM fixtures WHERE match_id % 5 < 3"""
+)
+def calendar_pages(spark, sf_dir):
+    """Calendars of archived pages in both layouts; rows without a date or a round are left out."""
+    k, c = F.col("match_id"), F.col
+    cells = lambda *values: F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td> "), F.coalesce(_S(v), F.lit("-")), F.lit(" </td>")) for v in values], F.lit("</tr>"))
+    day = F.concat(F.lit("Sab "), F.date_format("match_date", "dd/M/"), _S(c("season") + 28))
+    seven = F.concat(cells(F.concat(F.lit("Jornada  "), _S("round"))), cells(day, F.lit("10:00"), c("home"), c("home_score"), c("away_score"), c("away"), F.lit("Campo 3")))
+    nine = lambda turn, day: cells(turn, F.lit("x"), day, F.lit("10:00"), F.lit("Campo 3"), c("home"), c("home_score"), c("away_score"), c("away"))
+    line = F.when(k % 5 == 0, seven).when(k % 5 < 3, nine(_S("round"), day)).when(k % 5 == 3, nine(_S("round"), F.lit("por fijar 12/3"))).otherwise(nine(F.concat(F.lit("J"), _S("round")), day))
+    page = F.struct("season", "grp", F.floor(k / 100_000).alias("n")).alias("page_id")
+    pages = fixtures(spark, sf_dir).groupBy(page).agg(F.concat_ws("", F.collect_list(line)).alias("html"))
+    found = extract.calendar_rows(extract.table_rows(pages))
+    return found.select("page_id.season", "page_id.grp", "round", "date", "home", "away", "home_score", "away_score")
+
+
 @query("SELECT o_orderkey report_id FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 4 < 2)")
 def reports_with_content(spark, sf_dir):
     """Reports of which something is known; those with an empty header and no line-ups are purged."""

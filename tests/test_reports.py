@@ -113,3 +113,15 @@ def test_hue(spark, name, hue):
 @pytest.mark.parametrize("phase,sign", [("Segunda Fase B", "🥈"), ("Primera Fase GC", "🏟️"), ("Fase GC", "🏔️"), ("Copa Lanzarote", "🏆"), (None, "⚽")])
 def test_signs(spark, phase, sign):
     assert one(spark, text.phase_sign(F.col("html")), phase) == sign
+
+
+def test_calendar_rows_in_both_layouts(spark):
+    """Rows before any round, without a date, a round or a team go; a score needs both numbers."""
+    nine = lambda turn, day, h, a, away="B": [turn, "x", day, "10:00", "Campo", "A", h, a, away]
+    cells = [
+        ["Sab 4/3/2023", "", "A", "1", "2", "B", "Campo"], ["JORNADA 7"], ["Equipos"], ["Sab 4/3/2023", "", "A", " 1", "2", "B", "Campo"], nine("3 (ida)", "12-10-2024", "2", "0"),
+        nine("3", "12-10-2024", "2", "x"), nine("J3", "12-10-2024", "2", "0"), nine("3", "12-10-2031", "2", "0"), nine("3", "2024", "2", "0"), nine("3", "12-10-2024", "2", "0", " "), ["jornada 8"], ["05/11/2022", "", "A", "-", "2", "B", "Campo"], ["a", "b"],
+    ]
+    rows = spark.createDataFrame([("p", i, c) for i, c in enumerate(cells)] + [("q", 0, cells[3])], "page_id string, pos int, cells array<string>")
+    got = [tuple(r) for r in extract.calendar_rows(rows).orderBy("pos").collect()]
+    assert got == [("p", 3, "7", "2023-03-04", "A", 1, 2, "B"), ("p", 4, "3", "2024-10-12", "A", 2, 0, "B"), ("p", 5, "3", "2024-10-12", "A", None, None, "B"), ("p", 11, "8", "2022-11-05", "A", None, None, "B")]
