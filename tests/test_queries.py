@@ -36,3 +36,11 @@ def test_plans_push_down_and_prune(spark, small):
     plan = QUERIES["league_table"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "o_totalprice" not in plan and "Python" not in plan
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_report_pages_are_parsed_once_and_only_as_far_as_asked(spark, small):
+    """Events are worked out once, not again for filters on their number, and not at all for line-ups; one shuffle builds the pages."""
+    plans = {name: QUERIES[name](spark, small)._jdf.queryExecution() for name in ("report_events", "lineup_pages")}
+    goals = {name: plan.optimizedPlan().toString().count("img\\s+lgol") for name, plan in plans.items()}
+    assert goals == {"report_events": 1, "lineup_pages": 0}
+    assert all(plan.executedPlan().toString().count("Exchange ") == 1 for plan in plans.values())
