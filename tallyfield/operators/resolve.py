@@ -15,6 +15,8 @@ ONE_FILIAL = 0.85
 SAME_LEAGUE = 0.5
 #: Pairs that may be left to one task for each group.
 FEW_PAIRS = 20_000
+# Rows of one key that meet in one cell when a frequent key is paired.
+PAIR_BLOCK = 1024
 
 
 def common_tokens(a: Column, b: Column) -> Column:
@@ -219,6 +221,24 @@ def matching_names(left: DataFrame, right: DataFrame, group: tuple[str, ...] = (
     return pairs.where(names_match(F.col("a"), F.col("b")))
 
 
+def equal_pairs(rows: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """All (id, other) with id < other of rows of (id, key) that have one key; null keys pair with none.
+
+    A key's rows are dealt by a hash of their id over parts of about ``block`` rows, and each two parts (and each part
+    with itself) meet in a cell of their own: no task has to pair a frequent key alone.  Parts are sent to as many cells
+    as their key has parts, which is one for all but frequent keys.
+    """
+    frequent = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")).where("parts > 1")
+    dealt = rows.join(frequent, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    first = dealt.select("key", "id", F.col("part").alias("p"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("q"))
+    second = dealt.select("key", F.col("id").alias("other"), F.explode(F.sequence(F.lit(0), "part")).alias("p"), F.col("part").alias("q"))
+    cells, by = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["key", "p", "q"]
+    met = first.repartition(cells, *by).join(second.repartition(cells, *by).hint("merge"), by)
+    met = met.where((F.col("id") != F.col("other")) & ((F.col("p") < F.col("q")) | (F.col("id") < F.col("other"))))
+    return met.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"))
+
+
 def reconcile(reports: DataFrame, fixtures: DataFrame, group: tuple[str, ...] = (), days: int = 1) -> DataFrame:
     """The one fixture each report is about, or null.
 

@@ -49,7 +49,7 @@ def canonical_ids(spark, sf_dir):
 @query(f"WITH {_NAMES}, k AS (SELECT id, {_RECONCILED} AS key FROM nm) SELECT a.id, b.id other FROM k a JOIN k b ON a.key = b.key WHERE a.id < b.id")
 def name_equality_join(spark, sf_dir):
     k = names(spark, sf_dir).select("id", text.reconciliation_key(F.col("name")).alias("key"))
-    return k.join(k.withColumnRenamed("id", "other"), "key").where("id < other").select("id", "other")
+    return resolve.equal_pairs(k)
 
 
 @query(
