@@ -9,6 +9,7 @@ from tallyfield.functions import dates, text
 from tallyfield.operators import extract, resolve
 from tallyfield.plans.binding import FIXTURES_SQL, fixtures, table
 from tallyfield.plans.registry import query
+from tallyfield.session import written
 
 TODAY = "1998-03-10"
 _NAMES = """nm AS (SELECT c_custkey id, CASE WHEN c_custkey % 97 = 0 THEN 'C.D.' WHEN c_custkey % 89 = 0 THEN 'Real Club' WHEN c_custkey % 83 = 0 THEN ' Descansan ' ELSE
@@ -126,6 +127,7 @@ def _reports(spark, sf_dir):
     key = lambda c: F.concat(F.substring(club(c), 1, 7), F.lit(" norte "), F.substring(club(c), 8, 4))
     turn = F.row_number().over(Window.partitionBy("match_id").orderBy("season", "round", "home", "away", "match_date", F.asc_nulls_last("home_score"), F.asc_nulls_last("away_score")))
     rows = fixtures(spark, sf_dir).withColumns({"report_id": F.col("match_id") * 100 + turn, "home_key": key("home"), "away_key": key("away")})
+    rows = written(rows.select("match_id", "report_id", "season", "round", "home_key", "away_key", "match_date", "home_score", "away_score"), "report-fixtures")
     k, h = F.col("report_id"), F.col("home_key")
     other = F.when(k % 8 == 3, F.concat(F.substring(h, 1, 7), F.lit(" otro"))).otherwise("")
     reports = rows.select(
