@@ -44,3 +44,10 @@ def test_report_pages_are_parsed_once_and_only_as_far_as_asked(spark, small):
     goals = {name: plan.optimizedPlan().toString().count("img\\s+lgol") for name, plan in plans.items()}
     assert goals == {"report_events": 1, "lineup_pages": 0}
     assert all(plan.executedPlan().toString().count("Exchange ") == 1 for plan in plans.values())
+
+
+@pytest.mark.parametrize("name", ["reconciled_reports", "quarantined_reports"])
+def test_fixtures_of_reports_are_joined_once(spark, small, name):
+    """Names, reports and candidates read the fixtures that were written, not the tables again."""
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_custkey" not in plan
