@@ -51,6 +51,12 @@ def test_line_ups(spark):
     assert players(spark, "") == {"home": [], "away": []} == players(spark, '<div class="number">')
 
 
+def test_tags_within_tags_and_entities_that_do_not_end(spark):
+    odd = HOME.replace("CLUB UNO", "Goles").replace(" x>", " </x>") + HOME.replace("<td class=a>", "<td a='<b'>").replace(" 7 ", "\u00a07 ")
+    assert players(spark, odd) == {"home": [(7, "PÉREZ, ANA", "starter"), (9, "LOPEZ, EVA", "sub")], "away": []}
+    assert one(spark, unescaped(F.col("html")), "&#65\n;&#65;") == "&#65\n;A"
+
+
 def test_a_last_panel_that_does_not_close_is_none(spark):
     assert players(spark, HOME + AWAY.split("</div></div>")[0])["away"] == []
     assert len(players(spark, HOME + AWAY.split("</div></div>")[0] + '<div class="number">')["away"]) == 1
@@ -81,6 +87,21 @@ def test_a_section_ends_after_its_length(spark):
     assert events(spark, HOME + AWAY + far) == []
 
 
+def sections(spark, html):
+    return [list(rows) for rows in one(spark, reports.section_rows(F.col("html")), html)]
+
+
+def test_sections_are_cut_alike_at_once_and_each_by_itself(spark):
+    """Far headings, pages that go on beyond a section's length, and rows that hold a heading give the same rows."""
+    page = "<tr>x</tr><div>Goles</div><tr>a</tr><TR b>c</TR><div>Cambios</div><tr>d<td></tr>tarjetas</div><tr e>f</tr><tr"
+    expected = [["a", "c", "d<td>", "f"], ["d<td>", "f"], ["f"]]
+    far, long = " " * reports.OTHER_LENGTH + page, page + " " * reports.OTHER_LENGTH
+    assert sections(spark, page) == sections(spark, far) == sections(spark, long) == expected
+    held = "<div>Goles</div><tr>a<div>Cambios</div><td></tr><tr>b</tr><tr Tarjetas</div><tr>c</tr>"
+    assert sections(spark, held) == [["a<div>Cambios</div><td>", "b", "<tr>c"], ["b", "<tr>c"], ["c"]]
+    assert sections(spark, "") == [[], [], []]
+
+
 def test_substitutions_and_cards(spark):
     swaps = "<div>Sustituciones</div><tr>(1) PÉREZ, ANA (2) LOPEZ, EVA</tr><tr>(1) NADIE, NO (2) NUNCA, NO</tr><tr>(1) RUIZ, SOL</tr><tr id='m'>(1) NADIE, NO (2) ruiz, sol</tr>"
     shown = "<div>Amonestaciones</div><tr><td>RUIZ, SOL</td><td>1 Tarjeta ROJA</td></tr><tr>PÉREZ, ANA</tr><tr>NADIE, NO</tr>"
